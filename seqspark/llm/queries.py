@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import media, simhash
+from . import media, packing, pieces, quality, simhash
 
 QUERIES = {
+    "op1_packing_drr": packing.op1_packing_drr,
+    "op4_pieces_prefix_table": pieces.op4_pieces_prefix_table,
+    "op5_quality_gbt": quality.op5_quality_gbt,
     "op7_simhash_bktree": simhash.op7_simhash_bktree,
     "op9_media_columns": media.op9_media_columns,
 }
