@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,7 @@ from .common import id_text, map_rows
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHE = 200_000
+CACHE = 250_000
 
 
 def model_path(name: str = MODEL) -> str:
@@ -62,7 +62,9 @@ class PieceModel:
         self.chars = frozenset(c for p in self.id for c in p)
         if any(MARK in p.lstrip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p in self.id):
             raise ValueError("a piece spans a word border")
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.pairs = frozenset(p[k : k + 2] for p in self.id for k in range(len(p) - 1))
+        self.plain = {i: self.piece[i].replace(MARK, " ") for i in normal}
+        self._fits: dict[int, bool] = {}
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
@@ -100,32 +102,36 @@ class PieceModel:
 
     def fits(self, left: int, right: int) -> bool:
         """Pair compatibility: merging the two tokens' text alone gives the two tokens."""
-        key = (left, right)
-        known = self._fits.get(key)
-        if known is None:
-            a, b = self.piece[left], self.piece[right]
-            known = self.merge(a + b) == [a, b]
-            if len(self._fits) >= 4 * CACHE:
-                self._fits.clear()
-            self._fits[key] = known
-        return known
+        a, b = self.piece[left], self.piece[right]
+        if len(self._fits) >= 2 * CACHE:
+            self._fits.clear()
+        found = self._fits[left << 20 | right] = self.merge(a + b) == [a, b]
+        return found
 
     def by_table(self, text: str) -> list[int]:
         """Ids of a text of known characters, from the table of last tokens."""
         last, size = [0] * (len(text) + 1), [0] * (len(text) + 1)
-        done = 0
+        done, known = 0, self._fits.get
         for end, (length, i) in self.automaton.iter(text):
             end += 1
             if end == done:
                 continue
             start = end - length
-            if start == 0 or (size[start] and self.fits(last[start], i)):
-                last[end], size[end], done = i, length, end
+            if start:
+                if not size[start]:
+                    continue
+                fit = known(last[start] << 20 | i)
+                if fit is None:
+                    fit = self.fits(last[start], i)
+                if not fit:
+                    continue
+            last[end], size[end], done = i, length, end
         ids, at = [], len(text)
         while at:
             ids.append(last[at])
             at -= size[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def known_run(self, text: str) -> list[int]:
         """A stretch of known characters with space marks at its start only, if at all."""
@@ -158,6 +164,10 @@ class PieceModel:
 
     def text(self, ids: list[int]) -> str:
         """Decodes ids: byte pieces by runs as UTF-8, space marks to spaces; the dummy prefix stays."""
+        try:
+            return "".join(map(self.plain.__getitem__, ids))
+        except KeyError:
+            pass
         out: list[str] = []
         held = bytearray()
         for i in ids:
@@ -167,21 +177,31 @@ class PieceModel:
             if held:
                 out.append(held.decode("utf-8", "replace"))
                 held.clear()
-            out.append(self.piece[i].replace(MARK, " "))
+            out.append(self.plain.get(i, ""))
         return "".join(out) + held.decode("utf-8", "replace")
 
 
 class _Chunks(dict):
-    """chunk -> (ids joined by commas, decoded text); bounded, emptied when full."""
+    """chunk -> (ids joined by commas, decoded text); two bounded generations, the older dropped when the younger is full."""
+
+    TAIL = ".,!?;:|*#$%&"
 
     def __init__(self, model: PieceModel, prefix: str) -> None:
-        self.model, self.prefix = model, prefix
+        self.model, self.prefix, self.old = model, prefix, {}
 
     def __missing__(self, word: str) -> tuple[str, str]:
-        ids = self.model.chunk(self.prefix + word) if self.prefix + word else []
-        found = (",".join(map(str, ids)), self.model.text(ids))
+        found = self.old.get(word)
+        if found is None:
+            core = word.rstrip(self.TAIL)
+            if core and len(core) < len(word) and word[len(core) - 1 : len(core) + 1] not in self.model.pairs:
+                (a, x), tail = self[core], self.model.chunk(word[len(core) :])
+                found = (a + "," + ",".join(map(str, tail)), x + self.model.text(tail))
+            else:
+                ids = self.model.chunk(self.prefix + word) if self.prefix or word else []
+                found = (",".join(map(str, ids)), self.model.text(ids))
         if len(word) <= 64:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -226,13 +246,19 @@ class PieceCodec:
         return self.model.text(ids).removeprefix(" ")
 
 
+@lru_cache(maxsize=1)
+def codec(path: str) -> PieceCodec:
+    """One codec for each worker process; its chunks serve all tasks that the process runs."""
+    return PieceCodec(PieceModel(path))
+
+
 def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
     path = path or model_path()
 
     def make():
-        codec = PieceCodec(PieceModel(path))
-        return lambda ids, texts: [(i, codec.encode(t)) for i, t in zip(ids, texts, strict=True)]
+        encode = codec(path).encode
+        return lambda ids, texts: [(i, encode(t)) for i, t in zip(ids, texts, strict=True)]
 
     return map_rows(id_text(docs), "doc_id long, ids array<int>", make)
 
@@ -242,8 +268,8 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def make():
-        codec = PieceCodec(PieceModel(path))
-        return lambda ids, lists: [(i, codec.decode(x or [])) for i, x in zip(ids, lists, strict=True)]
+        decode = codec(path).decode
+        return lambda ids, lists: [(i, decode(x or [])) for i, x in zip(ids, lists, strict=True)]
 
     return map_rows(encoded.select("doc_id", "ids"), "doc_id long, text string", make)
 
@@ -253,13 +279,12 @@ def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def make():
-        codec = PieceCodec(PieceModel(path))
-        sha = hashlib.sha256
+        both, sha = codec(path).both, hashlib.sha256
 
         def f(ids, texts):
             rows = []
             for i, t in zip(ids, texts, strict=True):
-                joined, decoded = codec.both(t or "")
+                joined, decoded = both(t or "")
                 rows.append((i, joined.count(",") + bool(joined), sha(joined.encode()).hexdigest(), sha(decoded.encode()).hexdigest()))
             return rows
 
