@@ -23,12 +23,16 @@ documents longer than a window are cut; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +44,7 @@ GRANULE = 64
 TURNS = (64, 8, 1)
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 200_000
+CACHE = 400_000
 NO_SOURCE = "\0none"
 
 
@@ -50,32 +54,116 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def struct_packer(kind: type) -> Callable[[list[int]], bytes]:
+    code = np.dtype(kind).char
+    return lambda ids: array(code, ids).tobytes()
+
+
 class WordIds(dict):
-    """word -> its ids as bytes, two or four per id; bounded, emptied when full.
+    """word -> its ids as bytes, two or four per id; two bounded generations, the older dropped when the younger is full.
 
     The tokenizer drops white space and never looks across it, so a text's ids
-    are those of its words; words are cut at ASCII white space only, which is
-    white space to the tokenizer whatever surrounds it.
+    are those of its words. Words are cut at ASCII white space only, which is
+    white space to the tokenizer whatever surrounds it, and before the
+    punctuation that ends a word, where the tokenizer cuts as well. New words go to it
+    together, between separators; words of lower-case ASCII letters, which its
+    normaliser and splitter leave as they are, go straight to its model.
+    Letters A-Z are lowered first where no combining mark could compose with them.
     """
 
+    TAIL = ".,!?;:|*#$%&"
+    SEPARATOR = "\x01"
+    TOGETHER = 20_000
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-
-    def text(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        if not words:
-            return b""
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if new:
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, self.kind).tobytes()
-        return b"".join(map(self.__getitem__, words))
+        self.pack = struct_packer(self.kind)
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.mark = self.encode(self.SEPARATOR)
+        if len(self.mark) != 1:
+            raise ValueError("the separator is not one id")
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of words, many at once; where a word holds the separator's id, each goes alone."""
+        out: dict[str, bytes] = {}
+        between = f" {self.SEPARATOR} "
+        for at in range(0, len(new), self.TOGETHER):
+            words = new[at : at + self.TOGETHER]
+            ids = self.encode(between.join(words))
+            cuts = np.flatnonzero(ids == self.mark[0])
+            if len(cuts) != len(words) - 1:
+                out.update((w, self.encode(w).tobytes()) for w in words)
+                continue
+            size, raw = ids.itemsize, ids.tobytes()
+            starts = ((np.concatenate(([0], cuts + 1))) * size).tolist()
+            stops = (np.append(cuts, len(ids)) * size).tolist()
+            out.update((w, raw[a:b]) for w, a, b in zip(words, starts, stops, strict=True))
+        return out
+
+    def rows(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        found = list(map(self.get, words))
+        missing = [k for k, x in enumerate(found) if x is None]
+        if len(self) + len(missing) > CACHE:
+            self.old = dict(self)
+            self.clear()
+        old, plain, parts, ended = self.old.get, self.tokenizer.model.tokenize, set(), []
+        for k in missing:
+            w = words[k]
+            x = old(w)
+            if x is None:
+                core = w.rstrip(self.TAIL)
+                if core.isascii() and core.isalpha() and core.islower():
+                    x = self.pack([t.id for t in plain(core)])
+                    if len(core) < len(w):
+                        tail = w[len(core) :]
+                        x += self.tails.get(tail) or self.tails.setdefault(tail, self.encode(tail).tobytes())
+                elif len(core) < len(w) and core and core[-1].isalnum() and core[-1] < "\u0250" and core[-1] != "\u0130":  # lower-cased it ends in a mark
+                    ended.append((k, core, w[len(core) :]))
+                    parts.update(ended[-1][1:])
+                    continue
+                else:
+                    ended.append((k, w, ""))
+                    parts.add(w)
+                    continue
+            found[k] = self[w] = x
+        parts.discard("")
+        known = self.learn(list(parts))
+        for k, core, tail in ended:
+            found[k] = self[words[k]] = known.get(core, b"") + known.get(tail, b"")
+        return found
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, number of ids of each); nulls are empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        if not ((raw == 0xCC) | (raw == 0xCD)).any():
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        rows = self.rows(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // self.kind().itemsize
+        pool = np.frombuffer(b"".join(rows), self.kind)
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.concatenate(([0], n.cumsum()))
+        ids = pool[np.repeat((np.concatenate(([0], sizes.cumsum()))[:-1])[which] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return ids, np.diff(ends[bounds])
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table for each worker process; its words serve all tasks that the process runs."""
+    return WordIds(path)
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, max_queues: int) -> DataFrame:
@@ -86,16 +174,18 @@ def tokenise(docs: DataFrame, path: str, end_id: int, max_queues: int) -> DataFr
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("queue"), F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = word_ids(path)
         end = np.array([end_id], words.kind).tobytes()
-        size = len(end)
         at: dict[str, int] = {}
         for whole in batches:
-            step = max(1, int(whole.num_rows * (16 << 20) / max(whole.nbytes, 1)))
+            step = max(1, int(whole.num_rows * (8 << 20) / max(whole.nbytes, 1)))
             for k in range(0, whole.num_rows, step):
                 batch = whole.slice(k, step)
-                ids = [words.text(t) + end for t in batch.column(1).to_pylist()]
-                n = [len(x) // size for x in ids]
+                flat, sizes = words.texts(batch.column(1))
+                raw, size = flat.tobytes(), flat.itemsize
+                stops = (sizes.cumsum() * size).tolist()
+                ids = [raw[a:b] + end for a, b in zip([0, *stops], stops, strict=False)]
+                n = (sizes + 1).tolist()
                 starts = []
                 for q, count in zip(batch.column(2).to_pylist(), n, strict=True):
                     starts.append(at.get(q, 0))
