@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, packing, pieces, quality, simhash
+from . import langid, media, packing, pieces, quality, simhash
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op1_packing_drr": packing.op1_packing_drr,
     "op4_pieces_prefix_table": pieces.op4_pieces_prefix_table,
     "op5_quality_gbt": quality.op5_quality_gbt,
