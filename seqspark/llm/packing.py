@@ -143,7 +143,7 @@ class WordIds(dict):
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each); nulls are empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
         if not ((raw == 0xCC) | (raw == 0xCD)).any():
             texts = pc.ascii_lower(texts)
