@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, media, packing, pieces, quality, simhash
+from . import langid, media, packing, pieces, quality, simhash, toxicity
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_pieces_prefix_table": pieces.op4_pieces_prefix_table,
     "op5_quality_gbt": quality.op5_quality_gbt,
     "op7_simhash_bktree": simhash.op7_simhash_bktree,
+    "op8_toxicity_lexicon": toxicity.op8_toxicity_lexicon,
     "op9_media_columns": media.op9_media_columns,
 }
 
