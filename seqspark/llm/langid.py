@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, remainder
 
-BITS = 13
+BITS = 12
 DIM = 1 << BITS
 LONGEST = 4
 #: Language families by ISO 639-1 code; a code that isn't listed is a family of its own.
@@ -79,17 +79,17 @@ def has_letter(text: str | None) -> bool:
 
 def svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 150) -> np.ndarray:
     """Weights of a linear machine with squared hinge loss (last: bias), classes weighed alike; accelerated gradient steps."""
-    n, d = x.shape
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w, v, t = np.zeros(d + 1), np.zeros(d + 1), 1.0
-    size = max(float((weight * ((x**2).sum(axis=1) + 1)).sum()), 1e-9)
-    rate = 1 / (1 + 2 * cost * size)
+    d, y = x.shape[1], y.astype(np.float32)  # single precision throughout: no wide copies of x
+    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    w, v, t = np.zeros(d + 1, np.float32), np.zeros(d + 1, np.float32), 1.0
+    size = max(float((weight * (np.einsum("ij,ij->i", x, x) + 1)).sum()), 1e-9)
+    rate = np.float32(1 / (1 + 2 * cost * size))
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) * weight * y
-        grad = np.append(v[:-1] - 2 * cost * (slack @ x), -2 * cost * slack.sum())
+        grad = np.append(v[:-1] - np.float32(2 * cost) * (slack @ x), np.float32(-2 * cost) * slack.sum())
         new = v - rate * grad
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        v = new + (before - 1) / t * (new - w)
+        v = new + np.float32((before - 1) / t) * (new - w)
         w = new
     return w
 
@@ -128,7 +128,7 @@ class Hierarchy:
         return best, trust * float(min(rivals))
 
 
-def learn(docs: DataFrame, most_docs: int = 3000, scale: float = 40.0) -> Hierarchy | None:
+def learn(docs: DataFrame, most_docs: int = 2000, scale: float = 40.0) -> Hierarchy | None:
     """Fits the hierarchy on at most about most_docs labelled texts (whole), spread over languages by a hash of the text."""
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
@@ -152,7 +152,6 @@ def learn(docs: DataFrame, most_docs: int = 3000, scale: float = 40.0) -> Hierar
     x = np.zeros((len(got), DIM), np.float32)
     for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r["bins"], np.uint16)] = np.frombuffer(r["freq"], np.float32)
-    x = np.sqrt(x)
     langs = np.array([r["lang"] for r in got])
     members: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
@@ -160,15 +159,15 @@ def learn(docs: DataFrame, most_docs: int = 3000, scale: float = 40.0) -> Hierar
     families = sorted(members)
     family = np.array([family_of(lang) for lang in langs])
     pairs = [(f, a, b) for f in families for a, b in combinations(members[f], 2)]
-    # The machines score sums over words, so they are fitted on frequencies themselves; the root only weighs the bins.
-    spread = 1 / np.maximum(x.mean(axis=0), 1e-3)
-    z = (x**2) * spread * scale
-    columns = [svm(z, np.where(family == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.zeros(DIM + 1)]
+    # Margins are sums over n-grams, so the machines see frequencies themselves, each bin scaled by a fixed factor.
+    spread = np.float32(scale) / np.maximum(np.sqrt(x.mean(axis=0)), np.float32(1e-3))
+    x *= spread
+    columns = [svm(x, np.where(family == f, 1.0, -1.0)) for f in families] if len(families) > 1 else [np.zeros(DIM + 1)]
     for f, a, b in pairs:
         rows = (langs == a) | (langs == b)
-        columns.append(svm(z[rows], np.where(langs[rows] == a, 1.0, -1.0)))
+        columns.append(svm(x[rows], np.where(langs[rows] == a, 1.0, -1.0)))
     w = np.stack(columns, axis=1)
-    return Hierarchy(families, members, pairs, (w[:-1] * (spread * scale)[:, None]).astype(np.float32), w[-1].astype(np.float32))
+    return Hierarchy(families, members, pairs, (w[:-1] * spread[:, None]).astype(np.float32), w[-1].astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
@@ -194,7 +193,7 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     return map_rows(slim, "doc_id long, lang_pred string, score double", make, 2 << 20)
 
 
-def identify(docs: DataFrame, most_docs: int = 3000) -> DataFrame:
+def identify(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); rows whose id's crc32 leaves 2 modulo 4 are never learned from."""
     model = learn(docs.where(remainder(4) != 2), most_docs)
     return predict(docs, model).withColumn("held_out", remainder(4) == 2)
