@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, media, packing, pieces, quality, simhash, toxicity
+from . import langid, media, packing, pieces, quality, simhash, toxicity, urls
 
 QUERIES = {
     "op2_language_id": langid.op2_language_id,
     "op1_packing_drr": packing.op1_packing_drr,
     "op4_pieces_prefix_table": pieces.op4_pieces_prefix_table,
     "op5_quality_gbt": quality.op5_quality_gbt,
+    "op6_url_filter": urls.op6_url_filter,
     "op7_simhash_bktree": simhash.op7_simhash_bktree,
     "op8_toxicity_lexicon": toxicity.op8_toxicity_lexicon,
     "op9_media_columns": media.op9_media_columns,
