@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, media, packing, pieces, quality, simhash, toxicity, urls
+from . import langid, media, packing, pieces, pii, quality, simhash, toxicity, urls
 
 QUERIES = {
+    "op10_pii_disclosure": pii.op10_pii_disclosure,
     "op2_language_id": langid.op2_language_id,
     "op1_packing_drr": packing.op1_packing_drr,
     "op4_pieces_prefix_table": pieces.op4_pieces_prefix_table,

@@ -71,8 +71,12 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
 
 def _grams(text: Column, mark: str) -> Column:
     framed = F.concat(F.lit("^"), text, F.lit("$"))
-    some = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(framed, i, n))) for n in GRAMS]
-    return reduce(F.concat, some)
+
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(framed) - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n))))
+
+    return reduce(F.concat, map(of, GRAMS))
 
 
 def bins(host: Column, path: Column) -> Column:
