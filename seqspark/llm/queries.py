@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, media, packing, pieces, pii, quality, simhash, toxicity, urls
+from . import langid, media, packing, pieces, pii, quality, simhash, suffixes, toxicity, urls
 
 QUERIES = {
     "op10_pii_disclosure": pii.op10_pii_disclosure,
     "op2_language_id": langid.op2_language_id,
     "op1_packing_drr": packing.op1_packing_drr,
+    "op3_suffix_dedup": suffixes.op3_suffix_dedup,
     "op4_pieces_prefix_table": pieces.op4_pieces_prefix_table,
     "op5_quality_gbt": quality.op5_quality_gbt,
     "op6_url_filter": urls.op6_url_filter,
