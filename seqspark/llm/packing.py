@@ -44,7 +44,7 @@ GRANULE = 64
 TURNS = (64, 8, 1)
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 120_000
+CACHE = 300_000
 NO_SOURCE = "\0none"
 
 
@@ -59,19 +59,29 @@ def struct_packer(kind: type) -> Callable[[list[int]], bytes]:
     return lambda ids: array(code, ids).tobytes()
 
 
+def _byte_letter(byte: int) -> str:
+    """The letter that stands for a byte in a byte-level vocabulary: itself where printable, else the next free one from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return chr(byte) if byte in shown else chr(0x100 + sum(b not in shown for b in range(byte)))
+
+
 class WordIds(dict):
     """word -> its ids as bytes, two or four per id; two bounded generations, the older dropped when the younger is full.
 
     The tokenizer drops white space and never looks across it, so a text's ids
     are those of its words. Words are cut at ASCII white space only, which is
-    white space to the tokenizer whatever surrounds it, and before the
-    punctuation that ends a word, where the tokenizer cuts as well. New words go to it
-    together, between separators; words of lower-case ASCII letters, which its
+    white space to the tokenizer whatever surrounds it, and between letters or
+    digits and punctuation, where the tokenizer cuts as well. New words go to it
+    together, between separators; words of lower-case Latin letters, which its
     normaliser and splitter leave as they are, go straight to its model.
     Letters A-Z are lowered first where no combining mark could compose with them.
     """
 
-    TAIL = ".,!?;:|*#$%&"
+    LOWER = np.arange(256, dtype=np.uint8)
+    LOWER[65:91] += 32
+    KIND = np.zeros(256, np.uint8)
+    KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+    KIND[list(b".,!?;:*#$%&")] = 2
     SEPARATOR = "\x01"
     TOGETHER = 20_000
 
@@ -82,8 +92,8 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.pack = struct_packer(self.kind)
+        self.bytewise = {c: "".join(map(_byte_letter, chr(c).encode())) for c in range(0x80, 0x250)}
         self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         self.mark = self.encode(self.SEPARATOR)
         if len(self.mark) != 1:
             raise ValueError("the separator is not one id")
@@ -115,39 +125,48 @@ class WordIds(dict):
         if len(self) + len(missing) > CACHE:
             self.old = dict(self)
             self.clear()
-        old, plain, parts, ended = self.old.get, self.tokenizer.model.tokenize, set(), []
+        old, plain, rest = self.old.get, self.tokenizer.model.tokenize, []
         for k in missing:
             w = words[k]
             x = old(w)
             if x is None:
-                core = w.rstrip(self.TAIL)
-                if core.isascii() and core.isalpha() and core.islower():
-                    x = self.pack([t.id for t in plain(core)])
-                    if len(core) < len(w):
-                        tail = w[len(core) :]
-                        x += self.tails.get(tail) or self.tails.setdefault(tail, self.encode(tail).tobytes())
-                elif len(core) < len(w) and core and core[-1].isalnum() and core[-1] < "\u0250" and core[-1] != "\u0130":  # lower-cased it ends in a mark
-                    ended.append((k, core, w[len(core) :]))
-                    parts.update(ended[-1][1:])
+                if not w.isalpha() or not w.islower():
+                    rest.append(k)
                     continue
+                if w.isascii():
+                    x = self.pack([t.id for t in plain(w)])
+                elif max(w) < "\u0250" and w.lower() == w:
+                    x = self.pack([t.id for t in plain(w.translate(self.bytewise))])
                 else:
-                    ended.append((k, w, ""))
-                    parts.add(w)
+                    rest.append(k)
                     continue
             found[k] = self[w] = x
-        parts.discard("")
-        known = self.learn(list(parts))
-        for k, core, tail in ended:
-            found[k] = self[words[k]] = known.get(core, b"") + known.get(tail, b"")
+        known = self.learn([words[k] for k in rest])
+        for k in rest:
+            found[k] = self[words[k]] = known[words[k]] if words[k] else b""
         return found
 
+    def parted(self, texts: pa.Array) -> pa.Array:
+        """The texts in lower case (A-Z), with a space between a letter or digit and the punctuation that follows it."""
+        offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not ((raw == 0xCC) | (raw == 0xCD)).any():
+            raw = self.LOWER[raw]
+        kind = self.KIND[raw]
+        cut = np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
+        out = np.full(len(raw) + len(cut), 32, np.uint8)
+        stay = np.ones(len(out), bool)
+        stay[cut + np.arange(len(cut))] = False
+        out[stay] = raw
+        moved = (offsets + np.searchsorted(cut, offsets)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(texts), pa.py_buffer(moved.tobytes()), pa.py_buffer(out.tobytes()))
+
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, number of ids of each); nulls are empty."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-        if not ((raw == 0xCC) | (raw == 0xCD)).any():
-            texts = pc.ascii_lower(texts)
-        split = pc.ascii_split_whitespace(texts)
+        if not len(texts):
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        split = pc.ascii_split_whitespace(self.parted(pc.fill_null(texts.cast(pa.string()), "")))
         coded = split.flatten().dictionary_encode()
         rows = self.rows(coded.dictionary.to_pylist())
         sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // self.kind().itemsize
@@ -333,7 +352,9 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | N
     bases = sums.select("part", "queue", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     totals = {r.queue: r.n for r in tokens.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     plan = tokens.sparkSession.sparkContext.broadcast(schedule(totals, weights))
-    placed = tokens.join(bases, ["part", "queue"]).select("queue", (F.col("base") + F.col("start")).alias("at"), "n", "doc_id", "ids")
+    bases = write_table(bases, "bases")  # a row for each task and source: small enough to send while there are few tasks
+    small = bases.count() <= 100_000
+    placed = tokens.join(F.broadcast(bases) if small else bases, ["part", "queue"]).select("queue", (F.col("base") + F.col("start")).alias("at"), "n", "doc_id", "ids")
     schema = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, length long, ids binary"
     out = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")])
 
