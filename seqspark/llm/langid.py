@@ -15,10 +15,12 @@ tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,29 +172,50 @@ def learn(docs: DataFrame, most_docs: int = 2000, scale: float = 40.0) -> Hierar
     return Hierarchy(families, members, pairs, (w[:-1] * spread[:, None]).astype(np.float32), w[-1].astype(np.float32))
 
 
+def batch_predictor(h: Hierarchy | None) -> Callable[[list[str | None]], list[tuple[str, float]]]:
+    """f(texts) -> (language, score) of each."""
+    columns = [np.ascontiguousarray(c) for c in h.weights.T] if h else []
+
+    def f(texts):
+        judged = [bool(h) and has_letter(t) for t in texts]
+        found: Iterator = iter(())
+        if any(judged):
+            bins, starts = grams([t for t, ok in zip(texts, judged, strict=True) if ok])
+            sizes = np.diff(np.append(starts, bins.shape[1])) * LONGEST
+            margins = np.stack([sum(np.add.reduceat(c[row], starts, dtype=np.float64) for row in bins) / sizes for c in columns], axis=1) + h.bias
+            found = iter([h.decide(m) for m in margins])
+        return [next(found) if ok else ("und", 0.0) for ok in judged]
+
+    return f
+
+
 def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     """(doc_id, lang_pred, score) from the text alone."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        h = shipped.value
-        columns = [np.ascontiguousarray(c) for c in h.weights.T] if h else []
-
-        def f(ids, texts):
-            use = [t for t in texts if h and has_letter(t)]
-            if use:
-                bins, starts = grams(use)
-                sizes = np.diff(np.append(starts, bins.shape[1])) * LONGEST
-                margins = np.stack([sum(np.add.reduceat(c[row], starts, dtype=np.float64) for row in bins) / sizes for c in columns], axis=1) + h.bias
-                found = iter([h.decide(m) for m in margins])
-            return [(i, *(next(found) if h and has_letter(t) else ("und", 0.0))) for i, t in zip(ids, texts, strict=True)]
-
-        return f
+        f = batch_predictor(shipped.value)
+        return lambda ids, texts: [(i, *r) for i, r in zip(ids, f(texts), strict=True)]
 
     return map_rows(slim, "doc_id long, lang_pred string, score double", make, 2 << 20)
 
 
+def keep_identified(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
+    """docs without those whose language cannot be told (`und`); all columns stay."""
+    shipped = docs.sparkSession.sparkContext.broadcast(learn(docs.where(remainder(4) != 2), most_docs))
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        f = batch_predictor(shipped.value)
+        for texts in batches:
+            some = texts.tolist()
+            size = max(1, int(len(some) * (2 << 20) / max(sum(len(t or "") for t in some), 1)))
+            yield pd.Series([lang != "und" for at in range(0, len(some), size) for lang, _ in f(some[at : at + size])], dtype=bool)
+
+    return docs.where(known(F.col("text").cast("string")))
+
+
 def identify(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); rows whose id's crc32 leaves 2 modulo 4 are never learned from."""
     model = learn(docs.where(remainder(4) != 2), most_docs)

@@ -35,10 +35,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 from .common import write_table
 
@@ -207,30 +209,32 @@ def _unzip(raw: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def make_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def make_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """(shard, rows, ids, sizes, firsts, n, body): texts end to end in shards of bounded size, compressed.
 
     A text longer than a shard goes on in the next ones; the pieces overlap by
     one byte less than the span, and firsts tells where a piece lies in its text.
     rows numbers the texts of a task, so pieces of one text share (part, row).
+    extras holds the carried columns as JSON, with a text's first piece.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
+    extra = F.to_json(F.struct(*[F.col(f"`{c}`") for c in carry])) if carry else F.lit(None).cast("string")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"), extra.alias("extra"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int, bytes, str | None]] = []
         size = row = number = part = 0
 
         def out() -> pa.RecordBatch:
-            rows, ids, firsts, texts = zip(*held, strict=True)
+            rows, ids, firsts, texts, extras = zip(*held, strict=True)
             body = b"".join(texts)
-            return pa.RecordBatch.from_pydict({"shard": pa.array([part << 32 | number], pa.int64()), "rows": pa.array([list(rows)], pa.list_(pa.int64())), "ids": pa.array([list(ids)], pa.list_(pa.int64())), "sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), "firsts": pa.array([list(firsts)], pa.list_(pa.int64())), "n": pa.array([len(body)], pa.int64()), "body": pa.array([_zip(body)], pa.binary())})
+            return pa.RecordBatch.from_pydict({"shard": pa.array([part << 32 | number], pa.int64()), "rows": pa.array([list(rows)], pa.list_(pa.int64())), "ids": pa.array([list(ids)], pa.list_(pa.int64())), "sizes": pa.array([[len(t) for t in texts]], pa.list_(pa.int32())), "firsts": pa.array([list(firsts)], pa.list_(pa.int64())), "n": pa.array([len(body)], pa.int64()), "body": pa.array([_zip(body)], pa.binary()), "extras": pa.array([list(extras)], pa.list_(pa.string()))})
 
         for batch in batches:
-            for i, t, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, t, part, e in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw, first = (t or "").encode(), 0
                 while True:
                     piece = raw[first : first + shard_bytes]
-                    held.append((row, i, first, piece))
+                    held.append((row, i, first, piece, None if first else e))
                     size += len(piece)
                     if size >= shard_bytes or len(held) >= 50_000:
                         yield out()
@@ -242,7 +246,7 @@ def make_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if held:
             yield out()
 
-    return slim.mapInArrow(run, "shard long, rows array<long>, ids array<long>, sizes array<int>, firsts array<long>, n long, body binary")
+    return slim.mapInArrow(run, "shard long, rows array<long>, ids array<long>, sizes array<int>, firsts array<long>, n long, body binary, extras array<string>")
 
 
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -436,7 +440,7 @@ def _sort_suffixes(dealt: DataFrame) -> DataFrame:
 
 def _unite(shards: DataFrame, gone: DataFrame, keep_text: bool, shard_bytes: int) -> DataFrame:
     """(shard, row, first, doc_id, n, starts, ends, kept): per text or piece of one, its removed runs and what is left."""
-    schema = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("body", pa.binary())])
+    schema = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("body", pa.binary()), ("extra", pa.string())])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -461,19 +465,19 @@ def _unite(shards: DataFrame, gone: DataFrame, keep_text: bool, shard_bytes: int
         at = np.searchsorted(starts, bounds).tolist()
         s, e = starts.tolist(), ends.tolist()
         out = []
-        for k, (number, doc, first) in enumerate(zip(row["rows"], row["ids"], row["firsts"], strict=True)):
+        for k, (number, doc, first, extra) in enumerate(zip(row["rows"], row["ids"], row["firsts"], row["extras"], strict=True)):
             lo, hi = bounds[k], bounds[k + 1]
-            out.append((row["shard"], number, first, doc, hi - lo, [x - lo for x in s[at[k] : at[k + 1]]], [x - lo for x in e[at[k] : at[k + 1]]], raw[lo:hi]))
+            out.append((row["shard"], number, first, doc, hi - lo, [x - lo for x in s[at[k] : at[k + 1]]], [x - lo for x in e[at[k] : at[k + 1]]], raw[lo:hi], extra))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    met = shards.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(join, "shard long, row long, first long, doc_id long, n long, starts array<long>, ends array<long>, body binary")
+    met = shards.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(join, "shard long, row long, first long, doc_id long, n long, starts array<long>, ends array<long>, body binary, extra string")
     return _finish(met, keep_text, shard_bytes)
 
 
 def _finish(met: DataFrame, keep_text: bool, shard_bytes: int) -> DataFrame:
     """Puts pieces of long texts together, which are next to none, and gives every text its result."""
-    result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary() if keep_text else pa.string())])
-    ddl = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if keep_text else 'string'}"
+    result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary() if keep_text else pa.string()), ("extra", pa.string())])
+    ddl = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if keep_text else 'string'}, extra string"
 
     def one(doc, pieces: list[dict]) -> tuple:
         size = max(p["first"] + p["n"] for p in pieces)
@@ -492,10 +496,10 @@ def _finish(met: DataFrame, keep_text: bool, shard_bytes: int) -> DataFrame:
             left.append(bytes(body[at:a]))
             at = b
         kept = b"".join(left) + bytes(body[at:])
-        return doc, size, sum(b - a for a, b in united), len(united), kept if keep_text else hashlib.sha256(kept).hexdigest()
+        return doc, size, sum(b - a for a, b in united), len(united), kept if keep_text else hashlib.sha256(kept).hexdigest(), next((p["extra"] for p in pieces if p["first"] == 0), None)
 
     def table(rows: list[tuple]) -> pa.Table:
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, result, strict=True)], schema=result)
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, result, strict=True)], schema=result)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -511,12 +515,12 @@ def _finish(met: DataFrame, keep_text: bool, shard_bytes: int) -> DataFrame:
     return met.where(~long).mapInArrow(whole, ddl).unionByName(pieces.where(long).groupBy("part", "row").applyInArrow(gather, ddl))
 
 
-def dedup(docs: DataFrame, keep_text: bool = True, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes, or their SHA-256."""
+def dedup(docs: DataFrame, keep_text: bool = True, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, extra): kept is the remaining bytes, or their SHA-256; extra the carried columns as JSON."""
     spark = docs.sparkSession
     name = f"suffix_shards_{uuid.uuid4().hex}"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    make_shards(docs, shard_bytes).write.bucketBy(parts, "shard").option("compression", "uncompressed").saveAsTable(name)
+    make_shards(docs, shard_bytes, carry).write.bucketBy(parts, "shard").option("compression", "uncompressed").saveAsTable(name)
     shards = spark.table(name)
     total = shards.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, -(-total // bucket_bytes))
@@ -527,5 +531,30 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_bytes: int = SHARD_BYTE
     return out
 
 
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the repeated bytes taken out of their texts; all rows and columns stay, n_chars follows where there is one.
+
+    Bytes of a character that was cut in two go with it.
+    """
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    out = dedup(docs, True, carry=tuple(f.name for f in others))
+
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: b.decode("utf-8", "ignore"))
+
+    out = out.select("doc_id", decoded("kept").alias("text"), F.from_json("extra", StructType(others)).alias("x") if others else F.lit(None).alias("x"))
+
+    def column(name: str, kind: DataType) -> Column:
+        if name == "doc_id":
+            return F.col("doc_id").cast(kind).alias(name)
+        if name == "text":
+            return F.col("text")
+        return (F.length("text").cast(kind) if name == "n_chars" else F.col("x").getField(name)).alias(name)
+
+    return out.select(*[column(f.name, f.dataType) for f in docs.schema.fields])
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False).withColumnRenamed("kept", "kept_sha256")
+    out = dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
