@@ -49,7 +49,7 @@ GRAM = 24
 SHALLOW = 24
 SHARD_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
-HOT_SHARDS = 32
+HOT_SHARDS = 2048
 LAST = (1 << 63) - 1
 _M = 0x9E3779B97F4A7C15
 _BLOCK = 48_000
