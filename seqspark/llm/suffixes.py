@@ -47,8 +47,8 @@ from .common import write_table
 SPAN = 50
 GRAM = 24
 SHALLOW = 24
-SHARD_BYTES = 4 << 20
-BUCKET_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
+BUCKET_BYTES = 3 << 20
 HOT_SHARDS = 2048
 LAST = (1 << 63) - 1
 _M = 0x9E3779B97F4A7C15
