@@ -44,7 +44,7 @@ GRANULE = 64
 TURNS = (64, 8, 1)
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE = 300_000
+CACHE = 150_000
 NO_SOURCE = "\0none"
 
 
@@ -197,7 +197,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, max_queues: int) -> DataFr
         end = np.array([end_id], words.kind).tobytes()
         at: dict[str, int] = {}
         for whole in batches:
-            step = max(1, int(whole.num_rows * (3 << 20) / max(whole.nbytes, 1)))
+            step = max(1, int(whole.num_rows * (2 << 20) / max(whole.nbytes, 1)))
             for k in range(0, whole.num_rows, step):
                 batch = whole.slice(k, step)
                 flat, sizes = words.texts(batch.column(1))
