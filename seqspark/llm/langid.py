@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,15 +205,15 @@ def keep_identified(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
     """docs without those whose language cannot be told (`und`); all columns stay."""
     shipped = docs.sparkSession.sparkContext.broadcast(learn(docs.where(remainder(4) != 2), most_docs))
 
-    @F.pandas_udf("boolean")
-    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = batch_predictor(shipped.value)
-        for texts in batches:
-            some = texts.tolist()
-            size = max(1, int(len(some) * (2 << 20) / max(sum(len(t or "") for t in some), 1)))
-            yield pd.Series([lang != "und" for at in range(0, len(some), size) for lang, _ in f(some[at : at + size])], dtype=bool)
+        for whole in batches:
+            step = max(1, int(whole.num_rows * (2 << 20) / max(whole.nbytes, 1)))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                yield batch.filter(pa.array([lang != "und" for lang, _ in f(batch.column("text").to_pylist())], pa.bool_()))
 
-    return docs.where(known(F.col("text").cast("string")))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def identify(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
