@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 
 def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.translate("value", "\r", "").alias("value"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.translate("value", "\r", "").alias("value"))
 
 
 def read_fasta(spark: SparkSession, path: str, glob: str | None = "*.fna", concat: bool = False, upper: bool = False) -> DataFrame:
