@@ -17,9 +17,9 @@ windows have equal anchors. Texts travel in shards of a few megabytes:
 
 The shards are a table bucketed by shard, so steps 3 and 5 read them in place;
 what is shuffled are hashes, the stretches that documents share, and intervals.
-An anchor that many shards hold (a licence line, a boiler-plate passage) is
-dealt by single windows instead, each by its own content, so no bucket gathers
-all of its contexts.
+An anchor that very many shards hold, or hold several times (a licence line, a
+boiler-plate passage), is dealt by single windows instead, each by its own
+content, so no bucket gathers all of its contexts.
 
 Edge cases: null and empty texts have no bytes; texts shorter than the span
 keep all; documents of equal ids are not earlier than each other; null ids come
@@ -35,7 +35,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +49,8 @@ SHALLOW = 24
 SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
 HOT_SHARDS = 2048
+HOT_MANY = 256
+WINDOWS = 300_000
 LAST = (1 << 63) - 1
 _M = 0x9E3779B97F4A7C15
 _BLOCK = 48_000
@@ -299,7 +300,8 @@ def _tell_shared(told: DataFrame) -> DataFrame:
         count = np.diff(np.append(edge, len(h)))
         inner = np.maximum.reduceat(own, edge)
         keep = np.repeat((count > 1) | inner, count)
-        hot = np.repeat(count >= HOT_SHARDS, count)
+        often = np.add.reduceat(own.astype(np.int64), edge)
+        hot = np.repeat((count >= HOT_SHARDS) | (often >= HOT_MANY), count)
         out = []
         for k, r in enumerate(rows):
             mine = keep & (owner == k) if len(rows) < 8 else None
@@ -410,18 +412,30 @@ def _sort_suffixes(dealt: DataFrame) -> DataFrame:
         base = n.cumsum() - n
         earliest = np.repeat(low_of, n)
         # A stretch whose anchor has no other stretch can share no window: its copies' earliest document stands.
-        _, inverse, counts = np.unique(np.array(hashes, np.uint64), return_inverse=True, return_counts=True)
+        # Windows can only be equal under one anchor, so anchors are sorted a bounded number of windows at a time.
+        anchors, inverse, counts = np.unique(np.array(hashes, np.uint64), return_inverse=True, return_counts=True)
         several = np.flatnonzero(counts[inverse] > 1)
-        if len(several):
-            text = np.frombuffer(b"".join(bodies[k] for k in several.tolist()), np.uint8)
-            offset = size[several].cumsum() - size[several]
-            m = n[several]
+        several = several[np.argsort(inverse[several], kind="stable")]
+        edges = np.flatnonzero(np.append(True, np.diff(inverse[several]) != 0)) if len(several) else several
+        upto = n[several].cumsum()
+        lo = 0
+        while lo < len(several):
+            full = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + WINDOWS, "right"))
+            k = int(np.searchsorted(edges, max(full, lo + 1), "right")) - 1
+            hi = int(edges[k]) if edges[k] > lo else int(edges[k + 1]) if k + 1 < len(edges) else len(several)
+            if full >= len(several):
+                hi = len(several)
+            some = several[lo:hi]
+            lo = hi
+            text = np.frombuffer(b"".join(bodies[k] for k in some.tolist()), np.uint8)
+            offset = size[some].cumsum() - size[some]
+            m = n[some]
             inner = np.arange(m.sum()) - np.repeat(m.cumsum() - m, m)
-            slot = np.repeat(base[several], m) + inner
+            slot = np.repeat(base[some], m) + inner
             order, klass = deep_shallow(text, np.repeat(offset, m) + inner)
             edge = np.flatnonzero(np.append(True, klass[1:] != klass[:-1]))
-            best = np.minimum.reduceat(earliest[slot][order], edge)
-            earliest[slot[order]] = np.repeat(best, np.diff(np.append(edge, len(order))))
+            least = np.minimum.reduceat(earliest[slot][order], edge)
+            earliest[slot[order]] = np.repeat(least, np.diff(np.append(edge, len(order))))
         out = []
         for shard, which, places, docs in rows:
             m = n[which]
@@ -438,9 +452,13 @@ def _sort_suffixes(dealt: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(judge, "shard long, starts binary, ends binary")
 
 
+_PIECE = "part long, row long, first long, doc_id long, n_bytes long, n_removed long, n_spans long, kept string, starts array<long>, ends array<long>, body binary, extra string"
+
+
 def _unite(shards: DataFrame, gone: DataFrame, keep_text: bool, shard_bytes: int) -> DataFrame:
-    """(shard, row, first, doc_id, n, starts, ends, kept): per text or piece of one, its removed runs and what is left."""
-    schema = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("body", pa.binary()), ("extra", pa.string())])
+    """A row for each text with its result, or for each piece of a long text with its runs and bytes (kept is null)."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _PIECE.split(", ")])
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -450,73 +468,66 @@ def _unite(shards: DataFrame, gone: DataFrame, keep_text: bool, shard_bytes: int
         starts = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in right.column("starts").to_pylist())]).astype(np.int64)
         ends = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in right.column("ends").to_pylist())]).astype(np.int64)
         order = np.argsort(starts, kind="stable")
-        starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(order) else ends
-        new = np.append(True, starts[1:] > ends[:-1]) if len(starts) else np.zeros(0, bool)
-        starts, ends = starts[new], ends[np.append(new[1:], True)] if len(new) else ends
-        bounds = np.concatenate(([0], np.cumsum(row["sizes"]))).tolist()
-        # Runs of two texts may touch at a bound but never cross it; a union that does is cut there.
-        inner = np.array(bounds[1:-1], np.int64)
-        if len(starts) and len(inner):
-            k = np.searchsorted(ends, inner, "left")
-            inside = inner[(k < len(starts))]
-            k = k[k < len(starts)]
-            hit = inside[(starts[k] < inside) & (inside < ends[k])]
-            starts, ends = np.sort(np.concatenate([starts, hit])), np.sort(np.concatenate([ends, hit]))
-        at = np.searchsorted(starts, bounds).tolist()
-        s, e = starts.tolist(), ends.tolist()
-        out = []
-        for k, (number, doc, first, extra) in enumerate(zip(row["rows"], row["ids"], row["firsts"], row["extras"], strict=True)):
-            lo, hi = bounds[k], bounds[k + 1]
-            out.append((row["shard"], number, first, doc, hi - lo, [x - lo for x in s[at[k] : at[k + 1]]], [x - lo for x in e[at[k] : at[k + 1]]], raw[lo:hi], extra))
+        starts, ends = starts[order].tolist(), ends[order].tolist()
+        out, at, lo = [], 0, 0
+        for number, doc, first, n, extra in zip(row["rows"], row["ids"], row["firsts"], row["sizes"], row["extras"], strict=True):
+            runs: list[list[int]] = []
+            while at < len(starts) and starts[at] < lo + n:  # an interval lies in one text, as windows do
+                a, b = starts[at] - lo, ends[at] - lo
+                at += 1
+                if runs and a <= runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], b)
+                else:
+                    runs.append([a, b])
+            body = raw[lo : lo + n]
+            lo += n
+            if first or n >= shard_bytes:  # only such a text can have other pieces
+                out.append((row["shard"] >> 32, number, first, doc, n, None, None, None, [r[0] for r in runs], [r[1] for r in runs], body, extra))
+            else:
+                out.append((row["shard"] >> 32, number, first, doc, n, *_left(body, runs, keep_text), None, None, None, extra))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    met = shards.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(join, "shard long, row long, first long, doc_id long, n long, starts array<long>, ends array<long>, body binary, extra string")
-    return _finish(met, keep_text, shard_bytes)
-
-
-def _finish(met: DataFrame, keep_text: bool, shard_bytes: int) -> DataFrame:
-    """Puts pieces of long texts together, which are next to none, and gives every text its result."""
-    result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary() if keep_text else pa.string()), ("extra", pa.string())])
-    ddl = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if keep_text else 'string'}, extra string"
-
-    def one(doc, pieces: list[dict]) -> tuple:
-        size = max(p["first"] + p["n"] for p in pieces)
-        body, runs = bytearray(size), []
-        for p in pieces:
-            body[p["first"] : p["first"] + p["n"]] = p["body"]
-            runs += [(p["first"] + a, p["first"] + b) for a, b in zip(p["starts"], p["ends"], strict=True)]
-        united: list[list[int]] = []
-        for a, b in sorted(runs):
-            if united and a <= united[-1][1]:
-                united[-1][1] = max(united[-1][1], b)
-            else:
-                united.append([a, b])
-        left, at = [], 0
-        for a, b in united:
-            left.append(bytes(body[at:a]))
-            at = b
-        kept = b"".join(left) + bytes(body[at:])
-        return doc, size, sum(b - a for a, b in united), len(united), kept if keep_text else hashlib.sha256(kept).hexdigest(), next((p["extra"] for p in pieces if p["first"] == 0), None)
-
-    def table(rows: list[tuple]) -> pa.Table:
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 6, result, strict=True)], schema=result)
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield from table([one(r["doc_id"], [r]) for r in batch.to_pylist()]).to_batches()
+    return shards.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(join, _PIECE)
+
+
+def _left(body: bytes, runs: list[list[int]], keep_text: bool) -> tuple[int, int, str]:
+    """(bytes removed, runs, what is left: as text without broken characters, or the SHA-256 of its bytes)."""
+    parts, at = [], 0
+    for a, b in runs:
+        parts.append(body[at:a])
+        at = b
+    kept = b"".join(parts) + body[at:]
+    return sum(b - a for a, b in runs), len(runs), kept.decode("utf-8", "ignore") if keep_text else hashlib.sha256(kept).hexdigest()
+
+
+def _whole_texts(pieces: DataFrame, keep_text: bool) -> DataFrame:
+    """Puts the pieces of each long text together, one text in a group."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "extra"]
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept string, extra string"
+    result = pa.schema([(n, pa.string() if n in ("kept", "extra") else pa.int64()) for n in names])
 
     def gather(group: pa.Table) -> pa.Table:
-        pieces = group.to_pylist()
-        return table([one(pieces[0]["doc_id"], pieces)])
+        rows = sorted(group.to_pylist(), key=lambda p: p["first"])
+        size = rows[-1]["first"] + rows[-1]["n_bytes"]
+        body, spans = bytearray(size), []
+        for p in rows:
+            body[p["first"] : p["first"] + p["n_bytes"]] = p["body"]
+            spans += [(p["first"] + a, p["first"] + b) for a, b in zip(p["starts"], p["ends"], strict=True)]
+        runs: list[list[int]] = []
+        for a, b in sorted(spans):
+            if runs and a <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        row = (rows[0]["doc_id"], size, *_left(bytes(body), runs, keep_text), rows[0]["extra"])
+        return pa.table([pa.array([v], f.type) for v, f in zip(row, result, strict=True)], schema=result)
 
-    # Only a text that filled a shard from its first byte, or starts later, has other pieces.
-    long = (F.col("first") > 0) | (F.col("n") >= shard_bytes)
-    pieces = met.withColumn("part", F.shiftright("shard", 32))
-    return met.where(~long).mapInArrow(whole, ddl).unionByName(pieces.where(long).groupBy("part", "row").applyInArrow(gather, ddl))
+    done = pieces.where(F.col("kept").isNotNull()).select(*names)
+    return done.unionByName(pieces.where(F.col("kept").isNull()).groupBy("part", "row").applyInArrow(gather, ddl))
 
 
 def dedup(docs: DataFrame, keep_text: bool = True, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, extra): kept is the remaining bytes, or their SHA-256; extra the carried columns as JSON."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept, extra): kept is the remaining text (broken characters left out), or the SHA-256 of the remaining bytes; extra the carried columns as JSON."""
     spark = docs.sparkSession
     name = f"suffix_shards_{uuid.uuid4().hex}"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -526,9 +537,9 @@ def dedup(docs: DataFrame, keep_text: bool = True, shard_bytes: int = SHARD_BYTE
     buckets = max(8, -(-total // bucket_bytes))
     shared = _tell_shared(_tell_anchors(shards, buckets))
     gone = _sort_suffixes(_deal_stretches(shards, shared, buckets))
-    out = write_table(_unite(shards, gone, keep_text, shard_bytes), "deduped")
+    pieces = write_table(_unite(shards, gone, keep_text, shard_bytes), "deduped")
     spark.sql(f"DROP TABLE {name}")
-    return out
+    return _whole_texts(pieces, keep_text)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -539,11 +550,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
     out = dedup(docs, True, carry=tuple(f.name for f in others))
 
-    @F.pandas_udf("string")
-    def decoded(kept: pd.Series) -> pd.Series:
-        return kept.map(lambda b: b.decode("utf-8", "ignore"))
-
-    out = out.select("doc_id", decoded("kept").alias("text"), F.from_json("extra", StructType(others)).alias("x") if others else F.lit(None).alias("x"))
+    out = out.select("doc_id", F.col("kept").alias("text"), F.from_json("extra", StructType(others)).alias("x") if others else F.lit(None).alias("x"))
 
     def column(name: str, kind: DataType) -> Column:
         if name == "doc_id":
