@@ -24,7 +24,6 @@ documents longer than a window are cut; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -345,7 +344,7 @@ def cut(plan: list[Stretch | Slot], start: int, n: int) -> Iterator[tuple[int, i
 
 
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | None = None, end_id: int = END_ID, max_queues: int = 1024) -> DataFrame:
-    """(doc_id, start, doc_tokens, sequence_id, offset, length, ids): every id of every document in exactly one piece."""
+    """(doc_id, start, doc_tokens, sequence_id, offset, length, ids): every id of every document in exactly one piece; ids as little-endian 32-bit numbers."""
     path = path or tokenizer_path()
     tokens = tokenise(docs, path, end_id, max_queues)
     sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
@@ -363,11 +362,11 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | N
             rows: list[tuple] = []
             held = 0
             for queue, at, n, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                size = len(ids) // n
+                wide = ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                 for start, length, sequence, offset in cut(plan.value[queue], at, n):
-                    rows.append((doc, start, n, sequence, offset, length, ids[start * size : (start + length) * size]))
-                held += len(ids)
-                if held > 8 << 20:
+                    rows.append((doc, start, n, sequence, offset, length, wide[4 * start : 4 * (start + length)]))
+                held += len(wide)
+                if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
                     rows, held = [], 0
             if rows:
@@ -384,16 +383,7 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 def piece_crc(pieces: DataFrame) -> DataFrame:
     """Replaces ids by ids_crc32, the CRC-32 of the ids as little-endian unsigned 32-bit numbers."""
-    names = [c for c in pieces.columns if c != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("ids")
-            lengths = batch.column(batch.schema.get_field_index("length")).to_pylist()
-            crc = [zlib.crc32(x if len(x) == 4 * n else np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x, n in zip(batch.column(at).to_pylist(), lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(crc, pa.int64())], names=[*names, "ids_crc32"])
-
-    return pieces.mapInArrow(run, ", ".join(f"{c} long" for c in (*names, "ids_crc32")))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op1_packing_drr(spark: SparkSession, sf_dir: str) -> DataFrame:
