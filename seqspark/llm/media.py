@@ -187,7 +187,7 @@ def resolve(sequences: DataFrame, id_col: str, figures: DataFrame) -> DataFrame:
 def media_sequences(docs: DataFrame) -> DataFrame:
     """Each document as an interleaved page whose figure is its own padded payload, stored, read back and resolved."""
     docs = id_text(docs)
-    figures = read_store(write_store(docs))
+    figures = write_table(read_store(write_store(docs)), "figures")  # small rows; a join of two plain exchanges can be split where a digest is hot
     n = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
     html = F.concat(F.lit(f'<article><figure><img src="{SCHEME}'), F.sha2(payload(F.col("text")), 256), F.lit('"><figcaption>'), n.cast("string"), F.lit(" bytes</figcaption></figure></article>"))
     sequences = parse_interleaved(docs.select("doc_id", html.alias("html")), "doc_id", "html")
