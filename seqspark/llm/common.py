@@ -35,6 +35,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what goes to Python at once by bytes, where the session leaves the default: texts differ in length by orders of magnitude."""
+    if spark.conf.get(BATCH) == BATCH_DEFAULT:
+        spark.conf.set(BATCH, "8m")
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns every operator reads; extra columns, whatever their names, are left behind."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -45,18 +54,39 @@ def remainder(modulus: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[tuple]]], slice_bytes: int = 16 << 20) -> DataFrame:
+#: What this worker process keeps between tasks: one table at most, of the operator that ran last.
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]) -> object:
+    """The table of this key, made on first use; making one lets go of any other's."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Lets go of what another operator's tasks have left in this process."""
+    _held.clear()
+
+
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[tuple]]], slice_bytes: int = 8 << 20, keeps: bool = False) -> DataFrame:
     """df through a function of column lists, by Arrow batches, in slices of bounded size.
 
-    make runs once in each task and returns f(*column lists) -> row tuples.
+    make runs once in each task and returns f(*column lists) -> row tuples. keeps
+    tells that make calls held(); otherwise what is held is let go.
     """
     names = df.columns
+    bound_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release()
         f = make()
         for batch in batches:
             step = max(1, int(batch.num_rows * slice_bytes / max(batch.nbytes, 1)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, remainder
+from .common import bound_batches, map_rows, release, remainder
 
 BITS = 12
 DIM = 1 << BITS
@@ -203,9 +203,11 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
     """docs without those whose language cannot be told (`und`); all columns stay."""
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(learn(docs.where(remainder(4) != 2), most_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         f = batch_predictor(shipped.value)
         for whole in batches:
             step = max(1, int(whole.num_rows * (2 << 20) / max(whole.nbytes, 1)))

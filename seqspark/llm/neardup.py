@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, write_table
+from .common import map_rows, release, write_table
 from .graph import connected_components
 from .simhash import BKTree, shingle_hashes
 
@@ -72,6 +72,7 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
     chosen = [np.sort(rng.choice(WORDS, width, replace=False)) for _ in range(bands)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)

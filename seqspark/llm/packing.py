@@ -27,7 +27,6 @@ import os
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import bound_batches, held, release, write_table
 
 WINDOW = 4096
 GRANULE = 64
@@ -178,10 +177,9 @@ class WordIds(dict):
         return ids, np.diff(ends[bounds])
 
 
-@lru_cache(maxsize=1)
 def word_ids(path: str) -> WordIds:
     """One table for each worker process; its words serve all tasks that the process runs."""
-    return WordIds(path)
+    return held(f"words {path}", lambda: WordIds(path))
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int, max_queues: int) -> DataFrame:
@@ -346,6 +344,7 @@ def cut(plan: list[Stretch | Slot], start: int, n: int) -> Iterator[tuple[int, i
 def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | None = None, end_id: int = END_ID, max_queues: int = 1024) -> DataFrame:
     """(doc_id, start, doc_tokens, sequence_id, offset, length, ids): every id of every document in exactly one piece; ids as little-endian 32-bit numbers."""
     path = path or tokenizer_path()
+    bound_batches(docs.sparkSession)
     tokens = tokenise(docs, path, end_id, max_queues)
     sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
     bases = sums.select("part", "queue", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -358,6 +357,7 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | N
     out = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows: list[tuple] = []
             held = 0

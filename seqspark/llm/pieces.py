@@ -23,12 +23,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import id_text, map_rows
+from .common import held, id_text, map_rows
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -246,10 +246,9 @@ class PieceCodec:
         return self.model.text(ids).removeprefix(" ")
 
 
-@lru_cache(maxsize=1)
 def codec(path: str) -> PieceCodec:
     """One codec for each worker process; its chunks serve all tasks that the process runs."""
-    return PieceCodec(PieceModel(path))
+    return held(f"pieces {path}", lambda: PieceCodec(PieceModel(path)))
 
 
 def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -260,7 +259,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
         encode = codec(path).encode
         return lambda ids, texts: [(i, encode(t)) for i, t in zip(ids, texts, strict=True)]
 
-    return map_rows(id_text(docs), "doc_id long, ids array<int>", make)
+    return map_rows(id_text(docs), "doc_id long, ids array<int>", make, keeps=True)
 
 
 def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -271,7 +270,7 @@ def decode_pieces(encoded: DataFrame, path: str | None = None) -> DataFrame:
         decode = codec(path).decode
         return lambda ids, lists: [(i, decode(x or [])) for i, x in zip(ids, lists, strict=True)]
 
-    return map_rows(encoded.select("doc_id", "ids"), "doc_id long, text string", make)
+    return map_rows(encoded.select("doc_id", "ids"), "doc_id long, text string", make, keeps=True)
 
 
 def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -290,7 +289,7 @@ def piece_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         return f
 
-    return map_rows(id_text(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_rows(id_text(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, keeps=True)
 
 
 def op4_pieces_prefix_table(spark: SparkSession, sf_dir: str) -> DataFrame:

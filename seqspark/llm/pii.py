@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, write_table
+from .common import map_rows, release, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -140,6 +140,7 @@ def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, counts, mask = shipped.value, Counter(), (1 << BITS) - 1
+        release()
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])

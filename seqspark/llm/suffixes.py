@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from .common import write_table
+from .common import bound_batches, release, write_table
 
 SPAN = 50
 GRAM = 24
@@ -224,6 +224,7 @@ def make_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, carry: tuple[st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes, str | None]] = []
         size = row = number = part = 0
+        release()
 
         def out() -> pa.RecordBatch:
             rows, ids, firsts, texts, extras = zip(*held, strict=True)
@@ -263,6 +264,7 @@ def _tell_anchors(shards: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            release()
             for row in batch.to_pylist():
                 b, bounds, _ = _open(row)
                 h, _, _, text = stretches(b, bounds)
@@ -334,6 +336,7 @@ def _deal_stretches(shards: DataFrame, shared: DataFrame, buckets: int) -> DataF
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
+        release()
         b, bounds, ids = _open(left.select(["ids", "sizes", "body"]).to_pylist()[0])
         h, first, last, text = stretches(b, bounds)
         warm = np.sort(np.concatenate([_from_six(x) for x in right.column("shared").to_pylist()]))
@@ -384,6 +387,7 @@ def _sort_suffixes(dealt: DataFrame) -> DataFrame:
     schema = pa.schema([("shard", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
 
     def judge(group: pa.Table) -> pa.Table:
+        release()
         known: dict[bytes, int] = {}
         low: list[int] = []
         hashes: list[int] = []
@@ -529,6 +533,7 @@ def _whole_texts(pieces: DataFrame, keep_text: bool) -> DataFrame:
 def dedup(docs: DataFrame, keep_text: bool = True, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, extra): kept is the remaining text (broken characters left out), or the SHA-256 of the remaining bytes; extra the carried columns as JSON."""
     spark = docs.sparkSession
+    bound_batches(spark)
     name = f"suffix_shards_{uuid.uuid4().hex}"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     make_shards(docs, shard_bytes, carry).write.bucketBy(parts, "shard").option("compression", "uncompressed").saveAsTable(name)
