@@ -50,10 +50,10 @@ def family_of(lang: str) -> str:
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bins of the n-grams that start at each byte, a row for each n; where each text starts).
 
-    Every text is framed by spaces, as many behind it as the longest n-gram
-    needs, so its bins don't depend on its neighbours.
+    Every text is framed by spaces, as many before it as the longest n-gram can
+    reach over from the text before, so its bins don't depend on its neighbours.
     """
-    raw = [b" " + t.lower().encode() + b" " * (LONGEST - 1) for t in texts]
+    raw = [b" " * (LONGEST - 1) + t.lower().encode() + b" " for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     b = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     b[b <= 32] = 32

@@ -41,8 +41,10 @@ class _Interleave(HTMLParser):
         self.items: list[dict] = []
         self.run: list[str] = []
         self.skip = 0
-        self.caption: list[str] | None = None
-        self.figure: int | None = None
+        self.caption: list[str] | None = None  # text of the open caption
+        self.inside = False  # a figure is open
+        self.figure: int | None = None  # its image
+        self.early: str | None = None  # its caption, where that comes first
 
     def flush(self) -> None:
         text = " ".join("".join(self.run).split())
@@ -61,13 +63,15 @@ class _Interleave(HTMLParser):
             src = a.get("src") or ""
             if src:
                 self.flush()
-                self.figure = len(self.items)
+                if self.inside:
+                    self.figure = len(self.items)
                 digest = src[len(SCHEME) :] if src.startswith(SCHEME) else hashlib.sha256(src.encode()).hexdigest()
-                self.items.append({"pos": len(self.items), "kind": "media", "text": None, "digest": digest, "caption": a.get("alt")})
+                self.items.append({"pos": len(self.items), "kind": "media", "text": None, "digest": digest, "caption": self.early or a.get("alt")})
+                self.early = None
         elif tag in self.BLOCK:
             self.flush()
             if tag == "figure":
-                self.figure = None
+                self.inside, self.figure, self.early = True, None, None
 
     def handle_endtag(self, tag: str) -> None:
         if tag in self.SKIP:
@@ -77,10 +81,15 @@ class _Interleave(HTMLParser):
             self.caption = None
             if self.figure is not None:
                 self.items[self.figure]["caption"] = text
+            elif self.inside:
+                self.early = text
             elif text:
                 self.run.append(text)
                 self.flush()
         elif tag in self.BLOCK:
+            if tag == "figure":
+                self.run += [self.early or ""] if self.figure is None else []
+                self.inside, self.figure, self.early = False, None, None
             self.flush()
 
     def handle_data(self, data: str) -> None:

@@ -89,15 +89,12 @@ def entity(kind: str, value: str) -> str:
 
 
 def neighbours(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, int]]:
-    """(term, entity, context): the words near each base span; the context is a hash of all of them."""
-    out = []
+    """(term, entity, context): the words near each entity of a text; the context is a hash of all of them, one for a text and entity."""
+    near: dict[str, list[str]] = {}
     for a, b, kind in spans:
-        before = WORD.findall(text, max(0, a - 160), a)[-NEAR:]
-        after = WORD.findall(text, b, b + 160)[:NEAR]
-        near = [w.lower() for w in before + after]
-        context = zlib.crc32(" ".join(near).encode())
-        out += [(w, entity(kind, text[a:b]), context) for w in set(near)]
-    return out
+        words = WORD.findall(text, max(0, a - 160), a)[-NEAR:] + WORD.findall(text, b, b + 160)[:NEAR]
+        near.setdefault(entity(kind, text[a:b]), []).extend(w.lower() for w in words)
+    return [(w, e, zlib.crc32(" ".join(words).encode())) for e, words in near.items() for w in set(words)]
 
 
 def key_of() -> Column:
@@ -158,7 +155,7 @@ def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def sensitive_terms(docs: DataFrame, base: DataFrame, least_contexts: int = 3, least_share: float = 0.5, least_gain: float = 6.0) -> DataFrame | None:
+def sensitive_terms(docs: DataFrame, base: DataFrame, least_contexts: int = 3, least_share: float = 0.5, least_gain: float = 3.0) -> DataFrame | None:
     """(term, entity, gain): terms beyond the disclosure thresholds; None where no term has the contexts.
 
     gain is log2 of P(entity | term) / P(entity) over all documents.

@@ -3,8 +3,9 @@
 Texts are folded first: case, full-width forms, look-alike letters of other
 scripts, and digits or signs that stand for letters. Accents stay, as they tell
 words of accented languages apart. The lexicon is
-learned: character strings inside words whose document counts differ between
-toxic and clean labelled texts far beyond chance, weighed by their log-odds.
+learned: whole words, and character strings inside words, whose document counts
+differ between toxic and clean labelled texts far beyond chance, weighed by
+their log-odds.
 Exception phrases, words that hold an entry and yet are no likelier in toxic
 texts, cancel the matches inside them. A text's evidence is the sum over its
 words of the best weight in each, normalised by its length, and a logistic
@@ -57,7 +58,9 @@ def fold(text: str | None) -> str:
 
 
 def substrings(word: str) -> set[str]:
-    return {word[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)}
+    """What can be an entry: strings inside the word, and the word itself behind a `=`."""
+    inner = {word[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)}
+    return inner | {"=" + word} if SHORTEST <= len(word) <= 40 else inner
 
 
 @dataclass
@@ -70,8 +73,8 @@ class Lexicon:
         if not self.weights:
             return None
         a = ahocorasick.Automaton()
-        for entry, w in self.weights.items():
-            a.add_word(entry, (len(entry), w))
+        for text in {e.lstrip("=") for e in self.weights}:
+            a.add_word(text, (len(text), self.weights.get(text, 0.0), self.weights.get("=" + text, 0.0)))
         a.make_automaton()
         return a
 
@@ -83,7 +86,7 @@ class Lexicon:
         best: dict[int, float] = {}
         spans: dict[int, str] = {}
         lo = hi = -1
-        for end, (length, w) in automaton.iter(folded):
+        for end, (length, w, whole) in automaton.iter(folded):
             start = end - length + 1
             if not (lo <= start and end < hi):
                 lo, hi = start, end + 1
@@ -92,6 +95,8 @@ class Lexicon:
                 while hi < len(folded) and folded[hi].isalnum():
                     hi += 1
                 spans[lo] = folded[lo:hi]
+            if whole > w and start == lo and end + 1 == hi:
+                w = whole
             if w > best.get(lo, 0.0):
                 best[lo] = w
         kept = [w for at, w in best.items() if spans[at] not in self.exceptions]
@@ -156,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_en
 
     def holders(text: str) -> set[str]:
         a = holders.__dict__.setdefault("a", matcher.automaton())
-        return {w for w in set(WORD.findall(fold(text))) if a and next(a.iter(w), None)}
+        return {w for w in set(WORD.findall(fold(text))) if a and any(inner for _, (_, inner, _) in a.iter(w))}
 
     innocent = _tally(rows, holders).where((F.col("n0") >= 3) & (F.col("n1") / total <= 2 * p)).orderBy(F.desc("n0"), "term").limit(most_entries).collect() if weights else []
     lexicon = Lexicon(weights, frozenset(r["term"] for r in innocent), (0, 0, 0))
