@@ -63,6 +63,16 @@ def pattern_blocks(patterns: DataFrame) -> list[list[tuple[int, str]]]:
     return out
 
 
+def with_patterns(df: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Every row with every pattern (columns pattern_id, p): blocks of patterns of checked size, as literals of the plan."""
+    out = None
+    for block in pattern_blocks(patterns):
+        listed = F.array(*[F.struct(F.lit(i).cast("long").alias("pattern_id"), F.lit(p).alias("p")) for i, p in block])
+        part = df.select("*", F.inline(listed))
+        out = part if out is None else out.unionByName(part)
+    return df.where("false").select("*", F.lit(None).cast("long").alias("pattern_id"), F.lit(None).cast("string").alias("p")) if out is None else out
+
+
 def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     at = 0
     while at < len(sizes):

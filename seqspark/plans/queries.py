@@ -88,8 +88,7 @@ def pattern_stripes(spark: SparkSession, d: str) -> DataFrame:
 def pair_cells(spark: SparkSession, d: str) -> DataFrame:
     """How many cells each pattern has against all documents: what an alignment of whole tables fills."""
     total = _documents(spark, d).agg(F.sum(F.length("seq")).cast("long").alias("n"), F.count("*").alias("pairs"))
-    p = _patterns(spark, d)
-    return p.crossJoin(F.broadcast(total)).select("pattern_id", "pairs", (F.length("seq") * F.col("n")).cast("long").alias("cells"))
+    return ops.with_patterns(total, _patterns(spark, d)).select("pattern_id", "pairs", (F.length("p") * F.col("n")).cast("long").alias("cells"))
 
 
 def char_match_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -113,16 +112,15 @@ def sw_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sw_score_native(spark: SparkSession, d: str) -> DataFrame:
-    """The same scores by SQL functions alone; the patterns are five names, so they are sent."""
-    p = _patterns(spark, d).select("pattern_id", F.col("seq").alias("p"))
-    pairs = _parts(spark, d).crossJoin(F.broadcast(p))
+    """The same scores by SQL functions alone."""
+    pairs = ops.with_patterns(_parts(spark, d), _patterns(spark, d))
     return pairs.select("pattern_id", "seq_id", native.best_score(F.col("p"), F.col("seq")).alias("score")).where("score > 0")
 
 
 def _edge(spark: SparkSession, d: str, right: bool) -> DataFrame:
     c = ops.cells(_parts(spark, d), _patterns(spark, d))
     size = _parts(spark, d).select("seq_id", F.length("seq").alias("n")) if right else _patterns(spark, d).select("pattern_id", F.length("seq").alias("n"))
-    met = c.join(F.broadcast(size) if not right else size, "seq_id" if right else "pattern_id").where(F.col("j" if right else "i") == F.col("n"))
+    met = c.join(size, "seq_id" if right else "pattern_id").where(F.col("j" if right else "i") == F.col("n"))
     order = F.sort_array(F.collect_list(F.struct(F.col("i" if right else "j").alias("k"), "h")))
     return met.groupBy("pattern_id", "seq_id").agg(F.array_join(F.transform(order, lambda x: x["h"].cast("string")), ",").alias("edge"))
 

@@ -59,7 +59,7 @@ def test_edge_cases(spark):
 
 def test_native_fold_agrees(spark, long_seqs):
     seqs, patterns = tables(spark, [r for r in long_seqs if r[1] is None or len(r[1]) < 100])
-    pairs = seqs.crossJoin(F.broadcast(patterns.withColumnRenamed("seq", "p")))
+    pairs = ops.with_patterns(seqs, patterns)
     fold = pairs.select("pattern_id", "seq_id", native.best_score(F.col("p"), F.col("seq")).alias("score"))
     assert rows(fold.where("score > 0")) == rows(ops.align_hits(seqs, patterns, 1, per_pair=True).select("pattern_id", "seq_id", "score"))
 
