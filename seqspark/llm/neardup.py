@@ -129,13 +129,56 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def _forest(keys: list[int], pairs: list[list[int]]) -> list[tuple[int, int]]:
+    parent = list(range(len(keys)))
+    out = []
+    for i, j in pairs:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        while parent[j] != j:
+            parent[j] = j = parent[parent[j]]
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+            out.append((keys[i], keys[j]))
+    return out
+
+
+def _all_intersections(sets: list[np.ndarray], most: float = 1e11) -> np.ndarray | None:
+    """Sizes of all intersections by products of the membership matrix, a slab of shingles at a time; None where that takes too much."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    if n < 64 or n * n * float(shared.sum()) > most:
+        return None
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (lo, lo + 4096))
+        member = np.zeros((n, 4096), np.float32)
+        member[owner[a:b], column[a:b] - lo] = 1
+        out += member @ member.T
+    return out
+
+
 def similar_forest(keys: list[int], sets: list[np.ndarray], side: list[int] | None, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs whose sets reach the similarity; with sides, only pairs of different sides count.
 
     Sets are walked from small to large. Two sets can reach the similarity only
     if they share one of the rarest shingles of each, as many as it leaves room
-    to differ; pairs that are joined already are not compared.
+    to differ; pairs that are joined already are not compared. Where many sets
+    share few shingles, as copies do, all intersections are taken at once instead.
     """
+    both = _all_intersections(sets)
+    if both is not None:
+        size = np.array([len(s) for s in sets], np.float32)
+        near = np.triu(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-3, 1)
+        if side:
+            near &= np.array(side)[:, None] != np.array(side)[None, :]
+        return _forest(keys, np.argwhere(near).tolist())
     ranks: Counter = Counter()
     for s in sets:
         ranks.update(s.tolist())

@@ -114,6 +114,22 @@ def brute_keepers(rows, similarity=0.8):
     return sorted((i for _, i in best.values()), key=repr)
 
 
+def test_ways_of_checking_agree(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(3)
+    base = list(range(50))
+    sets = [np.array(sorted({*rng.sample(base, rng.randint(36, 50)), *(rng.randrange(1000, 9000) for _ in range(rng.randint(0, 4)))}), np.uint64) for _ in range(120)] + [np.zeros(0, np.uint64)] * 2
+    keys, side = list(range(len(sets))), [k % 2 for k in range(len(sets))]
+    for s in (None, side):
+        assert neardup._all_intersections(sets) is not None
+        fast = components(len(sets), neardup.similar_forest(keys, sets, s, 0.8))
+        with monkeypatch.context() as m:
+            m.setattr(neardup, "_all_intersections", lambda _: None)
+            slow = components(len(sets), neardup.similar_forest(keys, sets, s, 0.8))
+        assert fast == slow and len(set(fast)) > 1
+
+
 def test_near_copies_are_dropped(spark, awkward, nothing):
     rows = near_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("doc_id", "doc_id").repartition(3)
