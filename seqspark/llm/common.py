@@ -49,6 +49,20 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 22) -> DataFrame:
+    """df with a boolean __maybe, false only where the key (a hash, as long) is none of those in keys' first column.
+
+    A bit table of fixed size goes to every task: at most 2^(bits - 6) rows of
+    two numbers, however many keys there are. Rows that pass are for an exact
+    join; the others need not be shuffled.
+    """
+    own = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(1 << bits)).alias("__bit"))
+    words = own.groupBy(F.shiftright("__bit", 6).cast("int").alias("__w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__bit & 63 AS int))")).alias("__v"))
+    marked = df.withColumn("__bit", F.pmod(key, F.lit(1 << bits))).withColumn("__w", F.shiftright("__bit", 6).cast("int"))
+    met = marked.join(F.broadcast(words), "__w", "left").withColumn("__maybe", F.expr("coalesce(shiftright(__v, cast(__bit & 63 AS int)) & 1, 0) = 1"))
+    return met.drop("__bit", "__w", "__v")
+
+
 def remainder(modulus: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id written as text, modulo the fold count; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

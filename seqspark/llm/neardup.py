@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, release, write_table
+from .common import map_rows, maybe_in, release, write_table
 from .graph import connected_components
 from .simhash import BKTree, shingle_hashes
 
@@ -223,7 +223,8 @@ def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity:
     def make():
         return lambda keys, roots, own, blocks, ts: [(k, r, o, b, np.unique(shingle_hashes(t, width)).tobytes()) for k, r, o, b, t in zip(keys, roots, own, blocks, ts, strict=True)]
 
-    held = map_rows(texts.join(placed, "key").select("key", "root", "own", "blocks", "text"), "key long, root long, own int, blocks int, bag binary", make)
+    some = maybe_in(texts, F.col("key"), clusters.select("key")).where("__maybe")
+    held = map_rows(some.join(placed, "key").select("key", "root", "own", "blocks", "text"), "key long, root long, own int, blocks int, bag binary", make)
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"))))
     dealt = held.withColumn("p", pairs).select("key", "root", "own", "p.lo", "p.hi", "bag")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -263,9 +264,17 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block:
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies, the one of the smallest doc_id; all columns stay."""
     names = docs.columns
-    kept = write_table(near_groups(docs, width, similarity).where("keeper").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("rows").alias("__rows")), "kept")
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    met = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
-    once = met.where("__rows = 1").select(*names)
-    several = met.where("__rows > 1").dropDuplicates(["__id", "__key"]).select(*names)
-    return once.unionByName(several)
+    rows = write_table(near_groups(docs, width, similarity), "groups")
+    touched = rows.where(~F.col("keeper") | (F.col("rows") > 1))  # all others stay as they are
+    kept = touched.where("keeper").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    gone = touched.where("NOT keeper").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
+    own = maybe_in(docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), F.col("__own"), touched.select("key"))
+
+    def same(other: DataFrame) -> Column:
+        return F.col("doc_id").cast("long").eqNullSafe(other["__id"]) & (F.col("__own") == other["__key"])
+
+    away = own.where("NOT __maybe").select(*names)
+    near = own.where("__maybe").join(gone, same(gone), "left_anti")
+    several = near.join(kept, same(kept), "left_semi").withColumn("__id", F.col("doc_id").cast("long")).dropDuplicates(["__id", "__own"])
+    once = near.join(kept, same(kept), "left_anti")
+    return away.unionByName(once.select(*names)).unionByName(several.select(*names))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, release, write_table
+from .common import map_rows, maybe_in, release, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -243,10 +243,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     base = write_table(find_base(slim), "base")
     extra = term_spans(slim, sensitive_terms(slim, base))
     marks = base.where(F.size("base") > 0).select("key", F.col("base").alias("spans")).unionByName(extra.select("key", F.col("extra").alias("spans")))
-    marks = marks.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+    marks = write_table(marks.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")), "marks")
     names = docs.columns
-    keyed = docs.select(*names, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("__key"))
-    met = keyed.join(marks.withColumnRenamed("key", "__key").withColumnRenamed("spans", "__spans"), "__key", "left")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    keyed = maybe_in(keyed, F.col("__key"), marks.select("key"))
+    met = keyed.where("__maybe").join(marks.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
 
     @F.pandas_udf("string")
     def cleaned(texts, spans):
@@ -254,7 +255,14 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
         return pd.Series([redact(t, [(int(a), int(b), k) for k, a, b in (s.split(":") for s in ss)]) if t and ss is not None and len(ss) else t for t, ss in zip(texts, spans, strict=True)], dtype=object)
 
-    new = F.when(F.col("__spans").isNotNull(), cleaned("text", "__spans")).otherwise(F.col("text"))
-    out = met.withColumn("__text", new)
-    length = F.length("__text").cast(dict(docs.dtypes).get("n_chars", "long"))
-    return out.select(*[F.col("__text").alias("text") if c == "text" else length.alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    hit = F.col("__spans").isNotNull()
+    out = met.withColumn("__text", F.when(hit, cleaned("text", "__spans")).otherwise(F.col("text")))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("__text").alias(name)
+        if name == "n_chars":
+            return F.when(hit, F.length("__text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]).alias(name)
+        return F.col(f"`{name}`")
+
+    return keyed.where("NOT __maybe").select(*names).unionByName(out.select(*map(column, names)))
