@@ -130,10 +130,10 @@ class Hierarchy:
         return best, trust * float(min(rivals))
 
 
-def learn(docs: DataFrame, most_docs: int = 2000, scale: float = 40.0) -> Hierarchy | None:
+def learn(docs: DataFrame, most_docs: int = 1200, scale: float = 40.0) -> Hierarchy | None:
     """Fits the hierarchy on at most about most_docs labelled texts (whole), spread over languages by a hash of the text."""
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
     if not counts:
         return None
     each = max(20, most_docs // len(counts))
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     return map_rows(slim, "doc_id long, lang_pred string, score double", make, 2 << 20)
 
 
-def keep_identified(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
+def keep_identified(docs: DataFrame, most_docs: int = 1200) -> DataFrame:
     """docs without those whose language cannot be told (`und`); all columns stay."""
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(learn(docs.where(remainder(4) != 2), most_docs))
@@ -218,7 +218,7 @@ def keep_identified(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def identify(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, most_docs: int = 1200) -> DataFrame:
     """(doc_id, held_out, lang_pred, score); rows whose id's crc32 leaves 2 modulo 4 are never learned from."""
     model = learn(docs.where(remainder(4) != 2), most_docs)
     return predict(docs, model).withColumn("held_out", remainder(4) == 2)

@@ -50,7 +50,7 @@ SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
 HOT_SHARDS = 2048
 HOT_MANY = 1024
-WINDOWS = 300_000
+WINDOWS = 100_000
 LAST = (1 << 63) - 1
 _M = 0x9E3779B97F4A7C15
 _BLOCK = 48_000
