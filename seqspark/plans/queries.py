@@ -6,6 +6,8 @@ documents. The SQL fills the same matrix a pattern character at a time.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 from ..functions import native
 from ..functions.scoring import Scoring
 from ..operators import align as ops
-from ..sources.reports import report
-from ..sources.sequences import from_table, patterns_from
+from ..sources.reports import report, write_fasta
+from ..sources.sequences import from_table, patterns_from, read_fasta
 from ..streaming.align import align_stream, run_available
-from .tables import table
+from .tables import shared_dir, table
 
 K = 5
 CORE, HALO = 4096, 28
@@ -191,6 +193,15 @@ def sw_documents_traceback(spark: SparkSession, d: str) -> DataFrame:
     return ops.align(_documents(spark, d), _patterns(spark, d), K, core=DOC_CORE).select(*_ALIGNED)
 
 
+def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Whole encoded documents, written as FASTA and read back."""
+    seqs = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), native.dna(F.col("text")).alias("seq"))
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    write_fasta(seqs, path)
+    back = read_fasta(spark, path, "*.txt")
+    return back.select(F.col("header").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("length"), F.md5("seq").alias("digest"))
+
+
 def checkpoint_islands(spark: SparkSession, d: str) -> DataFrame:
     """For each user, the last event of the first run of events whose ids lie at most 40 apart: where a contiguous log ends."""
     e = table(spark, d, "events").select("user_id", "event_id")
@@ -215,7 +226,7 @@ QUERIES = {
     for f in (
         seq_length, seq_slice, seq_encode, alphabet_counts, validate_alphabet, chunk_blocks, chunk_halo, split_equal_pad, pattern_stripes, pair_cells, char_match_cells,
         sw_cells, sw_score, sw_score_native, sw_boundary_right, sw_boundary_bottom, sw_topk_cells, sw_topk_with_ties, sw_best_per_pattern, sw_traceback, sw_traceback_up_first,
-        sw_alignment_stats, report_text, sw_chunked_hits, sw_chunked_traceback, sw_documents, sw_documents_traceback, checkpoint_islands, stream_align_conversations,
+        sw_alignment_stats, report_text, sw_chunked_hits, sw_chunked_traceback, sw_documents, sw_documents_traceback, fasta_round_trip, checkpoint_islands, stream_align_conversations,
     )
 }
 
@@ -298,6 +309,7 @@ ORACLE_SQL = {
     "report_text": _walked(_LEFT_FIRST, K, _DB_PARTS) + "SELECT pattern_id, rank, CAST(score AS VARCHAR) || chr(10) || aligned_p || chr(10) || aligned_s AS report FROM al",
     "sw_chunked_hits": _matrix(_DB_TURNS) + _top(K) + _HITS,
     "sw_chunked_traceback": _walked(_LEFT_FIRST, 1, _DB_TURNS) + " SELECT * FROM al",
+    "fasta_round_trip": f"SELECT doc_id, length({_DNA}) AS length, md5({_DNA}) AS digest FROM documents WHERE {_DNA} <> ''",
     "checkpoint_islands": "SELECT user_id, max(event_id) AS resume, count(*) AS held FROM (SELECT user_id, event_id, sum(gap) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) island FROM (SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 40 THEN 1 ELSE 0 END gap FROM events)) WHERE island = 0 GROUP BY user_id",
     "stream_align_conversations": _matrix(_DB_CONVERSATIONS) + " SELECT seq_id, pattern_id, score, x_end, y_end FROM (SELECT seq_id, pattern_id, h score, CAST(i - 1 AS INT) x_end, CAST(j - 1 AS BIGINT) y_end, row_number() OVER (PARTITION BY seq_id, pattern_id ORDER BY h DESC, j, i) n FROM w WHERE h > 0) WHERE n = 1",
 }

@@ -1,4 +1,4 @@
-"""Writers of alignments: Parquet, and the three-line text report."""
+"""Writers: the three-line text report of alignments, and FASTA."""
 
 from __future__ import annotations
 
@@ -23,3 +23,10 @@ def write_report(alignments: DataFrame, path: str) -> None:
 def write_by_rank(alignments: DataFrame, path: str) -> None:
     """Labelled text files, a folder for each sequence and rank."""
     alignments.select("seq_id", "rank", labelled_report().alias("value")).write.partitionBy("seq_id", "rank").mode("overwrite").text(path)
+
+
+def write_fasta(seqs: DataFrame, path: str, header: str = "seq_id", width: int = 80) -> None:
+    """Sequences as FASTA text, lines of `width` characters; a header is one line. Nulls count as empty."""
+    lines = F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})", "$1\n")
+    head = F.translate(F.coalesce(F.col(header).cast("string"), F.lit("")), "\r\n", "  ")
+    seqs.select(F.concat(F.lit(">"), head, F.lit("\n"), F.rtrim(lines)).alias("value")).write.mode("overwrite").text(path)

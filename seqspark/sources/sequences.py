@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+def _whole(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -19,27 +19,29 @@ def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, glob: str | None = "*.fna", concat: bool = False, upper: bool = False) -> DataFrame:
     """(seq_id, header, seq): a row per record, or per file with concat.
 
-    Records begin at lines that start with '>'. A file without such a line has
-    its header in its first line. Line ends are dropped; empty files and
-    records give no row. One file is read whole, so a record is bounded by memory.
+    Records are cut by the reader itself at lines that start with '>', so large
+    files are split over tasks. A file without such a line has its header in
+    its first line. seq_id is the file's name and the header's first word (the
+    file's name with concat). Line ends are dropped; empty files and records
+    give no row.
     """
-    text = _lines(spark, path, glob)
-    marked = text.where(F.col("value").rlike(r"(?m)^>"))
-    plain = text.where(~F.col("value").rlike(r"(?m)^>"))
-    records = marked.select("file", F.posexplode(F.split(F.regexp_replace("value", r"(?m)^>", "\u0001"), "\u0001")).alias("n", "record")).where("n > 0")
-    records = records.unionByName(plain.select("file", F.lit(1).alias("n"), F.col("value").alias("record")))
+    reader = spark.read.option("lineSep", "\n>")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    raw = reader.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace(F.translate("value", "\r", ""), "^>", "").alias("record"))
     header = F.trim(F.element_at(F.split("record", "\n", 2), 1))
     body = F.regexp_replace(F.coalesce(F.get(F.split("record", "\n", 2), F.lit(1)), F.lit("")), r"\s", "")
-    seqs = records.select("file", "n", header.alias("header"), (F.upper(body) if upper else body).alias("seq")).where("seq <> ''")
+    seqs = raw.select("file", "block", "n", header.alias("header"), (F.upper(body) if upper else body).alias("seq")).where("seq <> ''")
     if concat:
-        parts = seqs.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("n", "header", "seq"))).alias("r"))
+        parts = seqs.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("block", "n", "header", "seq"))).alias("r"))
         return parts.select(F.col("file").alias("seq_id"), F.get("r", F.lit(0))["header"].alias("header"), F.array_join(F.transform("r", lambda x: x["seq"]), "").alias("seq"))
-    return seqs.select(F.concat_ws("#", "file", F.col("n").cast("string")).alias("seq_id"), "header", "seq")
+    name = F.split("header", r"\s", 2)[0]
+    return seqs.select(F.concat_ws("#", "file", name).alias("seq_id"), "header", "seq")
 
 
 def read_flat(spark: SparkSession, path: str, glob: str | None = "*.txt") -> DataFrame:
     """(seq_id, header, seq): one sequence in each file, without white space; empty files give no row."""
-    text = _lines(spark, path, glob)
+    text = _whole(spark, path, glob)
     return text.select(F.col("file").alias("seq_id"), F.lit(None).cast("string").alias("header"), F.regexp_replace("value", r"\s", "").alias("seq")).where("seq <> ''")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.operators.align import align
-from seqspark.sources.reports import report, write_by_rank, write_report
+from seqspark.sources.reports import report, write_by_rank, write_fasta, write_report
 from seqspark.sources.sequences import AlignQuery, from_table, read_fasta, read_flat
 
 
@@ -22,7 +22,7 @@ def folder(tmp_path):
 
 def test_fasta(spark, folder):
     got = {r.seq_id: (r.header, r.seq) for r in read_fasta(spark, str(folder)).collect()}
-    assert got == {"a.fna#1": ("one x", "ACGTAC"), "a.fna#2": ("two", "GGTT"), "b.fna#1": ("header without mark", "acgtac")}
+    assert got == {"a.fna#one": ("one x", "ACGTAC"), "a.fna#two": ("two", "GGTT"), "b.fna#header": ("header without mark", "acgtac")}
     joined = {r.seq_id: r.seq for r in read_fasta(spark, str(folder), concat=True, upper=True).collect()}
     assert joined == {"a.fna": "ACGTACGGTT", "b.fna": "ACGTAC"}
 
@@ -46,3 +46,14 @@ def test_query_file_and_reports(spark, folder, tmp_path):
     assert spark.read.text(str(tmp_path / "ranks")).count() == 3
     with pytest.raises(ValueError):
         AlignQuery("x", (), 0)
+
+
+def test_fasta_round_trip(spark, tmp_path):
+    seqs = spark.createDataFrame([("a", "ACGT" * 50), ("b c", "A"), ("d", ""), ("e", None), ("f", "C" * 160)], "seq_id string, seq string")
+    write_fasta(seqs, str(tmp_path / "out"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64b")  # records over many splits
+    try:
+        got = {r.header: r.seq for r in read_fasta(spark, str(tmp_path / "out"), "*.txt").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {"a": "ACGT" * 50, "b c": "A", "f": "C" * 160}
