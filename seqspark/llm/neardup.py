@@ -255,9 +255,10 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block:
     links = checked_links(keyed.select("key", "text"), clusters, width, similarity, block)
     groups = connected_components(links).withColumnRenamed("node", "key")
     rows = marks.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = write_table(rows, "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))
-    met = rows.join(best, "root")
+    met = rows.join(write_table(best, "best"), "root")  # two plain exchanges, so a hot group can be split
     return met.select("doc_id", "key", "rows", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("keeper"))
 
 

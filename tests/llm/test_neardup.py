@@ -145,3 +145,18 @@ def test_near_copies_are_dropped(spark, awkward, nothing):
 def test_bands_let_pairs_through():
     width, bands, radius = neardup.plan_bands(1_000_000, 0.8)
     assert width >= 16 and 1 - (1 - 0.8485**width) ** bands > 0.98 and 19 < radius < 40
+
+
+def test_bit_table_lets_all_keys_through(spark):
+    from pyspark.sql import functions as F
+
+    from seqspark.llm.common import maybe_in
+
+    df = spark.range(2000).select(F.xxhash64("id").alias("k"), F.when(F.col("id") > 5, 1).alias("text"))
+    keys = df.limit(300).select("k").union(spark.createDataFrame([(None,)], "k long"))
+    for bits in (6, 12, 22):
+        out = maybe_in(df, F.col("k"), keys, bits)
+        assert out.columns == ["k", "text", "__maybe"] and out.count() == 2000
+        assert out.join(keys, "k").where("NOT __maybe").count() == 0
+    assert maybe_in(df, F.col("k"), keys, 22).where("__maybe").count() < 320
+    assert maybe_in(df, F.col("k"), keys.limit(0), 12).where("__maybe").count() == 0
