@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +70,14 @@ def held(key: str, make: Callable[[], object]) -> object:
 def release() -> None:
     """Lets go of what another operator's tasks have left in this process."""
     _held.clear()
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[tuple]]], slice_bytes: int = 8 << 20, keeps: bool = False) -> DataFrame:
@@ -95,5 +105,6 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[..., list[t
                 if rows:
                     columns = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, out, strict=True)], schema=out)
+        trim()
 
     return df.mapInArrow(run, schema)

@@ -60,7 +60,7 @@ def plan_bands(texts: int, similarity: float) -> tuple[int, int, int]:
     """(bits of a band, bands, radius over 128 bits) for so many texts at a similarity of shingle sets."""
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
-    width = min(28, max(8, math.ceil(math.log2(max(texts, 1) / 16 + 1))))
+    width = min(28, max(14, math.ceil(math.log2(max(texts, 1) / 16 + 1))))
     bands = math.ceil(math.log(MISS) / math.log(1 - (1 - p) ** width))
     return width, bands, math.ceil(128 * p + 3.2 * math.sqrt(128 * p * (1 - p)))
 
@@ -129,17 +129,19 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _forest(keys: list[int], pairs: list[list[int]]) -> list[tuple[int, int]]:
-    parent = list(range(len(keys)))
-    out = []
-    for i, j in pairs:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        while parent[j] != j:
-            parent[j] = j = parent[parent[j]]
-        if i != j:
-            parent[max(i, j)] = min(i, j)
-            out.append((keys[i], keys[j]))
+def _forest(keys: list[int], near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links, breadth first."""
+    out, unseen = [], np.ones(len(keys), bool)
+    for start in range(len(keys)):
+        if not unseen[start]:
+            continue
+        unseen[start], todo = False, [start]
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(near[i] & unseen).tolist()
+            unseen[found] = False
+            out += [(keys[i], keys[j]) for j in found]
+            todo += found
     return out
 
 
@@ -156,9 +158,9 @@ def _all_intersections(sets: list[np.ndarray], most: float = 1e11) -> np.ndarray
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     out = np.zeros((n, n), np.float32)
-    for lo in range(0, int(shared.sum()), 4096):
-        a, b = np.searchsorted(column, (lo, lo + 4096))
-        member = np.zeros((n, 4096), np.float32)
+    for lo in range(0, int(shared.sum()), 1024):
+        a, b = np.searchsorted(column, (lo, lo + 1024))
+        member = np.zeros((n, 1024), np.float32)
         member[owner[a:b], column[a:b] - lo] = 1
         out += member @ member.T
     return out
@@ -175,10 +177,10 @@ def similar_forest(keys: list[int], sets: list[np.ndarray], side: list[int] | No
     both = _all_intersections(sets)
     if both is not None:
         size = np.array([len(s) for s in sets], np.float32)
-        near = np.triu(both >= similarity * (size[:, None] + size[None, :] - both) - 1e-3, 1)
+        near = both * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-3
         if side:
             near &= np.array(side)[:, None] != np.array(side)[None, :]
-        return _forest(keys, np.argwhere(near).tolist())
+        return _forest(keys, near)
     ranks: Counter = Counter()
     for s in sets:
         ranks.update(s.tolist())
@@ -216,7 +218,10 @@ def similar_forest(keys: list[int], sets: list[np.ndarray], side: list[int] | No
 
 
 def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
-    """(u, v): spanning forests of the similar pairs of each cluster (key, root), blocks of a cluster against each other."""
+    """(u, v): spanning forests of the similar pairs of each cluster (key, root, first), blocks of a cluster against each other.
+
+    Of copies only the text of the row `first` is read.
+    """
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
 
@@ -224,7 +229,9 @@ def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity:
         return lambda keys, roots, own, blocks, ts: [(k, r, o, b, np.unique(shingle_hashes(t, width)).tobytes()) for k, r, o, b, t in zip(keys, roots, own, blocks, ts, strict=True)]
 
     some = maybe_in(texts, F.col("key"), clusters.select("key")).where("__maybe")
-    held = map_rows(some.join(placed, "key").select("key", "root", "own", "blocks", "text"), "key long, root long, own int, blocks int, bag binary", make)
+    placed = placed.withColumnRenamed("key", "__key")
+    met = some.join(placed, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    held = map_rows(met.select("key", "root", "own", "blocks", "text"), "key long, root long, own int, blocks int, bag binary", make)
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"))))
     dealt = held.withColumn("p", pairs).select("key", "root", "own", "p.lo", "p.hi", "bag")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -250,9 +257,10 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block:
         return lambda ids, keys, ts: [(i, k, wide_fingerprint(np.unique(shingle_hashes(t, width))).to_bytes(WORDS // 8, "little")) for i, k, t in zip(ids, keys, ts, strict=True)]
 
     marks = write_table(map_rows(keyed, "doc_id long, key long, fp binary", make), "marks")
-    distinct = marks.groupBy("key").agg(F.first("fp").alias("fp"))
+    distinct = marks.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"))
     clusters = connected_components(candidates(distinct, similarity)).withColumnRenamed("node", "key")
-    links = checked_links(keyed.select("key", "text"), clusters, width, similarity, block)
+    clusters = write_table(clusters.join(distinct.select("key", "first"), "key"), "clusters")
+    links = checked_links(keyed, clusters, width, similarity, block)
     groups = connected_components(links).withColumnRenamed("node", "key")
     rows = marks.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rows = write_table(rows, "rows")

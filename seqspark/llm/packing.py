@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bound_batches, held, release, write_table
+from .common import bound_batches, held, release, trim, write_table
 
 WINDOW = 4096
 GRANULE = 64
@@ -207,6 +207,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, max_queues: int) -> DataFr
                     starts.append(at.get(q, 0))
                     at[q] = starts[-1] + count
                 yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), batch.column(0), pa.array(ids, pa.binary())], names=["part", "queue", "start", "n", "doc_id", "ids"])
+        trim()
 
     return write_table(slim.mapInArrow(run, "part int, queue string, start long, n long, doc_id long, ids binary"), "tokens")
 
