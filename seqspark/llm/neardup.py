@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, maybe_in, release, write_table
@@ -228,7 +228,7 @@ def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity:
     def make():
         return lambda keys, roots, own, blocks, ts: [(k, r, o, b, np.unique(shingle_hashes(t, width)).tobytes()) for k, r, o, b, t in zip(keys, roots, own, blocks, ts, strict=True)]
 
-    some = maybe_in(texts, F.col("key"), clusters.select("key")).where("__maybe")
+    some = maybe_in(texts, F.xxhash64("doc_id", "key"), clusters.select(F.xxhash64("first", "key"))).where("__maybe")
     placed = placed.withColumnRenamed("key", "__key")
     met = some.join(placed, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("first")))
     held = map_rows(met.select("key", "root", "own", "blocks", "text"), "key long, root long, own int, blocks int, bag binary", make)
@@ -274,16 +274,16 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     """docs with one document of each group of near copies, the one of the smallest doc_id; all columns stay."""
     names = docs.columns
     rows = write_table(near_groups(docs, width, similarity), "groups")
-    touched = rows.where(~F.col("keeper") | (F.col("rows") > 1))  # all others stay as they are
-    kept = touched.where("keeper").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-    gone = touched.where("NOT keeper").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-    own = maybe_in(docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), F.col("__own"), touched.select("key"))
-
-    def same(other: DataFrame) -> Column:
-        return F.col("doc_id").cast("long").eqNullSafe(other["__id"]) & (F.col("__own") == other["__key"])
-
-    away = own.where("NOT __maybe").select(*names)
-    near = own.where("__maybe").join(gone, same(gone), "left_anti")
-    several = near.join(kept, same(kept), "left_semi").withColumn("__id", F.col("doc_id").cast("long")).dropDuplicates(["__id", "__own"])
-    once = near.join(kept, same(kept), "left_anti")
-    return away.unionByName(once.select(*names)).unionByName(several.select(*names))
+    named = rows.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "rows", "keeper")
+    other = named.where("NOT keeper OR rows > 1")  # all else stays as it is
+    several = named.where("keeper AND rows > 1")
+    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+    def met(keys: DataFrame, how: str) -> DataFrame:
+        """The rows that the keys' bit table lets through, joined with the keys."""
+        near = maybe_in(own, F.col("__own"), keys.select("__key")).where("__maybe")
+        return near.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), how)
+
+    away = maybe_in(own, F.col("__own"), other.select("__key")).where("NOT __maybe")
+    once = met(several, "inner").dropDuplicates(["__id", "__key"])
+    return away.select(*names).unionByName(met(other, "left_anti").select(*names)).unionByName(once.select(*names))

@@ -249,20 +249,16 @@ def sanitise(docs: DataFrame) -> DataFrame:
     keyed = maybe_in(keyed, F.col("__key"), marks.select("key"))
     met = keyed.where("__maybe").join(marks.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
 
-    @F.pandas_udf("string")
-    def cleaned(texts, spans):
-        import pandas as pd
-
-        return pd.Series([redact(t, [(int(a), int(b), k) for k, a, b in (s.split(":") for s in ss)]) if t and ss is not None and len(ss) else t for t, ss in zip(texts, spans, strict=True)], dtype=object)
-
-    hit = F.col("__spans").isNotNull()
-    out = met.withColumn("__text", F.when(hit, cleaned("text", "__spans")).otherwise(F.col("text")))
-
-    def column(name: str) -> Column:
-        if name == "text":
-            return F.col("__text").alias(name)
-        if name == "n_chars":
-            return F.when(hit, F.length("__text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]).alias(name)
-        return F.col(f"`{name}`")
-
-    return keyed.where("NOT __maybe").select(*names).unionByName(out.select(*map(column, names)))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, spans = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1).to_pylist()
+            texts = [redact(t, [(int(a), int(b), k) for k, a, b in (s.split(":") for s in ss)]) if t and ss else t for t, ss in zip(batch.column(at).to_pylist(), spans, strict=True)]
+            columns = [pa.array(texts, f.type) if k == at else batch.column(k) for k, f in enumerate(batch.schema)]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    wide = met.select(*names, "__spans")
+    out = wide.mapInArrow(clean, wide.schema)
+    if "n_chars" in names:
+        kind = dict(docs.dtypes)["n_chars"]
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return keyed.where("NOT __maybe").select(*names).unionByName(out.select(*names))
