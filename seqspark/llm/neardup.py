@@ -220,7 +220,8 @@ def similar_forest(keys: list[int], sets: list[np.ndarray], side: list[int] | No
 def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
     """(u, v): spanning forests of the similar pairs of each cluster (key, root, first), blocks of a cluster against each other.
 
-    Of copies only the text of the row `first` is read.
+    Of copies only the text of the row `first` is read. Clusters grow with the
+    corpus, so they are merged with the texts, never broadcast.
     """
     sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     placed = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
@@ -230,7 +231,7 @@ def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity:
 
     some = maybe_in(texts, F.xxhash64("doc_id", "key"), clusters.select(F.xxhash64("first", "key"))).where("__maybe")
     placed = placed.withColumnRenamed("key", "__key")
-    met = some.join(placed, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    met = some.join(placed.hint("merge"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("first")))
     held = map_rows(met.select("key", "root", "own", "blocks", "text"), "key long, root long, own int, blocks int, bag binary", make)
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"))))
     dealt = held.withColumn("p", pairs).select("key", "root", "own", "p.lo", "p.hi", "bag")
@@ -280,9 +281,9 @@ def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -
     own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
 
     def met(keys: DataFrame, how: str) -> DataFrame:
-        """The rows that the keys' bit table lets through, joined with the keys."""
+        """The rows that the keys' bit table lets through, merged with the keys, which grow with the corpus."""
         near = maybe_in(own, F.col("__own"), keys.select("__key")).where("__maybe")
-        return near.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), how)
+        return near.join(keys.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), how)
 
     away = maybe_in(own, F.col("__own"), other.select("__key")).where("NOT __maybe")
     once = met(several, "inner").dropDuplicates(["__id", "__key"])

@@ -247,7 +247,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     names = docs.columns
     keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     keyed = maybe_in(keyed, F.col("__key"), marks.select("key"))
-    met = keyed.where("__maybe").join(marks.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), "__key", "left")
+    met = keyed.where("__maybe").join(marks.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).hint("merge"), "__key", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
