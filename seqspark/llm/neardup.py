@@ -5,9 +5,13 @@ that agree in a band of bits, and its BK-tree follows only the edges within the
 radius that the similarity implies for 128 of the bits. As many bands are drawn
 as it takes to let a pair at the very threshold through with the stated chance;
 their width grows with the logarithm of the number of texts, so shards stay
-small. A shard gives a spanning forest of its candidates, and the components of
-those are clusters that no similar pair leaves. An exact check follows inside
-each cluster: an inverted index over the rarest shingles of every text finds
+small. The bands alone would let some pairs go, so all others are found by an
+exact join beside them: with shingles in the order of their hashes, two similar
+texts share a known number of their first ones, and of those that other texts
+hold too, each has one of its rarest in common with the other. Both ways give
+forests of candidates, and the components of those are clusters that no similar
+pair leaves, whatever the table's size. An exact check follows inside each
+cluster: an inverted index over the rarest shingles of every text finds
 the pairs whose shingle sets reach the similarity. Clusters above a block's size
 are checked block against block, and every task gives a spanning forest, so no
 group is gathered whole and no list of all pairs is made.
@@ -27,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import map_rows, maybe_in, release, write_table
@@ -35,6 +40,8 @@ from .simhash import BKTree, shingle_hashes
 
 WORDS = 256
 MISS = 0.01
+#: Shingles of a text that the exact join takes beyond those that may differ, as a share of all: more are a sharper filter and a larger shuffle.
+SPARE = 0.1
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -129,6 +136,93 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long")
 
 
+def leading(n: int, similarity: float) -> tuple[int, int]:
+    """(p, c) for a set of n: any set of this size or more that is similar shares c of the first p, in any common order of all elements."""
+    alike = max(1, math.ceil(similarity * n - 1e-9))
+    c = min(alike, math.ceil(SPARE * n))
+    return n - alike + c, c
+
+
+def lead(hashes: np.ndarray, similarity: float) -> tuple[int, int, bytes]:
+    """(n, least, first hashes) of a text's set: a similar text shares `least` of the first ones; the empty set counts as one of a zero."""
+    hashes = hashes if len(hashes) else np.zeros(1, np.uint64)
+    n = len(hashes)
+    least = leading(max(1, math.ceil(similarity * n - 1e-9)), similarity)[1]  # that of the smallest partner
+    return n, least, hashes[: leading(n, similarity)[0]].tobytes()
+
+
+def _shared(marks: DataFrame) -> DataFrame:
+    """(key, shingle, held): the leading shingles that at least two different texts lead with, and how many do."""
+    total = marks.agg(F.sum(F.length("lead") / 8)).first()[0] or 0
+    buckets = 1 << max(10, math.ceil(math.log2(total / 200_000 + 1)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        seen: set[int] = set()  # spares most copies; the rest fold below
+        for batch in batches:
+            keys, leads = [], []
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    leads.append(raw)
+            if len(seen) > 500_000:
+                seen.clear()
+            if not keys:
+                continue
+            hashes = np.frombuffer(b"".join(leads), np.uint64)
+            owner = np.repeat(np.array(keys, np.int64), [len(x) // 8 for x in leads])
+            bucket = (hashes & np.uint64(buckets - 1)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            hashes, owner, bucket = hashes[order], owner[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=buckets)).tolist()
+            parts = list(zip(cuts, cuts[1:], strict=False))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([hashes[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in parts], pa.binary())], names=["bucket", "hashes", "owners"])
+
+    def met(hashes: list[bytes], owners: list[bytes]) -> pa.RecordBatch:
+        h, k = np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(owners), np.int64)
+        order = np.lexsort((k, h))
+        h, k = h[order], k[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+        h, k = h[once], k[once]
+        _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+        n = counts[which]
+        return pa.RecordBatch.from_arrays([pa.array(k[n > 1]), pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "shingle", "held"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, hashes, owners = None, [], []
+        for batch in batches:
+            for b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    if hashes:
+                        yield met(hashes, owners)
+                    bucket, hashes, owners = b, [], []
+                hashes.append(x)
+                owners.append(y)
+        if hashes:
+            yield met(hashes, owners)
+
+    dealt = marks.select("key", "lead").mapInArrow(deal, "bucket int, hashes binary, owners binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "key long, shingle long, held long")
+
+
+def exact_candidates(marks: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): links that join all pairs of keys whose sets may reach the similarity, none left out.
+
+    Texts that share fewer of their leading shingles with any others than a
+    similar pair must are done with. The others are listed under their rarest,
+    as many as one of which a similar text must share. A list is chained by
+    size, so it gives no more links than rows, and a chain breaks only where
+    sizes are too far apart.
+    """
+    some = _shared(marks).groupBy("key").agg(F.collect_list(F.struct("held", "shingle")).alias("s")).join(distinct.select("key", "n", "least"), "key")
+    rare = some.where(F.size("s") >= F.col("least")).select("key", "n", F.explode(F.slice(F.sort_array("s"), 1, F.size("s") - F.col("least") + 1)).alias("x")).select("key", "n", "x.shingle")
+    before = W.partitionBy("shingle").orderBy("n", "key")
+    chained = rare.select("key", "n", F.lag("key").over(before).alias("v"), F.lag("n").over(before).alias("m"))
+    return chained.where(F.col("m") >= similarity * F.col("n") - 1e-9).select(F.col("key").alias("u"), "v").distinct()
+
+
 def _forest(keys: list[int], near: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of a symmetric matrix of links, breadth first."""
     out, unseen = [], np.ones(len(keys), bool)
@@ -255,11 +349,16 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block:
     keyed = slim.select("doc_id", F.xxhash64("text").alias("key"), "text")
 
     def make():
-        return lambda ids, keys, ts: [(i, k, wide_fingerprint(np.unique(shingle_hashes(t, width))).to_bytes(WORDS // 8, "little")) for i, k, t in zip(ids, keys, ts, strict=True)]
+        def f(ids, keys, ts):
+            sets = [np.unique(shingle_hashes(t, width)) for t in ts]
+            return [(i, k, wide_fingerprint(s).to_bytes(WORDS // 8, "little"), *lead(s, similarity)) for i, k, s in zip(ids, keys, sets, strict=True)]
+
+        return f
 
-    marks = write_table(map_rows(keyed, "doc_id long, key long, fp binary", make), "marks")
-    distinct = marks.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"))
-    clusters = connected_components(candidates(distinct, similarity)).withColumnRenamed("node", "key")
+    marks = write_table(map_rows(keyed, "doc_id long, key long, fp binary, n long, least int, lead binary", make), "marks")
+    distinct = marks.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("least").alias("least"))
+    links = candidates(distinct, similarity).unionByName(exact_candidates(marks, distinct, similarity))
+    clusters = connected_components(links).withColumnRenamed("node", "key")
     clusters = write_table(clusters.join(distinct.select("key", "first"), "key"), "clusters")
     links = checked_links(keyed, clusters, width, similarity, block)
     groups = connected_components(links).withColumnRenamed("node", "key")

@@ -160,3 +160,30 @@ def test_bit_table_lets_all_keys_through(spark):
         assert out.join(keys, "k").where("NOT __maybe").count() == 0
     assert maybe_in(df, F.col("k"), keys, 22).where("__maybe").count() < 320
     assert maybe_in(df, F.col("k"), keys.limit(0), 12).where("__maybe").count() == 0
+
+
+def test_no_pair_is_let_go(spark):
+    """Short texts at the very threshold, where the bits of the fingerprints differ most, and long ones near it."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(400):
+        base = [f"{words(rng, 1)}{rng.randrange(1000)}" for _ in range(9 if k < 300 else 300)]
+        other = base[:8] if k < 300 else [*base[: rng.randint(240, 268)], *words(rng, 5).split()]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((r.doc_id for r in neardup.near_groups(docs).where("keeper").collect()), key=repr)
+    assert kept == brute_keepers(rows) and 400 < len(kept) < 800
+
+
+@given(st.integers(1, 60), st.integers(0, 14), st.integers(0, 14), st.integers(0, 9))
+@settings(max_examples=300, deadline=None)
+def test_similar_sets_share_leading_shingles(both, a, b, seed):
+    rng = random.Random(seed)
+    pool = rng.sample(range(10_000), both + a + b)
+    one, two = sorted(pool[: both + a]), sorted(pool[:both] + pool[both + a :])
+    if both >= 0.8 * len(pool) - 1e-9:
+        import numpy as np
+
+        leads = [(neardup.lead(np.array(x, np.uint64), 0.8)) for x in (one, two)]
+        common = set(np.frombuffer(leads[0][2], np.uint64)) & set(np.frombuffer(leads[1][2], np.uint64))
+        assert len(common) >= max(leads[0][1], leads[1][1])
