@@ -145,10 +145,11 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_en
         return Lexicon({}, frozenset(), (0.0, 0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))))
     p = F.lit(rate)
     total = F.col("n1") + F.col("n0")
+    # both bounds on the toxic share lie between 0 and 1 at any rate: an entry is beyond halfway to all, an exception's odds are at most twice the rate's
     part = F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / total / (1 - p))).otherwise(0.0)
     counted = _tally(rows, lambda t: {s for w in set(WORD.findall(fold(t))) for s in substrings(w)})
     chosen = (
-        counted.where((F.col("n1") >= 3) & (F.col("n1") / total > F.greatest(3 * p, (1 + p) / 2)))
+        counted.where((F.col("n1") >= 3) & (F.col("n1") / total > (1 + p) / 2))
         .withColumn("g", 2 * (F.col("n1") * F.log(F.col("n1") / total / p) + part))
         .where(F.col("g") > surprise)
         .withColumn("w", F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0)))
@@ -163,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_en
         a = holders.__dict__.setdefault("a", matcher.automaton())
         return {w for w in set(WORD.findall(fold(text))) if a and any(inner for _, (_, inner, _) in a.iter(w))}
 
-    innocent = _tally(rows, holders).where((F.col("n0") >= 3) & (F.col("n1") / total <= 2 * p)).orderBy(F.desc("n0"), "term").limit(most_entries).collect() if weights else []
+    innocent = _tally(rows, holders).where((F.col("n0") >= 3) & (F.col("n1") / total <= 2 * p / (1 + p))).orderBy(F.desc("n0"), "term").limit(most_entries).collect() if weights else []
     lexicon = Lexicon(weights, frozenset(r["term"] for r in innocent), (0, 0, 0))
 
     def make():

@@ -129,6 +129,20 @@ def test_toxicity_learns_words_folding_and_exceptions(spark):
     assert lexicon.evidence(a, "zagnard " + "an er " * 500)[0] < lexicon.evidence(a, "zagnard an er")[0]
 
 
+@pytest.mark.parametrize("share", [0.35, 0.5, 0.7])
+def test_toxicity_with_many_toxic_labels(spark, share):
+    rng = random.Random(7)
+    truth = {k: int(rng.random() < share) for k in range(600)}
+    rows = [(k, f"{words(rng, 30)} {rng.choice(['vorklump', 'vorklumps', 'zagnard']) if bad else ('vorklumping' if k % 12 == 0 else 'harmless')} {words(rng, 5)}") for k, bad in truth.items()]
+    rows += [(600 + k, f"{words(rng, 30)} zagnard {words(rng, 5)}") for k in range(4)]  # an entry stays one though some clean texts hold it
+    labels = spark.createDataFrame([(k, 1, truth.get(k, 0)) for k, _ in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.learn(docs, labels)
+    assert {"vorklump", "zagnard"} <= lexicon.weights.keys() and lexicon.exceptions == {"vorklumping"}
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out and r.doc_id < 600]
+    assert len(held) > 80 and all(r.predicted == truth[r.doc_id] for r in held)
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(1, None, None)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(awkward, labels).collect()
