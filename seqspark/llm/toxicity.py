@@ -3,9 +3,11 @@
 Texts are folded first: case, full-width forms, look-alike letters of other
 scripts, and digits or signs that stand for letters. Accents stay, as they tell
 words of accented languages apart. The lexicon is
-learned: whole words, and character strings inside words, whose document counts
+learned: whole words of any length, and character strings inside words (from 4
+characters, from 2 in scripts without spaces), whose document counts
 differ between toxic and clean labelled texts far beyond chance, weighed by
-their log-odds.
+their log-odds. Strings under 4 characters are judged on the texts that no longer
+entry explains, so that common short words beside an entry are none themselves.
 Exception phrases, words that hold an entry and yet are no likelier in toxic
 texts, cancel the matches inside them. A text's evidence is the sum over its
 words of the best weight in each, normalised by its length, and a logistic
@@ -41,6 +43,8 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("асеорхуіјѕԁһӏαοεικνρτυ", "aceopxyijsdhlaoeiknptu", strict=True))
 WORD = re.compile(r"[^\W_]+")
+#: Scripts written without spaces (Thai to Myanmar, Khmer, kana, Han): their words stand inside longer runs.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
 
 
 def folding() -> dict[int, str]:
@@ -60,7 +64,9 @@ def fold(text: str | None) -> str:
 def substrings(word: str) -> set[str]:
     """What can be an entry: strings inside the word, and the word itself behind a `=`."""
     inner = {word[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(word) - n + 1)}
-    return inner | {"=" + word} if SHORTEST <= len(word) <= 40 else inner
+    if not word.isascii():
+        inner |= {run[i : i + n] for run in UNSPACED.findall(word) for n in range(2, SHORTEST) for i in range(len(run) - n + 1)}
+    return inner | {"=" + word}
 
 
 @dataclass
@@ -143,29 +149,51 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_en
     if not n1 or not n0:
         rows.unpersist()
         return Lexicon({}, frozenset(), (0.0, 0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))))
-    p = F.lit(rate)
     total = F.col("n1") + F.col("n0")
-    # both bounds on the toxic share lie between 0 and 1 at any rate: an entry is beyond halfway to all, an exception's odds are at most twice the rate's
-    part = F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / total / (1 - p))).otherwise(0.0)
-    counted = _tally(rows, lambda t: {s for w in set(WORD.findall(fold(t))) for s in substrings(w)})
-    chosen = (
-        counted.where((F.col("n1") >= 3) & (F.col("n1") / total > (1 + p) / 2))
-        .withColumn("g", 2 * (F.col("n1") * F.log(F.col("n1") / total / p) + part))
-        .where(F.col("g") > surprise)
-        .withColumn("w", F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0)))
-        .orderBy(F.desc("g"), F.desc(F.length("term")), "term")
-        .limit(most_entries)
-        .collect()
-    )
-    weights: dict[str, float] = {r["term"]: r["w"] for r in chosen}
-    matcher = Lexicon(weights, frozenset(), (0, 0, 0))
-
-    def holders(text: str) -> set[str]:
-        a = holders.__dict__.setdefault("a", matcher.automaton())
-        return {w for w in set(WORD.findall(fold(text))) if a and any(inner for _, (_, inner, _) in a.iter(w))}
-
-    innocent = _tally(rows, holders).where((F.col("n0") >= 3) & (F.col("n1") / total <= 2 * p / (1 + p))).orderBy(F.desc("n0"), "term").limit(most_entries).collect() if weights else []
-    lexicon = Lexicon(weights, frozenset(r["term"] for r in innocent), (0, 0, 0))
+
+    def passing(counted: DataFrame, n1: int, n0: int) -> dict[str, float]:
+        """Weights of the strings with evidence enough. A share beyond halfway from the rate to all is one below 1 at any rate."""
+        if not n1 or not n0:
+            return {}
+        p = F.lit(n1 / (n1 + n0))
+        part = F.when(F.col("n0") > 0, F.col("n0") * F.log(F.col("n0") / total / (1 - p))).otherwise(0.0)
+        chosen = (
+            counted.where((F.col("n1") >= 3) & (F.col("n1") / total > (1 + p) / 2))
+            .withColumn("g", 2 * (F.col("n1") * F.log(F.col("n1") / total / p) + part))
+            .where(F.col("g") > surprise)
+            .withColumn("w", F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0)))
+            .orderBy(F.desc("g"), F.desc(F.length("term")), "term")
+            .limit(most_entries)
+            .collect()
+        )
+        return {r["term"]: r["w"] for r in chosen}
+
+    def with_exceptions(weights: dict[str, float]) -> Lexicon:
+        """An exception's odds to be toxic are at most twice the rate's."""
+        matcher = Lexicon(weights, frozenset(), (0, 0, 0))
+
+        def holders(text: str) -> set[str]:
+            a = holders.__dict__.setdefault("a", matcher.automaton())
+            return {w for w in set(WORD.findall(fold(text))) if a and any(inner for _, (_, inner, _) in a.iter(w))}
+
+        innocent = _tally(rows, holders).where((F.col("n0") >= 3) & (F.col("n1") / total <= 2 * rate / (1 + rate))).orderBy(F.desc("n0"), "term").limit(most_entries).collect() if weights else []
+        return Lexicon(weights, frozenset(r["term"] for r in innocent), (0, 0, 0))
+
+    def strings(text: str, short: bool) -> set[str]:
+        return {s for w in set(WORD.findall(fold(text))) for s in substrings(w) if (len(s.lstrip("=")) < SHORTEST) == short}
+
+    first = with_exceptions(passing(_tally(rows, lambda t: strings(t, False)), n1, n0))
+
+    def unexplained(text: str) -> set[str]:
+        """Short strings of a text without longer entries, and "" for the text itself."""
+        a = unexplained.__dict__.setdefault("a", first.automaton())
+        return set() if first.evidence(a, text)[2] else strings(text, True) | {""}
+
+    counted = _tally(rows, unexplained).persist()
+    rest = counted.where("term = ''").first()
+    short = passing(counted.where("term != ''"), rest["n1"], rest["n0"]) if rest else {}
+    counted.unpersist()
+    lexicon = with_exceptions(first.weights | short) if short else first
 
     def make():
         a = lexicon.automaton()

@@ -143,6 +143,20 @@ def test_toxicity_with_many_toxic_labels(spark, share):
     assert len(held) > 80 and all(r.predicted == truth[r.doc_id] for r in held)
 
 
+def test_toxicity_learns_short_words(spark):
+    rng = random.Random(8)
+    han = lambda: ''.join(chr(rng.randrange(0x5000, 0x5300)) for _ in range(2))
+    truth = {k: int(k % 5 == 1) for k in range(900)}
+    rows = [(k, f"{words(rng, 30)} {rng.choice(['zug', 'qo', 'x', han() + '壊屑' + han(), han() + '壊悪屑' + han()]) if bad else rng.choice(['zugan', han() + '壊' + han(), 'an'])} {words(rng, 5)}") for k, bad in truth.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, bad) for k, bad in truth.items()], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out]
+    assert len(held) > 100 and all(r.predicted == truth[r.doc_id] for r in held)
+    lexicon = toxicity.learn(docs, labels)
+    assert {"=zug", "=qo", "=x", "壊屑", "壊悪屑"} <= lexicon.weights.keys() and "zug" not in lexicon.weights
+    assert lexicon.evidence(lexicon.automaton(), "昨日壊屑雨")[2] == 1
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(1, None, None)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(awkward, labels).collect()
