@@ -139,8 +139,8 @@ def _tally(rows: DataFrame, strings_of) -> DataFrame:
     return rows.select("text", "toxic").mapInArrow(run, "term string, n1 long, n0 long").groupBy("term").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_entries: int = 5_000, surprise: float = 30.0) -> Lexicon:
-    """Fits lexicon, exceptions and curve on about most_labels labelled documents at most, whole texts, copies once."""
+def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, surprise: float = 30.0) -> Lexicon:
+    """Fits lexicon, exceptions and curve on about most_labels labelled documents at most, whole texts, copies once; all strings that pass are kept, which those documents bound."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).dropna()
     rows = id_text(docs).join(sample(marked, most_labels), "doc_id").where(F.col("text").isNotNull()).groupBy(F.md5("text").alias("m")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").persist()
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -162,8 +162,6 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_en
             .withColumn("g", 2 * (F.col("n1") * F.log(F.col("n1") / total / p) + part))
             .where(F.col("g") > surprise)
             .withColumn("w", F.log((F.col("n1") + 0.5) / (n1 + 1.0)) - F.log((F.col("n0") + 0.5) / (n0 + 1.0)))
-            .orderBy(F.desc("g"), F.desc(F.length("term")), "term")
-            .limit(most_entries)
             .collect()
         )
         return {r["term"]: r["w"] for r in chosen}
@@ -176,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, most_en
             a = holders.__dict__.setdefault("a", matcher.automaton())
             return {w for w in set(WORD.findall(fold(text))) if a and any(inner for _, (_, inner, _) in a.iter(w))}
 
-        innocent = _tally(rows, holders).where((F.col("n0") >= 3) & (F.col("n1") / total <= 2 * rate / (1 + rate))).orderBy(F.desc("n0"), "term").limit(most_entries).collect() if weights else []
+        innocent = _tally(rows, holders).where((F.col("n0") >= 3) & (F.col("n1") / total <= 2 * rate / (1 + rate))).select("term").collect() if weights else []
         return Lexicon(weights, frozenset(r["term"] for r in innocent), (0, 0, 0))
 
     def strings(text: str, short: bool) -> set[str]:

@@ -157,6 +157,15 @@ def test_toxicity_learns_short_words(spark):
     assert lexicon.evidence(lexicon.automaton(), "昨日壊屑雨")[2] == 1
 
 
+def test_toxicity_keeps_all_entries_that_pass(spark):
+    rng = random.Random(10)
+    stems = ["".join(rng.choice("bcdfgjklmpqvwxyz") for _ in range(10)) for _ in range(300)]
+    rows = [(k, words(rng, 20) + (" " + " ".join(stems) if k % 5 == 1 else "")) for k in range(150)]
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 1)) for k in range(150)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert {x for s in stems for x in toxicity.substrings(s)} <= lexicon.weights.keys() and len(lexicon.weights) > 8000
+
+
 def test_toxicity_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12)] + [(1, None, None)], "doc_id long, quality int, toxic int")
     got = toxicity.toxicity(awkward, labels).collect()
