@@ -14,7 +14,10 @@ The last window is cut at powers of two, so nothing needs padding.
 A document's place in its queue is the tokens of its source in earlier
 partitions plus those before it in its own: the only figures that are gathered
 are one sum per (partition, source), and one row per source goes to the driver.
-Sources beyond max_queues share hashed queues, so that row count is bounded.
+Of more than max_queues sources, those with a weight and the largest by tokens
+keep queues of their own, and only the tail shares hashed queues (a quarter of
+max_queues), so the row count is bounded. Sources of one hashed queue lie end to
+end in each partition, and the queue has the sum of their shares.
 
 Edge cases: null text is empty and still has its end token; null sources are a
 queue of their own; empty tables give no pieces; repeated rows are packed each;
@@ -31,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -182,12 +185,10 @@ def word_ids(path: str) -> WordIds:
     return held(f"words {path}", lambda: WordIds(path))
 
 
-def tokenise(docs: DataFrame, path: str, end_id: int, max_queues: int) -> DataFrame:
-    """(part, queue, start, n, doc_id, ids): each document's ids with its place among its partition's tokens of its source."""
+def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
+    """(part, source, start, n, doc_id, ids): each document's ids with its place among its partition's tokens of its source."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
-    if docs.select(source).distinct().count() > max_queues:
-        source = F.concat(F.lit("\0hashed"), F.pmod(F.xxhash64(source), F.lit(max_queues)).cast("string"))
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("queue"), F.spark_partition_id().alias("part"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"), F.spark_partition_id().alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
@@ -206,10 +207,22 @@ def tokenise(docs: DataFrame, path: str, end_id: int, max_queues: int) -> DataFr
                 for q, count in zip(batch.column(2).to_pylist(), n, strict=True):
                     starts.append(at.get(q, 0))
                     at[q] = starts[-1] + count
-                yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), batch.column(0), pa.array(ids, pa.binary())], names=["part", "queue", "start", "n", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), batch.column(0), pa.array(ids, pa.binary())], names=["part", "source", "start", "n", "doc_id", "ids"])
         trim()
 
-    return write_table(slim.mapInArrow(run, "part int, queue string, start long, n long, doc_id long, ids binary"), "tokens")
+    return write_table(slim.mapInArrow(run, "part int, source string, start long, n long, doc_id long, ids binary"), "tokens")
+
+
+def queue_of(totals: DataFrame, weights: dict[str, float] | None, max_queues: int) -> Column:
+    """The queue of a source, by totals (source, n): its own where there are few, or it has a weight, or is among the largest; others are hashed."""
+    if totals.limit(max_queues + 1).count() <= max_queues:
+        return F.col("source")
+    own = {s for s, w in (weights or {}).items() if w > 0}
+    hashed = max(1, max_queues // 4)
+    rest = totals.where(~F.col("source").isin(sorted(own))) if own else totals
+    own |= {r.source for r in rest.orderBy(F.desc("n"), "source").limit(max(0, max_queues - hashed - len(own))).collect()}
+    tail = F.concat(F.lit("\0hashed"), F.pmod(F.xxhash64("source"), F.lit(hashed)).cast("string"))
+    return F.when(F.col("source").isin(sorted(own)), F.col("source")).otherwise(tail) if own else tail
 
 
 def shares(weights: dict[str, float], units: int) -> dict[str, int]:
@@ -346,14 +359,16 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | N
     """(doc_id, start, doc_tokens, sequence_id, offset, length, ids): every id of every document in exactly one piece; ids as little-endian 32-bit numbers."""
     path = path or tokenizer_path()
     bound_batches(docs.sparkSession)
-    tokens = tokenise(docs, path, end_id, max_queues)
-    sums = tokens.groupBy("part", "queue").agg(F.sum("n").alias("n"))
-    bases = sums.select("part", "queue", F.coalesce(F.sum("n").over(W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    totals = {r.queue: r.n for r in tokens.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
+    tokens = tokenise(docs, path, end_id)
+    sums = write_table(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "sums")
+    sums = sums.withColumn("queue", queue_of(sums.groupBy("source").agg(F.sum("n").alias("n")), weights, max_queues))
+    before = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("part", "source", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     plan = tokens.sparkSession.sparkContext.broadcast(schedule(totals, weights))
     bases = write_table(bases, "bases")  # a row for each task and source: small enough to send while there are few tasks
     small = bases.count() <= 100_000
-    placed = tokens.join(F.broadcast(bases) if small else bases, ["part", "queue"]).select("queue", (F.col("base") + F.col("start")).alias("at"), "n", "doc_id", "ids")
+    placed = tokens.join(F.broadcast(bases) if small else bases, ["part", "source"]).select("queue", (F.col("base") + F.col("start")).alias("at"), "n", "doc_id", "ids")
     schema = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, length long, ids binary"
     out = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")])
 

@@ -11,6 +11,8 @@ from tokenizers import Tokenizer
 
 from seqspark.llm import packing
 
+from .conftest import words
+
 
 def check(docs, pieces):
     tokenizer = Tokenizer.from_file(packing.tokenizer_path())
@@ -60,6 +62,21 @@ def test_empty_table_and_hashed_queues(spark, nothing, awkward):
     check(awkward, [r.asDict() for r in packing.pack(awkward, max_queues=2).collect()])
 
 
+def test_large_and_weighted_sources_keep_their_share_among_many(spark):
+    rng = random.Random(4)
+    rows = [(k, words(rng, 100), f"s{k % 40}") for k in range(400)] + [(1000 + k, words(rng, 100), "big") for k in range(200)] + [(900 + k, words(rng, 100), "mid") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    for weights, low, high in ((None, 0.25, 0.34), ({"big": 3, "mid": 1}, 0.68, 0.8)):
+        pieces = [r.asDict() for r in packing.pack(docs, weights, max_queues=8).collect()]
+        check(docs, pieces)
+        held = {}
+        for p in pieces:
+            big, all_of = held.get(p["sequence_id"], (0, 0))
+            held[p["sequence_id"]] = big + p["length"] * (p["doc_id"] >= 1000), all_of + p["length"]
+        for k in range(8 if weights is None else 1):
+            assert held[k][1] == packing.WINDOW and low < held[k][0] / held[k][1] < high, (weights, k, held[k])
+
+
 @given(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(0, 2_000_000), max_size=8), st.booleans())
 @settings(max_examples=60, deadline=None)
 def test_schedule_covers_every_token_once(totals, weighed):
