@@ -26,7 +26,11 @@ BATCH, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Bounds what goes to Python at once by bytes, where the session leaves the default: texts differ in length by orders of magnitude."""
+    """Bounds what goes to Python at once by bytes, where the session leaves the default: texts differ in length by orders of magnitude.
+
+    Spark reads this setting when a plan runs, after its caller has returned, so
+    it can be neither an option of one table nor put back; set it on the session to keep another.
+    """
     if spark.conf.get(BATCH) == BATCH_DEFAULT:
         spark.conf.set(BATCH, "8m")
 
@@ -36,6 +40,11 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text: the first half of its SHA-256; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame, bits: int = 22) -> DataFrame:
     """df with a boolean __maybe, false only where the key (a hash, as long) is none of those in keys' first column.
 

@@ -1,14 +1,22 @@
 """PII by information-theoretic sanitisation.
 
 Base spans (email, ip, card, phone) are found by pattern in every whole text;
-each distinct value is a protected entity. The corpus then tells how strongly a
-term reveals an entity: over all documents, P(entity | term) is the share of the
-term's documents that hold the entity near the term, and its information gain
-is log2 P(entity | term) / P(entity). A term that was seen with one entity in
-enough different contexts, and exceeds the disclosure thresholds, is sensitive
-and is a span wherever it stands. Copies of a passage are one context, so they
-are no evidence. In sanitised text base spans are removed behind their kind and
-terms are generalised to a common name.
+each distinct value is a protected entity, and so is the domain of each address.
+Opaque strings (16 characters or more of letters and digits without order, as
+keys and tokens are) are a protected class. The corpus then tells how strongly a
+term reveals them, over all documents:
+
+- share: P(entity | term), the part of the term's documents that hold the entity
+  within NEAR words of it, times c / (c + 1) for c different contexts, so that a
+  single sight is never proof;
+- gain: log2 of that over P(entity), in bits; and evidence, the gain times c.
+
+A term beyond all three disclosure thresholds is a span wherever it stands, of
+the kind `<kind>_term` of what it reveals. A word that reveals by the same figures
+that an opaque string follows it makes that string a span (`secret`). Near copies
+are one context: contexts are told apart by three minima over a text's word
+pairs, and count as different only if all three differ. In sanitised text spans
+are removed behind their kind.
 
 The counts cover all documents. What is sent to every task is a bit table of
 fixed size (2^20 bits); terms that pass it are settled exactly by joins.
@@ -22,6 +30,7 @@ take linear time; extra columns are ignored; empty tables give empty results.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -32,19 +41,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, maybe_in, release, write_table
+from .common import digest, map_rows, maybe_in, release, write_table
 
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
+SECRET = "secret"
+#: What spans are called, in the order of equal starts.
+ALL_KINDS = (*KINDS, SECRET, *(f"{k}_term" for k in (*KINDS, "domain")))
 BITS = 20
-NEAR = 6
+NEAR = 24
+REACH = 400
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WORD = re.compile(r"[^\W\d_]{3,}")
+WORD = re.compile(r"[^\W\d_]{2,}")
 DIGIT = re.compile(r"[0-9]")
+LETTER = re.compile(r"[A-Za-z]")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}")
+CUE = re.compile(r"([^\W\d_]{2,})[\"']?\s{0,4}[=:]{0,2}\s{0,4}[\"']?$")
+CUE_REACH = 80
+_ODD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
 def luhn(digits: str) -> bool:
@@ -82,41 +99,85 @@ def listed(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def entity(kind: str, value: str) -> str:
-    """A protected entity's digest: the value without case and spacing, by its kind."""
-    plain = value.lower() if kind == "email" else "".join(DIGIT.findall(value)) if kind != "ip" else value
-    return hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=12).hexdigest()
-
-
-def neighbours(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[str, str, int]]:
-    """(term, entity, context): the words near each entity of a text; the context is a hash of all of them, one for a text and entity."""
-    near: dict[str, list[str]] = {}
-    for a, b, kind in spans:
-        words = WORD.findall(text, max(0, a - 160), a)[-NEAR:] + WORD.findall(text, b, b + 160)[:NEAR]
-        near.setdefault(entity(kind, text[a:b]), []).extend(w.lower() for w in words)
-    return [(w, e, zlib.crc32(" ".join(words).encode())) for e, words in near.items() for w in set(words)]
+def _named(kind: str, plain: str) -> str:
+    return f"{kind}:" + hashlib.blake2b(plain.encode(), digest_size=16).hexdigest()
+
+
+def entities(kind: str, value: str) -> list[str]:
+    """The protected entities of a value: itself without case and spacing, as a digest behind its kind, and an address's domain."""
+    if kind == "email":
+        plain = value.lower()
+        return [_named(kind, plain), _named("domain", plain[plain.rindex("@") + 1 :])]
+    return [_named(kind, value if kind == "ip" else "".join(DIGIT.findall(value)))]
+
+
+def words_near(text: str, a: int, b: int) -> list[str]:
+    """Up to NEAR lower-case words on each side of a span; a word that the reach would cut is left out."""
+    lo, hi = max(0, a - REACH), min(len(text), b + REACH)
+    while lo and lo < a and text[lo - 1].isalpha():
+        lo += 1
+    while hi < len(text) and hi > b and text[hi].isalpha():
+        hi -= 1
+    return [w.lower() for w in WORD.findall(text[lo:a])[-NEAR:] + WORD.findall(text[b:hi])[:NEAR]]
+
+
+def contexts(text: str) -> list[int]:
+    """Three minima over hashes of a text's word pairs; near copies share at least one of them almost surely."""
+    words = [zlib.crc32(w.encode()) for w in WORD.findall(text.lower())] or [0]
+    h = np.array(words, np.uint64)
+    pairs = ((h[:-1] * np.uint64(31) + h[1:]) if len(h) > 1 else h) & np.uint64(0xFFFFFFFF)
+    out = []
+    for odd in _ODD:
+        x = (pairs ^ (pairs >> np.uint64(15))) * np.uint64(odd)
+        x = ((x & np.uint64(0xFFFFFFFF)) ^ ((x & np.uint64(0xFFFFFFFF)) >> np.uint64(13))) * np.uint64(odd)
+        out.append(int((x & np.uint64(0xFFFFFFFFFFFF)).min()))
+    return out
+
+
+def opaque(text: str, base: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
+    """(word before it or "", start, end) of the strings without order that no base span touches."""
+    out = []
+    for m in OPAQUE.finditer(text):
+        s = m[0]
+        if not DIGIT.search(s) or not LETTER.search(s) or any(a < m.end() and m.start() < b for a, b, _ in base):
+            continue
+        n = Counter(s)
+        if -sum(c / len(s) * math.log2(c / len(s)) for c in n.values()) < 2.75:
+            continue
+        before = text[max(0, m.start() - CUE_REACH) : m.start()]
+        cue = CUE.search(before)
+        whole = cue and (cue.start(1) > 0 or m.start() <= CUE_REACH)
+        out.append((cue[1].lower() if whole else "", m.start(), m.end()))
+    return out
 
 
 def key_of() -> Column:
-    """Identifies a row by what it holds; repeated rows share it."""
-    return F.xxhash64("doc_id", "text")
+    """Identifies a row by what it holds, in 128 bits; repeated rows share it."""
+    return digest(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.coalesce("text", F.lit(""))))
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, base, near): base spans as a list of kind:start:end, and what stands near them."""
+    """(key, doc_id, base, near, opaque, contexts): base spans as a list of kind:start:end, the words near each entity, and opaque strings with the word before."""
 
     def make():
         def f(keys, ids, texts):
             rows = []
             for key, i, t in zip(keys, ids, texts, strict=True):
                 spans = base_spans(t) if t else []
-                near = [{"term": w, "entity": e, "context": c} for w, e, c in neighbours(t, spans)] if spans else []
-                rows.append((key, i, [f"{k}:{a}:{b}" for a, b, k in spans], near))
+                near: dict[str, set[str]] = {}
+                for a, b, kind in spans:
+                    around = words_near(t, a, b)
+                    for e in entities(kind, t[a:b]):
+                        near.setdefault(e, set()).update(around)
+                odd = opaque(t, spans) if t else []
+                seen = [{"entity": e, "words": sorted(w)} for e, w in near.items()]
+                rows.append((key, i, [f"{k}:{a}:{b}" for a, b, k in spans], seen, [{"cue": c, "a": a, "b": b} for c, a, b in odd], contexts(t) if spans or odd else None))
             return rows
 
         return f
 
-    return map_rows(docs.select(key_of().alias("key"), "doc_id", "text"), "key long, doc_id long, base array<string>, near array<struct<term:string,entity:string,context:long>>", make)
+    schema = "key binary, doc_id long, base array<string>, near array<struct<entity:string,words:array<string>>>, opaque array<struct<cue:string,a:long,b:long>>, contexts array<long>"
+    return map_rows(docs.select(key_of().alias("key"), "doc_id", "text"), schema, make)
 
 
 def _bits(terms: DataFrame) -> np.ndarray | None:
@@ -147,7 +208,7 @@ def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(w for w in set(WORD.findall(text.lower())) if bits[zlib.crc32(w.encode()) & mask])
+                    counts.update(w for w in {w.lower() for w in set(WORD.findall(text))} if bits[zlib.crc32(w.encode()) & mask])
             if len(counts) > 500_000:
                 yield out()
         yield out()
@@ -155,63 +216,76 @@ def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def sensitive_terms(docs: DataFrame, base: DataFrame, least_contexts: int = 3, least_share: float = 0.5, least_gain: float = 3.0) -> DataFrame | None:
-    """(term, entity, gain): terms beyond the disclosure thresholds; None where no term has the contexts.
+def disclosing_terms(docs: DataFrame, base: DataFrame, least_share: float = 0.6, least_gain: float = 3.0, least_bits: float = 16.0) -> DataFrame | None:
+    """(term, kind, both, n, contexts, share, gain) of the terms beyond the thresholds; None where nothing was seen twice.
 
-    gain is log2 of P(entity | term) / P(entity) over all documents.
+    kind is that of the entity, or `secret` for a word that opaque strings follow.
     """
-    seen = base.where(F.size("near") > 0).select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.*")
-    pairs = seen.groupBy("term", "entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("both")).where(F.col("contexts") >= least_contexts)
+    c = [F.col("contexts")[k].alias(f"c{k}") for k in range(3)]
+    seen = base.where(F.size("near") > 0).select(F.explode("near").alias("x"), *c).select("x.entity", "x.words", "c0", "c1", "c2")
+    held = write_table(seen.groupBy("entity").agg(F.count("*").alias("held")).where("held > 1"), "held")  # what one row holds is seen in one context
+    near = seen.join(held, "entity").select(F.explode("words").alias("term"), "entity", "held", "c0", "c1", "c2")
+    odd = base.where(F.size("opaque") > 0)
+    cues = odd.select(F.explode(F.array_distinct(F.col("opaque.cue"))).alias("term"), F.lit(f"{SECRET}:").alias("entity"), F.lit(odd.count()).cast("long").alias("held"), *c).where("term != ''")
+    counted = near.unionByName(cues).groupBy("term", "entity", "held").agg(F.count("*").alias("both"), *[F.countDistinct(f"c{k}").alias(f"n{k}") for k in range(3)])
+    pairs = counted.withColumn("contexts", F.least("n0", "n1", "n2")).where("contexts > 1").select("term", "entity", "held", "both", "contexts")
     pairs = write_table(pairs, "pairs")
     table = _bits(pairs)
     if table is None:
         return None
-    counted = _document_counts(docs, table)
     total = docs.count()
-    entities = seen.groupBy("entity").agg(F.countDistinct("doc_id").alias("held"))
-    share = F.col("both") / F.greatest("n", "both")
-    gain = F.log2(share / (F.col("held") / total))
-    judged = pairs.join(counted, "term").join(entities, "entity").withColumn("gain", gain)
-    return write_table(judged.where((share >= least_share) & (F.col("gain") >= least_gain)).select("term", "entity", "gain"), "sensitive")
-
-
-def term_spans(docs: DataFrame, terms: DataFrame | None) -> DataFrame:
-    """(key, extra): the places of sensitive terms in each different row that has any, as kind:start:end."""
-    table = _bits(terms) if terms is not None else None
-    if table is None:
-        return docs.sparkSession.createDataFrame([], "key long, extra array<string>")
-    shipped = docs.sparkSession.sparkContext.broadcast(table)
-
-    def make():
-        bits, mask = shipped.value, (1 << BITS) - 1
-
-        def f(keys, texts):
-            rows = []
-            for key, t in zip(keys, texts, strict=True):
-                for m in WORD.finditer(t or ""):
-                    w = m[0].lower()
-                    if bits[zlib.crc32(w.encode()) & mask]:
-                        rows.append((key, w, m.start(), m.end()))
-            return rows
-
-        return f
-
-    places = map_rows(docs.select(key_of().alias("key"), "text"), "key long, term string, a long, b long", make).distinct()
-    kept = places.join(terms.select("term").distinct(), "term", "left_semi")
-    return kept.groupBy("key").agg(F.collect_list(F.format_string(f"{TERM}:%d:%d", "a", "b")).alias("extra"))
+    share = F.col("both") / F.greatest("n", "both") * F.col("contexts") / (F.col("contexts") + 1)
+    judged = pairs.join(_document_counts(docs, table), "term").withColumn("share", share).withColumn("gain", F.log2(F.col("share") * total / F.col("held")))
+    chosen = judged.where((F.col("share") >= least_share) & (F.col("gain") >= least_gain) & (F.col("gain") * F.col("contexts") >= least_bits))
+    return write_table(chosen.select("term", F.substring_index("entity", ":", 1).alias("kind"), "both", "n", "contexts", "share", "gain"), "disclosing")
+
+
+def method_spans(docs: DataFrame, base: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """(key, extra): the places of disclosing terms, and of opaque strings behind a word that tells of them, in each different row that has any, as kind:start:end."""
+    table = _bits(terms.where(F.col("kind") != SECRET)) if terms is not None else None
+    parts = []
+    if table is not None:
+        shipped = docs.sparkSession.sparkContext.broadcast(table)
+
+        def make():
+            bits, mask = shipped.value, (1 << BITS) - 1
+
+            def f(keys, texts):
+                rows = []
+                for key, t in zip(keys, texts, strict=True):
+                    for m in WORD.finditer(t or ""):
+                        w = m[0].lower()
+                        if bits[zlib.crc32(w.encode()) & mask]:
+                            rows.append((key, w, m.start(), m.end()))
+                return rows
+
+            return f
+
+        places = map_rows(docs.select(key_of().alias("key"), "text"), "key binary, term string, a long, b long", make).distinct()
+        # A term that reveals several entities is of the kind that it reveals most strongly.
+        kind = terms.where(F.col("kind") != SECRET).groupBy("term").agg(F.max_by("kind", F.struct("gain", "kind")).alias("kind"))
+        parts.append(places.join(kind, "term").select("key", F.concat("kind", F.lit("_term")).alias("kind"), "a", "b"))
+    if terms is not None:
+        cues = terms.where(F.col("kind") == SECRET).select(F.col("term").alias("cue"))
+        odd = base.where(F.size("opaque") > 0).select("key", F.explode("opaque").alias("x")).select("key", "x.*").distinct()
+        parts.append(odd.join(cues, "cue", "left_semi").select("key", F.lit(SECRET).alias("kind"), "a", "b"))
+    if not parts:
+        return docs.sparkSession.createDataFrame([], "key binary, extra array<string>")
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return found.groupBy("key").agg(F.collect_list(F.format_string("%s:%d:%d", "kind", "a", "b")).alias("extra"))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """(key, doc_id, base, extra): base spans and the method's spans of every row."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = write_table(find_base(slim), "base")
-    extra = term_spans(slim, sensitive_terms(slim, base))
-    return base.drop("near").join(extra, "key", "left").withColumn("extra", F.coalesce("extra", F.array().cast("array<string>")))
+    extra = method_spans(slim, base, disclosing_terms(slim, base))
+    return base.select("key", "doc_id", "base").join(extra, "key", "left").withColumn("extra", F.coalesce("extra", F.array().cast("array<string>")))
 
 
 def _in_order(base: Column, extra: Column) -> Column:
     """All spans by start, then kind as listed, then end, joined by commas."""
-    ranked = F.transform(F.concat(base, extra), lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("a"), F.array_position(F.lit([*KINDS, TERM]), F.split(s, ":")[0]).alias("k"), F.split(s, ":")[2].cast("long").alias("b"), s.alias("s")))
+    ranked = F.transform(F.concat(base, extra), lambda s: F.struct(F.split(s, ":")[1].cast("long").alias("a"), F.array_position(F.lit([*ALL_KINDS]), F.split(s, ":")[0]).alias("k"), F.split(s, ":")[2].cast("long").alias("b"), s.alias("s")))
     return F.array_join(F.transform(F.array_sort(ranked), lambda r: r["s"]), ",")
 
 
@@ -226,7 +300,7 @@ def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """Base spans become [KIND]; terms alone are generalised to [TERM]; a union of overlapping spans is replaced once, by its first kind."""
+    """Spans become [KIND]; a union of overlapping spans is replaced once, by its first kind."""
     out, at = [], 0
     for a, b, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
         if a >= at:
@@ -241,12 +315,13 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """docs with sanitised text; all columns stay, n_chars follows where there is one."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     base = write_table(find_base(slim), "base")
-    extra = term_spans(slim, sensitive_terms(slim, base))
+    extra = method_spans(slim, base, disclosing_terms(slim, base))
     marks = base.where(F.size("base") > 0).select("key", F.col("base").alias("spans")).unionByName(extra.select("key", F.col("extra").alias("spans")))
     marks = write_table(marks.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans")), "marks")
     names = docs.columns
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    keyed = maybe_in(keyed, F.col("__key"), marks.select("key"))
+    at_key = key_of()
+    keyed = docs.withColumn("__key", at_key)
+    keyed = maybe_in(keyed, F.xxhash64("__key"), marks.select(F.xxhash64("key")))
     met = keyed.where("__maybe").join(marks.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")).hint("merge"), "__key", "left")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
