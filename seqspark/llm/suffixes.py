@@ -11,15 +11,20 @@ windows have equal anchors. Texts travel in shards of a few megabytes:
 4. a bucket sorts the suffixes of its stretches to the span's depth by
    deep-shallow sorting: multikey quicksort over machine words to a shallow
    depth, then a blind trie for each group that still agrees. Suffixes that
-   agree to the full depth are one string; its earliest document keeps it, and
-   the bucket returns the covered intervals of all others;
-5. a shard unites its intervals and gives each document what is left.
+   agree to the full depth are one string, and the bucket tells each shard of
+   the strings that an earlier document than any of its own has;
+5. a shard cuts the same stretches again, finds the intervals of its own texts
+   that an earlier document covers, unites them and gives each document what is
+   left.
 
 The shards are a table bucketed by shard, so steps 3 and 5 read them in place;
-what is shuffled are hashes, the stretches that documents share, and intervals.
-An anchor that very many shards hold, or hold several times (a licence line, a
+what is shuffled are hashes, and each shard's different stretches once with
+their least document: where and how often they stand never leaves the shard. An
+anchor that very many shards hold, or hold several times (a licence line, a
 boiler-plate passage), is dealt by single windows instead, each by its own
-content, so no bucket gathers all of its contexts.
+content, so no bucket gathers all of its contexts. Shards grow with the root of
+the corpus, so that neither a window's shards nor rows of a shard for each
+bucket become too many.
 
 Edge cases: null and empty texts have no bytes; texts shorter than the span
 keep all; documents of equal ids are not earlier than each other; null ids come
@@ -31,6 +36,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -251,12 +257,9 @@ def make_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES, carry: tuple[st
     return slim.mapInArrow(run, "shard long, rows array<long>, ids array<long>, sizes array<int>, firsts array<long>, n long, body binary, extras array<string>")
 
 
-def _open(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, bounds, ids) of a shard; null ids come last."""
-    b = np.frombuffer(_unzip(row["body"]), np.uint8)
-    bounds = np.concatenate(([0], np.cumsum(row["sizes"]))).astype(np.int64)
-    ids = np.array([LAST if i is None else i for i in row["ids"]], np.int64)
-    return b, bounds, ids
+def _ids(ids: list[int | None]) -> np.ndarray:
+    """Null ids come last."""
+    return np.array([LAST if i is None else i for i in ids], np.int64)
 
 
 def _tell_anchors(shards: DataFrame, buckets: int) -> DataFrame:
@@ -266,8 +269,8 @@ def _tell_anchors(shards: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             release()
             for row in batch.to_pylist():
-                b, bounds, _ = _open(row)
-                h, _, _, text = stretches(b, bounds)
+                bounds = np.concatenate(([0], np.cumsum(row["sizes"]))).astype(np.int64)
+                h, _, _, text = stretches(np.frombuffer(_unzip(row["body"]), np.uint8), bounds)
                 order = np.argsort(h, kind="stable")
                 h, text = h[order], text[order]
                 edge = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
@@ -326,23 +329,16 @@ def _tell_shared(told: DataFrame) -> DataFrame:
     return told.groupBy("bucket").applyInArrow(meet, "shard long, shared binary, hot binary")
 
 
-_PART = [("bucket", pa.int32()), ("shard", pa.int64()), ("bodies", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("docs", pa.binary())]
+class Stretches:
+    """A shard's stretches around anchors that other texts have too, in an order that the shard's bytes and those anchors fix."""
 
-
-def _deal_stretches(shards: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """Distinct stretches around shared anchors, with the places and documents of their copies in the shard."""
-    schema = pa.schema(_PART)
-
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        release()
-        b, bounds, ids = _open(left.select(["ids", "sizes", "body"]).to_pylist()[0])
+    def __init__(self, row: dict, warm: list[bytes], hot: list[bytes]) -> None:
+        self.raw = _unzip(row["body"])
+        b, bounds, ids = np.frombuffer(self.raw, np.uint8), np.concatenate(([0], np.cumsum(row["sizes"]))).astype(np.int64), _ids(row["ids"])
         h, first, last, text = stretches(b, bounds)
-        warm = np.sort(np.concatenate([_from_six(x) for x in right.column("shared").to_pylist()]))
-        hot = np.sort(np.concatenate([_from_six(x) for x in right.column("hot").to_pylist()]))
 
-        def among(known: np.ndarray) -> np.ndarray:
+        def among(parts: list[bytes]) -> np.ndarray:
+            known = np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_from_six, parts)]))
             at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
             return known[at] == h if len(known) else np.zeros(len(h), bool)
 
@@ -350,41 +346,69 @@ def _deal_stretches(shards: DataFrame, shared: DataFrame, buckets: int) -> DataF
         spread = (last - first + 1)[t]
         each = np.repeat(t, spread)
         single = np.repeat(first[t], spread) + np.arange(len(each)) - np.repeat(spread.cumsum() - spread, spread)
-        begin = np.concatenate([first[w], single])
+        self.begin = np.concatenate([first[w], single])
         stop = np.concatenate([last[w] + SPAN, single + SPAN])
-        anchor = np.concatenate([h[w], h[each]])
-        doc = ids[np.concatenate([text[w], text[each]])]
-        raw = b.tobytes()
+        self.doc = ids[np.concatenate([text[w], text[each]])]
         seen: dict[bytes, int] = {}
-        which = np.fromiter((seen.setdefault(raw[i:j], len(seen)) for i, j in zip(begin.tolist(), stop.tolist(), strict=True)), np.int64, len(begin))
-        if not seen:
-            return schema.empty_table()
-        bodies = list(seen)
-        order = np.argsort(which, kind="stable")
-        counts = np.bincount(which, minlength=len(seen))
-        lead = order[np.concatenate(([0], counts.cumsum()[:-1]))]
-        deal = anchor[lead].copy()
+        raw = self.raw
+        self.which = np.fromiter((seen.setdefault(raw[i:j], len(seen)) for i, j in zip(self.begin.tolist(), stop.tolist(), strict=True)), np.int64, len(self.begin))
+        self.bodies = list(seen)
+        lead = np.zeros(len(seen), np.int64)
+        lead[self.which[::-1]] = np.arange(len(self.which))[::-1]
+        self.deal = np.concatenate([h[w], h[each]])[lead]
         for k in np.flatnonzero(lead >= len(w)).tolist():  # windows of hot anchors go by their own content
-            deal[k] = int.from_bytes(hashlib.blake2b(bodies[k], digest_size=6).digest(), "little")
-        bucket = (deal.astype(np.float64) * (buckets / 2.0**48)).astype(np.int64)
+            self.deal[k] = int.from_bytes(hashlib.blake2b(self.bodies[k], digest_size=6).digest(), "little")
+        self.least = np.full(len(seen), LAST, np.int64)
+        np.minimum.at(self.least, self.which, self.doc)
+
+    def gone(self, told: Iterator[tuple[int, list[int], list[int]]]) -> np.ndarray:
+        """Sorted first bytes of the windows that an earlier document has; told: (stretch, first windows of runs, their earliest documents)."""
+        n = np.fromiter(map(len, self.bodies), np.int64, len(self.bodies)) - SPAN + 1
+        base = n.cumsum() - n
+        earliest = np.repeat(self.least, n)
+        for k, starts, docs in told:
+            lo = int(base[k])
+            sizes = np.diff(np.append(starts, n[k]))
+            earliest[lo : lo + int(n[k])] = np.minimum(np.repeat(np.array(docs, np.int64), sizes), self.least[k])
+        out = []
+        step = 1 << 16
+        for at in range(0, len(self.which), step):  # a bounded number of stretches at a time
+            which = self.which[at : at + step]
+            m = n[which]
+            inner = np.arange(m.sum()) - np.repeat(m.cumsum() - m, m)
+            late = earliest[np.repeat(base[which], m) + inner] < np.repeat(self.doc[at : at + step], m)
+            out.append(np.repeat(self.begin[at : at + step], m)[late] + inner[late])
+        return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def _deal_stretches(shards: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+    """Distinct stretches around shared anchors, numbered, with the least document of the shard that has each."""
+    schema = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("bodies", pa.binary()), ("sizes", pa.binary()), ("hashes", pa.binary()), ("numbers", pa.binary()), ("docs", pa.binary())])
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        release()
+        s = Stretches(left.select(["ids", "sizes", "body"]).to_pylist()[0], right.column("shared").to_pylist(), right.column("hot").to_pylist())
+        if not s.bodies:
+            return schema.empty_table()
+        bucket = (s.deal.astype(np.float64) * (buckets / 2.0**48)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        starts = counts.cumsum() - counts
+        edges = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0))
         out = []
-        for k in np.unique(bucket).tolist():
-            mine = by[np.searchsorted(bucket[by], k) : np.searchsorted(bucket[by], k, "right")]
-            n = counts[mine]
-            members = order[np.repeat(starts[mine], n) + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)]
-            text_of = [bodies[m] for m in mine.tolist()]
-            out.append((k, left.column("shard")[0].as_py(), _zip(b"".join(text_of)), bytes(map(len, text_of)), _six(deal[mine]), _zip(n.astype("<u4").tobytes()), begin[members].astype("<u4").tobytes(), _zip(doc[members].astype("<i8").tobytes())))
+        for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(by)], strict=True):
+            mine = by[i:j]
+            text_of = [s.bodies[m] for m in mine.tolist()]
+            out.append((int(bucket[mine[0]]), left.column("shard")[0].as_py(), _zip(b"".join(text_of)), bytes(map(len, text_of)), _six(s.deal[mine]), mine.astype("<u4").tobytes(), _zip(s.least[mine].astype("<i8").tobytes())))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    ddl = "bucket int, shard long, bodies binary, sizes binary, hashes binary, counts binary, places binary, docs binary"
+    ddl = "bucket int, shard long, bodies binary, sizes binary, hashes binary, numbers binary, docs binary"
     return shards.select("shard", "ids", "sizes", "body").groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(cut, ddl)
 
 
 def _sort_suffixes(dealt: DataFrame) -> DataFrame:
-    """(shard, starts, ends): intervals that an earlier document covers, from the sorted suffixes of a bucket's stretches."""
-    schema = pa.schema([("shard", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
+    """(shard, numbers, counts, starts, docs): of each shard's stretches that an earlier document of another shard has in part, the runs of windows with one earliest document."""
+    schema = pa.schema([("shard", pa.int64()), ("numbers", pa.binary()), ("counts", pa.binary()), ("starts", pa.binary()), ("docs", pa.binary())])
 
     def judge(group: pa.Table) -> pa.Table:
         release()
@@ -392,24 +416,23 @@ def _sort_suffixes(dealt: DataFrame) -> DataFrame:
         low: list[int] = []
         hashes: list[int] = []
         rows = []
-        for r in group.to_pylist():
-            sizes, raw, at = r["sizes"], _unzip(r["bodies"]), 0
-            counts = np.frombuffer(_unzip(r["counts"]), "<u4").astype(np.int64)
-            docs = np.frombuffer(_unzip(r["docs"]), "<i8")
-            least = np.minimum.reduceat(docs, counts.cumsum() - counts).tolist()
-            which = np.empty(len(sizes), np.int64)
-            for k, (n, h, d) in enumerate(zip(sizes, _from_six(r["hashes"]).tolist(), least, strict=True)):
-                body = raw[at : at + n]
-                at += n
-                i = known.get(body)
-                if i is None:
-                    i = known[body] = len(low)
-                    low.append(d)
-                    hashes.append(h)
-                elif d < low[i]:
-                    low[i] = d
-                which[k] = i
-            rows.append((r["shard"], np.repeat(which, counts), np.frombuffer(r["places"], "<u4").astype(np.int64), docs))
+        for batch in group.to_batches(max_chunksize=64):
+            for r in batch.to_pylist():
+                sizes, raw, at = r["sizes"], _unzip(r["bodies"]), 0
+                docs = np.frombuffer(_unzip(r["docs"]), "<i8")
+                which = np.empty(len(sizes), np.int64)
+                for k, (n, h, d) in enumerate(zip(sizes, _from_six(r["hashes"]).tolist(), docs.tolist(), strict=True)):
+                    body = raw[at : at + n]
+                    at += n
+                    i = known.get(body)
+                    if i is None:
+                        i = known[body] = len(low)
+                        low.append(d)
+                        hashes.append(h)
+                    elif d < low[i]:
+                        low[i] = d
+                    which[k] = i
+                rows.append((r["shard"], which, r["numbers"], docs))
         bodies = list(known)
         low_of, size = np.array(low, np.int64), np.fromiter(map(len, bodies), np.int64, len(bodies))
         n = size - SPAN + 1
@@ -440,26 +463,39 @@ def _sort_suffixes(dealt: DataFrame) -> DataFrame:
             edge = np.flatnonzero(np.append(True, klass[1:] != klass[:-1]))
             least = np.minimum.reduceat(earliest[slot][order], edge)
             earliest[slot[order]] = np.repeat(least, np.diff(np.append(edge, len(order))))
+        lowest = np.minimum.reduceat(earliest, base) if len(base) else earliest
+        new = np.append(True, earliest[1:] != earliest[:-1]) if len(earliest) else np.zeros(0, bool)
+        new[base] = True
+        run = np.flatnonzero(new)  # runs of one earliest document, none over two stretches
+        first_run = np.searchsorted(run, base)
+        runs = np.diff(np.append(first_run, len(run)))
+        run_start = run - np.repeat(base, runs)
         out = []
-        for shard, which, places, docs in rows:
-            m = n[which]
-            inner = np.arange(m.sum()) - np.repeat(m.cumsum() - m, m)
-            gone = earliest[np.repeat(base[which], m) + inner] < np.repeat(docs, m)
-            window = np.repeat(places, m)[gone] + inner[gone]
-            if not len(window):
-                continue
-            window.sort()
-            new = np.append(True, np.diff(window) > 1)
-            out.append((shard, window[new].astype("<u4").tobytes(), (window[np.append(new[1:], True)] + SPAN).astype("<u4").tobytes()))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ([], [], []), schema, strict=True)], schema=schema)
+        for shard, which, numbers, docs in rows:
+            tell = np.flatnonzero(lowest[which] < docs)
+            if len(tell):
+                k = which[tell]
+                m = runs[k]
+                at = np.repeat(first_run[k], m) + np.arange(m.sum()) - np.repeat(m.cumsum() - m, m)
+                out.append((shard, np.frombuffer(numbers, "<u4")[tell].tobytes(), m.astype(np.uint8).tobytes(), run_start[at].astype(np.uint8).tobytes(), _zip(earliest[run[at]].astype("<i8").tobytes())))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ([], [], [], [], []), schema, strict=True)], schema=schema)
+
+    return dealt.groupBy("bucket").applyInArrow(judge, "shard long, numbers binary, counts binary, starts binary, docs binary")
+
 
-    return dealt.groupBy("bucket").applyInArrow(judge, "shard long, starts binary, ends binary")
+def _told(rows: list[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for r in rows:
+        numbers, counts, starts, docs = np.frombuffer(r["numbers"], "<u4").tolist(), np.frombuffer(r["counts"], np.uint8).tolist(), np.frombuffer(r["starts"], np.uint8), np.frombuffer(_unzip(r["docs"]), "<i8")
+        at = 0
+        for k, n in zip(numbers, counts, strict=True):
+            yield k, starts[at : at + n], docs[at : at + n]
+            at += n
 
 
 _PIECE = "part long, row long, first long, doc_id long, n_bytes long, n_removed long, n_spans long, kept string, starts array<long>, ends array<long>, body binary, extra string"
 
 
-def _unite(shards: DataFrame, gone: DataFrame, keep_text: bool, shard_bytes: int) -> DataFrame:
+def _unite(shards: DataFrame, told: DataFrame, keep_text: bool, shard_bytes: int) -> DataFrame:
     """A row for each text with its result, or for each piece of a long text with its runs and bytes (kept is null)."""
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _PIECE.split(", ")])
@@ -467,12 +503,20 @@ def _unite(shards: DataFrame, gone: DataFrame, keep_text: bool, shard_bytes: int
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
-        row = left.to_pylist()[0]
-        raw = _unzip(row["body"])
-        starts = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in right.column("starts").to_pylist())]).astype(np.int64)
-        ends = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in right.column("ends").to_pylist())]).astype(np.int64)
-        order = np.argsort(starts, kind="stable")
-        starts, ends = starts[order].tolist(), ends[order].tolist()
+        release()
+        row, told = left.to_pylist()[0], right.to_pylist()
+        warm, hot = [r["shared"] for r in told if r["shared"] is not None], [r["hot"] for r in told if r["hot"] is not None]
+        starts: list[int] = []
+        ends: list[int] = []
+        if warm or hot:
+            own = Stretches(row, warm, hot)
+            raw = own.raw
+            window = own.gone(_told([r for r in told if r["numbers"] is not None]))
+            if len(window):
+                new = np.append(True, np.diff(window) > 1)
+                starts, ends = window[new].tolist(), (window[np.append(new[1:], True)] + SPAN).tolist()
+        else:
+            raw = _unzip(row["body"])
         out, at, lo = [], 0, 0
         for number, doc, first, n, extra in zip(row["rows"], row["ids"], row["firsts"], row["sizes"], row["extras"], strict=True):
             runs: list[list[int]] = []
@@ -491,7 +535,7 @@ def _unite(shards: DataFrame, gone: DataFrame, keep_text: bool, shard_bytes: int
                 out.append((row["shard"] >> 32, number, first, doc, n, *_left(body, runs, keep_text), None, None, None, extra))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return shards.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(join, _PIECE)
+    return shards.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(join, _PIECE)
 
 
 def _left(body: bytes, runs: list[list[int]], keep_text: bool) -> tuple[int, int, str]:
@@ -530,19 +574,30 @@ def _whole_texts(pieces: DataFrame, keep_text: bool) -> DataFrame:
     return done.unionByName(pieces.where(F.col("kept").isNull()).groupBy("part", "row").applyInArrow(gather, ddl))
 
 
+def sizes(total: int, parts: int, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[int, int]:
+    """(bytes of a shard, buckets) for a corpus of so many bytes: at least the given shard, and one that grows with the root of the corpus, so that rows of (shard, bucket) grow with it in proportion."""
+    shard = max(shard_bytes, int(math.sqrt(total) * 4))
+    bucket = max(bucket_bytes, shard * bucket_bytes // shard_bytes)
+    return shard, max(8, 2 * parts, -(-total // bucket))
+
+
 def dedup(docs: DataFrame, keep_text: bool = True, shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, extra): kept is the remaining text (broken characters left out), or the SHA-256 of the remaining bytes; extra the carried columns as JSON."""
     spark = docs.sparkSession
     bound_batches(spark)
     name = f"suffix_shards_{uuid.uuid4().hex}"
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    make_shards(docs, shard_bytes, carry).write.bucketBy(parts, "shard").option("compression", "uncompressed").saveAsTable(name)
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    shard_bytes, buckets = sizes(total, parts, shard_bytes, bucket_bytes)
+    made = make_shards(docs, shard_bytes, carry).repartition(parts, "shard")  # a file for each task, not for each task and bucket
+    made.write.bucketBy(parts, "shard").option("compression", "uncompressed").saveAsTable(name)
     shards = spark.table(name)
-    total = shards.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, -(-total // bucket_bytes))
-    shared = _tell_shared(_tell_anchors(shards, buckets))
+    shared = write_table(_tell_shared(_tell_anchors(shards, buckets)), "shared")
     gone = _sort_suffixes(_deal_stretches(shards, shared, buckets))
-    pieces = write_table(_unite(shards, gone, keep_text, shard_bytes), "deduped")
+    none = F.lit(None).cast("binary")
+    told = shared.select("shard", "shared", "hot", *[none.alias(c) for c in ("numbers", "counts", "starts", "docs")])
+    told = told.unionByName(gone.select("shard", none.alias("shared"), none.alias("hot"), "numbers", "counts", "starts", "docs"))
+    pieces = write_table(_unite(shards, told, keep_text, shard_bytes), "deduped")
     spark.sql(f"DROP TABLE {name}")
     return _whole_texts(pieces, keep_text)
 
