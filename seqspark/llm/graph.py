@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import drop_written, write_table
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of a link table (u, v); root is the smallest node of its component.
 
     Each round is cut with a table in the shared folder, so a lost executor
-    costs one round. Nulls are dropped, loops and repeated links don't matter,
+    costs one round; rounds that are no longer read are deleted. Nulls are dropped, loops and repeated links don't matter,
     an empty table gives an empty result. Ends when a round changes nothing.
     """
     edges = write_table(links.select("u", "v").dropna().where("u != v").distinct(), "links")
@@ -37,6 +37,7 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen[0] == 0 or seen == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        mark = seen
-        edges = write_table(_star(_star(edges, True), False), "stars")
+        mark, old = seen, edges
+        edges = write_table(_star(_star(old, True), False), "stars")
+        drop_written(old)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

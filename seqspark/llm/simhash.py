@@ -2,10 +2,13 @@
 
 Children of a BK-tree node are keyed by their integer Hamming distance to it,
 and a search follows only the edges within the radius. The trees are sharded:
-two fingerprints that differ in at most r bits agree in at least one of r + 1
-blocks of bits, so a tree per (block, value) finds every link, and no tree or
-fingerprint table ever goes to the driver or to all executors (a broadcast of
-all shard trees would grow with the corpus).
+two fingerprints that differ in at most r bits agree in at least two of r + 2
+blocks of bits, so a tree per (two blocks, their values) finds every link, and
+no tree or fingerprint table ever goes to the driver or to all executors (a
+broadcast of all shard trees would grow with the corpus). Fingerprints that
+share one block only, as those of a page template may, part by the other one
+over many shards; a shard that is large all the same is parted by its further
+bits again, so no tree holds more than a stated number of values.
 
 Copies are folded before the search (one row per distinct fingerprint), and a
 shard emits a spanning forest, never all pairs.
@@ -19,16 +22,19 @@ gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_text, map_rows, write_table
 from .graph import connected_components
 
+#: Values of one tree at most.
+MOST = 4096
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -98,9 +104,21 @@ class BKTree:
                 todo += [child for at, child in children.items() if d - radius <= at <= d + radius]
         return found
 
+    def first_within(self, x: int, radius: int) -> int | None:
+        """Any one value within the radius."""
+        todo = [self.root] if self.root else []
+        while todo:
+            value, children = todo.pop()
+            d = (x ^ value).bit_count()
+            if d <= radius:
+                return value
+            if children:
+                todo += [child for at, child in children.items() if d - radius <= at <= d + radius]
+        return None
+
 
-def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among a shard's values."""
+def tree_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct values, from one tree."""
     tree, parent, out = BKTree(), {}, []
 
     def top(x: int) -> int:
@@ -118,20 +136,55 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def shard_links(values: list[int], radius: int, most: int = MOST) -> list[tuple[int, int]]:
+    """Links that join all of a shard's values that links join; trees of at most `most` values.
+
+    More values are parted by the bits in which they differ, in radius + 1
+    blocks: values that link agree in one of them at least.
+    """
+    if len(values) <= most:
+        return tree_links(values, radius)
+    vary = 0
+    for x in values:
+        vary |= x ^ values[0]
+    bits = [k for k in range(vary.bit_length()) if vary >> k & 1]
+    if len(bits) <= radius:
+        return [(x, values[0]) for x in values[1:]]
+    out = []
+    for k in range(radius + 1):
+        mask = sum(1 << b for b in bits[k :: radius + 1])
+        groups: dict[int, list[int]] = {}
+        for x in values:
+            groups.setdefault(x & mask, []).append(x)
+        for group in groups.values():
+            if len(group) > 1:
+                out += shard_links(group, radius, most)
+    return out
+
+
 def blocks(parts: int) -> list[tuple[int, int]]:
     """(first bit, mask) of so many blocks that together hold all 64 bits."""
     cuts = [round(64 * k / parts) for k in range(parts + 1)]
     return [(a, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def dealt_by_blocks(distinct: DataFrame, radius: int) -> DataFrame:
+    """(b, v, fp): every fingerprint once for each two of radius + 2 blocks, with the values of both."""
+
+    def value(at: int, mask: int) -> Column:
+        return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(mask))
+
+    pairs = [F.struct(F.lit(k).alias("b"), F.shiftleft(value(*one), 32).bitwiseOR(value(*two)).alias("v")) for k, (one, two) in enumerate(combinations(blocks(radius + 2), 2))]
+    return distinct.select("fp", F.explode(F.array(*pairs)).alias("s")).select("s.b", "s.v", "fp")
+
+
 def near_links(distinct: DataFrame, radius: int) -> DataFrame:
     """(u, v) links among distinct fingerprints (column fp) that differ in at most radius bits.
 
     Lone rows of a shard are dropped while streaming through it, so a task
     holds one shard at a time.
     """
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("b"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(mask)).alias("v")) for k, (at, mask) in enumerate(blocks(radius + 1))])).alias("s"))
-    dealt = keyed.select("s.b", "s.v", "fp").repartition("b", "v").sortWithinPartitions("b", "v", "fp")
+    dealt = dealt_by_blocks(distinct, radius).repartition("b", "v").sortWithinPartitions("b", "v", "fp")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
