@@ -2,17 +2,20 @@
 
 Fingerprints of 256 bits are compared in shards: a shard holds the fingerprints
 that agree in a band of bits, and its BK-tree follows only the edges within the
-radius that the similarity implies for 128 of the bits. As many bands are drawn
-as it takes to let a pair at the very threshold through with the stated chance;
-their width grows with the logarithm of the number of texts, so shards stay
-small. The bands alone would let some pairs go, so all others are found by an
-exact join beside them: with shingles in the order of their hashes, two similar
+radius that the similarity implies for 128 of the bits; a text within the radius
+of one in the tree is linked to it and not kept. The number of bands is fixed,
+so what is dealt grows with the texts alone; their width grows with the
+logarithm of the number of texts, so shards stay small. A shard that is hot all
+the same is split by Spark, and a tree that is full begins anew: what these let
+go, as bands do, is found by an exact join beside them, at any table size. With
+shingles in the order of their hashes, two similar
 texts share a known number of their first ones, and of those that other texts
 hold too, each has one of its rarest in common with the other. Both ways give
 forests of candidates, and the components of those are clusters that no similar
 pair leaves, whatever the table's size. An exact check follows inside each
 cluster: an inverted index over the rarest shingles of every text finds
-the pairs whose shingle sets reach the similarity. Clusters above a block's size
+the pairs whose shingle sets reach the similarity. Texts are told apart by 128
+bits of their SHA-256. Clusters above a block's size
 are checked block against block, and every task gives a spanning forest, so no
 group is gathered whole and no list of all pairs is made.
 
@@ -34,12 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_rows, maybe_in, release, write_table
+from .common import digest, map_rows, maybe_in, release, write_table
 from .graph import connected_components
-from .simhash import BKTree, shingle_hashes
+from .simhash import MOST, BKTree, shingle_hashes
 
 WORDS = 256
-MISS = 0.01
+BANDS = 10
 #: Shingles of a text that the exact join takes beyond those that may differ, as a share of all: more are a sharper filter and a larger shuffle.
 SPARE = 0.1
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -63,20 +66,19 @@ def wide_fingerprint(hashes: np.ndarray) -> int:
     return out
 
 
-def plan_bands(texts: int, similarity: float) -> tuple[int, int, int]:
-    """(bits of a band, bands, radius over 128 bits) for so many texts at a similarity of shingle sets."""
+def plan_bands(texts: int, similarity: float) -> tuple[int, int]:
+    """(bits of a band, radius over 128 bits) for so many texts at a similarity of shingle sets."""
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
     width = min(28, max(14, math.ceil(math.log2(max(texts, 1) / 16 + 1))))
-    bands = math.ceil(math.log(MISS) / math.log(1 - (1 - p) ** width))
-    return width, bands, math.ceil(128 * p + 3.2 * math.sqrt(128 * p * (1 - p)))
+    return width, math.ceil(128 * p + 3.2 * math.sqrt(128 * p * (1 - p)))
 
 
-def candidates(marks: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): a spanning forest of each shard's candidate pairs of keys."""
-    width, bands, radius = plan_bands(marks.count(), similarity)
+def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): a forest of each shard's candidate pairs of keys."""
+    width, radius = plan_bands(distinct.count(), similarity)
     rng = np.random.default_rng(42)
-    chosen = [np.sort(rng.choice(WORDS, width, replace=False)) for _ in range(bands)]
+    chosen = [np.sort(rng.choice(WORDS, width, replace=False)) for _ in range(BANDS)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -87,51 +89,35 @@ def candidates(marks: DataFrame, similarity: float) -> DataFrame:
                 bits = np.unpackbits(raw, axis=1, bitorder="little")
                 value = np.stack([bits[:, c].astype(np.int64) @ (1 << np.arange(width)) for c in chosen], axis=1)
                 n = batch.num_rows
-                keys = np.repeat(np.asarray(batch.column(0)), bands)
-                shard = (np.tile(np.arange(bands), n) << width) | value.ravel()
-                words = np.repeat(raw[:, :16].copy().view(np.int64), bands, axis=0)
+                keys = np.repeat(np.asarray(batch.column(0)), BANDS)
+                shard = (np.tile(np.arange(BANDS), n) << width) | value.ravel()
+                words = np.repeat(raw[:, :16].copy().view(np.int64), BANDS, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys), pa.array(np.ascontiguousarray(words[:, 0])), pa.array(np.ascontiguousarray(words[:, 1]))], names=["shard", "key", "a", "b"])
 
-    dealt = marks.select("key", "fp").mapInArrow(deal, "shard long, key long, a long, b long").repartition("shard").sortWithinPartitions("shard", "key")
+    dealt = distinct.select("key", "fp").mapInArrow(deal, "shard long, key long, a long, b long").hint("rebalance", "shard").sortWithinPartitions("shard", "a", "b", "key")
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
     mask = (1 << 64) - 1
 
-    def forest(held: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """Equal fingerprints chain; others are searched in the tree."""
-        tree, first, parent, out = BKTree(), {}, {}, []
-
-        def top(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for key, fp in held:
-            if fp in first:
-                out.append((first[fp], key))
-                continue
-            first[fp] = key
-            for other in tree.within(fp, radius):
-                a, b = top(fp), top(other)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    out.append((first[other], key))
-            tree.add(fp)
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
+        shard, tree, owner, last = None, BKTree(), {}, (None, None)
         for batch in batches:
             out = []
             for s, key, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if s != shard:
-                    if len(held) > 1:
-                        out += forest(held)
-                    shard, held = s, []
-                held.append((key, (b & mask) << 64 | (a & mask)))
+                if s != shard or len(owner) >= MOST:
+                    shard, tree, owner, last = s, BKTree(), {}, (None, None)
+                fp = (b & mask) << 64 | (a & mask)
+                if fp == last[0]:  # equal fingerprints follow each other and chain
+                    out.append((last[1], key))
+                else:
+                    found = tree.first_within(fp, radius)
+                    if found is None:
+                        tree.add(fp)
+                        owner[fp] = key
+                    else:
+                        out.append((owner[found], key))
+                last = (fp, key)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
-        if len(held) > 1 and (out := forest(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -152,19 +138,23 @@ def lead(hashes: np.ndarray, similarity: float) -> tuple[int, int, bytes]:
 
 
 def _shared(marks: DataFrame) -> DataFrame:
-    """(key, shingle, held): the leading shingles that at least two different texts lead with, and how many do."""
+    """(short, shingle, held): the leading shingles that at least two different texts lead with, and how many do.
+
+    short is half of a text's digest. Should two texts share it, both count under
+    the leading shingles of either, which only adds candidates.
+    """
     total = marks.agg(F.sum(F.length("lead") / 8)).first()[0] or 0
     buckets = 1 << max(10, math.ceil(math.log2(total / 200_000 + 1)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        seen: set[int] = set()  # spares most copies; the rest fold below
+        seen: set[bytes] = set()  # spares most copies; the rest fold below
         for batch in batches:
             keys, leads = [], []
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key not in seen:
-                    seen.add(key)
-                    keys.append(key)
+            for whole, short, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if whole not in seen:
+                    seen.add(whole)
+                    keys.append(short)
                     leads.append(raw)
             if len(seen) > 500_000:
                 seen.clear()
@@ -188,7 +178,7 @@ def _shared(marks: DataFrame) -> DataFrame:
         h, k = h[once], k[once]
         _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
         n = counts[which]
-        return pa.RecordBatch.from_arrays([pa.array(k[n > 1]), pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "shingle", "held"])
+        return pa.RecordBatch.from_arrays([pa.array(k[n > 1]), pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["short", "shingle", "held"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, hashes, owners = None, [], []
@@ -203,8 +193,8 @@ def _shared(marks: DataFrame) -> DataFrame:
         if hashes:
             yield met(hashes, owners)
 
-    dealt = marks.select("key", "lead").mapInArrow(deal, "bucket int, hashes binary, owners binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "key long, shingle long, held long")
+    dealt = marks.select("digest", "short", "lead").mapInArrow(deal, "bucket int, hashes binary, owners binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "short long, shingle long, held long")
 
 
 def exact_candidates(marks: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
@@ -216,11 +206,44 @@ def exact_candidates(marks: DataFrame, distinct: DataFrame, similarity: float) -
     size, so it gives no more links than rows, and a chain breaks only where
     sizes are too far apart.
     """
-    some = _shared(marks).groupBy("key").agg(F.collect_list(F.struct("held", "shingle")).alias("s")).join(distinct.select("key", "n", "least"), "key")
+    some = _shared(marks).groupBy("short").agg(F.collect_list(F.struct("held", "shingle")).alias("s")).join(distinct.select("short", "key", "n", "least"), "short")
     rare = some.where(F.size("s") >= F.col("least")).select("key", "n", F.explode(F.slice(F.sort_array("s"), 1, F.size("s") - F.col("least") + 1)).alias("x")).select("key", "n", "x.shingle")
-    before = W.partitionBy("shingle").orderBy("n", "key")
-    chained = rare.select("key", "n", F.lag("key").over(before).alias("v"), F.lag("n").over(before).alias("m"))
-    return chained.where(F.col("m") >= similarity * F.col("n") - 1e-9).select(F.col("key").alias("u"), "v").distinct()
+    return chained(rare, similarity)
+
+
+def chained(rare: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the keys of each shingle's list (key, n, shingle) as a chain in the order of n.
+
+    Lists are sorted over all partitions by range, so that a list of any length
+    is spread over as many as it takes; the ends of neighbouring partitions are
+    chained afterwards, two rows for each.
+    """
+    sorted_ = rare.repartitionByRange("shingle", "n", "key").sortWithinPartitions("shingle", "n", "key").select("shingle", "n", "key")
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("shingle", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: np.ndarray | None = None
+        ends: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([np.asarray(c) for c in batch.columns])
+            rows = rows if held is None else np.concatenate([held, rows], axis=1)
+            if not ends:
+                ends.append(rows[:, :1])
+            near = (rows[0, 1:] == rows[0, :-1]) & (rows[1, :-1] >= similarity * rows[1, 1:] - 1e-9)
+            none = pa.nulls(int(near.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(rows[2, 1:][near]), pa.array(rows[2, :-1][near]), none, none], schema=schema)
+            held = rows[:, -1:]
+        if held is not None:
+            edge = np.concatenate([*ends, held], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(edge[2]), pa.nulls(2, pa.int64()), pa.array(edge[0]), pa.array(edge[1])], schema=schema)
+
+    linked = write_table(sorted_.mapInArrow(run, "u long, v long, shingle long, n long"), "chained")
+    before = W.orderBy("shingle", "n", "u")  # two rows of each partition, so as many as there are tasks
+    ends = linked.where("v IS NULL").select("u", "n", "shingle", *[F.lag(c).over(before).alias(f"__{c}") for c in ("u", "n", "shingle")])
+    ends = ends.where((F.col("shingle") == F.col("__shingle")) & (F.col("__n") >= similarity * F.col("n") - 1e-9)).select("u", F.col("__u").alias("v"))
+    return linked.where("v IS NOT NULL").select("u", "v").unionByName(ends).where("u != v").distinct()
 
 
 def _forest(keys: list[int], near: np.ndarray) -> list[tuple[int, int]]:
@@ -312,7 +335,7 @@ def similar_forest(keys: list[int], sets: list[np.ndarray], side: list[int] | No
 
 
 def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
-    """(u, v): spanning forests of the similar pairs of each cluster (key, root, first), blocks of a cluster against each other.
+    """(u, v): spanning forests of the similar pairs of each cluster (key, root, first, digest), blocks of a cluster against each other.
 
     Of copies only the text of the row `first` is read. Clusters grow with the
     corpus, so they are merged with the texts, never broadcast.
@@ -323,9 +346,9 @@ def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity:
     def make():
         return lambda keys, roots, own, blocks, ts: [(k, r, o, b, np.unique(shingle_hashes(t, width)).tobytes()) for k, r, o, b, t in zip(keys, roots, own, blocks, ts, strict=True)]
 
-    some = maybe_in(texts, F.xxhash64("doc_id", "key"), clusters.select(F.xxhash64("first", "key"))).where("__maybe")
-    placed = placed.withColumnRenamed("key", "__key")
-    met = some.join(placed.hint("merge"), (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    some = maybe_in(texts, F.xxhash64("doc_id", "digest"), clusters.select(F.xxhash64("first", "digest"))).where("__maybe")
+    placed = placed.withColumnRenamed("digest", "__digest")
+    met = some.join(placed.hint("merge"), (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("first")))
     held = map_rows(met.select("key", "root", "own", "blocks", "text"), "key long, root long, own int, blocks int, bag binary", make)
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"))))
     dealt = held.withColumn("p", pairs).select("key", "root", "own", "p.lo", "p.hi", "bag")
@@ -344,46 +367,50 @@ def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity:
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = 1000) -> DataFrame:
-    """(doc_id, key, rows, keeper): for each different (doc_id, text) its number of rows and whether it is the one that stays."""
+    """(doc_id, digest, rows, keeper): for each different (doc_id, text) its number of rows and whether it is the one that stays."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = slim.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    keyed = slim.select("doc_id", digest(F.col("text")).alias("digest"), "text")
 
     def make():
-        def f(ids, keys, ts):
+        def f(rows, ids, digests, ts):
             sets = [np.unique(shingle_hashes(t, width)) for t in ts]
-            return [(i, k, wide_fingerprint(s).to_bytes(WORDS // 8, "little"), *lead(s, similarity)) for i, k, s in zip(ids, keys, sets, strict=True)]
+            return [(r, i, d, int.from_bytes(d[:8], "big", signed=True), wide_fingerprint(s).to_bytes(WORDS // 8, "little"), *lead(s, similarity)) for r, i, d, s in zip(rows, ids, digests, sets, strict=True)]
 
         return f
 
-    marks = write_table(map_rows(keyed, "doc_id long, key long, fp binary, n long, least int, lead binary", make), "marks")
-    distinct = marks.groupBy("key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("least").alias("least"))
+    numbered = keyed.select(F.monotonically_increasing_id().alias("row"), "doc_id", "digest", "text")
+    marks = write_table(map_rows(numbered, "row long, doc_id long, digest binary, short long, fp binary, n long, least int, lead binary", make), "marks")
+    ones = [F.first(c).alias(c) for c in ("short", "fp", "n", "least")]
+    distinct = write_table(marks.groupBy("digest").agg(F.min("row").alias("key"), F.min("doc_id").alias("first"), *ones), "distinct")
     links = candidates(distinct, similarity).unionByName(exact_candidates(marks, distinct, similarity))
     clusters = connected_components(links).withColumnRenamed("node", "key")
-    clusters = write_table(clusters.join(distinct.select("key", "first"), "key"), "clusters")
+    clusters = write_table(clusters.join(distinct.select("key", "first", "digest"), "key"), "clusters")
     links = checked_links(keyed, clusters, width, similarity, block)
     groups = connected_components(links).withColumnRenamed("node", "key")
-    rows = marks.groupBy("doc_id", "key").agg(F.count("*").alias("rows")).join(groups, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rows = write_table(rows, "rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    roots = distinct.select("digest", "key").join(groups, "key", "left").select("digest", F.coalesce("root", "key").alias("root"))
+    rows = write_table(marks.groupBy("doc_id", "digest").agg(F.count("*").alias("rows")).join(roots, "digest"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = rows.groupBy("root").agg(F.min(order).alias("best"))
     met = rows.join(write_table(best, "best"), "root")  # two plain exchanges, so a hot group can be split
-    return met.select("doc_id", "key", "rows", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))).alias("keeper"))
+    return met.select("doc_id", "digest", "rows", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))).alias("keeper"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each group of near copies, the one of the smallest doc_id; all columns stay."""
     names = docs.columns
     rows = write_table(near_groups(docs, width, similarity), "groups")
-    named = rows.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "rows", "keeper")
+    named = rows.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"), "rows", "keeper")
     other = named.where("NOT keeper OR rows > 1")  # all else stays as it is
     several = named.where("keeper AND rows > 1")
-    own = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    own = docs.withColumn("__own", digest(F.col("text").cast("string")))
+
+    def near(keys: DataFrame) -> DataFrame:
+        return maybe_in(own, F.xxhash64(F.col("doc_id").cast("long"), "__own"), keys.select(F.xxhash64("__id", "__key")))
 
     def met(keys: DataFrame, how: str) -> DataFrame:
         """The rows that the keys' bit table lets through, merged with the keys, which grow with the corpus."""
-        near = maybe_in(own, F.col("__own"), keys.select("__key")).where("__maybe")
-        return near.join(keys.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), how)
+        return near(keys).where("__maybe").join(keys.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")), how)
 
-    away = maybe_in(own, F.col("__own"), other.select("__key")).where("NOT __maybe")
+    away = near(other).where("NOT __maybe")
     once = met(several, "inner").dropDuplicates(["__id", "__key"])
     return away.select(*names).unionByName(met(other, "left_anti").select(*names)).unionByName(once.select(*names))

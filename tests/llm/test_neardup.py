@@ -142,9 +142,47 @@ def test_near_copies_are_dropped(spark, awkward, nothing):
     assert neardup.drop_near_copies(nothing).count() == 0
 
 
-def test_bands_let_pairs_through():
-    width, bands, radius = neardup.plan_bands(1_000_000, 0.8)
-    assert width >= 16 and 1 - (1 - 0.8485**width) ** bands > 0.98 and 19 < radius < 40
+def test_bands_find_most_close_copies():
+    rng = random.Random(4)
+    width, radius = neardup.plan_bands(1_000_000, 0.8)
+    assert width >= 16 and 19 < radius < 40
+    tree = simhash.BKTree()
+    for x in (0, 3, (1 << 40) - 1):
+        tree.add(x)
+    assert tree.first_within(1, 1) in (0, 3) and tree.first_within(1 << 50 | 1, 1) is None
+    values = [rng.getrandbits(128) for _ in range(300)]
+    for v in values:
+        tree.add(v)
+    assert all(tree.first_within(v ^ 5, 2) is not None for v in values)
+
+
+def test_hot_shards_are_parted():
+    rng = random.Random(5)
+    values = list({(0xABCD << 48) | rng.getrandbits(14) for _ in range(3000)})
+    for most in (50, 4000):
+        links = simhash.shard_links(values, 2, most)
+        at = {v: k for k, v in enumerate(values)}
+        root = components(len(values), [(at[u], at[v]) for u, v in links])
+        assert all((u ^ v).bit_count() <= 2 for u, v in links)
+        whole = components(len(values), [(at[u], at[v]) for u, v in simhash.tree_links(values, 2)])
+        assert root == whole
+
+
+def test_one_block_runs_in_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    some = spark.range(50_000).select((F.lit(0x1234).cast("long") * (1 << 45) + F.pmod(F.xxhash64("id"), F.lit(1 << 44))).alias("fp")).distinct()
+    dealt = simhash.dealt_by_blocks(some, 2)
+    assert dealt.groupBy("b", "v").count().agg(F.max("count")).first()[0] < 50
+    alike = dealt.where("b = 5").repartition(8, "b", "v").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert alike == 8
+
+
+def test_lists_are_chained_over_partitions(spark):
+    rows = [(k, 10 + k // 40, s) for s in (1, 2) for k in range(400)] + [(1000, 50, 3), (1001, 100, 3)]
+    links = neardup.chained(spark.createDataFrame(rows, "key long, n long, shingle long"), 0.8).collect()
+    root = components(1002, [(r.u, r.v) for r in links])
+    assert len({root[k] for k in range(400)}) == 1 and root[1000] != root[1001]
 
 
 def test_bit_table_lets_all_keys_through(spark):
