@@ -10,7 +10,9 @@ Edge cases: texts that are null or have no letter are `und` with score 0; with
 no labelled text to learn from every text is `und`; with one language (or one
 in a family) that is predicted without a machine; null languages are not
 learned; repeated rows are returned each; extra columns are ignored; empty
-tables give empty results.
+tables give empty results. A table with more languages than most_langs is
+refused, as pairs of machines grow with their square; copies of a text are
+learned from once.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bound_batches, map_rows, release, remainder
@@ -130,15 +133,22 @@ class Hierarchy:
         return best, trust * float(min(rivals))
 
 
-def learn(docs: DataFrame, most_docs: int = 1200, scale: float = 40.0) -> Hierarchy | None:
-    """Fits the hierarchy on at most about most_docs labelled texts (whole), spread over languages by a hash of the text."""
+def learn(docs: DataFrame, most_docs: int = 1200, scale: float = 40.0, most_langs: int = 300) -> Hierarchy | None:
+    """Fits the hierarchy on at most most_docs different labelled texts (whole; 20 of each language at least), drawn by a hash of the text."""
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()}
+    found = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).limit(most_langs + 1).collect()
+    counts = {r["lang"]: r["n"] for r in sorted(found, key=lambda r: r["lang"])}
     if not counts:
         return None
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages: raise most_langs, or clean the column")
     each = max(20, most_docs // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, each / n))])
-    drawn = known.where((F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1_000_000)) / 1e6) < share[F.col("lang")])
+    drawn_by = F.pmod(F.xxhash64(F.lit("fit"), "text"), F.lit(1_000_000_000)) / 1e9
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.3 * each / n))])  # a little more than each, as n is an estimate
+    drawn = known.where(drawn_by < share[F.col("lang")])
+    drawn = drawn.groupBy("lang", F.md5("text").alias("copy")).agg(F.first("text").alias("text"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("copy"))
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= each)
 
     def make():
         def f(texts, langs):
@@ -150,7 +160,8 @@ def learn(docs: DataFrame, most_docs: int = 1200, scale: float = 40.0) -> Hierar
 
         return f
 
-    got = map_rows(drawn, "lang string, bins binary, freq binary", make).orderBy("lang", "bins", "freq").collect()
+    got = map_rows(drawn.select("text", "lang"), "lang string, bins binary, freq binary", make).collect()  # most_docs rows at most, or 20 of each language
+    got.sort(key=lambda r: (r["lang"], r["bins"], r["freq"]))
     x = np.zeros((len(got), DIM), np.float32)
     for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r["bins"], np.uint16)] = np.frombuffer(r["freq"], np.float32)
@@ -201,10 +212,18 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
     return map_rows(slim, "doc_id long, lang_pred string, score double", make, 2 << 20)
 
 
-def keep_identified(docs: DataFrame, most_docs: int = 1200) -> DataFrame:
-    """docs without those whose language cannot be told (`und`); all columns stay."""
+def keep_identified(docs: DataFrame, languages: tuple[str, ...] | None = None, least_score: float = 0.5, most_docs: int = 1200) -> DataFrame:
+    """docs whose predicted language is one of `languages` (any learned one by default) with the least score; all columns stay.
+
+    A text below the least score resembles several languages, or none that was
+    learned, too much to be called any. `und` always goes.
+    """
     bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(learn(docs.where(remainder(4) != 2), most_docs))
+    wanted = None if languages is None else frozenset(languages)
+
+    def keeps(lang: str, score: float) -> bool:
+        return lang != "und" and score >= least_score and (wanted is None or lang in wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -213,7 +232,7 @@ def keep_identified(docs: DataFrame, most_docs: int = 1200) -> DataFrame:
             step = max(1, int(whole.num_rows * (2 << 20) / max(whole.nbytes, 1)))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                yield batch.filter(pa.array([lang != "und" for lang, _ in f(batch.column("text").to_pylist())], pa.bool_()))
+                yield batch.filter(pa.array([keeps(*r) for r in f(batch.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
