@@ -83,6 +83,11 @@ def gram_hashes(b: np.ndarray, k: int = GRAM) -> np.ndarray:
     return (acc ^ (acc >> np.uint64(32))) >> np.uint64(16)
 
 
+def spread_evenly(h: np.ndarray) -> np.ndarray:
+    """One-to-one over 48 bits: anchors are least hashes, so they crowd at the low end, and buckets are cut by value."""
+    return (h * np.uint64(_M)) & np.uint64((1 << 48) - 1)
+
+
 def stretches(b: np.ndarray, bounds: np.ndarray, span: int = SPAN, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, first window, last window, text) of the maximal runs of windows with one anchor.
 
@@ -115,7 +120,7 @@ def stretches(b: np.ndarray, bounds: np.ndarray, span: int = SPAN, k: int = GRAM
     stop[:-1] &= ~ok[1:] | (at[1:] != at[:-1])
     end = np.flatnonzero(stop)
     text = np.searchsorted(bounds, first, "right") - 1
-    return value[first], first, end, text
+    return spread_evenly(value[first]), first, end, text
 
 
 class BlindTrie:
