@@ -13,11 +13,15 @@ The last window is cut at powers of two, so nothing needs padding.
 
 A document's place in its queue is the tokens of its source in earlier
 partitions plus those before it in its own: the only figures that are gathered
-are one sum per (partition, source), and one row per source goes to the driver.
-Of more than max_queues sources, those with a weight and the largest by tokens
-keep queues of their own, and only the tail shares hashed queues (a quarter of
-max_queues), so the row count is bounded. Sources of one hashed queue lie end to
-end in each partition, and the queue has the sum of their shares.
+are one sum per (partition, source).
+
+A source whose share of the mixture is below least_share (a granule in four
+windows) cannot be in every window. All such sources are one queue with the sum
+of their shares, and are served in it by deficit round-robin over whole
+documents: a document's turn comes when its source's deficit covers it, that is
+in the order of (tokens of its source up to its end) / share. Spark sorts them by
+that, over as many partitions as it takes. So 1 / least_share rows at most go to
+the driver, and any number of sources is mixed by the same rule.
 
 Edge cases: null text is empty and still has its end token; null sources are a
 queue of their own; empty tables give no pieces; repeated rows are packed each;
@@ -34,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,7 +50,8 @@ TURNS = (64, 8, 1)
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 CACHE = 150_000
-NO_SOURCE = "\0none"
+NO_SOURCE, TAIL = "\0none", "\0tail"
+LEAST_SHARE = 1 / 256
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -213,16 +218,25 @@ def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return write_table(slim.mapInArrow(run, "part int, source string, start long, n long, doc_id long, ids binary"), "tokens")
 
 
-def queue_of(totals: DataFrame, weights: dict[str, float] | None, max_queues: int) -> Column:
-    """The queue of a source, by totals (source, n): its own where there are few, or it has a weight, or is among the largest; others are hashed."""
-    if totals.limit(max_queues + 1).count() <= max_queues:
-        return F.col("source")
-    own = {s for s, w in (weights or {}).items() if w > 0}
-    hashed = max(1, max_queues // 4)
-    rest = totals.where(~F.col("source").isin(sorted(own))) if own else totals
-    own |= {r.source for r in rest.orderBy(F.desc("n"), "source").limit(max(0, max_queues - hashed - len(own))).collect()}
-    tail = F.concat(F.lit("\0hashed"), F.pmod(F.xxhash64("source"), F.lit(hashed)).cast("string"))
-    return F.when(F.col("source").isin(sorted(own)), F.col("source")).otherwise(tail) if own else tail
+def served_in_turn(rows: DataFrame) -> DataFrame:
+    """Documents of small sources (source, at, rate, n, doc_id, ids) as one queue: (queue, at, n, doc_id, ids), in the order of (at + n) / rate."""
+    turns = rows.withColumn("turn", (F.col("at") + F.col("n")) / F.col("rate"))
+    dealt = turns.repartitionByRange("turn", "source", "at").sortWithinPartitions("turn", "source", "at")
+    slim = dealt.select(F.spark_partition_id().alias("part"), "n", "doc_id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            n = np.asarray(batch.column(1))
+            ends = n.cumsum() + done
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - n), *batch.columns[1:]], names=["part", "start", "n", "doc_id", "ids"])
+            done = int(ends[-1]) if len(ends) else done
+
+    tail = write_table(slim.mapInArrow(run, "part int, start long, n long, doc_id long, ids binary"), "tail")
+    sums = tail.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each partition
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return tail.join(F.broadcast(bases), "part").select(F.lit(TAIL).alias("queue"), (F.col("base") + F.col("start")).alias("at"), "n", "doc_id", "ids")
 
 
 def shares(weights: dict[str, float], units: int) -> dict[str, int]:
@@ -241,26 +255,26 @@ def shares(weights: dict[str, float], units: int) -> dict[str, int]:
     return out
 
 
-def turn(quota: dict[str, int], windows: int, slots: int) -> dict[str, list[int]]:
+def turn(quota: dict[str, int], windows: int, slots: int) -> dict[str, np.ndarray]:
     """Granules of each source in each window of a turn, by deficit round-robin.
 
     A deficit is counted in granules times windows. After the last window every
     source has had its quota exactly and all deficits are zero.
     """
-    deficit = dict.fromkeys(quota, 0)
-    given: dict[str, list[int]] = {s: [] for s in quota}
-    for _ in range(windows):
-        left = slots
-        for s, q in quota.items():
-            deficit[s] += q
-            take = min(max(0, deficit[s] // windows), left)
-            deficit[s] -= take * windows
-            left -= take
-            given[s].append(take)
-        for s in sorted(quota, key=lambda s: (-deficit[s], s))[:left]:
-            deficit[s] -= windows
-            given[s][-1] += 1
-    return given
+    q = np.fromiter(quota.values(), np.int64, len(quota))
+    deficit = np.zeros(len(q), np.int64)
+    given = np.zeros((len(q), windows), np.int64)
+    for w in range(windows):
+        deficit += q
+        due = np.maximum(0, deficit // windows)
+        take = np.clip(slots - (due.cumsum() - due), 0, due)  # in the order of the sources, while the window has room
+        deficit -= take * windows
+        left = slots - int(take.sum())
+        first = np.argsort(-deficit, kind="stable")[:left]
+        deficit[first] -= windows
+        take[first] += 1
+        given[:, w] = take
+    return dict(zip(quota, given, strict=True))
 
 
 @dataclass
@@ -355,20 +369,38 @@ def cut(plan: list[Stretch | Slot], start: int, n: int) -> Iterator[tuple[int, i
         lo += 1
 
 
-def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | None = None, end_id: int = END_ID, max_queues: int = 1024) -> DataFrame:
-    """(doc_id, start, doc_tokens, sequence_id, offset, length, ids): every id of every document in exactly one piece; ids as little-endian 32-bit numbers."""
-    path = path or tokenizer_path()
-    bound_batches(docs.sparkSession)
-    tokens = tokenise(docs, path, end_id)
+def pack(docs: DataFrame, weights: dict[str, float] | None = None, path: str | None = None, end_id: int = END_ID, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id, start, doc_tokens, sequence_id, offset, length, ids): every id of every document in exactly one piece; ids as little-endian 32-bit numbers.
+
+    weights are the sources' shares of the mixture; a source without one has none until the others end. By default a source's tokens are its weight.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    tokens = tokenise(docs, path or tokenizer_path(), end_id)
     sums = write_table(tokens.groupBy("part", "source").agg(F.sum("n").alias("n")), "sums")
-    sums = sums.withColumn("queue", queue_of(sums.groupBy("source").agg(F.sum("n").alias("n")), weights, max_queues))
-    before = W.partitionBy("queue").orderBy("part", "source").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select("part", "source", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    plan = tokens.sparkSession.sparkContext.broadcast(schedule(totals, weights))
-    bases = write_table(bases, "bases")  # a row for each task and source: small enough to send while there are few tasks
-    small = bases.count() <= 100_000
-    placed = tokens.join(F.broadcast(bases) if small else bases, ["part", "source"]).select("queue", (F.col("base") + F.col("start")).alias("at"), "n", "doc_id", "ids")
+    totals = sums.groupBy("source").agg(F.sum("n").alias("n"))
+    if weights is None:
+        totals = totals.withColumn("weight", F.col("n").cast("double"))
+    else:
+        listed = spark.createDataFrame([(s, float(w)) for s, w in weights.items() if w > 0], "source string, weight double")
+        totals = totals.join(listed, "source", "left").fillna(1e-9, ["weight"])
+    totals = write_table(totals, "totals")
+    n, mass = totals.agg(F.sum("n"), F.sum("weight")).first()
+    own = {r.source: (r.n, r.weight) for r in totals.where(F.col("weight") >= least_share * (mass or 0)).collect()}  # 1 / least_share rows at most
+    rest = (n or 0) - sum(x for x, _ in own.values())
+    queues, share = {s: x for s, (x, _) in own.items()}, {s: w for s, (_, w) in own.items()}
+    if rest:
+        queues[TAIL], share[TAIL] = rest, max(1e-9, mass - sum(share.values()))
+    plan = spark.sparkContext.broadcast(schedule(queues, share))
+    before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select("part", "source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if rest:
+        bases = bases.join(totals.select("source", F.col("weight").alias("rate")), "source")
+    bases = write_table(bases, "bases")  # a row for each task and source: small enough to send while there are few of them
+    at = tokens.join(F.broadcast(bases) if bases.count() <= 100_000 else bases, ["part", "source"]).withColumn("at", F.col("base") + F.col("start"))
+    placed = at.select(F.col("source").alias("queue"), "at", "n", "doc_id", "ids")
+    if rest:
+        placed = placed.where(F.col("queue").isin(sorted(own))).unionByName(served_in_turn(at.where(~F.col("source").isin(sorted(own)))))
     schema = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, length long, ids binary"
     out = pa.schema([(x.split()[0], pa.binary() if x.endswith("binary") else pa.int64()) for x in schema.split(", ")])
 

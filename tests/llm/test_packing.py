@@ -57,9 +57,9 @@ def test_sequences_and_crc(spark, awkward):
     assert all(crcs[r.sequence_id, r.offset] == zlib.crc32(r.ids) for r in some)
 
 
-def test_empty_table_and_hashed_queues(spark, nothing, awkward):
+def test_empty_table_and_small_sources(spark, nothing, awkward):
     assert packing.pack(nothing).count() == 0
-    check(awkward, [r.asDict() for r in packing.pack(awkward, max_queues=2).collect()])
+    check(awkward, [r.asDict() for r in packing.pack(awkward, least_share=0.6).collect()])
 
 
 def test_large_and_weighted_sources_keep_their_share_among_many(spark):
@@ -67,7 +67,7 @@ def test_large_and_weighted_sources_keep_their_share_among_many(spark):
     rows = [(k, words(rng, 100), f"s{k % 40}") for k in range(400)] + [(1000 + k, words(rng, 100), "big") for k in range(200)] + [(900 + k, words(rng, 100), "mid") for k in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
     for weights, low, high in ((None, 0.25, 0.34), ({"big": 3, "mid": 1}, 0.68, 0.8)):
-        pieces = [r.asDict() for r in packing.pack(docs, weights, max_queues=8).collect()]
+        pieces = [r.asDict() for r in packing.pack(docs, weights, least_share=0.1).collect()]
         check(docs, pieces)
         held = {}
         for p in pieces:
@@ -77,6 +77,26 @@ def test_large_and_weighted_sources_keep_their_share_among_many(spark):
             assert held[k][1] == packing.WINDOW and low < held[k][0] / held[k][1] < high, (weights, k, held[k])
 
 
+def test_thousands_of_small_sources_are_mixed(spark):
+    """Sources lie one after the other in the table; every stretch of sequences still holds each of them, and the large one, in proportion."""
+    rows = [(10 * s + k, "word and more of it", f"s{s:04d}") for s in range(5000) for k in range(4)] + [(100_000 + k, "word and more of it", "big") for k in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(3)
+    pieces = [r.asDict() for r in packing.pack(docs).collect()]
+    check(docs, pieces)
+    full = sorted({p["sequence_id"] for p in pieces})[:-8]
+    big, small, held = {}, {}, {}
+    for p in pieces:
+        q = p["sequence_id"]
+        held[q] = held.get(q, 0) + p["length"]
+        if p["doc_id"] >= 100_000:
+            big[q] = big.get(q, 0) + p["length"]
+        elif q < full[len(full) // 2]:
+            small[p["doc_id"] // 10] = small.get(p["doc_id"] // 10, 0) + p["length"]
+    assert len(full) > 20 and all(abs(big[q] / held[q] - 8 / 28) < 0.02 for q in full)
+    each = sum(p["doc_tokens"] for p in pieces if p["doc_id"] // 10 == 7 and not p["start"])
+    assert len(small) == 5000 and all(0.2 * each <= x <= 0.8 * each for x in small.values())
+
+
 @given(st.dictionaries(st.sampled_from("abcdefgh"), st.integers(0, 2_000_000), max_size=8), st.booleans())
 @settings(max_examples=60, deadline=None)
 def test_schedule_covers_every_token_once(totals, weighed):
