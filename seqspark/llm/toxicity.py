@@ -1,17 +1,18 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick.
 
-Texts are folded first: case, full-width forms, look-alike letters of other
-scripts, and digits or signs that stand for letters. Accents stay, as they tell
+Texts are folded first: case, compatibility forms (full-width, mathematical,
+circled and script letters), look-alike letters of other scripts, and digits or
+signs that stand for letters inside words. Accents stay, as they tell
 words of accented languages apart. The lexicon is
 learned: whole words of any length, and character strings inside words (from 4
 characters, from 2 in scripts without spaces), whose document counts
 differ between toxic and clean labelled texts far beyond chance, weighed by
 their log-odds. Strings under 4 characters are judged on the texts that no longer
 entry explains, so that common short words beside an entry are none themselves.
-Exception phrases, words that hold an entry and yet are no likelier in toxic
-texts, cancel the matches inside them. A text's evidence is the sum over its
-words of the best weight in each, normalised by its length, and a logistic
-curve fitted on the same labelled rows makes it a score.
+Exception phrases, of a word that holds an entry alone or with the words beside
+it, that are no likelier in toxic texts, cancel the matches inside them. A text's
+evidence is the sum over its words of the best weight in each, normalised by its
+length, and a logistic curve fitted on the same labelled rows makes it a score.
 
 Edge cases: null, empty and wordless texts have no evidence and get the score
 of a text without matches; null labels are left out; copies of a text count
@@ -40,25 +41,67 @@ from .quality import sample
 SHORTEST, LONGEST = 4, 10
 #: Digits and signs that stand for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
-#: Letters of other scripts that look like Latin ones.
-LOOKALIKES = dict(zip("асеорхуіјѕԁһӏαοεικνρτυ", "aceopxyijsdhlaoeiknptu", strict=True))
+#: Signs that do so only before or between letters, where they are no punctuation.
+SIGNS = {"$": "s", "|": "l", "!": "i"}
+#: Letters of other scripts that look like Latin ones: Cyrillic, Greek, Armenian, Cherokee and Latin letters with a shape of their own.
+LOOKALIKES = dict(
+    zip(
+        "авекмнорстухѕіјԁһӏьгпиԛԝүѵ" "αβεηικνορτυχωγρ" "օսհոցյ" "ɑɡɩıƖοɪʏᴀᴄᴇᴋᴍᴏᴘᴛᴜᴠᴡᴢ",
+        "abekmhopctyxsijdhlbrnuqwyv" "abeniknoptuxwyp" "ouhngj" "agiiloiyacekmoptuvwz",
+        strict=True,
+    )
+)
 WORD = re.compile(r"[^\W_]+")
+_SIGN = re.compile(r"\$(?=[^\W\d_])|(?<=[^\W_])[|!](?=[^\W\d_])")
 #: Scripts written without spaces (Thai to Myanmar, Khmer, kana, Han): their words stand inside longer runs.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+#: Blocks whose letters are forms of plain ones: letter-like signs, circled, full-width, mathematical and squared letters.
+_FORMS = ((0x2100, 0x2150), (0x2460, 0x2500), (0xFF01, 0xFF5F), (0x1D400, 0x1D800), (0x1F110, 0x1F190))
 
 
 def folding() -> dict[int, str]:
-    """Translation table for lower-cased text: full-width forms, look-alikes, digits; invisible characters go."""
-    table: dict[int, str] = {c: unicodedata.normalize("NFKD", chr(c)).lower() for c in range(0xFF01, 0xFF5F)}
+    """Translation table for lower-cased text: forms of plain letters by their compatibility form, look-alikes, digits; invisible characters go."""
+    table: dict[int, str] = {}
+    for lo, hi in _FORMS:
+        for c in range(lo, hi):
+            plain = unicodedata.normalize("NFKC", chr(c)).lower().strip("()")
+            if 0x1F130 <= c < 0x1F190 and not plain.isascii():
+                plain = chr(ord("a") + (c - 0x1F130) % 32) if (c - 0x1F130) % 32 < 26 else chr(c)
+            if plain != chr(c):
+                table[c] = "".join((DIGITS | LOOKALIKES).get(x, x) for x in plain)
     table |= {ord(k): v for k, v in (DIGITS | LOOKALIKES).items()}
-    return table | dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF), "")
+    return table | dict.fromkeys((0xAD, 0x34F, 0x180E, 0x200B, 0x200C, 0x200D, 0x2060, 0x2061, 0x2062, 0x2063, 0xFE0E, 0xFE0F, 0xFEFF), "")
 
 
 FOLD = folding()
 
 
 def fold(text: str | None) -> str:
-    return (text or "").lower().translate(FOLD)
+    lower = (text or "").lower()
+    if "$" in lower or "|" in lower or "!" in lower:
+        lower = _SIGN.sub(lambda m: SIGNS[m[0]], lower)
+    return lower.translate(FOLD)
+
+
+def phrases(folded: str, lo: int, hi: int) -> list[str]:
+    """The word at lo..hi, and what it forms with the words beside it; at most three other characters lie between."""
+    word = folded[lo:hi]
+    before = after = ""
+    end = lo
+    while end and lo - end < 3 and not folded[end - 1].isalnum():
+        end -= 1
+    start = end
+    while start and folded[start - 1].isalnum():
+        start -= 1
+    before = folded[start:end]
+    start = hi
+    while start < len(folded) and start - hi < 3 and not folded[start].isalnum():
+        start += 1
+    end = start
+    while end < len(folded) and folded[end].isalnum():
+        end += 1
+    after = folded[start:end]
+    return [word, *([f"{before} {word}"] if before else []), *([f"{word} {after}"] if after else []), *([f"{before} {word} {after}"] if before and after else [])]
 
 
 def substrings(word: str) -> set[str]:
@@ -73,7 +116,7 @@ def substrings(word: str) -> set[str]:
 class Lexicon:
     weights: dict[str, float]
     exceptions: frozenset[str]
-    curve: tuple[float, float, float]  # of evidence per length, best weight, and one
+    curve: tuple[float, float]  # of the logarithm of evidence per length, and of one
 
     def automaton(self) -> ahocorasick.Automaton | None:
         if not self.weights:
@@ -84,15 +127,12 @@ class Lexicon:
         a.make_automaton()
         return a
 
-    def evidence(self, automaton: ahocorasick.Automaton | None, text: str | None) -> tuple[float, float, int]:
-        """(evidence over length, best weight, matched words) of one text."""
-        folded = fold(text)
-        if automaton is None or not folded:
-            return 0.0, 0.0, 0
+    def matched(self, automaton: ahocorasick.Automaton | None, folded: str) -> list[tuple[int, int, float]]:
+        """(start, end, best weight) of the words that hold an entry."""
         best: dict[int, float] = {}
-        spans: dict[int, str] = {}
+        ends: dict[int, int] = {}
         lo = hi = -1
-        for end, (length, w, whole) in automaton.iter(folded):
+        for end, (length, w, whole) in automaton.iter(folded) if automaton else ():
             start = end - length + 1
             if not (lo <= start and end < hi):
                 lo, hi = start, end + 1
@@ -100,20 +140,25 @@ class Lexicon:
                     lo -= 1
                 while hi < len(folded) and folded[hi].isalnum():
                     hi += 1
-                spans[lo] = folded[lo:hi]
+                ends[lo] = hi
             if whole > w and start == lo and end + 1 == hi:
                 w = whole
             if w > best.get(lo, 0.0):
                 best[lo] = w
-        kept = [w for at, w in best.items() if spans[at] not in self.exceptions]
+        return [(at, ends[at], w) for at, w in best.items()]
+
+    def evidence(self, automaton: ahocorasick.Automaton | None, text: str | None) -> tuple[float, int]:
+        """(evidence over length, matched words) of one text."""
+        folded = fold(text)
+        kept = [w for lo, hi, w in self.matched(automaton, folded) if self.exceptions.isdisjoint(phrases(folded, lo, hi))]
         if not kept:
-            return 0.0, 0.0, 0
+            return 0.0, 0
         words = folded.count(" ") + folded.count("\n") + 1
-        return sum(kept) / np.log(words + 10.0), max(kept), len(kept)
+        return sum(kept) / np.log(words + 10.0), len(kept)
 
-    def score(self, density: np.ndarray, best: np.ndarray) -> np.ndarray:
-        a, b, c = self.curve
-        return 1 / (1 + np.exp(-(a * np.log1p(density) + b * best + c)))
+    def score(self, density: np.ndarray) -> np.ndarray:
+        a, c = self.curve
+        return 1 / (1 + np.exp(-(a * np.log1p(density) + c)))
 
 
 def _tally(rows: DataFrame, strings_of) -> DataFrame:
@@ -148,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, surpris
     rate = n1 / (n1 + n0) if n1 + n0 else 0.0
     if not n1 or not n0:
         rows.unpersist()
-        return Lexicon({}, frozenset(), (0.0, 0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))))
+        return Lexicon({}, frozenset(), (0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9)))))
     total = F.col("n1") + F.col("n0")
 
     def passing(counted: DataFrame, n1: int, n0: int) -> dict[str, float]:
@@ -168,14 +213,21 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, surpris
 
     def with_exceptions(weights: dict[str, float]) -> Lexicon:
         """An exception's odds to be toxic are at most twice the rate's."""
-        matcher = Lexicon(weights, frozenset(), (0, 0, 0))
+        matcher = Lexicon(weights, frozenset(), (0, 0))
 
         def holders(text: str) -> set[str]:
             a = holders.__dict__.setdefault("a", matcher.automaton())
-            return {w for w in set(WORD.findall(fold(text))) if a and any(inner for _, (_, inner, _) in a.iter(w))}
+            folded = fold(text)
+            return {p for lo, hi, _ in matcher.matched(a, folded) for p in phrases(folded, lo, hi)}
 
         innocent = _tally(rows, holders).where((F.col("n0") >= 3) & (F.col("n1") / total <= 2 * rate / (1 + rate))).select("term").collect() if weights else []
-        return Lexicon(weights, frozenset(r["term"] for r in innocent), (0, 0, 0))
+        found = {r["term"] for r in innocent}
+
+        def shorter(phrase: str) -> Iterator[str]:
+            parts = phrase.split(" ")
+            return (" ".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1) if j - i < len(parts))
+
+        return Lexicon(weights, frozenset(p for p in found if found.isdisjoint(shorter(p))), (0, 0))
 
     def strings(text: str, short: bool) -> set[str]:
         return {s for w in set(WORD.findall(fold(text))) for s in substrings(w) if (len(s.lstrip("=")) < SHORTEST) == short}
@@ -185,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, surpris
     def unexplained(text: str) -> set[str]:
         """Short strings of a text without longer entries, and "" for the text itself."""
         a = unexplained.__dict__.setdefault("a", first.automaton())
-        return set() if first.evidence(a, text)[2] else strings(text, True) | {""}
+        return set() if first.evidence(a, text)[1] else strings(text, True) | {""}
 
     counted = _tally(rows, unexplained).persist()
     rest = counted.where("term = ''").first()
@@ -195,17 +247,16 @@ def learn(docs: DataFrame, labels: DataFrame, most_labels: int = 10_000, surpris
 
     def make():
         a = lexicon.automaton()
-        return lambda texts, toxic: [(*lexicon.evidence(a, t)[:2], y) for t, y in zip(texts, toxic, strict=True)]
+        return lambda texts, toxic: [(lexicon.evidence(a, t)[0], y) for t, y in zip(texts, toxic, strict=True)]
 
-    got = np.array([tuple(r) for r in map_rows(rows, "density double, best double, toxic int", make).orderBy("density", "best", "toxic").collect()])
+    got = np.array(sorted(tuple(r) for r in map_rows(rows, "density double, toxic int", make).collect()))
     rows.unpersist()
-    x, y = np.stack([np.log1p(got[:, 0]), got[:, 1], np.ones(len(got))], axis=1), got[:, 2]
-    theta = np.zeros(3)
+    x, y = np.stack([np.log1p(got[:, 0]), np.ones(len(got))], axis=1), got[:, 1]
+    theta, ridge = np.zeros(2), np.diag([0.1, 1e-6])
     for _ in range(50):  # Newton steps with a small ridge
         q = 1 / (1 + np.exp(-x @ theta))
-        ridge = np.diag([0.1, 0.1, 1e-6])
-        theta += np.linalg.solve((x.T * (q * (1 - q))) @ x + ridge + 1e-9 * np.eye(3), x.T @ (y - q) - ridge @ theta)
-        theta = np.clip(theta, [0, 0, -30], [30, 30, 30])
+        theta += np.linalg.solve((x.T * (q * (1 - q))) @ x + ridge + 1e-9 * np.eye(2), x.T @ (y - q) - ridge @ theta)
+        theta = np.clip(theta, [0, -30], [30, 30])
     lexicon.curve = tuple(float(v) for v in theta)
     return lexicon
 
@@ -220,8 +271,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
         def f(ids, texts):
             got = [known.evidence(a, t) for t in texts]
-            s = known.score(np.array([g[0] for g in got]), np.array([g[1] for g in got]))
-            return [(i, v, g[2]) for i, v, g in zip(ids, s.tolist(), got, strict=True)]
+            s = known.score(np.array([g[0] for g in got]))
+            return [(i, v, g[1]) for i, v, g in zip(ids, s.tolist(), got, strict=True)]
 
         return f
 
