@@ -5,7 +5,8 @@ content-addressed store holds the payloads, and a join on the digest resolves
 each reference while its position and caption stay beside it.
 
 Payloads are kept as binary greymaps (PGM, 64 samples a row, 8 bits each), a
-lossless form whose header is plain text.
+lossless form whose header is plain text. A document becomes a page of its own
+paragraphs, with its payload as a figure between them.
 
 Edge cases: null text or HTML is empty; an empty payload is one row of zero
 bytes; repeated payloads share one digest and one entry of the resolved table;
@@ -106,13 +107,15 @@ def interleave(html: str | None) -> list[dict]:
     return p.items
 
 
-def parse_interleaved(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, items): one row per page with its ordered structs of text and media references."""
+def parse_interleaved(pages: DataFrame, id_col: str, html_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, carried numbers, items): one row per page with its ordered structs of text and media references."""
+    kept = [F.col(c).cast("long") for c in carry]
 
     def make():
-        return lambda ids, pages_: [(i, interleave(h)) for i, h in zip(ids, pages_, strict=True)]
+        return lambda ids, pages_, *rest: [(i, *x, interleave(h)) for i, h, *x in zip(ids, pages_, *rest, strict=True)]
 
-    return map_rows(pages.select(F.col(id_col).cast("long").alias(id_col), F.col(html_col).cast("string")), f"{id_col} long, items {ITEMS}", make)
+    schema = ", ".join([f"{id_col} long", *[f"{c} long" for c in carry], f"items {ITEMS}"])
+    return map_rows(pages.select(F.col(id_col).cast("long").alias(id_col), F.col(html_col).cast("string"), *kept), schema, make)
 
 
 def payload(text: Column) -> Column:
@@ -184,25 +187,73 @@ def read_store(store: DataFrame) -> DataFrame:
 
 
 def resolve(sequences: DataFrame, id_col: str, figures: DataFrame) -> DataFrame:
-    """(id, pos, caption, digest, figures...): a row per media reference, joined on the digest.
+    """(id, other columns, pos, kind, text, caption, digest, figures...): a row per item; references get their payload's figures by a join on the digest.
 
-    A digest that many documents share is a hot key on the left only (figures
-    has it once), which adaptive execution splits.
+    Text runs have no digest, so they take no part in the join. A digest that
+    many documents share is a hot key on the left only (figures has it once),
+    which adaptive execution splits.
     """
-    refs = sequences.select(id_col, F.explode("items").alias("i")).where("i.kind = 'media'").select(id_col, "i.pos", "i.caption", "i.digest")
-    return refs.join(figures, "digest", "left")
+    others = [c for c in sequences.columns if c not in (id_col, "items")]
+    flat = sequences.select(id_col, *others, F.explode("items").alias("i")).select(id_col, *others, "i.pos", "i.kind", "i.text", "i.caption", "i.digest")
+    refs, runs = flat.where("kind = 'media'"), flat.where("kind <> 'media'")
+    found = refs.join(figures, "digest", "left")
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in figures.schema.fields if f.name != "digest"]
+    order = [id_col, *others, "pos", "kind", "text", "caption", "digest", *[c for c in figures.columns if c != "digest"]]
+    return found.select(*order).unionByName(runs.select("*", *missing).select(*order))
+
+
+def _escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def as_page(text: Column) -> Column:
+    """A document as a page: its lines as paragraphs, and after the first half of them a figure whose image is the document's own payload and whose caption is the line before it."""
+    whole = F.coalesce(text, F.lit(""))
+    lines = F.split(_escaped(whole), "\n")
+    half = F.ceil(F.size(lines) / 2).cast("int")
+
+    def paragraphs(part: Column) -> Column:
+        return F.concat(F.lit("<p>"), F.array_join(part, "</p><p>"), F.lit("</p>"))
+
+    image = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2(payload(text), 256), F.lit('"><figcaption>'), F.substring(F.element_at(lines, half), 1, 80), F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), paragraphs(F.slice(lines, F.lit(1), half)), image, paragraphs(F.slice(lines, half + 1, F.size(lines))), F.lit("</article>"))
 
 
 def media_sequences(docs: DataFrame) -> DataFrame:
-    """Each document as an interleaved page whose figure is its own padded payload, stored, read back and resolved."""
+    """(doc_id, n_bytes, n_items, pos, kind, text, caption, digest, figures...): each document as an interleaved sequence of its paragraphs and its own padded payload, which is stored, read back and resolved."""
     docs = id_text(docs)
     figures = write_table(read_store(write_store(docs)), "figures")  # small rows; a join of two plain exchanges can be split where a digest is hot
     n = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    html = F.concat(F.lit(f'<article><figure><img src="{SCHEME}'), F.sha2(payload(F.col("text")), 256), F.lit('"><figcaption>'), n.cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    sequences = parse_interleaved(docs.select("doc_id", html.alias("html")), "doc_id", "html")
-    return resolve(sequences, "doc_id", figures).withColumn("n_bytes", F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long"))
+    sequences = parse_interleaved(docs.select("doc_id", as_page(F.col("text")).alias("html"), n.alias("n_bytes")), "doc_id", "html", ("n_bytes",))
+    return resolve(sequences.withColumn("n_items", F.size("items").cast("long")), "doc_id", figures)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = media_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
+    out = media_sequences(spark.read.parquet(f"{sf_dir}/documents.parquet")).where("kind = 'media'")
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "n_items", "caption")
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can state, from op9 itself."""
+    return op9_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "media_bytes")
+
+
+MEDIA_PAYLOADS_SQL = """
+WITH raw AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+padded AS (SELECT doc_id, octet_length(b) AS n, greatest(64, (octet_length(b) + 63) // 64 * 64) AS size, b FROM raw)
+SELECT doc_id, n::BIGINT AS n_bytes, size::BIGINT AS payload_bytes,
+  sha256(b || encode(repeat(chr(0), (size - n)::BIGINT))) AS payload_sha256,
+  (size + length('P5x64 ' || (size // 64) || 'x255x'))::BIGINT AS media_bytes
+FROM padded
+"""
+
+
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page of `pages` as an interleaved sequence: its text runs and media references in reading order."""
+    items = parse_interleaved(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+
+    def of(kind: str) -> Column:
+        return F.filter("items", lambda i: i["kind"] == kind)
+
+    runs = F.array_join(F.transform(of("text"), lambda i: i["text"]), "\n")
+    return items.select("page_id", F.size("items").cast("long").alias("n_items"), F.size(of("media")).cast("long").alias("n_media"), F.length(runs).cast("long").alias("text_chars"), F.sha2(runs, 256).alias("text_sha256"))
