@@ -189,6 +189,10 @@ def _bits(terms: DataFrame) -> np.ndarray | None:
     table = np.zeros((1 << BITS) // 64, np.int64)
     for r in words:
         table[r["w"]] = r["v"]
+    return table
+
+
+def _unpacked(table: np.ndarray) -> np.ndarray:
     return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
 
 
@@ -197,7 +201,7 @@ def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, counts, mask = shipped.value, Counter(), (1 << BITS) - 1
+        bits, counts, mask = _unpacked(shipped.value), Counter(), (1 << BITS) - 1
         release()
 
         def out() -> pa.RecordBatch:
@@ -216,28 +220,37 @@ def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, least_share: float = 0.6, least_gain: float = 3.0, least_bits: float = 16.0) -> DataFrame | None:
+def disclosing_terms(docs: DataFrame, base: DataFrame, least_share: float = 0.5, least_gain: float = 3.0, least_bits: float = 16.0) -> DataFrame | None:
     """(term, kind, both, n, contexts, share, gain) of the terms beyond the thresholds; None where nothing was seen twice.
 
     kind is that of the entity, or `secret` for a word that opaque strings follow.
     """
     c = [F.col("contexts")[k].alias(f"c{k}") for k in range(3)]
-    seen = base.where(F.size("near") > 0).select(F.explode("near").alias("x"), *c).select("x.entity", "x.words", "c0", "c1", "c2")
+    holders = base.where(F.size("near") > 0)
+    seen = holders.select(F.explode("near").alias("x"), *c).select("x.entity", "x.words", "c0", "c1", "c2")
     held = write_table(seen.groupBy("entity").agg(F.count("*").alias("held")).where("held > 1"), "held")  # what one row holds is seen in one context
     near = seen.join(held, "entity").select(F.explode("words").alias("term"), "entity", "held", "c0", "c1", "c2")
     odd = base.where(F.size("opaque") > 0)
     cues = odd.select(F.explode(F.array_distinct(F.col("opaque.cue"))).alias("term"), F.lit(f"{SECRET}:").alias("entity"), F.lit(odd.count()).cast("long").alias("held"), *c).where("term != ''")
     counted = near.unionByName(cues).groupBy("term", "entity", "held").agg(F.count("*").alias("both"), *[F.countDistinct(f"c{k}").alias(f"n{k}") for k in range(3)])
     pairs = counted.withColumn("contexts", F.least("n0", "n1", "n2")).where("contexts > 1").select("term", "entity", "held", "both", "contexts")
-    pairs = write_table(pairs, "pairs")
+    total = docs.count()
+
+    def beyond(n: Column) -> DataFrame:
+        """The pairs beyond the thresholds, were the term's documents so many."""
+        share = F.col("both") / F.greatest(n, F.col("both")) * F.col("contexts") / (F.col("contexts") + 1)
+        judged = pairs.withColumn("share", share).withColumn("gain", F.log2(F.col("share") * total / F.col("held")))
+        return judged.where((F.col("share") >= least_share) & (F.col("gain") >= least_gain) & (F.col("gain") * F.col("contexts") >= least_bits))
+
+    # A term's documents are at least those where it stands near any entity, which rules common words out before all texts are read.
+    around = holders.select(F.explode(F.array_distinct(F.flatten("near.words"))).alias("term")).groupBy("term").agg(F.count("*").alias("least_n"))
+    pairs = pairs.join(around, "term", "left").withColumn("least_n", F.coalesce("least_n", F.lit(0)))
+    pairs = write_table(beyond(F.col("least_n")).drop("least_n", "share", "gain"), "pairs")
     table = _bits(pairs)
     if table is None:
         return None
-    total = docs.count()
-    share = F.col("both") / F.greatest("n", "both") * F.col("contexts") / (F.col("contexts") + 1)
-    judged = pairs.join(_document_counts(docs, table), "term").withColumn("share", share).withColumn("gain", F.log2(F.col("share") * total / F.col("held")))
-    chosen = judged.where((F.col("share") >= least_share) & (F.col("gain") >= least_gain) & (F.col("gain") * F.col("contexts") >= least_bits))
-    return write_table(chosen.select("term", F.substring_index("entity", ":", 1).alias("kind"), "both", "n", "contexts", "share", "gain"), "disclosing")
+    pairs = pairs.join(_document_counts(docs, table), "term")
+    return write_table(beyond(F.col("n")).select("term", F.substring_index("entity", ":", 1).alias("kind"), "both", "n", "contexts", "share", "gain"), "disclosing")
 
 
 def method_spans(docs: DataFrame, base: DataFrame, terms: DataFrame | None) -> DataFrame:
@@ -248,7 +261,7 @@ def method_spans(docs: DataFrame, base: DataFrame, terms: DataFrame | None) -> D
         shipped = docs.sparkSession.sparkContext.broadcast(table)
 
         def make():
-            bits, mask = shipped.value, (1 << BITS) - 1
+            bits, mask = _unpacked(shipped.value), (1 << BITS) - 1
 
             def f(keys, texts):
                 rows = []
@@ -337,3 +350,27 @@ def sanitise(docs: DataFrame) -> DataFrame:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return keyed.where("NOT __maybe").select(*names).unionByName(out.select(*names))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op10 that SQL can state, from op10 itself."""
+    return op10_pii_disclosure(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in KINDS])
+
+
+PII_BASE_SQL = r"""
+WITH found AS (
+  SELECT doc_id,
+    len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+    regexp_extract_all(coalesce(text, ''), '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    list_transform(regexp_extract_all(coalesce(text, ''), '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards,
+    list_transform(regexp_extract_all(coalesce(text, ''), '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g'))) AS phones
+  FROM documents
+)
+SELECT doc_id, n_email::BIGINT AS n_email,
+  len(list_filter(ips, lambda x: list_max(list_transform(string_split(x, '.'), lambda p: p::HUGEINT)) <= 255))::BIGINT AS n_ip,
+  len(list_filter(cards, lambda x: length(x) BETWEEN 14 AND 19 AND
+    list_sum(list_transform(range(length(x)), lambda i: CASE WHEN i % 2 = 0 THEN x[length(x) - i]::INT
+      ELSE x[length(x) - i]::INT * 2 - CASE WHEN x[length(x) - i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phones, lambda n: n BETWEEN 10 AND 15))::BIGINT AS n_phone
+FROM found
+"""
