@@ -210,3 +210,29 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_label
 def op5_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op5 that SQL can state, from op5 itself."""
+    return op5_quality_gbt(spark, sf_dir).select("doc_id", *BASE)
+
+
+QUALITY_BASE_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+parted AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, string_split(t, chr(10)) AS lines FROM docs),
+kept_lines AS (SELECT r, unnest(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM parted),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM kept_lines GROUP BY r),
+windows AS (SELECT r, i, list_slice(w, i, i + 7) AS g FROM parted, unnest(range(1, len(w) - 6)) AS u(i)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT i + d) AS n FROM again, range(8) AS o(d) GROUP BY r),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(dups.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM parted LEFT JOIN dups USING (r) LEFT JOIN covered USING (r)
+)
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base
+"""

@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: one thin query per operator."""
+"""The registered queries of this subpackage: one thin query per operator, and the parts of them that SQL can state."""
 
 from __future__ import annotations
 
@@ -15,7 +15,17 @@ QUERIES = {
     "op7_simhash_bktree": simhash.op7_simhash_bktree,
     "op8_toxicity_lexicon": toxicity.op8_toxicity_lexicon,
     "op9_media_columns": media.op9_media_columns,
+    "url_rules": urls.url_rules,
+    "quality_base": quality.quality_base,
+    "media_payloads": media.media_payloads,
+    "page_sequences": media.page_sequences,
+    "pii_base": pii.pii_base,
 }
 
-#: None of the ten can be stated in SQL as a whole; what can be is listed here.
-ORACLE_SQL: dict[str, str] = {}
+#: None of the ten can be stated in SQL as a whole; these hold the columns that can.
+ORACLE_SQL: dict[str, str] = {
+    "url_rules": urls.URL_RULES_SQL,
+    "quality_base": quality.QUALITY_BASE_SQL,
+    "media_payloads": media.MEDIA_PAYLOADS_SQL,
+    "pii_base": pii.PII_BASE_SQL,
+}

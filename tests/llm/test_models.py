@@ -35,10 +35,55 @@ def test_language_awkward(spark, awkward, nothing):
     assert langid.identify(nothing).count() == 0
     unlabelled = awkward.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(unlabelled).collect()} == {"und"}
-    kept = langid.keep_identified(awkward)
+    kept = langid.keep_identified(awkward, least_score=0)
     assert kept.dtypes == awkward.dtypes and {r.doc_id for r in kept.collect()}.isdisjoint({20, 21, 22, 25})
 
 
+@needs_tables
+def test_stage_drops_by_language_and_score(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    said = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    every = {r.doc_id for r in langid.keep_identified(docs, least_score=0).collect()}
+    some = {r.doc_id for r in langid.keep_identified(docs, ("de", "fr"), 0).collect()}
+    sure = {r.doc_id for r in langid.keep_identified(docs, None, 0.99).collect()}
+    assert every == {i for i, (lang, _) in said.items() if lang != "und"}
+    assert some == {i for i, (lang, _) in said.items() if lang in ("de", "fr")} and some < every
+    assert sure == {i for i, (lang, score) in said.items() if lang != "und" and score >= 0.99} and sure < every
+
+
+def test_copies_are_drawn_once_and_languages_are_bounded(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, "the same text over and over", "en") for k in range(3000)] + [(5000 + k, words(rng, 20), "en") for k in range(300)] + [(9000 + k, words(rng, 20).replace("the", "der"), "de") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = []
+    monkeypatch.setattr(langid, "svm", lambda x, y, **_: drawn.append(len(x)) or np.zeros(x.shape[1] + 1, np.float32))
+    langid.learn(docs, 60)
+    assert drawn and max(drawn) <= 60
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(docs, 60, most_langs=1)
+
+
+@needs_tables
+def test_language_equals_brute_force(spark):
+    """Margins of each text alone from its own n-gram counts, votes counted by hand."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    h = langid.learn(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    got = langid.batch_predictor(h)(texts)
+    for text, (lang, score) in zip(texts, got, strict=True):
+        if not langid.has_letter(text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        bins, freq = langid.profile(text)
+        margins = freq @ h.weights[bins].astype(float) + h.bias
+        family = h.families[int(np.argmax(margins[: len(h.families)]))] if len(h.families) > 1 else h.families[0]
+        wins = dict.fromkeys(h.members[family], 0)
+        for k, (f, a, b) in enumerate(h.pairs):
+            if f == family:
+                wins[a if margins[len(h.families) + k] >= 0 else b] += 1
+        assert wins[lang] == max(wins.values()) and 0 <= score <= 1
+
+
 def test_language_does_not_depend_on_neighbours():
     bins, starts = langid.grams(["abc", "déf gh", ""])
     alone = [langid.grams([t])[0] for t in ("abc", "déf gh", "")]
@@ -124,8 +169,8 @@ def test_toxicity_learns_words_folding_and_exceptions(spark):
     assert "vorklumping" in lexicon.exceptions
     a = lexicon.automaton()
     for text in ("you V0rklump", "you vоrklump", "you ｖorklump", "you v\u200borklump"):  # digit, Cyrillic letter, full width, invisible
-        assert lexicon.evidence(a, text)[2] == 1, text
-    assert lexicon.evidence(a, "so vorklumping") == (0.0, 0.0, 0)
+        assert lexicon.evidence(a, text)[1] == 1, text
+    assert lexicon.evidence(a, "so vorklumping") == (0.0, 0)
     assert lexicon.evidence(a, "zagnard " + "an er " * 500)[0] < lexicon.evidence(a, "zagnard an er")[0]
 
 
@@ -154,7 +199,59 @@ def test_toxicity_learns_short_words(spark):
     assert len(held) > 100 and all(r.predicted == truth[r.doc_id] for r in held)
     lexicon = toxicity.learn(docs, labels)
     assert {"=zug", "=qo", "=x", "壊屑", "壊悪屑"} <= lexicon.weights.keys() and "zug" not in lexicon.weights
-    assert lexicon.evidence(lexicon.automaton(), "昨日壊屑雨")[2] == 1
+    assert lexicon.evidence(lexicon.automaton(), "昨日壊屑雨")[1] == 1
+
+
+def test_toxicity_learns_exception_phrases(spark):
+    """A word that insults alone and not in one phrase."""
+    rng = random.Random(11)
+    rows, truth = [], {}
+    for k in range(900):
+        kind = k % 9
+        tail = {1: "you gronk", 2: "a hot gronk stand", 4: "gronk you"}.get(kind, "nothing")
+        rows.append((k, f"{words(rng, 30)} {tail} {words(rng, 5)}"))
+        truth[k] = int(kind in (1, 4))
+    labels = spark.createDataFrame([(k, 1, bad) for k, bad in truth.items()] + [(k, 1, bad) for k, bad in truth.items() if k % 7 == 0], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lexicon = toxicity.learn(docs, labels)
+    assert {"hot gronk", "gronk stand"} == set(lexicon.exceptions) and "gronk" not in lexicon.exceptions
+    held = [r for r in toxicity.toxicity(docs, labels).collect() if r.held_out]
+    assert len(held) > 100 and all(r.predicted == truth[r.doc_id] for r in held)
+
+
+def test_toxicity_equals_brute_force():
+    """Evidence by a scan of all entries in all words."""
+    rng = random.Random(13)
+    lexicon = toxicity.Lexicon({"bad": 2.0, "badger": 0.5, "=ad": 3.0, "orse": 1.0}, frozenset(("badge", "the horse")), (1.0, -1.0))
+    a = lexicon.automaton()
+    for _ in range(2000):
+        parts = [rng.choice(["bad", "BADGER", "badge", "ad", "ads", "horse", "the", "b4d", "ба d", "x"]) for _ in range(rng.randint(0, 8))]
+        text = "".join(p + rng.choice([" ", ", ", "-", "\n"]) for p in parts)
+        folded, total, n = toxicity.fold(text), 0.0, 0
+        found = [(m.start(), m.end(), m[0]) for m in toxicity.WORD.finditer(folded)]
+        for k, (_, _, w) in enumerate(found):
+            best = max((x for e, x in lexicon.weights.items() if (e[1:] == w if e[0] == "=" else e in w)), default=0.0)
+            before = found[k - 1][2] if k else ""
+            if best and w not in lexicon.exceptions and f"{before} {w}" not in lexicon.exceptions:
+                total, n = total + best, n + 1
+        want = total / np.log(folded.count(" ") + folded.count("\n") + 1 + 10.0) if n else 0.0
+        got = lexicon.evidence(a, text)
+        assert got[1] == n and abs(got[0] - want) < 1e-9, text
+
+
+@pytest.mark.parametrize("text", ["вad", "кill", "𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "🅘🅓🅘🅞🅣", "ｉｄｉｏｔ", "1d10t", "$tupid", "sh!t", "id|ot", "s\u200bhit"])
+def test_toxicity_folds(text):
+    assert toxicity.fold(text) in ("bad", "kill", "idiot", "stupid", "shit", "idlot"), toxicity.fold(text)
+    assert toxicity.fold("wow!! cost $5 a|") == "wow!! cost $s a|"
+
+
+@needs_tables
+def test_toxicity_held_out(spark):
+    big = SF.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    met = toxicity.op8_toxicity_lexicon(spark, big).join(labels.select("doc_id", "toxic"), "doc_id").where("held_out").cache()
+    toxic, clean = met.where("toxic = 1"), met.where("toxic = 0")
+    assert toxic.where("predicted = 1").count() >= 0.85 * toxic.count() and clean.where("predicted = 0").count() >= 0.97 * clean.count()
 
 
 def test_toxicity_keeps_all_entries_that_pass(spark):
@@ -190,8 +287,8 @@ def test_urls(spark, nothing):
         (None, "", "", None, None),
         ("", "", "", None, None),
         ("http://ÀB.org/x\ny", "Àb.org", "/x\ny", None, None),
-        ("http://www.casino-win.example.com/en/3", "www.casino-win.example.com", "/en/3", None, "block"),
-        ("http://library.example.com/en/3", "library.example.com", "/en/3", None, "allow"),
+        ("http://www.luckycasino.example.com/en/3", "www.luckycasino.example.com", "/en/3", None, "block"),
+        ("http://townlibrary.example.com/en/3", "townlibrary.example.com", "/en/3", None, "allow"),
         ("http://" + "x" * 5000 + ".com/", "x" * 5000 + ".com", "/", None, None),
     ]
     pages = spark.createDataFrame([(k, c[0], "clash") for k, c in enumerate(cases)] + [(0, cases[0][0], "clash")], "page_id long, url string, score string")
@@ -204,6 +301,52 @@ def test_urls(spark, nothing):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
+def test_url_scores_equal_brute_force(spark):
+    """The logit of each URL as a sum over its hashed n-grams, in plain Python."""
+    import xxhash
+
+    weights, intercept = urls.fit(spark)
+    cases = ["https://www.bingo-world.com/en/77?x", "http://museum.example.org/wiki/art.html", "no url", "http://a", "http://ÀB.org/x/é"]
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages, rules=()).collect()}
+    for k in range(len(cases)):
+        total = intercept
+        for text, mark, first in ((got[k].host, "h", 0), (got[k].path.translate(str.maketrans("123456789", "000000000")), "p", urls.BINS)):
+            framed = f"^{text}$"
+            grams = {mark + framed[i : i + n] for n in urls.GRAMS for i in range(max(1, len(framed) - n + 1))} if text else set()
+            bins = {xxhash.xxh64_intdigest(g.encode(), 42) % urls.BINS + first for g in grams}
+            total += sum(weights[b] for b in bins) / max(1, len(bins)) ** 0.5
+        assert abs(got[k].score - 1 / (1 + np.exp(-total))) < 1e-4
+
+
+@needs_tables
+def test_labelled_urls_share_no_host_with_the_tables(spark):
+    own = {name for name, _, _ in urls.labelled_urls()}
+    root = os.path.dirname(SF)
+    for table in sorted(os.listdir(root)):
+        at = f"{root}/{table}/pages.parquet"
+        if os.path.exists(at):
+            hosts = spark.read.parquet(at).select(urls.host_of(F.col("url")).alias("host")).distinct()
+            labels = {r[0] for r in hosts.select(F.explode(F.split("host", r"\."))).distinct().collect()}
+            assert labels.isdisjoint(own), labels & own
+
+
+def test_urls_of_unseen_subjects_and_hosts(spark):
+    """Hosts of the table are left out in turn: the share judged right."""
+    import zlib
+
+    rows = urls.labelled_urls()
+    right = total = 0
+    for fold in range(2):
+        out = [zlib.crc32(name.encode()) % 2 == fold for name, _, _ in rows]
+        table = spark.createDataFrame([(u, float(y)) for (_, u, y), o in zip(rows, out, strict=True) if not o], "url string, label double")
+        held = [(k, u, y) for k, ((_, u, y), o) in enumerate(zip(rows, out, strict=True)) if o]
+        got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame([h[:2] for h in held], "page_id long, url string"), (), table).collect()}
+        right += sum((got[k] == "block") == bool(y) for k, _, y in held)
+        total += len(held)
+    assert right >= 0.9 * total
+
+
 def test_urls_run_no_python(spark):
     pages = spark.createDataFrame([(1, "http://a.com/b")], "page_id long, url string")
     spark.range(1).count()
