@@ -21,41 +21,61 @@ def fill(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, scoring: Sco
     """Scores, a row for each pattern character; starts: where each text begins. left: the column before a single text, with its corner."""
     n, m = len(text), len(pattern)
     out = np.empty((m, n), np.int32)
+    pairs = scoring.rows(pattern, text)
     first = np.zeros(n, bool)
     first[starts] = True
-    base = np.arange(n, dtype=np.int64) * scoring.gap + np.cumsum(first) * (scoring.match * m + scoring.gap + 1)
+    step = scoring.most * m + scoring.gap + 1
+    wide = n * scoring.gap + len(starts) * step + step >= 1 << 30
+    base = np.arange(n, dtype=np.int64) * scoring.gap + np.cumsum(first) * step
+    base = base if wide else base.astype(np.int32)
     above = np.zeros(n, np.int32)
-    diag = np.empty(n, np.int32)
-    for i in range(m):
+    diag, t, run = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, base.dtype)
+    gap = np.int32(scoring.gap)
+    for i, code in enumerate(pattern.tolist()):
         diag[1:] = above[:-1]
         diag[starts] = 0 if left is None else left[i]
-        t = diag + np.where(text == pattern[i], np.int32(scoring.match), np.int32(scoring.mismatch))
-        np.maximum(t, above - np.int32(scoring.gap), out=t)
+        np.subtract(above, gap, out=t)
         np.maximum(t, 0, out=t)
+        diag += pairs[code]
+        np.maximum(t, diag, out=t)
         if left is not None and n:
             t[0] = max(t[0], left[i + 1] - scoring.gap)
-        above = (np.maximum.accumulate(t + base) - base).astype(np.int32)
-        out[i] = above
+        np.add(t, base, out=run)
+        np.maximum.accumulate(run, out=run)
+        run -= base
+        out[i] = run
+        above = out[i]
     return out
 
 
+def _edges(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each run of equal values begins, its length)."""
+    edge = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.zeros(0, np.int64)
+    return edge, np.diff(np.append(edge, len(segment)))
+
+
 def best_cells(h: np.ndarray, segment: np.ndarray, k: int, ties: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, columns, scores) of the k best positive cells of each segment by score, then column, then row; with ties also all equal to the k-th."""
+    """(rows, columns, scores) of the k best positive cells of each segment by score, then column, then row; with ties also all equal to the k-th.
+
+    Segments lie one after the other. Only columns that reach the k-th best
+    column of their segment are looked at.
+    """
     top = h.max(axis=0)
-    order = np.lexsort((-top, segment))
-    seg = segment[order]
-    edge = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])) if len(seg) else np.zeros(0, np.int64)
-    size = np.diff(np.append(edge, len(seg)))
-    bound = np.where(size >= k, top[order][np.minimum(edge + k, edge + size) - 1], 1)  # k columns reach it, so the k-th cell does
-    x, y = np.nonzero(h >= np.maximum(np.repeat(bound, size), 1)[np.argsort(order, kind="stable")])
+    edge, size = _edges(segment)
+    if k == 1 and len(edge):
+        bound = np.maximum.reduceat(top, edge)
+    else:
+        bound = np.array([np.partition(top[a : a + n], n - k)[n - k] if n > k else 1 for a, n in zip(edge.tolist(), size.tolist(), strict=True)], np.int64)
+    least = np.maximum(np.repeat(bound, size), 1)
+    columns = np.flatnonzero(top >= least)
+    x, y = np.nonzero(h[:, columns] >= least[columns])
+    y = columns[y]
     score = h[x, y]
     by = np.lexsort((x, y, -score, segment[y]))
     x, y, score = x[by], y[by], score[by]
-    seg = segment[y]
-    edge = np.flatnonzero(np.append(True, seg[1:] != seg[:-1])) if len(seg) else np.zeros(0, np.int64)
-    size = np.diff(np.append(edge, len(seg)))
-    keep = np.arange(len(seg)) - np.repeat(edge, size) < k
-    if ties and len(seg):
+    edge, size = _edges(segment[y])
+    keep = np.arange(len(y)) - np.repeat(edge, size) < k
+    if ties and len(y):
         keep |= score == np.repeat(score[np.minimum(edge + k, edge + size) - 1], size)
     return x[keep], y[keep], score[keep]
 
@@ -68,7 +88,7 @@ def walk(h: np.ndarray, pattern: str, text: str, x: int, y: int, scoring: Scorin
         v = int(h[x, y])
         corner = int(h[x - 1, y - 1]) if x and y > origin else 0
         a, b = pattern[x], text[y - origin]
-        if v == corner + (scoring.match if a == b else scoring.mismatch):
+        if v == corner + scoring.pair(a, b):
             p.append(a)
             s.append(b)
             x, y = x - 1, y - 1

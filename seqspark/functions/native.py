@@ -26,8 +26,22 @@ def symbol_index(char: Column, alphabet: str = "ACGTN") -> Column:
     return F.instr(F.lit(alphabet), char) - 1
 
 
+def conform(text: Column, scoring: Scoring) -> Column:
+    """A sequence as the scoring reads it: symbols outside the alphabet stay, are refused, or become N."""
+    outside = "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in scoring.alphabet) + "]"
+    if scoring.unknown == "as_n":
+        return F.regexp_replace(text, outside, "N")
+    if scoring.unknown == "error":
+        return F.when(text.rlike(outside), F.raise_error(F.concat(F.lit("symbol outside the alphabet: "), F.regexp_extract(text, outside, 0)))).otherwise(text)
+    return text
+
+
 def pair_score(a: Column, b: Column, scoring: Scoring = Scoring()) -> Column:
-    return F.when(a == b, F.lit(scoring.match)).otherwise(F.lit(scoring.mismatch))
+    same = F.when(a == b, F.lit(scoring.match)).otherwise(F.lit(scoring.mismatch))
+    if scoring.matrix is None:
+        return same
+    known = F.create_map(*[F.lit(x) for i, c in enumerate(scoring.alphabet) for j, d in enumerate(scoring.alphabet) for x in (c + d, scoring.matrix[i][j])])
+    return F.coalesce(F.try_element_at(known, F.concat(a, b)), same)
 
 
 def slice_inclusive(text: Column, begin: Column, end: Column) -> Column:
@@ -50,7 +64,7 @@ def best_score(pattern: Column, text: Column, scoring: Scoring = Scoring()) -> C
     def step(acc: Column, d: Column) -> Column:
         def cell(i: Column) -> Column:
             j = d - i
-            met = F.when(F.substring(pattern, i, F.lit(1)) == F.substring(text, j, F.lit(1)), F.lit(scoring.match)).otherwise(F.lit(scoring.mismatch))
+            met = pair_score(F.substring(pattern, i, F.lit(1)), F.substring(text, j, F.lit(1)), scoring)
             value = F.greatest(F.lit(0), F.get(acc["a"], i - 1) + met, F.get(acc["b"], i - 1) - scoring.gap, F.get(acc["b"], i) - scoring.gap)
             return F.when((i >= 1) & (j >= 1) & (j <= n), value).otherwise(F.lit(0))
 

@@ -1,4 +1,7 @@
-"""The aligner as SQL functions: align_score(p, s), and the table functions align_hits(p, s, k) and align(p, s, k)."""
+"""The aligner as SQL functions: align_score(p, s), and the table functions align_hits(p, s, k) and align(p, s, k).
+
+All take match, mismatch and gap as further arguments; by default those of Scoring.
+"""
 
 from __future__ import annotations
 
@@ -17,16 +20,16 @@ def _matrix(p: str | None, s: str | None, scoring: Scoring) -> np.ndarray | None
 
 
 class Hits:
-    def eval(self, p: str, s: str, k: int) -> Iterator[tuple]:
-        h = _matrix(p, s, Scoring())
+    def eval(self, p: str, s: str, k: int, match: int = 3, mismatch: int = -3, gap: int = 2) -> Iterator[tuple]:
+        h = _matrix(p, s, Scoring(match, mismatch, gap))
         if h is not None:
             for x, y, v in zip(*(c.tolist() for c in best_cells(h, np.zeros(h.shape[1], np.int64), k)), strict=True):
                 yield v, x, y
 
 
 class Alignments:
-    def eval(self, p: str, s: str, k: int) -> Iterator[tuple]:
-        scoring = Scoring()
+    def eval(self, p: str, s: str, k: int, match: int = 3, mismatch: int = -3, gap: int = 2) -> Iterator[tuple]:
+        scoring = Scoring(match, mismatch, gap)
         h = _matrix(p, s, scoring)
         if h is not None:
             for rank, (x, y, v) in enumerate(zip(*(c.tolist() for c in best_cells(h, np.zeros(h.shape[1], np.int64), k)), strict=True), 1):
@@ -38,12 +41,19 @@ def register(spark: SparkSession) -> None:
     """Makes the functions known to the session's SQL; null and empty inputs score 0 and have no hits."""
 
     @F.pandas_udf("int")
-    def align_score(p, s):
+    def align_score(p, s, match=None, mismatch=None, gap=None):
         import pandas as pd
 
-        scored = [_matrix(a, b, Scoring()) for a, b in zip(p, s, strict=True)]
-        return pd.Series([0 if h is None else int(h.max()) for h in scored], dtype="int32")
+        frame = pd.DataFrame({"p": p, "s": s, "match": 3 if match is None else match, "mismatch": -3 if mismatch is None else mismatch, "gap": 2 if gap is None else gap})
+        out = np.zeros(len(frame), np.int32)
+        told = frame[(frame["p"].fillna("") != "") & (frame["s"].fillna("") != "")]
+        for (pattern, *costs), rows in told.groupby(["p", "match", "mismatch", "gap"]):  # all texts of one pattern at a time
+            texts = [code_points(t) for t in rows["s"]]
+            size = np.array([len(t) for t in texts])
+            h = fill(code_points(pattern), np.concatenate(texts), size.cumsum() - size, Scoring(*map(int, costs)))
+            out[frame.index.get_indexer(rows.index)] = np.maximum.reduceat(h.max(axis=0), size.cumsum() - size)
+        return pd.Series(out, dtype="int32")
 
     spark.udf.register("align_score", align_score)
-    spark.udtf.register("align_hits", F.udtf(Hits, returnType="score int, x_end int, y_end int"))
-    spark.udtf.register("align", F.udtf(Alignments, returnType="rank int, score int, x_start int, x_end int, y_start int, y_end int, aligned_p string, aligned_s string"))
+    spark.udtf.register("align_hits", F.udtf(Hits, returnType="score int, x_end int, y_end int", useArrow=True))
+    spark.udtf.register("align", F.udtf(Alignments, returnType="rank int, score int, x_start int, x_end int, y_start int, y_end int, aligned_p string, aligned_s string", useArrow=True))

@@ -1,10 +1,13 @@
 """Local alignment of a set of patterns against a table of sequences.
 
-Patterns go to every task (their size is checked; more are taken in blocks).
+Patterns go to every task while they are few (their size is checked); a larger
+set is a table of blocks that chunks are joined with.
 Sequences are cut into chunks that carry on their left as many characters as an
 alignment can span, so chunks are filled on their own and every cell of a
 chunk's core has the value that it has in the whole matrix. Tasks keep the k
-best cells of each chunk; a window keeps the k best of all.
+best cells of each chunk; a window keeps the k best of all. Where alignments are
+wanted, a hit carries the stretch of its sequence that the walk back needs, so
+sequences are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -18,11 +21,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.kernels import best_cells, code_points, fill, walk
+from ..functions.native import conform
 from ..functions.scoring import Scoring
+from ..plans.tables import written
 
 CORE = 65_536
 CELLS = 2_000_000
 BLOCK_CHARS = 100_000
+#: Blocks of patterns that go with the plan; more are joined as a table.
+FEW_BLOCKS = 4
+#: Hits that are sent to all tasks at most.
+MOST_SENT = 100_000
+#: Rows over which each chunk's partners in a table of blocks are spread.
+SPREAD = 32
 
 
 def _ordered(*first: str) -> list[Column]:
@@ -84,35 +95,67 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring: Scoring, ties: bool = False) -> DataFrame:
-    """(pattern_id, seq_id, chunk_idx, score, x_end, y_end): the k best cells of each pattern in each chunk's core."""
+def _pattern_blocks_table(patterns: DataFrame, total: int) -> tuple[DataFrame, int]:
+    """((block, block_patterns), blocks): patterns dealt to blocks of about BLOCK_CHARS characters."""
+    blocks_ = -(-total // BLOCK_CHARS)
+    some = patterns.where(F.length("seq") > 0).select(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks_)).cast("int").alias("block"), F.struct(F.col("pattern_id").cast("long").alias("id"), "seq").alias("p"))
+    return some.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("block_patterns")), blocks_
+
+
+def _with_blocks(cut: DataFrame, table: DataFrame, blocks_: int) -> DataFrame:
+    """Every chunk with every block of patterns, joined on the block and one of SPREAD places, so that a block's partners are in many tasks."""
+    place = F.pmod(F.xxhash64("seq_id", "chunk_idx"), F.lit(SPREAD)).cast("int")
+    left = cut.select("*", place.alias("place"), F.explode(F.sequence(F.lit(0), F.lit(blocks_ - 1))).alias("block"))
+    right = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("place"))
+    return left.join(right, ["block", "place"]).select(*cut.columns, "block_patterns")
+
+
+def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]] | None, k: int, scoring: Scoring, ties: bool = False, stretches: bool = False) -> DataFrame:
+    """(pattern_id, seq_id, chunk_idx, score, x_end, y_end): the k best cells of each pattern in each chunk's core.
+
+    Without a list of patterns, each row has its own in block_patterns. With
+    stretches also (begin, stretch): twice an alignment's span up to the cell.
+    """
     kind = dict(cut.dtypes)["seq_id"]
-    shipped = cut.sparkSession.sparkContext.broadcast([(i, code_points(p)) for i, p in patterns])
+    shipped = cut.sparkSession.sparkContext.broadcast([(i, code_points(p)) for i, p in patterns]) if patterns is not None else None
+
+    def found(batch: pa.RecordBatch, texts: list[np.ndarray], pid: int, pattern: np.ndarray, a: int, b: int) -> pa.RecordBatch | None:
+        ids, idx = batch.column(0), batch.column(1)
+        start, skip = np.asarray(batch.column(2)), np.asarray(batch.column(3)).astype(np.int64)
+        text = np.concatenate(texts[a:b])
+        size = np.array([len(t) for t in texts[a:b]])
+        first = size.cumsum() - size
+        segment = np.repeat(np.arange(a, b), size)
+        h = fill(pattern, text, first, scoring)
+        if skip[a:b].any():
+            for at, n in zip(first.tolist(), skip[a:b].tolist(), strict=True):
+                h[:, at : at + n] = 0
+        x, y, score = best_cells(h, segment, k, ties)
+        if not len(x):
+            return None
+        at = pa.array(segment[y])
+        inner = y - first[segment[y] - a]
+        columns = [pa.array(np.full(len(x), pid, np.int64)), ids.take(at), idx.take(at), pa.array(score.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array((start[segment[y]] + inner).astype(np.int64))]
+        if stretches:
+            lo = np.maximum(inner - 2 * scoring.reach(len(pattern)) + 1, 0)
+            columns += [pa.array((start[segment[y]] + lo).astype(np.int64)), pa.array([texts[t][i : j + 1].tobytes().decode("utf-32-le") for t, i, j in zip(segment[y].tolist(), lo.tolist(), inner.tolist(), strict=True)])]
+        return pa.RecordBatch.from_arrays(columns, names=["pattern_id", "seq_id", "chunk_idx", "score", "x_end", "y_end", "begin", "stretch"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, idx = batch.column(0), batch.column(1)
-            start = np.asarray(batch.column(2))
-            skip = np.asarray(batch.column(3)).astype(np.int64)
             texts = [code_points(t) for t in batch.column(4).to_pylist()]
             sizes = list(map(len, texts))
-            for pid, pattern in shipped.value:
-                for a, b in _groups(sizes, max(1, CELLS // len(pattern))):
-                    text = np.concatenate(texts[a:b])
-                    size = np.array(sizes[a:b])
-                    first = size.cumsum() - size
-                    segment = np.repeat(np.arange(a, b), size)
-                    h = fill(pattern, text, first, scoring)
-                    inner = np.arange(len(text)) - np.repeat(first, size)
-                    halo = inner < skip[segment]
-                    if halo.any():
-                        h[:, halo] = 0
-                    x, y, score = best_cells(h, segment, k, ties)
-                    if len(x):
-                        at = pa.array(segment[y])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), pid, np.int64)), ids.take(at), idx.take(at), pa.array(score.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array((start[segment[y]] + inner[y]).astype(np.int64))], names=["pattern_id", "seq_id", "chunk_idx", "score", "x_end", "y_end"])
+            if shipped is not None:
+                jobs = ((pid, p, a, b) for pid, p in shipped.value for a, b in _groups(sizes, max(1, CELLS // len(p))))
+            else:
+                jobs = ((x["id"], code_points(x["seq"]), r, r + 1) for r, row in enumerate(batch.column(5)) for x in row.as_py())
+            for pid, p, a, b in jobs:
+                out = found(batch, texts, pid, p, a, b)
+                if out is not None:
+                    yield out
 
-    return cut.mapInArrow(run, f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long")
+    schema = f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long" + (", begin long, stretch string" if stretches else "")
+    return cut.mapInArrow(run, schema)
 
 
 def best(hits: DataFrame, k: int, per_pair: bool = False, ties: bool = False) -> DataFrame:
@@ -126,33 +169,39 @@ def best(hits: DataFrame, k: int, per_pair: bool = False, ties: bool = False) ->
     return hits.withColumn("rank", (F.rank() if ties else F.row_number()).over(w)).where(F.col("rank") <= k)
 
 
-def align_hits(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring = Scoring(), per_pair: bool = False, ties: bool = False, core: int = CORE) -> DataFrame:
+def align_hits(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring = Scoring(), per_pair: bool = False, ties: bool = False, core: int = CORE, stretches: bool = False) -> DataFrame:
     """(pattern_id, seq_id, chunk_idx, score, x_end, y_end, rank): the k best cells, 0-based ends, ordered by score, then place.
 
     Only positive scores are hits; empty and null sequences and patterns have none; seq_id must be unique.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    out = None
-    for block in pattern_blocks(patterns):
-        halo = scoring.reach(max(len(p) for _, p in block))
-        found = chunk_hits(chunks(seqs, max(core, 4 * halo), halo), block, k, scoring, ties)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        kind = dict(seqs.dtypes)["seq_id"]
-        out = seqs.sparkSession.createDataFrame([], f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long")
-    return best(out, k, per_pair, ties)
+    if scoring.unknown != "free":
+        seqs, patterns = (df.withColumn("seq", conform(F.col("seq"), scoring)) for df in (seqs, patterns))
+    size = patterns.agg(F.sum(F.length("seq")), F.max(F.length("seq"))).first()
+    total, longest = size[0] or 0, size[1] or 0
+    kind = dict(seqs.dtypes)["seq_id"]
+    schema = f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long" + (", begin long, stretch string" if stretches else "")
 
+    def cut(reach: int) -> DataFrame:
+        halo = reach * (2 if stretches else 1)
+        return chunks(seqs, max(core, 4 * halo), halo)
 
-def trace(hits: DataFrame, seqs: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
-    """hits with x_start, y_start, aligned_p and aligned_s: each hit's own stretch of its sequence is filled again and walked back.
+    if total > FEW_BLOCKS * BLOCK_CHARS:
+        table, n = _pattern_blocks_table(patterns, total)
+        out = chunk_hits(_with_blocks(cut(scoring.reach(longest)), table, n), None, k, scoring, ties, stretches)
+    else:
+        out = None
+        for block in pattern_blocks(patterns):
+            found = chunk_hits(cut(scoring.reach(max(len(p) for _, p in block))), block, k, scoring, ties, stretches)
+            out = found if out is None else out.unionByName(found)
+        if out is None:
+            out = seqs.sparkSession.createDataFrame([], schema)
+    return best(out, k, per_pair, ties)
 
-    The stretch reaches twice an alignment's span to the left, so every cell that the walk looks at is exact.
-    """
-    span = 2 * (F.length("p") + F.ceil(F.length("p") * scoring.match / scoring.gap)).cast("long")
-    met = hits.join(patterns.select("pattern_id", F.col("seq").alias("p")), "pattern_id").join(seqs.select("seq_id", "seq"), "seq_id")
-    begin = F.greatest(F.col("y_end") - span + 1, F.lit(0).cast("long"))
-    cut = met.withColumn("begin", begin).withColumn("part", F.substring("seq", (F.col("begin") + 1).cast("int"), (F.col("y_end") - F.col("begin") + 1).cast("int"))).drop("seq")
+
+def _walked_back(hits: DataFrame, scoring: Scoring, names: list[str]) -> DataFrame:
+    """hits with their pattern p, and the stretch of their sequence from begin on, with what the walk back tells."""
 
     @F.pandas_udf("x_start int, y_start long, aligned_p string, aligned_s string")
     def walked(p, part, x, y, begin):
@@ -165,13 +214,53 @@ def trace(hits: DataFrame, seqs: DataFrame, patterns: DataFrame, scoring: Scorin
             rows.append((i, o + j, ap, as_))
         return pd.DataFrame(rows, columns=["x_start", "y_start", "aligned_p", "aligned_s"])
 
-    done = cut.withColumn("w", walked("p", "part", "x_end", "y_end", "begin"))
-    return done.select(*hits.columns, "w.*")
+    return hits.withColumn("w", walked("p", "stretch", "x_end", "y_end", "begin")).select(*names, "w.*")
+
+
+def trace(hits: DataFrame, seqs: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
+    """hits with x_start, y_start, aligned_p and aligned_s, for hits from elsewhere: each hit's own stretch of its sequence is filled again and walked back.
+
+    The stretch reaches twice an alignment's span to the left, so every cell that
+    the walk looks at is exact. Few hits are sent to where the sequences are;
+    sequences are shuffled only for more than MOST_SENT hits.
+    """
+    if scoring.unknown != "free":
+        seqs, patterns = (df.withColumn("seq", conform(F.col("seq"), scoring)) for df in (seqs, patterns))
+    span = 2 * (F.length("p") + F.ceil(F.length("p") * scoring.most / scoring.gap)).cast("long")
+    named = written(hits.join(patterns.select("pattern_id", F.col("seq").alias("p")), "pattern_id"), "hits")
+    few = named.limit(MOST_SENT + 1).count() <= MOST_SENT
+    met = seqs.select("seq_id", "seq").join(F.broadcast(named) if few else named, "seq_id")
+    begin = F.greatest(F.col("y_end") - span + 1, F.lit(0).cast("long"))
+    cut = met.withColumn("begin", begin).withColumn("stretch", F.substring("seq", (F.col("begin") + 1).cast("int"), (F.col("y_end") - F.col("begin") + 1).cast("int"))).drop("seq")
+    return _walked_back(cut, scoring, hits.columns)
 
 
 def align(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring = Scoring(), per_pair: bool = False, core: int = CORE) -> DataFrame:
-    """align_hits with their alignments."""
-    return trace(align_hits(seqs, patterns, k, scoring, per_pair, core=core), seqs, patterns, scoring)
+    """align_hits with their alignments; the stretches that the walk back needs come with the hits."""
+    hits = align_hits(seqs, patterns, k, scoring, per_pair, core=core, stretches=True)
+    named = hits.join(patterns.select("pattern_id", conform(F.col("seq"), scoring).alias("p")), "pattern_id")
+    return _walked_back(named, scoring, [c for c in hits.columns if c not in ("begin", "stretch")])
+
+
+def boundary(seqs: DataFrame, patterns: DataFrame, right: bool, scoring: Scoring = Scoring()) -> DataFrame:
+    """(pattern_id, seq_id, edge): the last column (right) or the last row of every matrix, what the next piece of either side needs."""
+    kind = dict(seqs.dtypes)["seq_id"]
+    shipped = seqs.sparkSession.sparkContext.broadcast([(i, code_points(p)) for b in pattern_blocks(patterns) for i, p in b])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [code_points(t) for t in batch.column(1).to_pylist()]
+            sizes = list(map(len, texts))
+            for pid, pattern in shipped.value:
+                for a, b in _groups(sizes, max(1, CELLS // len(pattern))):
+                    size = np.array(sizes[a:b])
+                    ends = size.cumsum()
+                    h = fill(pattern, np.concatenate(texts[a:b]), ends - size, scoring)
+                    cells = h[:, ends - 1].T.ravel() if right else h[-1]
+                    offsets = np.append(0, np.full(b - a, len(pattern)).cumsum() if right else ends).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, pid, np.int64)), batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(cells)))], names=["pattern_id", "seq_id", "edge"])
+
+    return seqs.where(F.length("seq") > 0).select("seq_id", "seq").mapInArrow(run, f"pattern_id long, seq_id {kind}, edge array<int>")
 
 
 def statistics(alignments: DataFrame) -> DataFrame:
@@ -208,7 +297,8 @@ def cells(seqs: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring()) ->
                     corner, up, left = pad[:-1, :-1].copy(), pad[:-1, 1:], pad[1:, :-1].copy()
                     corner[:, first] = 0
                     left[:, first] = 0
-                    met = np.where(text[None, :] == pattern[:, None], scoring.match, scoring.mismatch)
+                    pairs = scoring.rows(pattern, text)
+                    met = np.stack([pairs[c] for c in pattern.tolist()])
                     ways = [(left - scoring.gap == h, 3), (up - scoring.gap == h, 2)]
                     way = np.zeros_like(h)
                     for ok, d in ways[::-1] if left_first else ways:

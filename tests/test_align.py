@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import native
+from seqspark.functions.kernels import best_cells
+from seqspark.functions.scoring import Scoring
 from seqspark.functions.sql import register
 from seqspark.operators import align as ops
 
@@ -34,7 +37,9 @@ def test_chunks_do_not_change_hits(spark, long_seqs, per_pair, monkeypatch):
     cut = rows(ops.align_hits(seqs, patterns, 4, per_pair=per_pair, core=60).select(*keep))
     assert whole == cut and whole
     monkeypatch.setattr(ops, "BLOCK_CHARS", 5)
-    assert rows(ops.align_hits(seqs, patterns, 4, per_pair=per_pair, core=60).select(*keep)) == whole
+    for few in (100, 1):  # blocks in the plan, and a table of blocks
+        monkeypatch.setattr(ops, "FEW_BLOCKS", few)
+        assert rows(ops.align_hits(seqs, patterns, 4, per_pair=per_pair, core=60).select(*keep)) == whole
 
 
 def test_alignments_of_chunks(spark, long_seqs):
@@ -45,6 +50,69 @@ def test_alignments_of_chunks(spark, long_seqs):
         assert 3 * r.n_match - 3 * r.n_mismatch - 2 * r.n_gap == r.score
 
 
+def test_trace_of_given_hits(spark, long_seqs, monkeypatch):
+    seqs, patterns = tables(spark, long_seqs)
+    want = rows(ops.align(seqs, patterns, 3, core=64).drop("chunk_idx"))
+    hits = ops.align_hits(seqs, patterns, 3, core=64)
+    assert rows(ops.trace(hits, seqs, patterns).drop("chunk_idx")) == want
+    monkeypatch.setattr(ops, "MOST_SENT", 1)
+    assert rows(ops.trace(hits, seqs, patterns).drop("chunk_idx")) == want
+
+
+def test_no_sequence_is_broadcast_or_joined(spark, long_seqs):
+    seqs, patterns = tables(spark, long_seqs)
+    plan = ops.align(seqs, patterns, 3)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert len(joins) == 1 and "pattern_id" in joins[0] and "seq_id" not in joins[0]
+
+
+@pytest.mark.parametrize("k", [1, 2, 7])
+@pytest.mark.parametrize("ties", [False, True])
+def test_best_cells_equal_a_full_sort(k, ties):
+    rng = np.random.default_rng(k)
+    for _ in range(30):
+        h = rng.integers(0, 6, (4, 40)).astype(np.int32)
+        segment = np.sort(rng.integers(0, 5, 40))
+        got = list(zip(*(c.tolist() for c in best_cells(h, segment, k, ties)), strict=True))
+        want = []
+        for s in sorted(set(segment.tolist())):
+            cells = sorted((-int(h[x, y]), int(y), x) for x in range(4) for y in np.flatnonzero(segment == s) if h[x, y] > 0)
+            bound = cells[k - 1][0] if len(cells) >= k else 0
+            want += [(x, y, -v) for n, (v, y, x) in enumerate(cells) if n < k or (ties and v == bound)]
+        assert got == want
+
+
+def test_matrix_and_unknown_symbols(spark):
+    matrix = ((5, -4, 0), (-4, 5, 0), (0, 0, -1))
+    scoring = Scoring(alphabet="ABN", matrix=matrix, gap=3)
+
+    def plain(p, s):
+        h, best = [[0] * (len(s) + 1) for _ in range(len(p) + 1)], 0
+        for i, a in enumerate(p, 1):
+            for j, b in enumerate(s, 1):
+                h[i][j] = max(0, h[i - 1][j - 1] + scoring.pair(a, b), h[i - 1][j] - 3, h[i][j - 1] - 3)
+                best = max(best, h[i][j])
+        return best
+
+    rng = random.Random(2)
+    seqs, patterns = tables(spark, [(i, "".join(rng.choice("ABNZ") for _ in range(30))) for i in range(20)], [(0, "ABBA"), (1, "ZNAB")])
+    want = sorted((p.pattern_id, s.seq_id, plain(p.seq, s.seq)) for p in patterns.collect() for s in seqs.collect())
+    assert rows(ops.align_hits(seqs, patterns, 1, scoring, per_pair=True, core=8).select("pattern_id", "seq_id", "score")) == want
+    pairs = ops.with_patterns(seqs, patterns)
+    assert rows(pairs.select("pattern_id", "seq_id", native.best_score(F.col("p"), F.col("seq"), scoring).alias("score"))) == want
+    for r in ops.align(seqs, patterns, 2, scoring).collect():
+        assert r.score == sum(-3 if "-" in (a, b) else scoring.pair(a, b) for a, b in zip(r.aligned_p, r.aligned_s, strict=True))
+    as_n = Scoring(alphabet="ABN", matrix=matrix, gap=3, unknown="as_n")
+    read = [(r.seq_id, r.seq.replace("Z", "N")) for r in seqs.collect()]
+    clean = tables(spark, read, [(0, "ABBA"), (1, "NNAB")])
+    assert rows(ops.align(seqs, patterns, 2, as_n)) == rows(ops.align(*clean, 2, scoring))
+    with pytest.raises(Exception, match="outside the alphabet"):
+        ops.align_hits(seqs, patterns, 1, Scoring(alphabet="ABN", unknown="error")).collect()
+    for bad in ({"matrix": ((1,),)}, {"alphabet": "AA"}, {"unknown": "x"}, {"alphabet": "AB", "unknown": "as_n"}):
+        with pytest.raises(ValueError):
+            Scoring(**bad)
+
+
 def test_edge_cases(spark):
     seqs, patterns = tables(spark, [(1, ""), (2, None), (3, "CCC")], [(0, "AAA")])
     assert ops.align_hits(seqs, patterns, 2).count() == 0
@@ -70,6 +138,8 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT x.* FROM VALUES ('GGTTGACTA', 'TGTTACGG') t(p, s), LATERAL align(t.p, t.s, 1) x").first()
     assert (r.score, r.aligned_p, r.aligned_s, r.y_end) == (13, "GTTGAC", "GTT-AC", 5)
     assert spark.sql("SELECT count(*) FROM align_hits('ACGT', 'ACGT', 3)").first()[0] == 3
+    assert spark.sql("SELECT align_score('ACGT', 'AACGTT', 5, -1, 1) a, align_score('AC', 'AGC', 2, -9, 1) b").first() == (20, 3)
+    assert spark.sql("SELECT score FROM align_hits('AC', 'AGC', 1, 2, -9, 1)").first()[0] == 3
 
 
 def test_text_helpers(spark):
