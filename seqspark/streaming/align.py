@@ -1,7 +1,7 @@
 """Alignment of sequences that arrive in pieces, by Structured Streaming.
 
 For each sequence the state holds the next piece's number, pieces that came
-early, the last column of every pattern's matrix, and the best cell so far. A
+early, the last column of every pattern's matrix, and the k best cells so far. A
 piece is filled from the column before it, so nothing is read twice; late and
 repeated pieces are passed over. The stream's checkpoint makes a restarted
 query go on where the last one stopped.
@@ -15,34 +15,37 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.kernels import code_points, fill
+from ..functions.kernels import best_cells, code_points, fill
 from ..functions.scoring import Scoring
 from ..operators.align import pattern_blocks
 from ..plans.tables import shared_dir
 
-RESULT = "seq_id long, pattern_id long, score int, x_end int, y_end long, pieces long"
-STATE = "next long, length long, columns array<array<int>>, best array<array<long>>, early array<struct<piece:long,text:string>>"
+RESULT = "seq_id long, pattern_id long, rank int, score int, x_end int, y_end long, pieces long"
+STATE = "next long, length long, columns array<array<int>>, best array<array<array<long>>>, early array<struct<piece:long,text:string>>"
 
 
-def align_stream(pieces: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
-    """From a stream (seq_id, piece, text), after each batch the best cell of every pattern in each sequence so far.
+def align_stream(pieces: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring(), k: int = 1) -> DataFrame:
+    """From a stream (seq_id, piece, text), after each batch the k best cells of every pattern in each sequence so far, and how many pieces they are from.
 
     Pieces are numbered from 0. Patterns are held by every task (a small table).
     """
+    if k < 1:
+        raise ValueError("k must be at least 1")
     known = [(i, code_points(p)) for block in pattern_blocks(patterns) for i, p in block]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             cursor, length, columns, best, early = state.get
             columns = [np.array(c, np.int32) for c in columns]
-            best = [list(b) for b in best]
+            best = [[tuple(map(int, c)) for c in b] for b in best]
             held = {int(e[0]): e[1] for e in early}
         else:
             cursor, length, held = 0, 0, {}
             columns = [np.zeros(len(p) + 1, np.int32) for _, p in known]
-            best = [[0, -1, -1] for _ in known]
+            best = [[] for _ in known]
         for frame in frames:
             for piece, text in zip(frame["piece"], frame["text"], strict=True):
                 if piece >= cursor:
@@ -52,21 +55,25 @@ def align_stream(pieces: DataFrame, patterns: DataFrame, scoring: Scoring = Scor
             cursor += 1
             if not len(text):
                 continue
-            for k, (_, p) in enumerate(known):
-                h = fill(p, text, np.zeros(1, np.int64), scoring, columns[k])
-                columns[k] = np.concatenate(([0], h[:, -1])).astype(np.int32)
-                top = int(h.max())
-                if top > best[k][0]:
-                    y = int(h.max(axis=0).argmax())
-                    best[k] = [top, int(h[:, y].argmax()), length + y]
+            for n, (_, p) in enumerate(known):
+                h = fill(p, text, np.zeros(1, np.int64), scoring, columns[n])
+                columns[n] = np.concatenate(([0], h[:, -1])).astype(np.int32)
+                found = zip(*(c.tolist() for c in best_cells(h, np.zeros(len(text), np.int64), k)), strict=True)
+                best[n] = sorted([*best[n], *((v, x, length + y) for x, y, v in found)], key=lambda c: (-c[0], c[2], c[1]))[:k]
             length += len(text)
-        state.update((cursor, length, [c.tolist() for c in columns], best, [(p, t) for p, t in held.items()]))
-        rows = [(key[0], i, *best[k], cursor) for k, (i, _) in enumerate(known) if best[k][0] > 0]
-        yield pd.DataFrame(rows, columns=["seq_id", "pattern_id", "score", "x_end", "y_end", "pieces"])
+        state.update((cursor, length, [c.tolist() for c in columns], [[list(c) for c in b] for b in best], [(p, t) for p, t in held.items()]))
+        rows = [(key[0], i, rank, *cell, cursor) for n, (i, _) in enumerate(known) for rank, cell in enumerate(best[n], 1)]
+        yield pd.DataFrame(rows, columns=["seq_id", "pattern_id", "rank", "score", "x_end", "y_end", "pieces"])
 
     return pieces.groupBy("seq_id").applyInPandasWithState(step, RESULT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def latest(out: DataFrame) -> DataFrame:
+    """Of what align_stream has told, each sequence's last word."""
+    last = out.groupBy("seq_id").agg(F.max("pieces").alias("__pieces"))
+    return out.join(last, "seq_id").where("pieces = __pieces").drop("__pieces").distinct()
+
+
 def run_available(stream: DataFrame, name: str, where: str | None = None) -> DataFrame:
     """Runs a stream over what there is, into a Parquet table in the shared folder, and reads that table."""
     spark: SparkSession = stream.sparkSession
