@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import native
 from ..functions.scoring import Scoring
+from ..functions.sql import register
 from ..operators import align as ops
-from ..sources.reports import report, write_fasta
+from ..sources.reports import report, write_by_rank, write_fasta
 from ..sources.sequences import from_table, patterns_from, read_fasta
-from ..streaming.align import align_stream, run_available
+from ..streaming.align import align_stream, latest, run_available
 from .tables import shared_dir, table
 
 K = 5
@@ -120,11 +121,8 @@ def sw_score_native(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edge(spark: SparkSession, d: str, right: bool) -> DataFrame:
-    c = ops.cells(_parts(spark, d), _patterns(spark, d))
-    size = _parts(spark, d).select("seq_id", F.length("seq").alias("n")) if right else _patterns(spark, d).select("pattern_id", F.length("seq").alias("n"))
-    met = c.join(size, "seq_id" if right else "pattern_id").where(F.col("j" if right else "i") == F.col("n"))
-    order = F.sort_array(F.collect_list(F.struct(F.col("i" if right else "j").alias("k"), "h")))
-    return met.groupBy("pattern_id", "seq_id").agg(F.array_join(F.transform(order, lambda x: x["h"].cast("string")), ",").alias("edge"))
+    edges = ops.boundary(_parts(spark, d), _patterns(spark, d), right)
+    return edges.select("pattern_id", "seq_id", F.array_join(F.transform("edge", lambda h: h.cast("string")), ",").alias("edge"))
 
 
 def sw_boundary_right(spark: SparkSession, d: str) -> DataFrame:
@@ -202,6 +200,22 @@ def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("header").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("length"), F.md5("seq").alias("digest"))
 
 
+def fasta_first_line(spark: SparkSession, d: str) -> DataFrame:
+    """Nations as files of their own, the name in the first line without '>', read back as sequences in upper case."""
+    n = table(spark, d, "nation")
+    path = f"{shared_dir(spark)}/first-line-{uuid.uuid4().hex}"
+    n.select("n_nationkey", F.concat_ws("\n", "n_name", native.dna(F.concat(F.lit("nation"), F.col("n_name"))), F.lower("n_name")).alias("value")).write.partitionBy("n_nationkey").text(path)
+    return read_fasta(spark, path, "*.txt", upper=True).select("header", "seq")
+
+
+def report_by_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled reports written to a folder for each sequence and rank, and how often each line stands in it."""
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    write_by_rank(_aligned(spark, d), path)
+    back = spark.read.text(path)
+    return back.groupBy(F.col("seq_id").cast("long").alias("seq_id"), F.col("rank").cast("int").alias("rank"), F.col("value").alias("line")).agg(F.count("*").alias("n"))
+
+
 def checkpoint_islands(spark: SparkSession, d: str) -> DataFrame:
     """For each user, the last event of the first run of events whose ids lie at most 40 apart: where a contiguous log ends."""
     e = table(spark, d, "events").select("user_id", "event_id")
@@ -211,14 +225,46 @@ def checkpoint_islands(spark: SparkSession, d: str) -> DataFrame:
     return marked.where("island = 0").groupBy("user_id").agg(F.max("event_id").alias("resume"), F.count("*").alias("held"))
 
 
+LETTERS, VOWELS = "abcdefghijklmnopqrstuvwxyz", "aeiou"
+#: Equal letters 3, two vowels 1, two consonants -1, a vowel and a consonant -3.
+BY_KIND = tuple(tuple(3 if a == b else (1 if a in VOWELS else -1) if (a in VOWELS) == (b in VOWELS) else -3 for b in LETTERS) for a in LETTERS)
+
+
+def sw_matrix_score(spark: SparkSession, d: str) -> DataFrame:
+    """Best scores under a substitution matrix over letters; other characters score by equality."""
+    scoring = Scoring(alphabet=LETTERS, matrix=BY_KIND)
+    return ops.align_hits(_parts(spark, d), _patterns(spark, d), 1, scoring, per_pair=True).select("pattern_id", "seq_id", "score", "x_end", "y_end")
+
+
+def sw_unknown_as_n(spark: SparkSession, d: str) -> DataFrame:
+    """Best scores where characters outside the alphabet are read as N, on both sides."""
+    scoring = Scoring(alphabet="aeioustrN", unknown="as_n")
+    return ops.align_hits(_parts(spark, d), _patterns(spark, d), 1, scoring, per_pair=True).select("pattern_id", "seq_id", "score", "x_end", "y_end")
+
+
+def sql_align(spark: SparkSession, d: str) -> DataFrame:
+    """The aligner's SQL functions, with costs of their own, over all parts and patterns."""
+    register(spark)
+    pairs = ops.with_patterns(_parts(spark, d), _patterns(spark, d))
+    name = f"pairs_{uuid.uuid4().hex}"
+    pairs.createOrReplaceTempView(name)
+    return spark.sql(f"SELECT pattern_id, seq_id, align_score(p, seq, 2, -1, 1) AS score, h.score AS top, h.x_end, CAST(h.y_end AS BIGINT) AS y_end FROM {name}, LATERAL align_hits(p, seq, 1, 2, -1, 1) h")
+
+
+def stream_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations whose turns arrive as a stream: the k best cells of every pattern in each whole conversation."""
+    c = table(spark, d, "conversations")
+    stream = spark.readStream.schema(c.schema).parquet(f"{d}/conversations.parque[t]")
+    pieces = stream.select(F.col("conv_id").alias("seq_id"), F.col("turn").alias("piece"), "text")
+    return latest(run_available(align_stream(pieces, _patterns(spark, d), k=K), "stream_topk")).select("seq_id", "pattern_id", "rank", "score", "x_end", "y_end")
+
+
 def stream_align_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Conversations whose turns arrive as a stream: the best cell of every pattern in each whole conversation."""
     c = table(spark, d, "conversations")
     stream = spark.readStream.schema(c.schema).parquet(f"{d}/conversations.parque[t]")
     pieces = stream.select(F.col("conv_id").alias("seq_id"), F.col("turn").alias("piece"), "text")
-    out = run_available(align_stream(pieces, _patterns(spark, d)), "stream_align")
-    w = W.partitionBy("seq_id", "pattern_id").orderBy(F.desc("score"), "y_end", "x_end")
-    return out.withColumn("n", F.row_number().over(w)).where("n = 1").select("seq_id", "pattern_id", "score", "x_end", "y_end")
+    return latest(run_available(align_stream(pieces, _patterns(spark, d)), "stream_align")).select("seq_id", "pattern_id", "score", "x_end", "y_end")
 
 
 QUERIES = {
@@ -227,6 +273,7 @@ QUERIES = {
         seq_length, seq_slice, seq_encode, alphabet_counts, validate_alphabet, chunk_blocks, chunk_halo, split_equal_pad, pattern_stripes, pair_cells, char_match_cells,
         sw_cells, sw_score, sw_score_native, sw_boundary_right, sw_boundary_bottom, sw_topk_cells, sw_topk_with_ties, sw_best_per_pattern, sw_traceback, sw_traceback_up_first,
         sw_alignment_stats, report_text, sw_chunked_hits, sw_chunked_traceback, sw_documents, sw_documents_traceback, fasta_round_trip, checkpoint_islands, stream_align_conversations,
+        sw_matrix_score, sw_unknown_as_n, sql_align, stream_topk, fasta_first_line, report_by_rank,
     )
 }
 
@@ -237,16 +284,17 @@ _DB_CONVERSATIONS = "SELECT conv_id seq_id, string_agg(text, '' ORDER BY turn) s
 _DNA = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMOPQRSUVWXYZ', 'CGTACGTACGTACGTACGTAC')"
 
 
-def _matrix(db: str) -> str:
+def _matrix(db: str, pairs: str = "CASE WHEN {c} = {p} THEN 3 ELSE -3 END", gap: int = 2, pat: str = _PAT) -> str:
     """CTEs pat, db, ch and w(pattern_id, seq_id, i, j, c, h), row 0 of zeros included."""
-    return f"""WITH RECURSIVE pat AS ({_PAT}), db AS ({db}),
+    pair = pairs.format(c="w.c", p="substr(pat.p, w.i + 1, 1)")
+    return f"""WITH RECURSIVE pat AS ({pat}), db AS ({db}),
 ch AS (SELECT seq_id, CAST(j AS INT) j, substr(s, j, 1) c FROM (SELECT seq_id, s, unnest(range(1, length(s) + 1)) j FROM db)),
 w AS (
   SELECT pattern_id, seq_id, 0 i, j, c, 0 h FROM pat, ch
   UNION ALL
-  SELECT pattern_id, seq_id, i, j, c, CAST(max(t + 2 * j) OVER (PARTITION BY pattern_id, seq_id ORDER BY j ROWS UNBOUNDED PRECEDING) - 2 * j AS INT) h
+  SELECT pattern_id, seq_id, i, j, c, CAST(max(t + {gap} * j) OVER (PARTITION BY pattern_id, seq_id ORDER BY j ROWS UNBOUNDED PRECEDING) - {gap} * j AS INT) h
   FROM (SELECT w.pattern_id, w.seq_id, w.i + 1 i, w.j, w.c,
-          greatest(0, w.h - 2, coalesce(lag(w.h) OVER (PARTITION BY w.pattern_id, w.seq_id ORDER BY w.j), 0) + CASE WHEN w.c = substr(pat.p, w.i + 1, 1) THEN 3 ELSE -3 END) t
+          greatest(0, w.h - {gap}, coalesce(lag(w.h) OVER (PARTITION BY w.pattern_id, w.seq_id ORDER BY w.j), 0) + {pair}) t
         FROM w JOIN pat ON w.pattern_id = pat.pattern_id WHERE w.i < length(pat.p)))"""
 
 
@@ -282,6 +330,9 @@ _STATS = """SELECT pattern_id, rank, CAST(m AS INT) n_match, CAST(n - m - g AS I
   SELECT pattern_id, rank, score, count(*) n, sum(CASE WHEN a = b AND a <> '-' THEN 1 ELSE 0 END) m, sum(CASE WHEN a = '-' OR b = '-' THEN 1 ELSE 0 END) g
   FROM (SELECT pattern_id, rank, score, substr(aligned_p, k, 1) a, substr(aligned_s, k, 1) b FROM (SELECT *, unnest(range(1, length(aligned_p) + 1)) k FROM al)) GROUP BY ALL)"""
 _HITS = " SELECT pattern_id, rank, seq_id, score, x_end, y_end FROM hit"
+_FIRST = " SELECT seq_id, pattern_id, score, x_end, y_end FROM (SELECT seq_id, pattern_id, h score, CAST(i - 1 AS INT) x_end, CAST(j - 1 AS BIGINT) y_end, row_number() OVER (PARTITION BY seq_id, pattern_id ORDER BY h DESC, j, i) n FROM w WHERE h > 0) WHERE n = 1"
+_BY_KIND = "CASE WHEN {c} = {p} THEN 3 WHEN NOT (regexp_full_match({c}, '[a-z]') AND regexp_full_match({p}, '[a-z]')) THEN -3 WHEN (contains('aeiou', {c})) <> (contains('aeiou', {p})) THEN -3 WHEN contains('aeiou', {c}) THEN 1 ELSE -1 END"
+_AS_N = "regexp_replace({0}, '[^aeioustrN]', 'N', 'g')"
 
 ORACLE_SQL = {
     "seq_length": "SELECT doc_id, length(text) AS length, strlen(text) AS bytes FROM documents",
@@ -312,4 +363,10 @@ ORACLE_SQL = {
     "fasta_round_trip": f"SELECT doc_id, length({_DNA}) AS length, md5({_DNA}) AS digest FROM documents WHERE {_DNA} <> ''",
     "checkpoint_islands": "SELECT user_id, max(event_id) AS resume, count(*) AS held FROM (SELECT user_id, event_id, sum(gap) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) island FROM (SELECT user_id, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 40 THEN 1 ELSE 0 END gap FROM events)) WHERE island = 0 GROUP BY user_id",
     "stream_align_conversations": _matrix(_DB_CONVERSATIONS) + " SELECT seq_id, pattern_id, score, x_end, y_end FROM (SELECT seq_id, pattern_id, h score, CAST(i - 1 AS INT) x_end, CAST(j - 1 AS BIGINT) y_end, row_number() OVER (PARTITION BY seq_id, pattern_id ORDER BY h DESC, j, i) n FROM w WHERE h > 0) WHERE n = 1",
+    "sw_matrix_score": _matrix(_DB_PARTS, _BY_KIND) + _FIRST,
+    "sw_unknown_as_n": _matrix(f"SELECT p_partkey seq_id, {_AS_N.format('p_name')} s FROM part", pat=f"SELECT CAST(r_regionkey AS BIGINT) pattern_id, {_AS_N.format('lower(r_name)')} p FROM region") + _FIRST,
+    "sql_align": _matrix(_DB_PARTS, "CASE WHEN {c} = {p} THEN 2 ELSE -1 END", 1) + _FIRST.replace(" SELECT seq_id, pattern_id, score, x_end, y_end FROM", " SELECT seq_id, pattern_id, score, score AS top, x_end, y_end FROM", 1),
+    "stream_topk": _matrix(_DB_CONVERSATIONS) + f" SELECT seq_id, pattern_id, rank, score, x_end, y_end FROM (SELECT seq_id, pattern_id, CAST(row_number() OVER (PARTITION BY seq_id, pattern_id ORDER BY h DESC, j, i) AS INT) rank, h score, CAST(i - 1 AS INT) x_end, CAST(j - 1 AS BIGINT) y_end FROM w WHERE h > 0) WHERE rank <= {K}",
+    "fasta_first_line": f"SELECT n_name AS header, upper({_DNA.replace('text', "('nation' || n_name)")} || replace(n_name, ' ', '')) AS seq FROM nation",
+    "report_by_rank": _walked(_LEFT_FIRST, K, _DB_PARTS) + ", lines AS (SELECT seq_id, rank, unnest(['Score of chain:' || score, 'pattern: ' || aligned_p, 'sequence: ' || aligned_s]) line FROM al) SELECT seq_id, rank, line, count(*) AS n FROM lines GROUP BY ALL",
 }
