@@ -20,8 +20,8 @@ windows have equal anchors. Texts travel in shards of a few megabytes:
 The shards are a table bucketed by shard, so steps 3 and 5 read them in place;
 what is shuffled are hashes, and each shard's different stretches once with
 their least document: where and how often they stand never leaves the shard. An
-anchor that very many shards hold, or hold several times (a licence line, a
-boiler-plate passage), is dealt by single windows instead, each by its own
+anchor that very many texts hold (a licence line, a boiler-plate passage) is
+dealt by single windows instead, each by its own
 content, so no bucket gathers all of its contexts. Shards grow with the root of
 the corpus, so that neither a window's shards nor rows of a shard for each
 bucket become too many.
@@ -54,8 +54,8 @@ GRAM = 24
 SHALLOW = 24
 SHARD_BYTES = 2 << 20
 BUCKET_BYTES = 3 << 20
-HOT_SHARDS = 2048
-HOT_MANY = 1024
+#: Texts under one anchor from which on its windows are dealt one by one: at most so many stretches of one anchor lie in a bucket.
+HOT_TEXTS = 32_768
 WINDOWS = 100_000
 LAST = (1 << 63) - 1
 _M = 0x9E3779B97F4A7C15
@@ -268,7 +268,7 @@ def _ids(ids: list[int | None]) -> np.ndarray:
 
 
 def _tell_anchors(shards: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, shard, hashes, many): a shard's distinct anchors; many holds those that two of its own texts have."""
+    """(bucket, shard, hashes, texts): a shard's distinct anchors and how many of its own texts have each (at most 65,535 are told)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -276,51 +276,38 @@ def _tell_anchors(shards: DataFrame, buckets: int) -> DataFrame:
             for row in batch.to_pylist():
                 bounds = np.concatenate(([0], np.cumsum(row["sizes"]))).astype(np.int64)
                 h, _, _, text = stretches(np.frombuffer(_unzip(row["body"]), np.uint8), bounds)
-                order = np.argsort(h, kind="stable")
-                h, text = h[order], text[order]
-                edge = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-                if not len(edge):
+                if not len(h):
                     continue
+                order = np.argsort(h, kind="stable")  # texts stay in order under each anchor
+                h, text = h[order], text[order]
+                first = np.append(True, h[1:] != h[:-1])
+                edge = np.flatnonzero(first)
+                other = first | np.append(True, text[1:] != text[:-1])
+                texts = np.minimum(np.add.reduceat(other.astype(np.int64), edge), 65_535).astype("<u2")
                 one = h[edge]
-                many = np.maximum.reduceat(text, edge) != np.minimum.reduceat(text, edge)
                 cuts = np.searchsorted(one, np.arange(buckets + 1, dtype=np.float64) * (2.0**48 / buckets))
-                rows = [(k, row["shard"], _six(one[i:j][~many[i:j]]), _six(one[i:j][many[i:j]])) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), [*cuts[1:-1].tolist(), len(one)], strict=True)) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "hashes", "many"])
+                rows = [(k, row["shard"], _six(one[i:j]), _zip(texts[i:j].tobytes())) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), [*cuts[1:-1].tolist(), len(one)], strict=True)) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "hashes", "texts"])
 
-    return shards.select("shard", "ids", "sizes", "body").mapInArrow(run, "bucket int, shard long, hashes binary, many binary")
+    return shards.select("shard", "ids", "sizes", "body").mapInArrow(run, "bucket int, shard long, hashes binary, texts binary")
 
 
 def _tell_shared(told: DataFrame) -> DataFrame:
-    """(shard, shared, hot): which of its anchors other texts have too; hot ones lie in many shards."""
+    """(shard, shared, hot): which of its anchors other texts have too; hot ones lie in very many texts."""
     schema = pa.schema([("shard", pa.int64()), ("shared", pa.binary()), ("hot", pa.binary())])
 
     def meet(group: pa.Table) -> pa.Table:
-        parts, owner, own = [], [], []
-        rows = group.select(["shard", "hashes", "many"]).to_pylist()
-        for k, r in enumerate(rows):
-            for raw, flag in ((r["hashes"], False), (r["many"], True)):
-                h = _from_six(raw)
-                parts.append(h)
-                owner.append(np.full(len(h), k))
-                own.append(np.full(len(h), flag))
-        h, owner, own = map(np.concatenate, (parts, owner, own))
+        rows = group.select(["shard", "hashes", "texts"]).to_pylist()
+        parts = [_from_six(r["hashes"]) for r in rows]
+        h, owner = np.concatenate(parts), np.repeat(np.arange(len(rows)), [len(x) for x in parts])
+        texts = np.concatenate([np.frombuffer(_unzip(r["texts"]), "<u2") for r in rows]).astype(np.int64)
         order = np.argsort(h, kind="stable")
-        h, owner, own = h[order], owner[order], own[order]
+        h, owner, texts = h[order], owner[order], texts[order]
         edge = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         count = np.diff(np.append(edge, len(h)))
-        inner = np.maximum.reduceat(own, edge)
-        keep = np.repeat((count > 1) | inner, count)
-        often = np.add.reduceat(own.astype(np.int64), edge)
-        hot = np.repeat((count >= HOT_SHARDS) | (often >= HOT_MANY), count)
+        total = np.repeat(np.add.reduceat(texts, edge), count)
+        keep, hot = total > 1, total >= HOT_TEXTS
         out = []
-        for k, r in enumerate(rows):
-            mine = keep & (owner == k) if len(rows) < 8 else None
-            if mine is None:
-                break
-            if mine.any():
-                out.append((r["shard"], _six(h[mine & ~hot]), _six(h[mine & hot])))
-        else:
-            return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ([], [], []), schema, strict=True)], schema=schema)
         h, owner, hot = h[keep], owner[keep], hot[keep]
         order = np.argsort(owner, kind="stable")
         h, owner, hot = h[order], owner[order], hot[order]

@@ -48,9 +48,9 @@ def fixture() -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize(("shard", "bucket", "many"), [(1 << 21, 3 << 20, 256), (700, 900, 256), (700, 900, 2)])
+@pytest.mark.parametrize(("shard", "bucket", "many"), [(1 << 21, 3 << 20, 256), (700, 900, 256), (700, 900, 3)])
 def test_equals_brute_force(spark, monkeypatch, shard, bucket, many):
-    monkeypatch.setattr(suffixes, "HOT_MANY", many)
+    monkeypatch.setattr(suffixes, "HOT_TEXTS", many)
     monkeypatch.setattr(suffixes, "WINDOWS", 500)
     rows = fixture()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -94,3 +94,18 @@ def test_stretches_tile_all_windows(text, parts):
     windows = sorted(w for a, z in zip(first.tolist(), last.tolist(), strict=True) for w in range(a, z + 1))
     assert windows == [w for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) for w in range(lo, hi - 49)]
     assert all(bounds[d] <= a and z + 50 <= bounds[d + 1] for a, z, d in zip(first.tolist(), last.tolist(), doc.tolist(), strict=True))
+
+
+def test_buckets_do_not_grow_with_a_common_line(spark, monkeypatch):
+    """One line in more and more documents: no bucket gathers its contexts."""
+    monkeypatch.setattr(suffixes, "HOT_TEXTS", 200)
+    rng = random.Random(8)
+    line = "Released under the common licence of this place, version one.\n"
+    largest = []
+    for n in (1000, 2000, 4000):
+        docs = spark.createDataFrame([(k, words(rng, 6) + "\n" + line + words(rng, 6)) for k in range(n)], "doc_id long, text string").repartition(4)
+        shards = suffixes.make_shards(docs, 20_000).cache()
+        buckets = n // 4
+        dealt = suffixes._deal_stretches(shards, suffixes._tell_shared(suffixes._tell_anchors(shards, buckets)), buckets)
+        largest.append(dealt.groupBy("bucket").agg(F.sum(F.length("bodies")).alias("n")).agg(F.max("n")).first()[0])
+    assert max(largest) < 3 * largest[0]
