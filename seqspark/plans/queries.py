@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,12 +95,16 @@ def pair_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def char_match_cells(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of equal characters, from each side's character counts."""
-    def counts(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(F.split("seq", "")).alias("c")).where("c <> ''").groupBy(key, "c").agg(F.count("*").alias("n"))
+    """Cells of equal characters, from how often each of the patterns' characters stands in all documents."""
+    patterns = _patterns(spark, d)
+    chars = sorted({c for block in ops.pattern_blocks(patterns) for _, p in block for c in p})
 
-    docs = counts(_documents(spark, d).withColumn("all", F.lit(0)), "all").select("c", F.col("n").alias("m"))
-    return counts(_patterns(spark, d), "pattern_id").join(docs, "c").groupBy("pattern_id").agg(F.sum(F.col("n") * F.col("m")).cast("long").alias("cells"))
+    def often(text: str, c: str) -> Column:
+        return (F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))).cast("long")
+
+    totals = _documents(spark, d).agg(*[F.coalesce(F.sum(often("seq", c)), F.lit(0)).alias(f"n{k}") for k, c in enumerate(chars)])
+    cells = sum((often("p", c) * F.col(f"n{k}") for k, c in enumerate(chars)), F.lit(0))
+    return ops.with_patterns(totals, patterns).select("pattern_id", cells.cast("long").alias("cells")).where("cells > 0")
 
 
 def sw_cells(spark: SparkSession, d: str) -> DataFrame:
