@@ -15,9 +15,12 @@ forests of candidates, and the components of those are clusters that no similar
 pair leaves, whatever the table's size. An exact check follows inside each
 cluster: an inverted index over the rarest shingles of every text finds
 the pairs whose shingle sets reach the similarity. Texts are told apart by 128
-bits of their SHA-256. Clusters above a block's size
-are checked block against block, and every task gives a spanning forest, so no
-group is gathered whole and no list of all pairs is made.
+bits of their SHA-256. In a cluster above a block's size every text is held
+against a few pivots first: those that are joined to one pivot, by themselves
+or by way of others, are one group already and never meet each other again.
+Only the rest is checked block against block, with itself and with that group.
+Every task gives a spanning forest, so no group is gathered whole and no list of
+all pairs is made.
 
 Edge cases: null and wordless texts are copies of each other's empty shingle
 set, and equal texts always form a group; of repeated rows one stays; null ids
@@ -33,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +46,7 @@ from .simhash import MOST, BKTree, shingle_hashes
 
 WORDS = 256
 BANDS = 10
+PIVOTS = 4
 #: Shingles of a text that the exact join takes beyond those that may differ, as a share of all: more are a sharper filter and a larger shuffle.
 SPARE = 0.1
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -334,36 +338,90 @@ def similar_forest(keys: list[int], sets: list[np.ndarray], side: list[int] | No
     return out
 
 
+def _near_pivots(large: DataFrame, similarity: float) -> DataFrame:
+    """(key, root, bag, mask, pivot): which of its cluster's pivots each text is similar to, as bits, and the first pivot's key."""
+    picked = large.groupBy("root").agg(F.array_distinct(F.array(*[F.min_by("key", F.xxhash64(F.lit(k), "key")) for k in range(PIVOTS)])).alias("keys"))
+    named = picked.select("root", F.posexplode("keys").alias("at", "key")).join(large.select("key", "bag"), "key")
+    pivots = write_table(named.groupBy("root").agg(F.sort_array(F.collect_list(F.struct("at", "key", "bag"))).alias("p")), "pivots")
+    met = large.select("key", "root", "bag").join(pivots.select("root", F.col("p.bag").alias("bags"), F.col("p.key")[0].alias("pivot")), "root")
+
+    def make():
+        def f(keys, roots, bags, others, firsts):
+            rows = []
+            for k, r, raw, ps, p in zip(keys, roots, bags, others, firsts, strict=True):
+                mine, mask = np.frombuffer(raw, np.uint64), 0
+                for at, other in enumerate(ps):
+                    theirs = np.frombuffer(other, np.uint64)
+                    both = len(np.intersect1d(mine, theirs, assume_unique=True))
+                    mask |= (both >= similarity * (len(mine) + len(theirs) - both) - 1e-9) << at
+                rows.append((k, r, raw, int(mask), p))
+            return rows
+
+        return f
+
+    return map_rows(met.select("key", "root", "bag", "bags", "pivot"), "key long, root long, bag binary, mask int, pivot long", make)
+
+
+def _joined_masks(marked: DataFrame) -> DataFrame:
+    """(root, reach): all pivots that texts join to the first pivot, as bits."""
+    masks = marked.groupBy("root").agg(F.collect_set("mask").alias("masks"))  # 2^PIVOTS at most
+    once = lambda reach: F.aggregate("masks", reach, lambda acc, m: F.when(acc.bitwiseAND(m) != 0, acc.bitwiseOR(m)).otherwise(acc))
+    reach = F.lit(1)
+    for _ in range(PIVOTS - 1):
+        reach = once(reach)
+    return masks.select("root", once(reach).alias("reach"))
+
+
 def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
-    """(u, v): spanning forests of the similar pairs of each cluster (key, root, first, digest), blocks of a cluster against each other.
+    """(u, v): links that join the texts of each cluster (key, root, first, digest) which similar pairs join.
 
     Of copies only the text of the row `first` is read. Clusters grow with the
     corpus, so they are merged with the texts, never broadcast.
     """
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = clusters.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
+    placed = clusters.join(sizes, "root").withColumn("large", F.col("n") > block)
 
     def make():
-        return lambda keys, roots, own, blocks, ts: [(k, r, o, b, np.unique(shingle_hashes(t, width)).tobytes()) for k, r, o, b, t in zip(keys, roots, own, blocks, ts, strict=True)]
+        return lambda keys, roots, large, ts: [(k, r, x, np.unique(shingle_hashes(t, width)).tobytes()) for k, r, x, t in zip(keys, roots, large, ts, strict=True)]
 
     some = maybe_in(texts, F.xxhash64("doc_id", "digest"), clusters.select(F.xxhash64("first", "digest"))).where("__maybe")
     placed = placed.withColumnRenamed("digest", "__digest")
     met = some.join(placed.hint("merge"), (F.col("digest") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("first")))
-    held = map_rows(met.select("key", "root", "own", "blocks", "text"), "key long, root long, own int, blocks int, bag binary", make)
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("own", k).alias("lo"), F.greatest("own", k).alias("hi"))))
-    dealt = held.withColumn("p", pairs).select("key", "root", "own", "p.lo", "p.hi", "bag")
+    held = map_rows(met.select("key", "root", "large", "text"), "key long, root long, large boolean, bag binary", make)
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def check(group: pa.Table) -> pa.Table:
         if group.num_rows < 2:
             return schema.empty_table()
-        keys, own = group.column("key").to_pylist(), group.column("own").to_pylist()
+        keys, side = group.column("key").to_pylist(), group.column("side").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in group.column("bag").to_pylist()]
-        two = group.column("lo")[0].as_py() != group.column("hi")[0].as_py()
-        links = similar_forest(keys, sets, own if two else None, similarity)
+        links = similar_forest(keys, sets, side if side[0] is not None else None, similarity)
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*links, strict=True) if links else ([], []))], schema=schema)
 
-    return dealt.groupBy("root", "lo", "hi").applyInArrow(check, "u long, v long")
+    def within(dealt: DataFrame) -> DataFrame:
+        return dealt.groupBy("root", "kind", "lo", "hi").applyInArrow(check, "u long, v long")
+
+    zero, none = F.lit(0), F.lit(None).cast("int")
+    if not sizes.where(F.col("n") > block).limit(1).count():
+        return within(held.select("key", "root", "bag", zero.alias("kind"), zero.alias("lo"), zero.alias("hi"), none.alias("side")))
+    held = write_table(held, "bags")
+    alone = held.where("NOT large").select("key", "root", "bag", zero.alias("kind"), zero.alias("lo"), zero.alias("hi"), none.alias("side"))
+    marked = write_table(_near_pivots(held.where("large"), similarity), "marked")
+    marked = marked.join(_joined_masks(marked), "root").withColumn("inside", F.col("mask").bitwiseAND(F.col("reach")) != 0)
+    stars = marked.where("inside AND key != pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v"))
+    counted = marked.groupBy("root").agg(*[F.ceil(F.count(F.when(F.col("inside") == x, 1)) / block).cast("int").alias(c) for x, c in ((False, "rest"), (True, "group"))]).where("rest > 0")
+    dealt = marked.join(counted, "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.when(F.col("inside"), F.col("group")).otherwise(F.col("rest"))).cast("int"))
+
+    def places(kind: int, of: str, lo, hi, side) -> Column:
+        """A struct for each block of `of` that a row meets."""
+        return F.transform(F.sequence(F.lit(0), F.col(of) - 1), lambda k: F.struct(F.lit(kind).alias("kind"), lo(k).alias("lo"), hi(k).alias("hi"), side(k).alias("side")))
+
+    own = F.col("own")
+    with_rest = places(1, "rest", lambda k: F.least(own, k), lambda k: F.greatest(own, k), lambda k: F.when(own != k, own).when(F.lit(True), none))
+    with_group = places(2, "group", lambda k: own, lambda k: k, lambda k: F.lit(0))
+    as_group = places(2, "rest", lambda k: k, lambda k: own, lambda k: F.lit(1))
+    apart = dealt.select("key", "root", "bag", F.explode(F.when(F.col("inside"), as_group).otherwise(F.concat(with_rest, with_group))).alias("p")).select("key", "root", "bag", "p.kind", "p.lo", "p.hi", "p.side")
+    return within(alone.unionByName(apart)).unionByName(stars)
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = 1000) -> DataFrame:

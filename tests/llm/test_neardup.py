@@ -142,6 +142,23 @@ def test_near_copies_are_dropped(spark, awkward, nothing):
     assert neardup.drop_near_copies(nothing).count() == 0
 
 
+def test_large_families_need_no_pairs(spark):
+    """A family of different texts in one cluster: a pivot joins them, so none meets another."""
+    rng = random.Random(31)
+    base = [f"{words(rng, 1)}{k}" for k in range(200)]
+    rows = []
+    for k in range(300):
+        new = list(base)
+        new[rng.randrange(200)] = f"other{k}"
+        rows.append((k, " ".join(new)))
+    fringe = [*base[:150], *[f"tail{k}" for k in range(50)]]  # not similar to the family; similar to each other
+    rows += [(1000, " ".join(fringe)), (1001, " ".join([*fringe[:-1], "last"])), (2000, words(rng, 80))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for block in (1000, 20):
+        groups = neardup.near_groups(docs, block=block).where("keeper")
+        assert sorted(r.doc_id for r in groups.collect()) == brute_keepers(rows) == [0, 1000, 2000]
+
+
 def test_bands_find_most_close_copies():
     rng = random.Random(4)
     width, radius = neardup.plan_bands(1_000_000, 0.8)
