@@ -192,8 +192,25 @@ def _bits(terms: DataFrame) -> np.ndarray | None:
     return table
 
 
-def _unpacked(table: np.ndarray) -> np.ndarray:
-    return np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+class Passing(dict):
+    """word -> its lower case if that passes the bit table, else None; a bounded cache."""
+
+    MOST = 200_000
+
+    def __init__(self, table: np.ndarray) -> None:
+        self.bits = np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool)
+
+    def __missing__(self, word: str) -> str | None:
+        low = word.lower()
+        passes = low if self.bits[zlib.crc32(low.encode()) & ((1 << BITS) - 1)] else None
+        if len(self) >= self.MOST:
+            self.clear()
+        self[word] = passes
+        return passes
+
+    def words(self, text: str) -> set[str]:
+        """The words of a text that pass, in lower case."""
+        return {low for w in set(WORD.findall(text)) if (low := self[w])}
 
 
 def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
@@ -201,7 +218,7 @@ def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, counts, mask = _unpacked(shipped.value), Counter(), (1 << BITS) - 1
+        passing, counts = Passing(shipped.value), Counter()
         release()
 
         def out() -> pa.RecordBatch:
@@ -212,7 +229,7 @@ def _document_counts(docs: DataFrame, table: np.ndarray) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    counts.update(w for w in {w.lower() for w in set(WORD.findall(text))} if bits[zlib.crc32(w.encode()) & mask])
+                    counts.update(passing.words(text))
             if len(counts) > 500_000:
                 yield out()
         yield out()
@@ -261,15 +278,13 @@ def method_spans(docs: DataFrame, base: DataFrame, terms: DataFrame | None) -> D
         shipped = docs.sparkSession.sparkContext.broadcast(table)
 
         def make():
-            bits, mask = _unpacked(shipped.value), (1 << BITS) - 1
+            passing = Passing(shipped.value)
 
             def f(keys, texts):
                 rows = []
                 for key, t in zip(keys, texts, strict=True):
-                    for m in WORD.finditer(t or ""):
-                        w = m[0].lower()
-                        if bits[zlib.crc32(w.encode()) & mask]:
-                            rows.append((key, w, m.start(), m.end()))
+                    if t and passing.words(t):
+                        rows += [(key, low, m.start(), m.end()) for m in WORD.finditer(t) if (low := passing[m[0]])]
                 return rows
 
             return f
