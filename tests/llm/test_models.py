@@ -145,6 +145,16 @@ def test_quality_agrees_with_labels(spark):
     assert met.where((F.col("quality") > 0) == F.col("kept")).count() >= 0.97 * met.count()
 
 
+@needs_tables
+def test_quality_of_labels_left_out(spark):
+    big = SF.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    judged = quality.judge(spark.read.parquet(f"{big}/documents.parquet"), labels.where(~held))
+    met = judged.join(labels.where(held).select("doc_id", "quality"), "doc_id").where("NOT base_failed").cache()
+    assert met.count() > 200 and met.where((F.col("quality") > 0) == F.col("kept")).count() >= 0.95 * met.count()
+
+
 def toxic_table(spark):
     rng = random.Random(6)
     rows, labels = [], []
