@@ -283,6 +283,7 @@ QUERIES = {
 
 _PAT = "SELECT CAST(r_regionkey AS BIGINT) pattern_id, lower(r_name) p FROM region"
 _DB_PARTS = "SELECT p_partkey seq_id, p_name s FROM part"
+_DB_DOCUMENTS = "SELECT doc_id seq_id, text s FROM documents"
 _DB_TURNS = "SELECT conv_id * 10000 + turn seq_id, text s FROM conversations"
 _DB_CONVERSATIONS = "SELECT conv_id seq_id, string_agg(text, '' ORDER BY turn) s FROM conversations GROUP BY conv_id"
 _DNA = "translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMOPQRSUVWXYZ', 'CGTACGTACGTACGTACGTAC')"
@@ -373,4 +374,6 @@ ORACLE_SQL = {
     "stream_topk": _matrix(_DB_CONVERSATIONS) + f" SELECT seq_id, pattern_id, rank, score, x_end, y_end FROM (SELECT seq_id, pattern_id, CAST(row_number() OVER (PARTITION BY seq_id, pattern_id ORDER BY h DESC, j, i) AS INT) rank, h score, CAST(i - 1 AS INT) x_end, CAST(j - 1 AS BIGINT) y_end FROM w WHERE h > 0) WHERE rank <= {K}",
     "fasta_first_line": f"SELECT n_name AS header, upper({_DNA.replace('text', "('nation' || n_name)")} || replace(n_name, ' ', '')) AS seq FROM nation",
     "report_by_rank": _walked(_LEFT_FIRST, K, _DB_PARTS) + ", lines AS (SELECT seq_id, rank, unnest(['Score of chain:' || score, 'pattern: ' || aligned_p, 'sequence: ' || aligned_s]) line FROM al) SELECT seq_id, rank, line, count(*) AS n FROM lines GROUP BY ALL",
+    "sw_documents": _matrix(_DB_DOCUMENTS) + _FIRST,
+    "sw_documents_traceback": _walked(_LEFT_FIRST, K, _DB_DOCUMENTS) + " SELECT * FROM al",
 }
