@@ -68,9 +68,9 @@ class AlignQuery:
             raise ValueError("k must be at least 1")
 
     @staticmethod
-    def read(path: str) -> AlignQuery:
-        with open(path, encoding="utf-8") as f:
-            raw = json.load(f)
+    def read(path: str, spark: SparkSession) -> AlignQuery:
+        """The query in a JSON file, wherever Spark can read it."""
+        raw = json.loads(spark.read.text(path, wholetext=True).first().value)
         return AlignQuery(raw["database"], tuple(raw["patterns"]), int(raw["k"]))
 
     def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:

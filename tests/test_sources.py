@@ -36,7 +36,7 @@ def test_flat_and_table(spark, folder):
 def test_query_file_and_reports(spark, folder, tmp_path):
     config = folder / "q.json"
     config.write_text(json.dumps({"database": str(folder / "a.fna"), "patterns": [str(folder / "d.txt")], "k": 1, "backup_folder": "x"}))
-    q = AlignQuery.read(str(config))
+    q = AlignQuery.read(str(config), spark)
     seqs, patterns = q.tables(spark)
     out = align(seqs.select("seq_id", "seq"), patterns, q.k)
     assert [r.report for r in out.select(report().alias("report")).collect()] == ["12\nACGT\nACGT"]
