@@ -49,6 +49,8 @@ BANDS = 10
 PIVOTS = 4
 #: Shingles of a text that the exact join takes beyond those that may differ, as a share of all: more are a sharper filter and a larger shuffle.
 SPARE = 0.1
+#: Texts that lead with a shingle from which on it counts as very common, and what such a one counts as held by.
+COMMON, MOST_HELD = 500_000, 1 << 40
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -173,29 +175,55 @@ def _shared(marks: DataFrame) -> DataFrame:
             parts = list(zip(cuts, cuts[1:], strict=False))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([hashes[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([owner[a:b].tobytes() for a, b in parts], pa.binary())], names=["bucket", "hashes", "owners"])
 
-    def met(hashes: list[bytes], owners: list[bytes]) -> pa.RecordBatch:
-        h, k = np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(owners), np.int64)
-        order = np.lexsort((k, h))
-        h, k = h[order], k[order]
-        once = np.ones(len(h), bool)
-        once[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-        h, k = h[once], k[once]
-        _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
-        n = counts[which]
-        return pa.RecordBatch.from_arrays([pa.array(k[n > 1]), pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["short", "shingle", "held"])
+    def rows(h: np.ndarray, k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(h.view(np.int64)), pa.array(n)], names=["short", "shingle", "held"])
+
+    class Bucket:
+        """The shingles of a bucket with the texts that lead with each. Those of a very common one are told as they come, not kept."""
+
+        def __init__(self) -> None:
+            self.h, self.k, self.size, self.common, self.full = [], [], 0, np.zeros(0, np.uint64), 2 * COMMON
+
+        def add(self, hashes: bytes, owners: bytes) -> Iterator[pa.RecordBatch]:
+            self.h.append(np.frombuffer(hashes, np.uint64))
+            self.k.append(np.frombuffer(owners, np.int64))
+            self.size += len(self.h[-1])
+            if self.size > self.full:
+                h, k, n = self.folded()
+                self.common = np.union1d(self.common, h[n >= COMMON])
+                known = np.isin(h, self.common)
+                if known.any():
+                    yield rows(h[known], k[known], np.full(int(known.sum()), MOST_HELD))
+                self.h, self.k, self.size = [h[~known]], [k[~known]], int((~known).sum())
+                self.full = max(2 * COMMON, 2 * self.size)
+
+        def folded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            h, k = np.concatenate(self.h), np.concatenate(self.k)
+            order = np.lexsort((k, h))
+            h, k = h[order], k[order]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+            h, k = h[once], k[once]
+            _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+            return h, k, counts[which].astype(np.int64)
+
+        def rest(self) -> pa.RecordBatch:
+            h, k, n = self.folded()
+            known = np.isin(h, self.common)
+            n = np.where(known, MOST_HELD, n)
+            return rows(h[n > 1], k[n > 1], n[n > 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, hashes, owners = None, [], []
+        at, bucket = None, None
         for batch in batches:
             for b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != bucket:
-                    if hashes:
-                        yield met(hashes, owners)
-                    bucket, hashes, owners = b, [], []
-                hashes.append(x)
-                owners.append(y)
-        if hashes:
-            yield met(hashes, owners)
+                if b != at:
+                    if bucket:
+                        yield bucket.rest()
+                    at, bucket = b, Bucket()
+                yield from bucket.add(x, y)
+        if bucket:
+            yield bucket.rest()
 
     dealt = marks.select("digest", "short", "lead").mapInArrow(deal, "bucket int, hashes binary, owners binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "short long, shingle long, held long")
