@@ -13,10 +13,10 @@ term reveals them, over all documents:
 
 A term beyond all three disclosure thresholds is a span wherever it stands, of
 the kind `<kind>_term` of what it reveals. A word that reveals by the same figures
-that an opaque string follows it makes that string a span (`secret`). Near copies
-are one context: contexts are told apart by three minima over a text's word
-pairs, and count as different only if all three differ. In sanitised text spans
-are removed behind their kind.
+that an opaque string follows it makes that string a span (`secret`). Copies and
+near copies of a passage are one context: contexts are told apart by three minima
+over the pairs of words near the entity, and count as different only if all three
+differ. In sanitised text spans are removed behind their kind.
 
 The counts cover all documents. What is sent to every task is a bit table of
 fixed size (2^20 bits); terms that pass it are settled exactly by joins.
@@ -121,10 +121,9 @@ def words_near(text: str, a: int, b: int) -> list[str]:
     return [w.lower() for w in WORD.findall(text[lo:a])[-NEAR:] + WORD.findall(text[b:hi])[:NEAR]]
 
 
-def contexts(text: str) -> list[int]:
-    """Three minima over hashes of a text's word pairs; near copies share at least one of them almost surely."""
-    words = [zlib.crc32(w.encode()) for w in WORD.findall(text.lower())] or [0]
-    h = np.array(words, np.uint64)
+def contexts(words: list[str]) -> list[int]:
+    """Three minima over hashes of the pairs of words near an entity; near copies share at least one of them almost surely."""
+    h = np.array([zlib.crc32(w.encode()) for w in words] or [0], np.uint64)
     pairs = ((h[:-1] * np.uint64(31) + h[1:]) if len(h) > 1 else h) & np.uint64(0xFFFFFFFF)
     out = []
     for odd in _ODD:
@@ -157,26 +156,26 @@ def key_of() -> Column:
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, base, near, opaque, contexts): base spans as a list of kind:start:end, the words near each entity, and opaque strings with the word before."""
+    """(key, doc_id, base, near, opaque): base spans as a list of kind:start:end, the words near each entity, and opaque strings with the word before; c are their contexts."""
 
     def make():
         def f(keys, ids, texts):
             rows = []
             for key, i, t in zip(keys, ids, texts, strict=True):
                 spans = base_spans(t) if t else []
-                near: dict[str, set[str]] = {}
+                near: dict[str, list[str]] = {}
                 for a, b, kind in spans:
                     around = words_near(t, a, b)
                     for e in entities(kind, t[a:b]):
-                        near.setdefault(e, set()).update(around)
-                odd = opaque(t, spans) if t else []
-                seen = [{"entity": e, "words": sorted(w)} for e, w in near.items()]
-                rows.append((key, i, [f"{k}:{a}:{b}" for a, b, k in spans], seen, [{"cue": c, "a": a, "b": b} for c, a, b in odd], contexts(t) if spans or odd else None))
+                        near.setdefault(e, []).extend(around)
+                seen = [{"entity": e, "words": sorted(set(w)), "c": contexts(w)} for e, w in near.items()]
+                odd = [{"cue": cue, "a": a, "b": b, "c": contexts(words_near(t, a, b))} for cue, a, b in (opaque(t, spans) if t else ())]
+                rows.append((key, i, [f"{k}:{a}:{b}" for a, b, k in spans], seen, odd))
             return rows
 
         return f
 
-    schema = "key binary, doc_id long, base array<string>, near array<struct<entity:string,words:array<string>>>, opaque array<struct<cue:string,a:long,b:long>>, contexts array<long>"
+    schema = "key binary, doc_id long, base array<string>, near array<struct<entity:string,words:array<string>,c:array<long>>>, opaque array<struct<cue:string,a:long,b:long,c:array<long>>>"
     return map_rows(docs.select(key_of().alias("key"), "doc_id", "text"), schema, make)
 
 
@@ -242,13 +241,14 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, least_share: float = 0.5,
 
     kind is that of the entity, or `secret` for a word that opaque strings follow.
     """
-    c = [F.col("contexts")[k].alias(f"c{k}") for k in range(3)]
+    c = [F.col("x.c")[k].alias(f"c{k}") for k in range(3)]
     holders = base.where(F.size("near") > 0)
-    seen = holders.select(F.explode("near").alias("x"), *c).select("x.entity", "x.words", "c0", "c1", "c2")
+    seen = holders.select(F.explode("near").alias("x")).select("x.entity", "x.words", *c)
     held = write_table(seen.groupBy("entity").agg(F.count("*").alias("held")).where("held > 1"), "held")  # what one row holds is seen in one context
     near = seen.join(held, "entity").select(F.explode("words").alias("term"), "entity", "held", "c0", "c1", "c2")
     odd = base.where(F.size("opaque") > 0)
-    cues = odd.select(F.explode(F.array_distinct(F.col("opaque.cue"))).alias("term"), F.lit(f"{SECRET}:").alias("entity"), F.lit(odd.count()).cast("long").alias("held"), *c).where("term != ''")
+    once = F.filter("opaque", lambda x, k: F.array_position(F.col("opaque.cue"), x["cue"]) == k + 1)  # the first behind each word
+    cues = odd.select(F.explode(once).alias("x")).select(F.col("x.cue").alias("term"), F.lit(f"{SECRET}:").alias("entity"), F.lit(odd.count()).cast("long").alias("held"), *c).where("term != ''")
     counted = near.unionByName(cues).groupBy("term", "entity", "held").agg(F.count("*").alias("both"), *[F.countDistinct(f"c{k}").alias(f"n{k}") for k in range(3)])
     pairs = counted.withColumn("contexts", F.least("n0", "n1", "n2")).where("contexts > 1").select("term", "entity", "held", "both", "contexts")
     total = docs.count()
@@ -295,7 +295,7 @@ def method_spans(docs: DataFrame, base: DataFrame, terms: DataFrame | None) -> D
         parts.append(places.join(kind, "term").select("key", F.concat("kind", F.lit("_term")).alias("kind"), "a", "b"))
     if terms is not None:
         cues = terms.where(F.col("kind") == SECRET).select(F.col("term").alias("cue"))
-        odd = base.where(F.size("opaque") > 0).select("key", F.explode("opaque").alias("x")).select("key", "x.*").distinct()
+        odd = base.where(F.size("opaque") > 0).select("key", F.explode("opaque").alias("x")).select("key", "x.cue", "x.a", "x.b").distinct()
         parts.append(odd.join(cues, "cue", "left_semi").select("key", F.lit(SECRET).alias("kind"), "a", "b"))
     if not parts:
         return docs.sparkSession.createDataFrame([], "key binary, extra array<string>")

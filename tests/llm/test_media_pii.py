@@ -131,13 +131,23 @@ def test_shares_and_gains_equal_brute_force(spark):
     n = sum("quillborough" in t.lower() for t in texts)
     both = sum("Quillborough mayor@town.example" in t for t in texts)
     r = got["quillborough", "email"]
-    marks = [pii.contexts(t) for t in texts if "Quillborough mayor" in t]
+    at = [(t, t.index("mayor@town.example")) for t in texts if "Quillborough mayor" in t]
+    marks = [pii.contexts(pii.words_near(t, a, a + len("mayor@town.example"))) for t, a in at]
     c = min(len(set(x)) for x in zip(*marks, strict=True))
     share = both / n * c / (c + 1)
     assert (r.both, r.n, r.contexts) == (both, n, c) and abs(r.share - share) < 1e-12
     assert abs(r.gain - math.log2(share * len(texts) / both)) < 1e-12
 
 
+def test_a_passage_of_many_texts_is_one_context(spark):
+    """A passage with an address in different texts says nothing about its words."""
+    rng = random.Random(5)
+    passage = f"{words(rng, 30)} uniqueword z@town.example {words(rng, 30)}"
+    rows = [(k, f"{words(rng, 60)} {passage} {words(rng, 60)}") for k in range(30)] + [(100 + k, words(rng, 80)) for k in range(200)]
+    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any(r.extra for r in found) and sum(len(r.base) for r in found) == 30
+
+
 def test_secrets_behind_telling_words(spark):
     rng = random.Random(3)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
