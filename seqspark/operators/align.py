@@ -12,7 +12,7 @@ sequences are read once and never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -174,18 +174,25 @@ def align_hits(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring =
 
     Only positive scores are hits; empty and null sequences and patterns have none; seq_id must be unique.
     """
+    if scoring.unknown != "free":
+        seqs = seqs.withColumn("seq", conform(F.col("seq"), scoring))
+    return align_chunks(lambda n, halo: chunks(seqs, n, halo), patterns, k, scoring, per_pair, ties, core, stretches)
+
+
+def align_chunks(read: Callable[[int, int], DataFrame], patterns: DataFrame, k: int, scoring: Scoring = Scoring(), per_pair: bool = False, ties: bool = False, core: int = CORE, stretches: bool = False) -> DataFrame:
+    """align_hits over chunks that read(core, halo) gives, for sequences that no row could hold.
+
+    Symbols of the chunks are taken as they are.
+    """
     if k < 1:
         raise ValueError("k must be at least 1")
-    if scoring.unknown != "free":
-        seqs, patterns = (df.withColumn("seq", conform(F.col("seq"), scoring)) for df in (seqs, patterns))
+    patterns = patterns.withColumn("seq", conform(F.col("seq"), scoring))
     size = patterns.agg(F.sum(F.length("seq")), F.max(F.length("seq"))).first()
     total, longest = size[0] or 0, size[1] or 0
-    kind = dict(seqs.dtypes)["seq_id"]
-    schema = f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long" + (", begin long, stretch string" if stretches else "")
 
     def cut(reach: int) -> DataFrame:
         halo = reach * (2 if stretches else 1)
-        return chunks(seqs, max(core, 4 * halo), halo)
+        return read(max(core, 4 * halo), halo)
 
     if total > FEW_BLOCKS * BLOCK_CHARS:
         table, n = _pattern_blocks_table(patterns, total)
@@ -196,7 +203,9 @@ def align_hits(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring =
             found = chunk_hits(cut(scoring.reach(max(len(p) for _, p in block))), block, k, scoring, ties, stretches)
             out = found if out is None else out.unionByName(found)
         if out is None:
-            out = seqs.sparkSession.createDataFrame([], schema)
+            kind = dict(cut(0).dtypes)["seq_id"]
+            schema = f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long" + (", begin long, stretch string" if stretches else "")
+            out = patterns.sparkSession.createDataFrame([], schema)
     return best(out, k, per_pair, ties)
 
 

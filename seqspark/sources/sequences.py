@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -45,6 +46,42 @@ def read_flat(spark: SparkSession, path: str, glob: str | None = "*.txt") -> Dat
     return text.select(F.col("file").alias("seq_id"), F.lit(None).cast("string").alias("header"), F.regexp_replace("value", r"\s", "").alias("seq")).where("seq <> ''")
 
 
+def read_chunks(spark: SparkSession, path: str, core: int, halo: int, glob: str | None = "*.txt", sep: str = "\n") -> DataFrame:
+    """(seq_id, chunk_idx, start, skip, part) of flat files of any length, one sequence in each, read in ranges: no row holds a whole sequence.
+
+    Records end at sep, which cuts files into ranges for tasks. A line end is no
+    part of a sequence; for a file without lines sep is one of its letters, the
+    more frequent the better, and stays. Cores of about `core` characters begin
+    at records, with up to `halo` characters before them. A record of more than
+    core - halo characters is refused; files are taken to be ASCII; white space
+    is dropped; empty files give no row.
+    """
+    if not 0 <= halo < core:
+        raise ValueError("the halo must be shorter than the core")
+    reader = spark.read.option("lineSep", sep)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    kept = F.lit("" if sep.isspace() else sep)
+    raw = reader.text(path).select(F.col("_metadata.file_name").alias("seq_id"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    ends = raw.groupBy("seq_id").agg(F.max(F.struct("block", "n")).alias("last"), (F.first("size") - F.sum(F.length("value")) - F.count("*")).alias("lack"))
+    unended = (F.struct("block", "n") == F.col("last")) & (F.col("lack") < 0)  # the last record need not end with a separator
+    text = F.concat(F.regexp_replace("value", r"\s", ""), F.when(unended, "").otherwise(kept))
+    pieces = raw.join(F.broadcast(ends), "seq_id").select("seq_id", "block", "n", text.alias("piece"))
+    length = F.length("piece").cast("long")
+    bases = pieces.groupBy("seq_id", "block").agg(F.sum(length).alias("chars"))
+    before = W.partitionBy("seq_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    bases = bases.select("seq_id", "block", F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("base"))
+    within = W.partitionBy("seq_id", "block").orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    long = F.when(F.length("piece") > core - halo, F.raise_error(F.lit(f"a record has more than {core - halo} characters"))).otherwise(F.col("piece"))
+    placed = pieces.withColumn("upto", F.sum(length).over(within)).join(bases, ["seq_id", "block"]).where(length > 0)
+    placed = placed.select("seq_id", (F.col("base") + F.col("upto") - length).alias("start"), long.alias("piece"))
+    grouped = placed.groupBy("seq_id", F.floor(F.col("start") / core).cast("int").alias("chunk_idx")).agg(F.min("start").alias("start"), F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("p"))
+    cores = grouped.select("seq_id", "chunk_idx", "start", F.array_join(F.transform("p", lambda x: x["piece"]), "").alias("part"))
+    tails = cores.select("seq_id", (F.col("chunk_idx") + 1).alias("chunk_idx"), F.right("part", F.lit(halo)).alias("tail"))
+    met = cores.join(tails, ["seq_id", "chunk_idx"], "left").withColumn("tail", F.coalesce("tail", F.lit("")))
+    return met.select("seq_id", "chunk_idx", (F.col("start") - F.length("tail")).alias("start"), F.length("tail").alias("skip"), F.concat("tail", "part").alias("part"))
+
+
 def from_table(df: DataFrame, seq_id: str, seq: str | Column) -> DataFrame:
     """(seq_id, seq) of any table."""
     return df.select(F.col(seq_id).alias("seq_id"), (F.col(seq) if isinstance(seq, str) else seq).alias("seq"))

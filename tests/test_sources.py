@@ -1,13 +1,14 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.operators.align import align
+from seqspark.operators.align import align, align_chunks, align_hits
 from seqspark.sources.reports import report, write_by_rank, write_fasta, write_report
-from seqspark.sources.sequences import AlignQuery, from_table, read_fasta, read_flat
+from seqspark.sources.sequences import AlignQuery, from_table, read_chunks, read_fasta, read_flat
 
 
 @pytest.fixture
@@ -57,3 +58,35 @@ def test_fasta_round_trip(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == {"a": "ACGT" * 50, "b c": "A", "f": "C" * 160}
+
+
+def test_flat_files_in_ranges(spark, tmp_path):
+    """Chunks of files with and without lines, read in small ranges, give the hits of whole sequences."""
+    rng = random.Random(9)
+    seqs = {"one.txt": "".join(rng.choice("ACGT") for _ in range(5000)), "two.txt": "".join(rng.choice("ACGT") for _ in range(900)) + "A", "three.txt": "CGT" * 10}
+    for name, s in seqs.items():
+        (tmp_path / name).write_text(s)
+    (tmp_path / "empty.txt").write_text("")
+    lined = tmp_path / "lined"
+    lined.mkdir()
+    for name, s in seqs.items():
+        (lined / name).write_text("\r\n".join(s[k : k + 60] for k in range(0, len(s), 60)) + ("\n" if name == "two.txt" else ""))
+    patterns = spark.createDataFrame([(0, "ACGTTGCA"), (1, "GGATC")], "pattern_id long, seq string")
+    keep = ["pattern_id", "rank", "seq_id", "score", "x_end", "y_end"]
+    want = sorted(map(tuple, align_hits(spark.createDataFrame(list(seqs.items()), "seq_id string, seq string"), patterns, 5).select(*keep).collect()))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for path, sep in ((tmp_path, "A"), (lined, "\n")):
+            chunks = read_chunks(spark, str(path), 400, 100, sep=sep)
+            whole = {}
+            for r in chunks.orderBy("seq_id", "chunk_idx").collect():
+                assert r.start + r.skip == len(whole.get(r.seq_id, "")) and (r.skip == 100 or not r.start)
+                whole[r.seq_id] = whole.get(r.seq_id, "") + r.part[r.skip :]
+            assert whole == seqs
+            got = align_chunks(lambda core, halo, path=path, sep=sep: read_chunks(spark, str(path), core, halo, sep=sep), patterns, 5, core=400)
+            assert sorted(map(tuple, got.select(*keep).collect())) == want
+        with pytest.raises(Exception, match="characters"):
+            read_chunks(spark, str(tmp_path), 400, 100).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
