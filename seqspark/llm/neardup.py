@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,10 @@ PIVOTS = 4
 SPARE = 0.1
 #: Texts that lead with a shingle from which on it counts as very common, and what such a one counts as held by.
 COMMON, MOST_HELD = 500_000, 1 << 40
+#: Share of a task's different texts from which on a shingle that they lead with is told as a candidate for a hot one, and of all texts from which on it is one.
+TOLD, HOT = 1 / 500, 1 / 250
+#: Shingles of the texts that meet in one block of a cluster, about, beside their number.
+BLOCK_SHINGLES = 2_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
 
@@ -143,12 +147,41 @@ def lead(hashes: np.ndarray, similarity: float) -> tuple[int, int, bytes]:
     return n, least, hashes[: leading(n, similarity)[0]].tobytes()
 
 
+def hot_shingles(marks: DataFrame) -> np.ndarray:
+    """Shingles that a stated share of all texts lead with, in order: as many at most as texts lead with shingles, over that share."""
+    schema = pa.schema([("shingle", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        seen: set[bytes] = set()
+        held, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            leads = []
+            for whole, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if whole not in seen:
+                    seen.add(whole)
+                    leads.append(raw)
+            values, counts = np.unique(np.frombuffer(b"".join(leads), np.uint64), return_counts=True)
+            values, which = np.unique(np.concatenate([*held, values]), return_inverse=True)
+            total = np.bincount(which, np.concatenate([*n, counts]), len(values)).astype(np.int64)
+            keep = total >= max(2, TOLD * len(seen) / 2)  # what is rare so far goes, so this stays small
+            held, n = [values[keep]], [total[keep]]
+        often = n[0] >= max(16, TOLD * len(seen))
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][often].view(np.int64)), pa.array(n[0][often])], schema=schema)
+
+    told = marks.select("digest", "lead").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    least = max(1000, HOT * marks.count())
+    return np.sort(np.array([r.shingle for r in told.where(F.col("n") >= least).select("shingle").collect()], np.int64).view(np.uint64))
+
+
 def _shared(marks: DataFrame) -> DataFrame:
     """(short, shingle, held): the leading shingles that at least two different texts lead with, and how many do.
 
     short is half of a text's digest. Should two texts share it, both count under
-    the leading shingles of either, which only adds candidates.
+    the leading shingles of either, which only adds candidates. Hot shingles are
+    told where they are met, so no bucket holds a share of all texts.
     """
+    hot = hot_shingles(marks)
     total = marks.agg(F.sum(F.length("lead") / 8)).first()[0] or 0
     buckets = 1 << max(10, math.ceil(math.log2(total / 200_000 + 1)))
 
@@ -168,6 +201,12 @@ def _shared(marks: DataFrame) -> DataFrame:
                 continue
             hashes = np.frombuffer(b"".join(leads), np.uint64)
             owner = np.repeat(np.array(keys, np.int64), [len(x) // 8 for x in leads])
+            known = np.isin(hashes, hot)
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([hashes[known].tobytes()], pa.binary()), pa.array([owner[known].tobytes()], pa.binary())], names=["bucket", "hashes", "owners"])
+                hashes, owner = hashes[~known], owner[~known]
+                if not len(hashes):
+                    continue
             bucket = (hashes & np.uint64(buckets - 1)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             hashes, owner, bucket = hashes[order], owner[order], bucket[order]
@@ -225,8 +264,18 @@ def _shared(marks: DataFrame) -> DataFrame:
         if bucket:
             yield bucket.rest()
 
-    dealt = marks.select("digest", "short", "lead").mapInArrow(deal, "bucket int, hashes binary, owners binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "short long, shingle long, held long")
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield rows(np.frombuffer(h, np.uint64), np.frombuffer(k, np.int64), np.full(len(k) // 8, MOST_HELD))
+
+    schema = "short long, shingle long, held long"
+    parts = marks.select("digest", "short", "lead").mapInArrow(deal, "bucket int, hashes binary, owners binary")
+    if not len(hot):
+        return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    parts = write_table(parts, "leads")
+    counted = parts.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return counted.unionByName(parts.where("bucket < 0").select("hashes", "owners").mapInArrow(told, schema).distinct())
 
 
 def exact_candidates(marks: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
@@ -400,14 +449,20 @@ def _joined_masks(marked: DataFrame) -> DataFrame:
     return masks.select("root", once(reach).alias("reach"))
 
 
-def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
-    """(u, v): links that join the texts of each cluster (key, root, first, digest) which similar pairs join.
+Join = Callable[[list[int], list[np.ndarray], list[int] | None, float], list[tuple[int, int]]]
+
+
+def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity: float, block: int, join: Join = similar_forest) -> DataFrame:
+    """(u, v): links that join the texts of each cluster (key, root, first, digest, n) which similar pairs join.
 
     Of copies only the text of the row `first` is read. Clusters grow with the
-    corpus, so they are merged with the texts, never broadcast.
+    corpus, so they are merged with the texts, never broadcast. Clusters of more
+    than `block` texts, or of more than BLOCK_SHINGLES shingles, meet in blocks
+    of about that many.
     """
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("n"))
-    placed = clusters.join(sizes, "root").withColumn("large", F.col("n") > block)
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    sizes = clusters.groupBy("root").agg(blocks.cast("int").alias("blocks"))
+    placed = clusters.drop("n").join(sizes, "root").withColumn("large", F.col("blocks") > 1)
 
     def make():
         return lambda keys, roots, large, ts: [(k, r, x, np.unique(shingle_hashes(t, width)).tobytes()) for k, r, x, t in zip(keys, roots, large, ts, strict=True)]
@@ -423,21 +478,26 @@ def checked_links(texts: DataFrame, clusters: DataFrame, width: int, similarity:
             return schema.empty_table()
         keys, side = group.column("key").to_pylist(), group.column("side").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in group.column("bag").to_pylist()]
-        links = similar_forest(keys, sets, side if side[0] is not None else None, similarity)
+        links = join(keys, sets, side if side[0] is not None else None, similarity)
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*links, strict=True) if links else ([], []))], schema=schema)
 
     def within(dealt: DataFrame) -> DataFrame:
         return dealt.groupBy("root", "kind", "lo", "hi").applyInArrow(check, "u long, v long")
 
     zero, none = F.lit(0), F.lit(None).cast("int")
-    if not sizes.where(F.col("n") > block).limit(1).count():
+    if not sizes.where("blocks > 1").limit(1).count():
         return within(held.select("key", "root", "bag", zero.alias("kind"), zero.alias("lo"), zero.alias("hi"), none.alias("side")))
     held = write_table(held, "bags")
     alone = held.where("NOT large").select("key", "root", "bag", zero.alias("kind"), zero.alias("lo"), zero.alias("hi"), none.alias("side"))
     marked = write_table(_near_pivots(held.where("large"), similarity), "marked")
     marked = marked.join(_joined_masks(marked), "root").withColumn("inside", F.col("mask").bitwiseAND(F.col("reach")) != 0)
     stars = marked.where("inside AND key != pivot").select(F.col("key").alias("u"), F.col("pivot").alias("v"))
-    counted = marked.groupBy("root").agg(*[F.ceil(F.count(F.when(F.col("inside") == x, 1)) / block).cast("int").alias(c) for x, c in ((False, "rest"), (True, "group"))]).where("rest > 0")
+
+    def blocks_of(inside: bool) -> Column:
+        held_by = F.when(F.col("inside") == inside, F.length("bag") / 8)
+        return F.greatest(F.ceil(F.count(held_by) / block), F.ceil(F.coalesce(F.sum(held_by), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+    counted = marked.groupBy("root").agg(blocks_of(False).alias("rest"), blocks_of(True).alias("group")).where("rest > 0")
     dealt = marked.join(counted, "root").withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "key"), F.when(F.col("inside"), F.col("group")).otherwise(F.col("rest"))).cast("int"))
 
     def places(kind: int, of: str, lo, hi, side) -> Column:
@@ -470,7 +530,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, block:
     distinct = write_table(marks.groupBy("digest").agg(F.min("row").alias("key"), F.min("doc_id").alias("first"), *ones), "distinct")
     links = candidates(distinct, similarity).unionByName(exact_candidates(marks, distinct, similarity))
     clusters = connected_components(links).withColumnRenamed("node", "key")
-    clusters = write_table(clusters.join(distinct.select("key", "first", "digest"), "key"), "clusters")
+    clusters = write_table(clusters.join(distinct.select("key", "first", "digest", "n"), "key"), "clusters")
     links = checked_links(keyed, clusters, width, similarity, block)
     groups = connected_components(links).withColumnRenamed("node", "key")
     roots = distinct.select("digest", "key").join(groups, "key", "left").select("digest", F.coalesce("root", "key").alias("root"))
