@@ -8,27 +8,37 @@ on into the next text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-from .scoring import Scoring
+from .scoring import Pairs, Scoring
+
+#: Cells of a matrix that are held at once, about, and rows that a walk back keeps at each depth.
+STRIPE_CELLS, KEPT_ROWS = 1 << 20, 16
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def fill(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, scoring: Scoring, left: np.ndarray | None = None) -> np.ndarray:
-    """Scores, a row for each pattern character; starts: where each text begins. left: the column before a single text, with its corner."""
+def fill(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, scoring: Scoring, left: np.ndarray | None = None, above: np.ndarray | None = None, pairs: Pairs | None = None) -> np.ndarray:
+    """Scores, a row for each pattern character; starts: where each text begins.
+
+    left: the column before a single text, with its corner. above: the row before
+    the first, where the pattern is a stripe of a longer one; pairs: what scoring.pairs(text) gives, where it is known.
+    """
     n, m = len(text), len(pattern)
     out = np.empty((m, n), np.int32)
-    pairs = scoring.rows(pattern, text)
+    pairs = scoring.pairs(text) if pairs is None else pairs
     first = np.zeros(n, bool)
     first[starts] = True
-    step = scoring.most * m + scoring.gap + 1
-    wide = n * scoring.gap + len(starts) * step + step >= 1 << 30
+    above = np.zeros(n, np.int32) if above is None else above
+    most = scoring.most * m + (int(above.max()) if n else 0) + (0 if left is None else int(left.max()))
+    step = most + scoring.gap + 1
+    wide = n * scoring.gap + (len(starts) + 1) * step >= 1 << 30
     base = np.arange(n, dtype=np.int64) * scoring.gap + np.cumsum(first) * step
     base = base if wide else base.astype(np.int32)
-    above = np.zeros(n, np.int32)
     diag, t, run = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, base.dtype)
     gap = np.int32(scoring.gap)
     for i, code in enumerate(pattern.tolist()):
@@ -48,38 +58,83 @@ def fill(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, scoring: Sco
     return out
 
 
+def stripes(pattern: np.ndarray, text: np.ndarray, starts: np.ndarray, scoring: Scoring, left: np.ndarray | None = None, above: np.ndarray | None = None, cells: int = STRIPE_CELLS, pairs: Pairs | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, its scores) of stripes of at most about `cells` cells, each filled from the last row of the one before; memory doesn't grow with the pattern.
+
+    A stripe may be written to once it is told.
+    """
+    rows = max(1, cells // max(len(text), 1))
+    pairs = scoring.pairs(text) if pairs is None else pairs
+    for at in range(0, len(pattern), rows):
+        h = fill(pattern[at : at + rows], text, starts, scoring, None if left is None else left[at:], above, pairs)
+        above = h[-1].copy()
+        yield at, h
+
+
 def _edges(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(where each run of equal values begins, its length)."""
     edge = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.zeros(0, np.int64)
     return edge, np.diff(np.append(edge, len(segment)))
 
 
-def best_cells(h: np.ndarray, segment: np.ndarray, k: int, ties: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_cells(h: np.ndarray, segment: np.ndarray, k: int, ties: bool = False, least: int | np.ndarray = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rows, columns, scores) of the k best positive cells of each segment by score, then column, then row; with ties also all equal to the k-th.
 
     Segments lie one after the other. Only columns that reach the k-th best
-    column of their segment are looked at.
+    column of their segment are looked at, and cells from `least` on (for all, or for each column).
     """
     top = h.max(axis=0)
+    if not (top >= least).any():
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, h.dtype)
     edge, size = _edges(segment)
     if k == 1 and len(edge):
         bound = np.maximum.reduceat(top, edge)
     else:
         bound = np.array([np.partition(top[a : a + n], n - k)[n - k] if n > k else 1 for a, n in zip(edge.tolist(), size.tolist(), strict=True)], np.int64)
-    least = np.maximum(np.repeat(bound, size), 1)
+    least = np.maximum(np.maximum(np.repeat(bound, size), 1), least)
     columns = np.flatnonzero(top >= least)
     x, y = np.nonzero(h[:, columns] >= least[columns])
     y = columns[y]
-    score = h[x, y]
-    by = np.lexsort((x, y, -score, segment[y]))
-    x, y, score = x[by], y[by], score[by]
-    edge, size = _edges(segment[y])
+    return _first_k(x, y, h[x, y], segment[y], k, ties)
+
+
+def _first_k(x: np.ndarray, y: np.ndarray, score: np.ndarray, segment: np.ndarray, k: int, ties: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    by = np.lexsort((x, y, -score, segment))
+    x, y, score, segment = x[by], y[by], score[by], segment[by]
+    edge, size = _edges(segment)
     keep = np.arange(len(y)) - np.repeat(edge, size) < k
     if ties and len(y):
         keep |= score == np.repeat(score[np.minimum(edge + k, edge + size) - 1], size)
     return x[keep], y[keep], score[keep]
 
 
+def striped_best(parts: Iterator[tuple[int, np.ndarray]], segment: np.ndarray, k: int, ties: bool = False, least: int = 1, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """best_cells of a matrix that comes in stripes; skip: columns that don't count. Later stripes are searched from the k-th best so far on."""
+    held: tuple[np.ndarray, ...] | None = None
+    floor: int | np.ndarray = least
+    for at, h in parts:
+        if skip is not None:
+            h[:, skip] = 0
+        x, y, score = best_cells(h, segment, k, ties, floor)
+        if not len(x):
+            continue
+        new = (x + at, y, score)
+        if held is not None:
+            x, y, score = (np.concatenate(c) for c in zip(held, new, strict=True))
+            new = _first_k(x, y, score, segment[y], k, ties)
+        held = new
+        edge, size = _edges(segment[held[1]])
+        kth = np.where(size >= k, held[2][np.minimum(edge + k, edge + size) - 1], least)
+        reached = np.full(int(segment[-1]) + 1, least, np.int64)
+        reached[segment[held[1][edge]]] = np.maximum(kth, least)
+        floor = reached[segment]
+    if held is None:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.int32)
+    return held
+
+
 def walk(h: np.ndarray, pattern: str, text: str, x: int, y: int, scoring: Scoring, origin: int = 0) -> tuple[int, int, str, str]:
     """(first row, first column, aligned pattern, aligned text) of the alignment that ends in a cell of a text beginning at column origin."""
     p, s = [], []
@@ -104,3 +159,73 @@ def walk(h: np.ndarray, pattern: str, text: str, x: int, y: int, scoring: Scorin
             s.append("-")
             x -= 1
     return x + 1, y - origin + 1, "".join(reversed(p)), "".join(reversed(s))
+
+
+def trace_back(pattern: str, text: str, x: int, y: int, scoring: Scoring, cells: int = STRIPE_CELLS) -> tuple[int, int, str, str]:
+    """walk() without the whole matrix: (first row, first column, aligned pattern, aligned text) of the alignment that ends in a cell.
+
+    Rows are filled downwards once and a few of them are kept; between two of
+    them the same is done again, from the last to the first, until a block of at
+    most about `cells` cells is filled whole and walked through. Columns that the
+    walk has left behind, or can't reach, are not filled again. Memory grows with
+    the columns times a logarithm of the rows.
+    """
+    codes, points = code_points(pattern), code_points(text)
+    p, s = [], []
+    left_first = scoring.tie_order == "diag_left_up"
+    at = [x, y, False]  # the cell, and whether the alignment has begun there
+    first = np.zeros(1, np.int64)
+
+    def through(lo: int, h: np.ndarray, above: np.ndarray, off: int) -> None:
+        """Walks from the cell up to row lo, in a block whose columns begin at off."""
+        x, y = at[0], at[1]
+        held = np.zeros((len(h) + 1, h.shape[1] + 1), np.int32)
+        held[0, 1:], held[1:, 1:] = above, h
+        while x >= lo and y >= off:
+            i, j = x - lo, y - off
+            v = int(held[i + 1, j + 1])
+            if v <= 0:
+                at[2] = True
+                break
+            a, b = pattern[x], text[y]
+            if v == int(held[i, j]) + scoring.pair(a, b):
+                p.append(a)
+                s.append(b)
+                x, y = x - 1, y - 1
+                continue
+            from_left = v == int(held[i + 1, j]) - scoring.gap
+            from_up = v == int(held[i, j + 1]) - scoring.gap
+            if from_left and (left_first or not from_up):
+                p.append("-")
+                s.append(b)
+                y -= 1
+            else:
+                p.append(a)
+                s.append("-")
+                x -= 1
+        at[0], at[1] = x, y
+        at[2] |= x < 0 or y < off
+
+    def go(lo: int, hi: int, above: np.ndarray, off: int) -> None:
+        """Rows lo to hi - 1, the cell in the last of them; above is the row before them, its first column off."""
+        begin = max(off, at[1] - 2 * scoring.reach(hi) + 1)
+        above = above[begin - off : at[1] - off + 1]
+        n = at[1] - begin + 1
+        if (hi - lo) * n <= cells or hi - lo == 1:
+            through(lo, fill(codes[lo:hi], points[begin : at[1] + 1], first, scoring, above=above), above, begin)
+            return
+        step = -(-(hi - lo) // KEPT_ROWS)
+        cuts, kept, row = list(range(lo, hi, step)), [above], above
+        pairs = scoring.pairs(points[begin : at[1] + 1])
+        rows = max(1, cells // n)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            for r in range(a, b, rows):
+                row = fill(codes[r : min(r + rows, b)], points[begin : begin + n], first, scoring, above=row, pairs=pairs)[-1].copy()
+            kept.append(row)
+        del pairs
+        while cuts and not at[2]:
+            a, row = cuts.pop(), kept.pop()
+            go(a, at[0] + 1, row, begin)
+
+    go(0, x + 1, np.zeros(y + 1, np.int32), 0)
+    return at[0] + 1, at[1] + 1, "".join(reversed(p)), "".join(reversed(s))

@@ -51,23 +51,36 @@ class Scoring:
                 return self.matrix[i][j]
         return self.match if a == b else self.mismatch
 
-    def rows(self, pattern: np.ndarray, text: np.ndarray) -> dict[int, np.ndarray]:
-        """For each different symbol of a pattern its scores along a text, both as code points."""
-        out = {}
-        place = None
-        if self.matrix is not None:
-            codes = np.array([ord(c) for c in self.alphabet], np.uint32)
-            order = np.argsort(codes)
-            at = np.minimum(np.searchsorted(codes[order], text), len(codes) - 1)
-            place = np.where(codes[order][at] == text, order[at], len(codes))  # the last place is that of all other symbols
-        for code in np.unique(pattern).tolist():
-            k = self.alphabet.find(chr(code)) if place is not None else -1
-            if k >= 0:
-                out[code] = np.array([*self.matrix[k], self.mismatch], np.int32)[place]
-            else:
-                out[code] = np.where(text == code, np.int32(self.match), np.int32(self.mismatch))
-        return out
+    def pairs(self, text: np.ndarray) -> Pairs:
+        return Pairs(self, text)
 
     def reach(self, pattern_length: int) -> int:
         """The most database characters that an alignment of positive score can span, so what a chunk needs on its left."""
         return pattern_length + -(-self.most * pattern_length // self.gap)
+
+
+class Pairs(dict):
+    """The scores of a symbol (its code point) along a text, made when they are asked for; as many are kept as fit in KEPT bytes."""
+
+    KEPT = 32 << 20
+
+    def __init__(self, scoring: Scoring, text: np.ndarray) -> None:
+        self.scoring, self.text, self.place = scoring, text, None
+        most = max(map(abs, (scoring.match, scoring.mismatch, *(v for row in scoring.matrix or () for v in row))))
+        self.kind = np.int8 if most < 128 else np.int32
+        if scoring.matrix is not None:
+            codes = np.array([ord(c) for c in scoring.alphabet], np.uint32)
+            order = np.argsort(codes)
+            at = np.minimum(np.searchsorted(codes[order], text), len(codes) - 1)
+            self.place = np.where(codes[order][at] == text, order[at], len(codes))  # the last place is that of all other symbols
+
+    def __missing__(self, code: int) -> np.ndarray:
+        scoring = self.scoring
+        k = scoring.alphabet.find(chr(code)) if self.place is not None else -1
+        if k >= 0:
+            row = np.array([*scoring.matrix[k], scoring.mismatch], self.kind)[self.place]
+        else:
+            row = np.where(self.text == code, self.kind(scoring.match), self.kind(scoring.mismatch))
+        if (len(self) + 1) * row.nbytes <= self.KEPT:
+            self[code] = row
+        return row

@@ -1,13 +1,16 @@
 """Local alignment of a set of patterns against a table of sequences.
 
-Patterns go to every task while they are few (their size is checked); a larger
-set is a table of blocks that chunks are joined with.
-Sequences are cut into chunks that carry on their left as many characters as an
-alignment can span, so chunks are filled on their own and every cell of a
-chunk's core has the value that it has in the whole matrix. Tasks keep the k
-best cells of each chunk; a window keeps the k best of all. Where alignments are
+Patterns are sent to all tasks as long as their characters are at most
+SENT_CHARS, which is checked; a larger set is aligned a block of that size at a
+time, each against all sequences. Sequences are cut into chunks that carry on
+their left as many characters as an alignment can span, so chunks are filled on
+their own and every cell of a chunk's core has the value that it has in the
+whole matrix. Chunks that lie in a few partitions, as those of one long sequence
+do, are dealt out anew. A matrix is filled in stripes of rows, so memory grows
+with neither the pattern nor the number of sequences. Tasks keep the k best
+cells of each pattern; a window keeps the k best of all. Where alignments are
 wanted, a hit carries the stretch of its sequence that the walk back needs, so
-sequences are read once and never shuffled.
+sequences are read once and never shuffled for it.
 """
 
 from __future__ import annotations
@@ -20,20 +23,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.kernels import best_cells, code_points, fill, walk
+from ..functions.kernels import code_points, fill, striped_best, stripes, trace_back
 from ..functions.native import conform
 from ..functions.scoring import Scoring
 from ..plans.tables import written
 
 CORE = 65_536
+#: Characters of chunks that are filled side by side, about.
+COLUMNS = 32_768
+#: Cells that cells() holds at once, about.
 CELLS = 2_000_000
-BLOCK_CHARS = 100_000
-#: Blocks of patterns that go with the plan; more are joined as a table.
-FEW_BLOCKS = 4
+#: Characters of patterns that are sent to all tasks at once, and that are written into a plan.
+SENT_CHARS, LITERAL_CHARS = 16_000_000, 400_000
 #: Hits that are sent to all tasks at most.
 MOST_SENT = 100_000
-#: Rows over which each chunk's partners in a table of blocks are spread.
-SPREAD = 32
+#: Characters of a task's chunks where chunks are dealt out anew, about.
+DEALT_CHARS = 32 << 20
 
 
 def _ordered(*first: str) -> list[Column]:
@@ -60,28 +65,22 @@ def blocks(seqs: DataFrame) -> DataFrame:
     return some.select("seq_id", "block", (F.col("block") * F.col("b")).alias("start_ind"), (F.least((F.col("block") + 1) * F.col("b"), "n") - 1).alias("end_ind"))
 
 
-def pattern_blocks(patterns: DataFrame) -> list[list[tuple[int, str]]]:
-    """Patterns by id, in blocks of at most BLOCK_CHARS characters; empty and null ones have no hits."""
-    rows = [(r[0], r[1]) for r in patterns.select("pattern_id", "seq").where(F.length("seq") > 0).orderBy("pattern_id").toLocalIterator()]
-    out: list[list[tuple[int, str]]] = []
-    room = 0
-    for r in rows:
-        if not out or room < len(r[1]):
-            out.append([])
-            room = BLOCK_CHARS
-        out[-1].append(r)
-        room -= len(r[1])
-    return out
+def sent_patterns(patterns: DataFrame, most: int | None = None) -> list[tuple[int, str]]:
+    """Patterns by id, for all tasks; empty and null ones have no hits and are left out. Refused where they have more than `most` (SENT_CHARS) characters."""
+    most = SENT_CHARS if most is None else most
+    some = patterns.where(F.length("seq") > 0)
+    total = some.agg(F.sum(F.length("seq"))).first()[0] or 0
+    if total > most:
+        raise ValueError(f"the patterns have {total} characters; {most} are the most that are sent to all tasks")
+    return [(r[0], r[1]) for r in some.select(F.col("pattern_id").cast("long"), "seq").orderBy("pattern_id", "seq").toLocalIterator()]
 
 
 def with_patterns(df: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Every row with every pattern (columns pattern_id, p): blocks of patterns of checked size, as literals of the plan."""
-    out = None
-    for block in pattern_blocks(patterns):
-        listed = F.array(*[F.struct(F.lit(i).cast("long").alias("pattern_id"), F.lit(p).alias("p")) for i, p in block])
-        part = df.select("*", F.inline(listed))
-        out = part if out is None else out.unionByName(part)
-    return df.where("false").select("*", F.lit(None).cast("long").alias("pattern_id"), F.lit(None).cast("string").alias("p")) if out is None else out
+    """Every row with every pattern (columns pattern_id, p), the patterns as literals of the plan: a set of checked size."""
+    listed = [F.struct(F.lit(i).cast("long").alias("pattern_id"), F.lit(p).alias("p")) for i, p in sent_patterns(patterns, LITERAL_CHARS)]
+    if not listed:
+        return df.where("false").select("*", F.lit(None).cast("long").alias("pattern_id"), F.lit(None).cast("string").alias("p"))
+    return df.select("*", F.inline(F.array(*listed)))
 
 
 def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
@@ -95,64 +94,114 @@ def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _pattern_blocks_table(patterns: DataFrame, total: int) -> tuple[DataFrame, int]:
-    """((block, block_patterns), blocks): patterns dealt to blocks of about BLOCK_CHARS characters."""
-    blocks_ = -(-total // BLOCK_CHARS)
-    some = patterns.where(F.length("seq") > 0).select(F.pmod(F.xxhash64("pattern_id"), F.lit(blocks_)).cast("int").alias("block"), F.struct(F.col("pattern_id").cast("long").alias("id"), "seq").alias("p"))
-    return some.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("block_patterns")), blocks_
-
-
-def _with_blocks(cut: DataFrame, table: DataFrame, blocks_: int) -> DataFrame:
-    """Every chunk with every block of patterns, joined on the block and one of SPREAD places, so that a block's partners are in many tasks."""
-    place = F.pmod(F.xxhash64("seq_id", "chunk_idx"), F.lit(SPREAD)).cast("int")
-    left = cut.select("*", place.alias("place"), F.explode(F.sequence(F.lit(0), F.lit(blocks_ - 1))).alias("block"))
-    right = table.select("*", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("place"))
-    return left.join(right, ["block", "place"]).select(*cut.columns, "block_patterns")
-
-
-def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]] | None, k: int, scoring: Scoring, ties: bool = False, stretches: bool = False) -> DataFrame:
-    """(pattern_id, seq_id, chunk_idx, score, x_end, y_end): the k best cells of each pattern in each chunk's core.
-
-    Without a list of patterns, each row has its own in block_patterns. With
-    stretches also (begin, stretch): twice an alignment's span up to the cell.
+def _spans(core: int, scoring: Scoring, twice: bool) -> Column:
+    """0 for patterns whose halo is at most a quarter of the core, then a number for each further factor of 4."""
+    reach = F.length("seq") + F.ceil(F.length("seq") * scoring.most / scoring.gap)
+    return F.greatest(F.ceil(F.log(4.0, reach * (8 if twice else 4) / core)), F.lit(0)).cast("int")
+
+
+def pattern_blocks(patterns: DataFrame, core: int, scoring: Scoring, twice: bool) -> Iterator[tuple[bool, list[tuple[int, str]]]]:
+    """(whether it is one of many, patterns): blocks of like length, each of at most SENT_CHARS characters (or one pattern), one after the other."""
+    some = patterns.where(F.length("seq") > 0).select(F.col("pattern_id").cast("long").alias("pattern_id"), "seq", _spans(core, scoring, twice).alias("span"))
+    total = some.agg(F.sum(F.length("seq"))).first()[0] or 0
+    if total <= SENT_CHARS:
+        found: dict[int, list[tuple[int, str]]] = {}
+        for r in some.orderBy("pattern_id", "seq").toLocalIterator():
+            found.setdefault(r.span, []).append((r.pattern_id, r.seq))
+        for span in sorted(found):
+            yield False, found[span]
+        return
+    n = -(-2 * total // SENT_CHARS)
+    dealt = written(some.withColumn("block", F.pmod(F.xxhash64("pattern_id"), F.lit(n)).cast("int")), "patterns")
+    for span, block in sorted(tuple(r) for r in dealt.select("span", "block").distinct().collect()):
+        held, room = [], SENT_CHARS
+        for r in dealt.where((F.col("span") == span) & (F.col("block") == block)).orderBy("pattern_id", "seq").toLocalIterator():
+            if held and len(r.seq) > room:
+                yield True, held
+                held, room = [], SENT_CHARS
+            held.append((r.pattern_id, r.seq))
+            room -= len(r.seq)
+        yield True, held
+
+
+def dealt_out(seqs: DataFrame, cut: DataFrame) -> DataFrame:
+    """cut, the chunks of seqs; dealt out anew where one partition holds far more characters than its share."""
+    slots = seqs.sparkSession.sparkContext.defaultParallelism
+    held = seqs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.length("seq")).alias("n"))
+    most, total = held.agg(F.max("n"), F.sum("n")).first()
+    if not total or most * slots <= 2 * total:
+        return cut
+    return cut.repartition(max(2 * slots, -(-total // DEALT_CHARS)), "seq_id", "chunk_idx")
+
+
+class _Best:
+    """The k best hits of a pattern that a task has met, by score, then place."""
+
+    def __init__(self, k: int) -> None:
+        self.k, self.rows, self.least = k, [], 1
+
+    def add(self, rows: list[tuple], stretch: Callable[[tuple], tuple]) -> None:
+        """rows: (-score, whether seq_id isn't null, seq_id, y_end, x_end, chunk_idx, and what stretch needs), stretched only if they stay."""
+        new = sorted([(r, False) for r in rows] + [(r, True) for r in self.rows], key=lambda x: x[0][:6])[: self.k]
+        self.rows = [r if done else r[:6] + stretch(r) for r, done in new]
+        if len(self.rows) == self.k:
+            self.least = max(1, -self.rows[-1][0])
+
+
+def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring: Scoring, per_pair: bool = False, ties: bool = False, stretches: bool = False) -> DataFrame:
+    """(pattern_id, seq_id, chunk_idx, score, x_end, y_end): of each pattern the k best cells of a task's chunk cores, or with per_pair or ties of each core.
+
+    With stretches also (begin, stretch): twice an alignment's span up to the cell.
     """
     kind = dict(cut.dtypes)["seq_id"]
-    shipped = cut.sparkSession.sparkContext.broadcast([(i, code_points(p)) for i, p in patterns]) if patterns is not None else None
-
-    def found(batch: pa.RecordBatch, texts: list[np.ndarray], pid: int, pattern: np.ndarray, a: int, b: int) -> pa.RecordBatch | None:
-        ids, idx = batch.column(0), batch.column(1)
-        start, skip = np.asarray(batch.column(2)), np.asarray(batch.column(3)).astype(np.int64)
-        text = np.concatenate(texts[a:b])
-        size = np.array([len(t) for t in texts[a:b]])
-        first = size.cumsum() - size
-        segment = np.repeat(np.arange(a, b), size)
-        h = fill(pattern, text, first, scoring)
-        if skip[a:b].any():
-            for at, n in zip(first.tolist(), skip[a:b].tolist(), strict=True):
-                h[:, at : at + n] = 0
-        x, y, score = best_cells(h, segment, k, ties)
-        if not len(x):
-            return None
-        at = pa.array(segment[y])
-        inner = y - first[segment[y] - a]
-        columns = [pa.array(np.full(len(x), pid, np.int64)), ids.take(at), idx.take(at), pa.array(score.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array((start[segment[y]] + inner).astype(np.int64))]
-        if stretches:
-            lo = np.maximum(inner - 2 * scoring.reach(len(pattern)) + 1, 0)
-            columns += [pa.array((start[segment[y]] + lo).astype(np.int64)), pa.array([texts[t][i : j + 1].tobytes().decode("utf-32-le") for t, i, j in zip(segment[y].tolist(), lo.tolist(), inner.tolist(), strict=True)])]
-        return pa.RecordBatch.from_arrays(columns, names=["pattern_id", "seq_id", "chunk_idx", "score", "x_end", "y_end", "begin", "stretch"][: len(columns)])
+    shipped = cut.sparkSession.sparkContext.broadcast(patterns)
+    names = ["pattern_id", "seq_id", "chunk_idx", "score", "x_end", "y_end", "begin", "stretch"][: 8 if stretches else 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = [(pid, code_points(p)) for pid, p in shipped.value]
+        kept = {} if per_pair or ties else {pid: _Best(k) for pid, _ in coded}
+        id_type = None
+
+        def told(columns: list[list], id_type: pa.DataType) -> pa.RecordBatch:
+            kinds = [pa.int64(), id_type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], names=names)
+
         for batch in batches:
+            id_type = batch.schema.field(0).type
             texts = [code_points(t) for t in batch.column(4).to_pylist()]
-            sizes = list(map(len, texts))
-            if shipped is not None:
-                jobs = ((pid, p, a, b) for pid, p in shipped.value for a, b in _groups(sizes, max(1, CELLS // len(p))))
-            else:
-                jobs = ((x["id"], code_points(x["seq"]), r, r + 1) for r, row in enumerate(batch.column(5)) for x in row.as_py())
-            for pid, p, a, b in jobs:
-                out = found(batch, texts, pid, p, a, b)
-                if out is not None:
-                    yield out
+            ids, idx, start, skip = (batch.column(c).to_pylist() for c in range(4))
+            for a, b in _groups(list(map(len, texts)), COLUMNS):
+                text = np.concatenate(texts[a:b])
+                size = np.array([len(t) for t in texts[a:b]])
+                first = size.cumsum() - size
+                segment = np.repeat(np.arange(b - a), size)
+                halo = (np.arange(len(text)) - first[segment] < np.array(skip[a:b])[segment]) if any(skip[a:b]) else None
+                pairs = scoring.pairs(text)
+                for pid, pattern in coded:
+                    reach = 2 * scoring.reach(len(pattern))
+                    of = kept.get(pid)
+                    x, y, score = striped_best(stripes(pattern, text, first, scoring, pairs=pairs), segment, k, ties, of.least if of else 1, halo)
+                    if not len(x):
+                        continue
+                    owner = segment[y] + a
+                    inner = y - first[owner - a]
+
+                    def stretch(at: int, end: int, reach: int = reach) -> tuple[int, str]:
+                        lo = max(end - reach + 1, 0)
+                        return start[at] + lo, texts[at][lo : end + 1].tobytes().decode("utf-32-le")
+
+                    found = list(zip(score.tolist(), x.tolist(), owner.tolist(), inner.tolist(), strict=True))
+                    if of:
+                        of.add([(-v, ids[o] is not None, ids[o], start[o] + i, r, idx[o], o, i) for v, r, o, i in found], lambda r: stretch(r[6], r[7]) if stretches else ())
+                        continue
+                    columns = [[pid] * len(found), [ids[o] for _, _, o, _ in found], [idx[o] for _, _, o, _ in found], [v for v, *_ in found], [r for _, r, _, _ in found], [start[o] + i for _, _, o, i in found]]
+                    if stretches:
+                        columns += map(list, zip(*(stretch(o, i) for _, _, o, i in found), strict=True))
+                    yield told(columns, id_type)
+        for pid, of in kept.items():
+            if of.rows:
+                rows = [(pid, r[2], r[5], -r[0], r[4], r[3], *r[6:]) for r in of.rows]
+                yield told(list(map(list, zip(*rows, strict=True))), id_type)
 
     schema = f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long" + (", begin long, stretch string" if stretches else "")
     return cut.mapInArrow(run, schema)
@@ -176,7 +225,7 @@ def align_hits(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring =
     """
     if scoring.unknown != "free":
         seqs = seqs.withColumn("seq", conform(F.col("seq"), scoring))
-    return align_chunks(lambda n, halo: chunks(seqs, n, halo), patterns, k, scoring, per_pair, ties, core, stretches)
+    return align_chunks(lambda n, halo: dealt_out(seqs, chunks(seqs, n, halo)), patterns, k, scoring, per_pair, ties, core, stretches)
 
 
 def align_chunks(read: Callable[[int, int], DataFrame], patterns: DataFrame, k: int, scoring: Scoring = Scoring(), per_pair: bool = False, ties: bool = False, core: int = CORE, stretches: bool = False) -> DataFrame:
@@ -187,25 +236,20 @@ def align_chunks(read: Callable[[int, int], DataFrame], patterns: DataFrame, k:
     if k < 1:
         raise ValueError("k must be at least 1")
     patterns = patterns.withColumn("seq", conform(F.col("seq"), scoring))
-    size = patterns.agg(F.sum(F.length("seq")), F.max(F.length("seq"))).first()
-    total, longest = size[0] or 0, size[1] or 0
 
     def cut(reach: int) -> DataFrame:
         halo = reach * (2 if stretches else 1)
         return read(max(core, 4 * halo), halo)
 
-    if total > FEW_BLOCKS * BLOCK_CHARS:
-        table, n = _pattern_blocks_table(patterns, total)
-        out = chunk_hits(_with_blocks(cut(scoring.reach(longest)), table, n), None, k, scoring, ties, stretches)
-    else:
-        out = None
-        for block in pattern_blocks(patterns):
-            found = chunk_hits(cut(scoring.reach(max(len(p) for _, p in block))), block, k, scoring, ties, stretches)
-            out = found if out is None else out.unionByName(found)
-        if out is None:
-            kind = dict(cut(0).dtypes)["seq_id"]
-            schema = f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long" + (", begin long, stretch string" if stretches else "")
-            out = patterns.sparkSession.createDataFrame([], schema)
+    out = None
+    for many, block in pattern_blocks(patterns, core, scoring, stretches):
+        found = chunk_hits(cut(scoring.reach(max(len(p) for _, p in block))), block, k, scoring, per_pair, ties, stretches)
+        found = written(found, "hits") if many else found
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        kind = dict(cut(0).dtypes)["seq_id"]
+        schema = f"pattern_id long, seq_id {kind}, chunk_idx int, score int, x_end int, y_end long" + (", begin long, stretch string" if stretches else "")
+        out = patterns.sparkSession.createDataFrame([], schema)
     return best(out, k, per_pair, ties)
 
 
@@ -218,8 +262,7 @@ def _walked_back(hits: DataFrame, scoring: Scoring, names: list[str]) -> DataFra
 
         rows = []
         for pattern, text, a, b, o in zip(p, part, x, y, begin, strict=True):
-            h = fill(code_points(pattern), code_points(text), np.zeros(1, np.int64), scoring)
-            i, j, ap, as_ = walk(h, pattern, text, int(a), int(b - o), scoring)
+            i, j, ap, as_ = trace_back(pattern, text, int(a), int(b - o), scoring)
             rows.append((i, o + j, ap, as_))
         return pd.DataFrame(rows, columns=["x_start", "y_start", "aligned_p", "aligned_s"])
 
@@ -254,18 +297,21 @@ def align(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring = Scori
 def boundary(seqs: DataFrame, patterns: DataFrame, right: bool, scoring: Scoring = Scoring()) -> DataFrame:
     """(pattern_id, seq_id, edge): the last column (right) or the last row of every matrix, what the next piece of either side needs."""
     kind = dict(seqs.dtypes)["seq_id"]
-    shipped = seqs.sparkSession.sparkContext.broadcast([(i, code_points(p)) for b in pattern_blocks(patterns) for i, p in b])
+    shipped = seqs.sparkSession.sparkContext.broadcast([(i, code_points(p)) for i, p in sent_patterns(patterns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [code_points(t) for t in batch.column(1).to_pylist()]
             sizes = list(map(len, texts))
             for pid, pattern in shipped.value:
-                for a, b in _groups(sizes, max(1, CELLS // len(pattern))):
+                for a, b in _groups(sizes, COLUMNS):
                     size = np.array(sizes[a:b])
                     ends = size.cumsum()
-                    h = fill(pattern, np.concatenate(texts[a:b]), ends - size, scoring)
-                    cells = h[:, ends - 1].T.ravel() if right else h[-1]
+                    edges, bottom = [], np.zeros(0, np.int32)
+                    for _, h in stripes(pattern, np.concatenate(texts[a:b]), ends - size, scoring):
+                        edges.append(h[:, ends - 1])
+                        bottom = h[-1]
+                    cells = np.concatenate(edges).T.ravel() if right else bottom
                     offsets = np.append(0, np.full(b - a, len(pattern)).cumsum() if right else ends).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, pid, np.int64)), batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(cells)))], names=["pattern_id", "seq_id", "edge"])
 
@@ -286,7 +332,7 @@ def statistics(alignments: DataFrame) -> DataFrame:
 
 def cells(seqs: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
     """(pattern_id, seq_id, i, j, h, dir): every cell, 1-based; dir 0 stop, 1 diagonal, 2 up, 3 left. For short sequences and checks."""
-    block = [(i, code_points(p)) for b in pattern_blocks(patterns) for i, p in b]
+    block = [(i, code_points(p)) for i, p in sent_patterns(patterns)]
     kind = dict(seqs.dtypes)["seq_id"]
     shipped = seqs.sparkSession.sparkContext.broadcast(block)
     left_first = scoring.tie_order == "diag_left_up"
@@ -306,7 +352,7 @@ def cells(seqs: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring()) ->
                     corner, up, left = pad[:-1, :-1].copy(), pad[:-1, 1:], pad[1:, :-1].copy()
                     corner[:, first] = 0
                     left[:, first] = 0
-                    pairs = scoring.rows(pattern, text)
+                    pairs = scoring.pairs(text)
                     met = np.stack([pairs[c] for c in pattern.tolist()])
                     ways = [(left - scoring.gap == h, 3), (up - scoring.gap == h, 2)]
                     way = np.zeros_like(h)

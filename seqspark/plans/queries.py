@@ -97,7 +97,7 @@ def pair_cells(spark: SparkSession, d: str) -> DataFrame:
 def char_match_cells(spark: SparkSession, d: str) -> DataFrame:
     """Cells of equal characters, from how often each of the patterns' characters stands in all documents."""
     patterns = _patterns(spark, d)
-    chars = sorted({c for block in ops.pattern_blocks(patterns) for _, p in block for c in p})
+    chars = sorted({c for _, p in ops.sent_patterns(patterns) for c in p})
 
     def often(text: str, c: str) -> Column:
         return (F.length(text) - F.length(F.replace(F.col(text), F.lit(c), F.lit("")))).cast("long")

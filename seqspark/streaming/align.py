@@ -20,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.kernels import best_cells, code_points, fill
 from ..functions.scoring import Scoring
-from ..operators.align import pattern_blocks
+from ..operators.align import sent_patterns
 from ..plans.tables import shared_dir
 
 RESULT = "seq_id long, pattern_id long, rank int, score int, x_end int, y_end long, pieces long"
@@ -34,7 +34,7 @@ def align_stream(pieces: DataFrame, patterns: DataFrame, scoring: Scoring = Scor
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    known = [(i, code_points(p)) for block in pattern_blocks(patterns) for i, p in block]
+    known = [(i, code_points(p)) for i, p in sent_patterns(patterns)]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:

@@ -36,9 +36,9 @@ def test_chunks_do_not_change_hits(spark, long_seqs, per_pair, monkeypatch):
     whole = rows(ops.align_hits(seqs, patterns, 4, per_pair=per_pair, core=1 << 20).select(*keep))
     cut = rows(ops.align_hits(seqs, patterns, 4, per_pair=per_pair, core=60).select(*keep))
     assert whole == cut and whole
-    monkeypatch.setattr(ops, "BLOCK_CHARS", 5)
-    for few in (100, 1):  # blocks in the plan, and a table of blocks
-        monkeypatch.setattr(ops, "FEW_BLOCKS", few)
+    for sent, columns in ((1 << 20, 50), (9, 1000)):  # narrow groups, and patterns a block at a time
+        monkeypatch.setattr(ops, "SENT_CHARS", sent)
+        monkeypatch.setattr(ops, "COLUMNS", columns)
         assert rows(ops.align_hits(seqs, patterns, 4, per_pair=per_pair, core=60).select(*keep)) == whole
 
 
