@@ -18,7 +18,7 @@ from ..functions.sql import register
 from ..operators import align as ops
 from ..sources.reports import report, write_by_rank, write_fasta
 from ..sources.sequences import from_table, patterns_from, read_fasta
-from ..streaming.align import align_stream, latest, run_available
+from ..streaming.align import align_stream, best_of_stream, latest, run_available
 from .tables import shared_dir, table
 
 K = 5
@@ -255,20 +255,32 @@ def sql_align(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT pattern_id, seq_id, align_score(p, seq, 2, -1, 1) AS score, h.score AS top, h.x_end, CAST(h.y_end AS BIGINT) AS y_end FROM {name}, LATERAL align_hits(p, seq, 1, 2, -1, 1) h")
 
 
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of all conversations, as a stream of pieces."""
+    stream = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")
+    return stream.select(F.col("conv_id").alias("seq_id"), F.col("turn").alias("piece"), "text")
+
+
 def stream_topk(spark: SparkSession, d: str) -> DataFrame:
     """Conversations whose turns arrive as a stream: the k best cells of every pattern in each whole conversation."""
-    c = table(spark, d, "conversations")
-    stream = spark.readStream.schema(c.schema).parquet(f"{d}/conversations.parque[t]")
-    pieces = stream.select(F.col("conv_id").alias("seq_id"), F.col("turn").alias("piece"), "text")
-    return latest(run_available(align_stream(pieces, _patterns(spark, d), k=K), "stream_topk")).select("seq_id", "pattern_id", "rank", "score", "x_end", "y_end")
+    return latest(run_available(align_stream(_pieces(spark, d), _patterns(spark, d), k=K), "stream_topk")).select("seq_id", "pattern_id", "rank", "score", "x_end", "y_end")
 
 
 def stream_align_conversations(spark: SparkSession, d: str) -> DataFrame:
     """Conversations whose turns arrive as a stream: the best cell of every pattern in each whole conversation."""
-    c = table(spark, d, "conversations")
-    stream = spark.readStream.schema(c.schema).parquet(f"{d}/conversations.parque[t]")
-    pieces = stream.select(F.col("conv_id").alias("seq_id"), F.col("turn").alias("piece"), "text")
-    return latest(run_available(align_stream(pieces, _patterns(spark, d)), "stream_align")).select("seq_id", "pattern_id", "score", "x_end", "y_end")
+    return latest(run_available(align_stream(_pieces(spark, d), _patterns(spark, d)), "stream_align")).select("seq_id", "pattern_id", "score", "x_end", "y_end")
+
+
+def stream_topk_global(spark: SparkSession, d: str) -> DataFrame:
+    """The k best cells of every pattern over all conversations, kept while their turns arrive."""
+    hits = align_stream(_pieces(spark, d), _patterns(spark, d), k=K)
+    return latest(run_available(best_of_stream(hits, K), "stream_topk_global")).select(*_HIT)
+
+
+def stream_traceback(spark: SparkSession, d: str) -> DataFrame:
+    """The same with their alignments, walked back while the turns that they reach are at hand."""
+    hits = align_stream(_pieces(spark, d), _patterns(spark, d), k=K, alignments=True)
+    return latest(run_available(best_of_stream(hits, K), "stream_traceback")).select(*_ALIGNED)
 
 
 QUERIES = {
@@ -277,7 +289,7 @@ QUERIES = {
         seq_length, seq_slice, seq_encode, alphabet_counts, validate_alphabet, chunk_blocks, chunk_halo, split_equal_pad, pattern_stripes, pair_cells, char_match_cells,
         sw_cells, sw_score, sw_score_native, sw_boundary_right, sw_boundary_bottom, sw_topk_cells, sw_topk_with_ties, sw_best_per_pattern, sw_traceback, sw_traceback_up_first,
         sw_alignment_stats, report_text, sw_chunked_hits, sw_chunked_traceback, sw_documents, sw_documents_traceback, fasta_round_trip, checkpoint_islands, stream_align_conversations,
-        sw_matrix_score, sw_unknown_as_n, sql_align, stream_topk, fasta_first_line, report_by_rank,
+        sw_matrix_score, sw_unknown_as_n, sql_align, stream_topk, stream_topk_global, stream_traceback, fasta_first_line, report_by_rank,
     )
 }
 
@@ -372,6 +384,8 @@ ORACLE_SQL = {
     "sw_unknown_as_n": _matrix(f"SELECT p_partkey seq_id, {_AS_N.format('p_name')} s FROM part", pat=f"SELECT CAST(r_regionkey AS BIGINT) pattern_id, {_AS_N.format('lower(r_name)')} p FROM region") + _FIRST,
     "sql_align": _matrix(_DB_PARTS, "CASE WHEN {c} = {p} THEN 2 ELSE -1 END", 1) + _FIRST.replace(" SELECT seq_id, pattern_id, score, x_end, y_end FROM", " SELECT seq_id, pattern_id, score, score AS top, x_end, y_end FROM", 1),
     "stream_topk": _matrix(_DB_CONVERSATIONS) + f" SELECT seq_id, pattern_id, rank, score, x_end, y_end FROM (SELECT seq_id, pattern_id, CAST(row_number() OVER (PARTITION BY seq_id, pattern_id ORDER BY h DESC, j, i) AS INT) rank, h score, CAST(i - 1 AS INT) x_end, CAST(j - 1 AS BIGINT) y_end FROM w WHERE h > 0) WHERE rank <= {K}",
+    "stream_topk_global": _matrix(_DB_CONVERSATIONS) + _top(K) + _HITS,
+    "stream_traceback": _walked(_LEFT_FIRST, K, _DB_CONVERSATIONS) + " SELECT * FROM al",
     "fasta_first_line": f"SELECT n_name AS header, upper({_DNA.replace('text', "('nation' || n_name)")} || replace(n_name, ' ', '')) AS seq FROM nation",
     "report_by_rank": _walked(_LEFT_FIRST, K, _DB_PARTS) + ", lines AS (SELECT seq_id, rank, unnest(['Score of chain:' || score, 'pattern: ' || aligned_p, 'sequence: ' || aligned_s]) line FROM al) SELECT seq_id, rank, line, count(*) AS n FROM lines GROUP BY ALL",
     "sw_documents": _matrix(_DB_DOCUMENTS) + _FIRST,

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqspark.functions.kernels import best_cells, code_points, fill, walk
+from seqspark.functions.kernels import best_cells, code_points, fill, striped_best, stripes, trace_back, walk
 from seqspark.functions.scoring import Scoring
 
 S = Scoring()
@@ -114,3 +114,55 @@ def test_ties_are_kept_on_demand():
 def test_scoring_is_checked(bad):
     with pytest.raises(ValueError):
         Scoring(**bad)
+
+
+@given(words, words, st.integers(1, 200), st.booleans(), st.sampled_from(["diag_left_up", "diag_up_left"]))
+@settings(max_examples=150, deadline=None)
+def test_stripes_and_walks_in_linear_space_equal_the_whole_matrix(p, s, cells, ties, order):
+    scoring = Scoring(tie_order=order)
+    s = s + p[2:] + s
+    h, first = one(p, s, scoring), np.zeros(1, np.int64)
+    parts = list(stripes(code_points(p), code_points(s), first, scoring, cells=cells))
+    assert np.concatenate([x for _, x in parts]).tolist() == h.tolist()
+    segment = np.zeros(len(s), np.int64)
+    for k in (1, 4):
+        found = [x.tolist() for x in best_cells(h, segment, k, ties)]
+        assert [x.tolist() for x in striped_best(iter([(a, x.copy()) for a, x in parts]), segment, k, ties)] == found
+        for x, y, _ in zip(*found, strict=True):
+            assert trace_back(p, s, x, y, scoring, cells) == walk(h, p, s, x, y, scoring)
+
+
+def test_a_stripe_goes_on_from_a_column_and_a_row():
+    rng = np.random.default_rng(5)
+    p, s = (rng.integers(65, 69, n).astype(np.uint32) for n in (40, 90))
+    h = fill(p, s, np.zeros(1, np.int64), S)
+    left = np.concatenate(([0], h[:, 29])).astype(np.int32)
+    right = np.concatenate([x for _, x in stripes(p, s[30:], np.zeros(1, np.int64), S, left, cells=200)])
+    assert (right == h[:, 30:]).all()
+
+
+LONG = """
+import random, resource, sys
+import numpy as np
+from seqspark.functions.kernels import code_points, striped_best, stripes, trace_back
+from seqspark.functions.scoring import Scoring
+rng = random.Random(2)
+make = lambda n: "".join(rng.choices("ACGT", k=n))
+p = make(30_000)
+s = make(9_000) + p[4_000:20_000] + make(5_000)
+S = Scoring()
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+x, y, v = striped_best(stripes(code_points(p), code_points(s), np.zeros(1, np.int64), S), np.zeros(len(s), np.int64), 1)
+i, j, a, b = trace_back(p, s, int(x[0]), int(y[0]), S)
+score = sum(-2 if "-" in c else 3 if c[0] == c[1] else -3 for c in zip(a, b))
+print(int(v[0]), score, a.replace("-", "") == p[i : x[0] + 1], b.replace("-", "") == s[j : y[0] + 1], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+
+
+def test_thirty_thousand_by_thirty_thousand_in_bounded_memory():
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True, check=True, timeout=300).stdout.split()
+    assert int(out[0]) == int(out[1]) > 48_000 and out[2:4] == ["True", "True"]
+    assert int(out[4]) < 500  # MB; the matrix itself would be 3.6 GB

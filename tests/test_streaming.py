@@ -4,8 +4,8 @@ import random
 
 import pandas as pd
 
-from seqspark.operators.align import align_hits
-from seqspark.streaming.align import align_stream, latest, run_available
+from seqspark.operators.align import align, align_hits
+from seqspark.streaming.align import align_stream, best_of_stream, latest, run_available
 
 
 def test_restart_late_and_early_pieces(spark, tmp_path):
@@ -25,3 +25,42 @@ def test_restart_late_and_early_pieces(spark, tmp_path):
     got = sorted(map(tuple, latest(out).select(*keep).collect()))
     whole = align_hits(spark.createDataFrame(list(seqs.items()), "seq_id long, seq string"), patterns, 3, per_pair=True)
     assert got == sorted(map(tuple, whole.select(*keep).collect())) and len(got) == 12
+
+
+def test_best_over_all_sequences_with_alignments_after_restarts(spark, tmp_path):
+    rng = random.Random(4)
+    seqs = {k: "".join(rng.choice("ACGT") for _ in range(70 + 9 * k)) for k in range(6)}
+    pieces = [(k, n, s[n * 13 : n * 13 + 13]) for k, s in seqs.items() for n in range(-(-len(s) // 13))]
+    patterns = spark.createDataFrame([(0, "ACGTACGTTGCA"), (1, "TTGA"), (2, None)], "pattern_id long, seq string")
+    source = tmp_path / "in"
+    source.mkdir()
+    rng.shuffle(pieces)
+    for n in range(4):
+        pd.DataFrame(pieces[n::4], columns=["seq_id", "piece", "text"]).to_parquet(source / f"{n}.parquet")
+        stream = spark.readStream.schema("seq_id long, piece long, text string").parquet(str(source))
+        hits = align_stream(stream, patterns, k=4, alignments=True)
+        out = run_available(best_of_stream(hits, 4), "t", str(tmp_path / "work"))
+    whole = align(spark.createDataFrame(list(seqs.items()), "seq_id long, seq string"), patterns, 4)
+    keep = ["pattern_id", "rank", "seq_id", "score", "x_end", "y_end", "x_start", "y_start", "aligned_p", "aligned_s"]
+    got = sorted(map(tuple, latest(out).select(*keep).collect()))
+    assert got == sorted(map(tuple, whole.select(*keep).collect())) and len(got) == 8
+
+
+def test_a_missing_piece_is_told_and_nothing_dropped(spark, tmp_path):
+    import time
+
+    patterns = spark.createDataFrame([(0, "ACGT")], "pattern_id long, seq string")
+    source, work = tmp_path / "in", str(tmp_path / "work")
+    source.mkdir()
+    stream = spark.readStream.schema("seq_id long, piece long, text string").parquet(str(source))
+
+    def run(n, rows):
+        pd.DataFrame(rows, columns=["seq_id", "piece", "text"]).to_parquet(source / f"{n}.parquet")
+        return run_available(align_stream(stream, patterns, wait_ms=1), "t", work)
+
+    run(0, [(1, 0, "AC"), (1, 2, "AC"), (2, 0, "AC")])
+    time.sleep(0.1)
+    late = run(1, [(2, 1, "GT")]).where("waits_for IS NOT NULL").collect()
+    assert [(r.seq_id, r.waits_for, r.pattern_id) for r in late] == [(1, 1, None)]
+    out = run(2, [(1, 1, "GT")])
+    assert sorted((r.seq_id, r.score, r.y_end, r.pieces) for r in latest(out).collect()) == [(1, 12, 3, 3), (2, 12, 3, 2)]
