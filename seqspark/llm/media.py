@@ -215,7 +215,7 @@ def as_page(text: Column) -> Column:
     def paragraphs(part: Column) -> Column:
         return F.concat(F.lit("<p>"), F.array_join(part, "</p><p>"), F.lit("</p>"))
 
-    image = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2(payload(text), 256), F.lit('"><figcaption>'), F.substring(F.element_at(lines, half), 1, 80), F.lit("</figcaption></figure>"))
+    image = F.concat(F.lit(f'<figure><img src="{SCHEME}'), F.sha2(payload(text), 256), F.lit('"><figcaption>'), F.element_at(lines, half), F.lit("</figcaption></figure>"))
     return F.concat(F.lit("<article>"), paragraphs(F.slice(lines, F.lit(1), half)), image, paragraphs(F.slice(lines, half + 1, F.size(lines))), F.lit("</article>"))
 
 
