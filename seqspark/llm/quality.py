@@ -172,16 +172,20 @@ def grow(x: np.ndarray, y: np.ndarray, monotone: list[int], rounds: int = 80, de
     return trees.flat()
 
 
-def sample(rows: DataFrame, bound: int, key: str = "doc_id") -> DataFrame:
-    """About `bound` rows at most, by a hash of the key: the same rows however the table is dealt."""
+def sample(rows: DataFrame, bound: int, *keys: str) -> DataFrame:
+    """About `bound` rows at most, by a hash of the keys (doc_id): the same rows however the table is dealt. Only different keys are bounded."""
     n = rows.count()
-    return rows if n <= bound else rows.where(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(1_000_000 * bound / n))
+    return rows if n <= bound else rows.where(F.pmod(F.xxhash64(F.lit("sample"), *(keys or ("doc_id",))), F.lit(1_000_000)) < int(1_000_000 * bound / n))
 
 
 def fit(stats: DataFrame, labels: DataFrame, most_labels: int = 20_000) -> Trees | None:
-    """Trees fitted on at most about most_labels labelled documents; None if there is no contrast to learn."""
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).dropna()
-    got = stats.select("doc_id", *FEATURES).join(sample(marked, most_labels), "doc_id").orderBy("doc_id", *FEATURES, "y").toPandas()
+    """Trees fitted on at most about most_labels labelled documents; None if there is no contrast to learn.
+
+    Rows that repeat a document with the same statistics and label count once, so what comes to the driver is bounded however often one is repeated.
+    """
+    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).dropna().distinct()
+    met = write_table(stats.select("doc_id", *FEATURES).distinct().join(marked, "doc_id"), "labelled")
+    got = sample(met, most_labels, "doc_id", *FEATURES, "y").orderBy("doc_id", *FEATURES, "y").toPandas()
     y = got["y"].to_numpy(np.float64) if len(got) else np.zeros(0)
     if len(set(y)) < 2:
         return None
