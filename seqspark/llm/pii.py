@@ -33,6 +33,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -49,7 +50,6 @@ SECRET = "secret"
 ALL_KINDS = (*KINDS, SECRET, *(f"{k}_term" for k in (*KINDS, "domain")))
 BITS = 20
 NEAR = 24
-REACH = 400
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -111,14 +111,19 @@ def entities(kind: str, value: str) -> list[str]:
     return [_named(kind, value if kind == "ip" else "".join(DIGIT.findall(value)))]
 
 
-def words_near(text: str, a: int, b: int) -> list[str]:
-    """Up to NEAR lower-case words on each side of a span; a word that the reach would cut is left out."""
-    lo, hi = max(0, a - REACH), min(len(text), b + REACH)
-    while lo and lo < a and text[lo - 1].isalpha():
-        lo += 1
-    while hi < len(text) and hi > b and text[hi].isalpha():
-        hi -= 1
-    return [w.lower() for w in WORD.findall(text[lo:a])[-NEAR:] + WORD.findall(text[b:hi])[:NEAR]]
+class Around:
+    """The words of one text, by place; what is near a span is found by bisection, however long words are or lie apart."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.starts, self.ends = text, None, None
+
+    def __call__(self, a: int, b: int) -> list[str]:
+        """Up to NEAR lower-case words on each side of a span."""
+        if self.starts is None:
+            places = [m.span() for m in WORD.finditer(self.text)]
+            self.starts, self.ends = [p[0] for p in places], [p[1] for p in places]
+        before, after = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        return [self.text[self.starts[k] : self.ends[k]].lower() for k in (*range(max(0, before - NEAR), before), *range(after, min(len(self.starts), after + NEAR)))]
 
 
 def contexts(words: list[str]) -> list[int]:
@@ -164,12 +169,13 @@ def find_base(docs: DataFrame) -> DataFrame:
             for key, i, t in zip(keys, ids, texts, strict=True):
                 spans = base_spans(t) if t else []
                 near: dict[str, list[str]] = {}
+                beside = Around(t)
                 for a, b, kind in spans:
-                    around = words_near(t, a, b)
+                    around = beside(a, b)
                     for e in entities(kind, t[a:b]):
                         near.setdefault(e, []).extend(around)
                 seen = [{"entity": e, "words": sorted(set(w)), "c": contexts(w)} for e, w in near.items()]
-                odd = [{"cue": cue, "a": a, "b": b, "c": contexts(words_near(t, a, b))} for cue, a, b in (opaque(t, spans) if t else ())]
+                odd = [{"cue": cue, "a": a, "b": b, "c": contexts(beside(a, b))} for cue, a, b in (opaque(t, spans) if t else ())]
                 rows.append((key, i, [f"{k}:{a}:{b}" for a, b, k in spans], seen, odd))
             return rows
 
