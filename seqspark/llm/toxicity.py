@@ -39,7 +39,9 @@ from .common import id_text, map_rows, remainder
 from .quality import sample
 
 SHORTEST, LONGEST = 4, 10
-#: Digits and signs that stand for letters.
+#: Of a text's length, what its evidence is divided by.
+POWER = 0.75
+#: Digits and signs that stand for letters, in words that hold a letter: numbers stay numbers.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 #: Signs that do so only before or between letters, where they are no punctuation.
 SIGNS = {"$": "s", "|": "l", "!": "i"}
@@ -52,6 +54,8 @@ LOOKALIKES = dict(
     )
 )
 WORD = re.compile(r"[^\W_]+")
+#: A run of letters and digits that holds a digit; each run is looked at once.
+_MIXED = re.compile(r"(?<![^\W_])(?<!@)[^\W\d_]*+[\d@](?:[^\W_]|@)*+")
 _SIGN = re.compile(r"\$(?=[^\W\d_])|(?<=[^\W_])[|!](?=[^\W\d_])")
 #: Scripts written without spaces (Thai to Myanmar, Khmer, kana, Han): their words stand inside longer runs.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
@@ -60,7 +64,7 @@ _FORMS = ((0x2100, 0x2150), (0x2460, 0x2500), (0xFF01, 0xFF5F), (0x1D400, 0x1D80
 
 
 def folding() -> dict[int, str]:
-    """Translation table for lower-cased text: forms of plain letters by their compatibility form, look-alikes, digits; invisible characters go."""
+    """Translation table for lower-cased text: forms of plain letters and digits by their compatibility form, look-alikes; invisible characters go."""
     table: dict[int, str] = {}
     for lo, hi in _FORMS:
         for c in range(lo, hi):
@@ -68,19 +72,20 @@ def folding() -> dict[int, str]:
             if 0x1F130 <= c < 0x1F190 and not plain.isascii():
                 plain = chr(ord("a") + (c - 0x1F130) % 32) if (c - 0x1F130) % 32 < 26 else chr(c)
             if plain != chr(c):
-                table[c] = "".join((DIGITS | LOOKALIKES).get(x, x) for x in plain)
-    table |= {ord(k): v for k, v in (DIGITS | LOOKALIKES).items()}
+                table[c] = "".join(LOOKALIKES.get(x, x) for x in plain)
+    table |= {ord(k): v for k, v in LOOKALIKES.items()}
     return table | dict.fromkeys((0xAD, 0x34F, 0x180E, 0x200B, 0x200C, 0x200D, 0x2060, 0x2061, 0x2062, 0x2063, 0xFE0E, 0xFE0F, 0xFEFF), "")
 
 
 FOLD = folding()
+_LETTERS = str.maketrans(DIGITS)
 
 
 def fold(text: str | None) -> str:
     lower = (text or "").lower()
     if "$" in lower or "|" in lower or "!" in lower:
         lower = _SIGN.sub(lambda m: SIGNS[m[0]], lower)
-    return lower.translate(FOLD)
+    return _MIXED.sub(lambda m: m[0].translate(_LETTERS) if any(c.isalpha() for c in m[0]) else m[0], lower.translate(FOLD))
 
 
 def phrases(folded: str, lo: int, hi: int) -> list[str]:
@@ -112,6 +117,11 @@ def substrings(word: str) -> set[str]:
     return inner | {"=" + word}
 
 
+def density(evidence: float, words: int) -> float:
+    """Evidence over length: a match counts the less the more words stand around it, though not in proportion, as some follow any toxic one."""
+    return 10 * evidence / (words + 10.0) ** POWER
+
+
 @dataclass
 class Lexicon:
     weights: dict[str, float]
@@ -154,7 +164,7 @@ class Lexicon:
         if not kept:
             return 0.0, 0
         words = folded.count(" ") + folded.count("\n") + 1
-        return sum(kept) / np.log(words + 10.0), len(kept)
+        return density(sum(kept), words), len(kept)
 
     def score(self, density: np.ndarray) -> np.ndarray:
         a, c = self.curve
