@@ -132,7 +132,7 @@ def test_shares_and_gains_equal_brute_force(spark):
     both = sum("Quillborough mayor@town.example" in t for t in texts)
     r = got["quillborough", "email"]
     at = [(t, t.index("mayor@town.example")) for t in texts if "Quillborough mayor" in t]
-    marks = [pii.contexts(pii.words_near(t, a, a + len("mayor@town.example"))) for t, a in at]
+    marks = [pii.contexts(pii.Around(t)(a, a + len("mayor@town.example"))) for t, a in at]
     c = min(len(set(x)) for x in zip(*marks, strict=True))
     share = both / n * c / (c + 1)
     assert (r.both, r.n, r.contexts) == (both, n, c) and abs(r.share - share) < 1e-12
@@ -179,3 +179,19 @@ def test_pii_awkward(spark, awkward, nothing):
 def test_redaction_of_overlaps():
     assert pii.redact("call +1 2 3 4 now", [(5, 11, "phone"), (8, 13, "card")]) == "call [PHONE] now"
     assert pii.redact("abcdef", [(1, 3, "term"), (2, 5, "email")]) == "a[TERM]f"
+
+
+def test_captions_are_whole_lines(spark):
+    line = "x" * 78 + "&b <i> " + "y" * 300
+    got = media.media_sequences(spark.createDataFrame([(1, line + "\nrest")], "doc_id long, text string")).where("kind = 'media'").first()
+    assert got.caption == line
+
+
+def test_nearness_counts_words_of_any_length():
+    long = [chr(97 + k) * 60 for k in range(20)]
+    text = "far " * 30 + " ".join(long) + " a@b.example " + "; ".join(long)
+    around = pii.Around(text)
+    at = text.index("a@b")
+    got = around(at, at + len("a@b.example"))
+    assert got == ["far"] * 4 + long + long and len(got) == 44
+    assert pii.Around("")(0, 0) == [] and pii.Around("12 " * 50)(3, 5) == []

@@ -244,7 +244,7 @@ def test_toxicity_equals_brute_force():
             before = found[k - 1][2] if k else ""
             if best and w not in lexicon.exceptions and f"{before} {w}" not in lexicon.exceptions:
                 total, n = total + best, n + 1
-        want = total / np.log(folded.count(" ") + folded.count("\n") + 1 + 10.0) if n else 0.0
+        want = 10 * total / (folded.count(" ") + folded.count("\n") + 11.0) ** 0.75 if n else 0.0
         got = lexicon.evidence(a, text)
         assert got[1] == n and abs(got[0] - want) < 1e-9, text
 
@@ -252,7 +252,16 @@ def test_toxicity_equals_brute_force():
 @pytest.mark.parametrize("text", ["вad", "кill", "𝐢𝐝𝐢𝐨𝐭", "ⓘⓓⓘⓞⓣ", "🅘🅓🅘🅞🅣", "ｉｄｉｏｔ", "1d10t", "$tupid", "sh!t", "id|ot", "s\u200bhit"])
 def test_toxicity_folds(text):
     assert toxicity.fold(text) in ("bad", "kill", "idiot", "stupid", "shit", "idlot"), toxicity.fold(text)
-    assert toxicity.fold("wow!! cost $5 a|") == "wow!! cost $s a|"
+    assert toxicity.fold("wow!! cost $5 a|") == "wow!! cost $5 a|"
+
+
+def test_numbers_stay_numbers():
+    assert toxicity.fold("room 455, call 5417 or 45.5") == "room 455, call 5417 or 45.5"
+    assert toxicity.fold("a55 @55 4ss 5h17 ４55x 1") == "ass @55 ass shit assx 1"
+    assert toxicity.fold("x" * 300_000 + " " + "5" * 300_000)[-3:] == "555"
+    lexicon = toxicity.Lexicon({"=ass": 5.0}, frozenset(), (1.0, 0.0))
+    a = lexicon.automaton()
+    assert lexicon.evidence(a, "455 people in room 455")[0] == 0 and lexicon.evidence(a, "what an a55")[1] == 1
 
 
 @needs_tables
@@ -362,3 +371,19 @@ def test_urls_run_no_python(spark):
     spark.range(1).count()
     plan = urls.judge(pages)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_quality_fit_is_bounded_by_different_rows(spark, monkeypatch):
+    """However often a labelled document is repeated, as many rows come to the driver as there are different ones."""
+    rng = random.Random(21)
+    rows = [(k, words(rng, 30 + k), k % 2) for k in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    docs = docs.unionByName(spark.range(50_000).selectExpr("0L AS doc_id", f"'{rows[0][1]}' AS text"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 3, "doc_id long, quality int")
+    seen = []
+    grow = quality.grow
+    monkeypatch.setattr(quality, "grow", lambda x, y, m: seen.append(len(x)) or grow(x, y, m))
+    stats = quality.document_statistics(docs)
+    quality.fit(stats, labels, most_labels=100)
+    quality.fit(stats, labels, most_labels=20)
+    assert seen[0] == 60 and 5 <= seen[1] <= 40
