@@ -163,7 +163,7 @@ def test_secrets_behind_telling_words(spark):
 def test_words_near_are_whole():
     text = "prefixword" * 60 + " one two z@town.example three " + "suffixword" * 60
     a = text.index("z@")
-    assert pii.words_near(text, a, a + 14) == ["one", "two", "three"]
+    assert pii.Around(text)(a, a + 14) == ["prefixword" * 60, "one", "two", "three", "suffixword" * 60]
 
 
 def test_pii_awkward(spark, awkward, nothing):
