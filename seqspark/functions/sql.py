@@ -1,6 +1,12 @@
-"""The aligner as SQL functions: align_score(p, s), and the table functions align_hits(p, s, k) and align(p, s, k).
-
-All take match, mismatch and gap as further arguments; by default those of Scoring.
+"""The aligner as SQL functions.
+
+align_score(p, s) is a scalar; align_hits(p, s, k) and align(p, s, k) are table
+functions for a LATERAL join, which Spark evaluates row by row. For whole tables
+align_hits_of(TABLE(pairs), k) and align_of(TABLE(pairs), k) take the columns
+pattern_id, p, seq_id and seq by Arrow batches and fill all texts of a pattern
+side by side; with PARTITION BY (p) each task sees all of a pattern's pairs
+together. All take match, mismatch and gap as further arguments; by default
+those of Scoring.
 """
 
 from __future__ import annotations
@@ -8,12 +14,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import best_cells, code_points, fill, walk
+from .kernels import best_cells, code_points, fill, striped_best, stripes, trace_back
 from .scoring import Scoring
 
+#: Characters of texts that are filled side by side, about.
+COLUMNS = 32_768
+
 
 def _matrix(p: str | None, s: str | None, scoring: Scoring) -> np.ndarray | None:
     return fill(code_points(p), code_points(s), np.zeros(1, np.int64), scoring) if p and s else None
@@ -33,10 +43,77 @@ class Alignments:
         h = _matrix(p, s, scoring)
         if h is not None:
             for rank, (x, y, v) in enumerate(zip(*(c.tolist() for c in best_cells(h, np.zeros(h.shape[1], np.int64), k)), strict=True), 1):
-                i, j, ap, as_ = walk(h, p, s, x, y, scoring)
+                i, j, ap, as_ = trace_back(p, s, x, y, scoring)
                 yield rank, v, i, x, j, y, ap, as_
 
 
+def _runs(of: dict[str, list[int]], texts: list[np.ndarray | None]) -> Iterator[tuple[str, list[int]]]:
+    """(pattern, rows): the rows of each pattern, as many at a time as make COLUMNS characters, or one."""
+    for p, rows in of.items():
+        held, size = [], 0
+        for r in rows:
+            if held and size + len(texts[r]) > COLUMNS:
+                yield p, held
+                held, size = [], 0
+            held.append(r)
+            size += len(texts[r])
+        yield p, held
+
+
+def pair_hits(batch: pa.RecordBatch, k: int, scoring: Scoring, alignments: bool) -> pa.Table:
+    """The k best cells of every row (pattern_id, p, seq_id, seq); null and empty strings have none."""
+    ps, ss = batch.column("p").to_pylist(), batch.column("seq").to_pylist()
+    texts = [code_points(s) if p and s else None for p, s in zip(ps, ss, strict=True)]
+    of: dict[str, list[int]] = {}
+    for r, t in enumerate(texts):
+        if t is not None:
+            of.setdefault(ps[r], []).append(r)
+    at, cells, walks = [], [[], [], [], []], [[], [], [], []]
+    for p, rows in _runs(of, texts):
+        size = np.array([len(texts[r]) for r in rows])
+        first = size.cumsum() - size
+        segment = np.repeat(np.arange(len(rows)), size)
+        x, y, v = striped_best(stripes(code_points(p), np.concatenate([texts[r] for r in rows]), first, scoring), segment, k)
+        if not len(x):
+            continue
+        owner, inner = segment[y], y - first[segment[y]]
+        opens = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        rank = np.arange(len(owner)) - np.repeat(opens, np.diff(np.append(opens, len(owner)))) + 1
+        found = [rows[o] for o in owner.tolist()]
+        at += found
+        for column, values in zip(cells, (rank, v, x, inner), strict=True):
+            column += values.tolist()
+        if alignments:
+            for r, i, j in zip(found, x.tolist(), inner.tolist(), strict=True):
+                for column, value in zip(walks, trace_back(p, ss[r], i, j, scoring), strict=True):
+                    column.append(value)
+    out = {"pattern_id": batch.column("pattern_id").take(pa.array(at, pa.int64())).cast(pa.int64()), "seq_id": batch.column("seq_id").take(pa.array(at, pa.int64())).cast(pa.int64())}
+    out |= {n: pa.array(c, t) for n, c, t in zip(("rank", "score", "x_end", "y_end"), cells, (pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)}
+    if alignments:
+        out |= {n: pa.array(c, t) for n, c, t in zip(("x_start", "y_start", "aligned_p", "aligned_s"), walks, (pa.int32(), pa.int64(), pa.string(), pa.string()), strict=True)}
+    return pa.table(out)
+
+
+class HitsOf:
+    def eval(self, pairs: pa.RecordBatch, k: pa.Array, match: pa.Array = (3,), mismatch: pa.Array = (-3,), gap: pa.Array = (2,)) -> Iterator[pa.Table]:
+        if pairs.num_rows:
+            yield pair_hits(pairs, *_costs(k, match, mismatch, gap), False)
+
+
+class AlignmentsOf:
+    def eval(self, pairs: pa.RecordBatch, k: pa.Array, match: pa.Array = (3,), mismatch: pa.Array = (-3,), gap: pa.Array = (2,)) -> Iterator[pa.Table]:
+        if pairs.num_rows:
+            yield pair_hits(pairs, *_costs(k, match, mismatch, gap), True)
+
+
+def _costs(k, *costs) -> tuple[int, Scoring]:
+    """The arguments, which Arrow gives as columns of one value each."""
+    k, *costs = (int(c[0].as_py() if isinstance(c, pa.Array) else c[0]) for c in (k, *costs))
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    return k, Scoring(*costs)
+
+
 def register(spark: SparkSession) -> None:
     """Makes the functions known to the session's SQL; null and empty inputs score 0 and have no hits."""
 
@@ -57,3 +134,6 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("align_score", align_score)
     spark.udtf.register("align_hits", F.udtf(Hits, returnType="score int, x_end int, y_end int", useArrow=True))
     spark.udtf.register("align", F.udtf(Alignments, returnType="rank int, score int, x_start int, x_end int, y_start int, y_end int, aligned_p string, aligned_s string", useArrow=True))
+    hits = "pattern_id long, seq_id long, rank int, score int, x_end int, y_end long"
+    spark.udtf.register("align_hits_of", F.arrow_udtf(HitsOf, returnType=hits))
+    spark.udtf.register("align_of", F.arrow_udtf(AlignmentsOf, returnType=hits + ", x_start int, y_start long, aligned_p string, aligned_s string"))

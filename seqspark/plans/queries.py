@@ -6,6 +6,7 @@ documents. The SQL fills the same matrix a pattern character at a time.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,9 @@ from ..functions import native
 from ..functions.scoring import Scoring
 from ..functions.sql import register
 from ..operators import align as ops
-from ..sources.reports import report, write_by_rank, write_fasta
-from ..sources.sequences import from_table, patterns_from, read_fasta
+from ..sources.ranges import register as register_flat
+from ..sources.reports import report, write_by_rank, write_fasta, write_flat
+from ..sources.sequences import AlignQuery, from_table, patterns_from, read_fasta
 from ..streaming.align import align_stream, best_of_stream, latest, run_available
 from .tables import shared_dir, table
 
@@ -204,6 +206,33 @@ def fasta_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("header").cast("long").alias("doc_id"), F.length("seq").cast("long").alias("length"), F.md5("seq").alias("digest"))
 
 
+def flat_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Encoded documents of each source and language, joined into one sequence, written as a flat text of one line and read back by byte ranges."""
+    docs = table(spark, d, "documents").select(F.concat_ws("-", "source", "lang").alias("seq_id"), "doc_id", native.dna(F.col("text")).alias("seq"))
+    joined = docs.groupBy("seq_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    path = f"{shared_dir(spark)}/flat-{uuid.uuid4().hex}"
+    write_flat(joined, path)
+    register_flat(spark)
+    back = spark.read.format("flat").option("glob", "*.txt").option("rangeBytes", 1 << 18).load(path)
+    letters = [F.sum(F.length("value") - F.length(F.replace("value", F.lit(c), F.lit("")))).cast("long").alias(f"n_{c.lower()}") for c in "ACGTN"]
+    return back.groupBy("file").agg(F.sum(F.length(F.rtrim(F.translate("value", "\n", "")))).cast("long").alias("length"), *letters).drop("file")
+
+
+def json_query(spark: SparkSession, d: str) -> DataFrame:
+    """A database and patterns written as files and named by a JSON query, which is read and run; files hold no white space inside sequences."""
+    path = f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
+    write_fasta(_parts(spark, d), f"{path}/db.fna")
+    found = ops.sent_patterns(_patterns(spark, d))
+    for i, p in found:
+        write_flat(spark.createDataFrame([(i, p)], "seq_id long, seq string"), f"{path}/pattern-{i}")
+    asked = json.dumps({"database": f"{path}/db.fna", "patterns": [f"{path}/pattern-{i}/seq_id={i}" for i, _ in found], "k": K})
+    spark.createDataFrame([(asked,)], "value string").coalesce(1).write.text(f"{path}/query.json")
+    query = AlignQuery.read(f"{path}/query.json/*.txt", spark)
+    seqs, patterns = query.tables(spark)
+    hits = ops.align_hits(seqs, patterns, query.k)
+    return hits.select("pattern_id", "rank", "score")
+
+
 def fasta_first_line(spark: SparkSession, d: str) -> DataFrame:
     """Nations as files of their own, the name in the first line without '>', read back as sequences in upper case."""
     n = table(spark, d, "nation")
@@ -255,6 +284,41 @@ def sql_align(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql(f"SELECT pattern_id, seq_id, align_score(p, seq, 2, -1, 1) AS score, h.score AS top, h.x_end, CAST(h.y_end AS BIGINT) AS y_end FROM {name}, LATERAL align_hits(p, seq, 1, 2, -1, 1) h")
 
 
+def _pairs(spark: SparkSession, d: str) -> str:
+    """The name of a view of all parts with all patterns."""
+    register(spark)
+    name = f"pairs_{uuid.uuid4().hex}"
+    ops.with_patterns(_parts(spark, d), _patterns(spark, d)).createOrReplaceTempView(name)
+    return name
+
+
+def sql_align_table(spark: SparkSession, d: str) -> DataFrame:
+    """The alignment of every pattern with every part, by a table function over Arrow batches of pairs."""
+    return spark.sql(f"SELECT pattern_id, seq_id, score, x_end, y_end, x_start, y_start, aligned_p, aligned_s FROM align_of(TABLE(SELECT pattern_id, p, seq_id, seq FROM {_pairs(spark, d)}), 1)")
+
+
+def sql_hits_by_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """The k best cells of every pair under costs of its own, by a table function whose tasks see a pattern's pairs together."""
+    return spark.sql(f"SELECT pattern_id, seq_id, rank, score, x_end, y_end FROM align_hits_of(TABLE(SELECT pattern_id, p, seq_id, seq FROM {_pairs(spark, d)}) PARTITION BY (p), {K}, 2, -1, 1)")
+
+
+def _all_names(spark: SparkSession, d: str, up: bool) -> DataFrame:
+    """The names of all suppliers, in ascending or descending order, as one sequence of many thousand characters."""
+    names = table(spark, d, "supplier").agg(F.array_join(F.sort_array(F.collect_list("s_name"), up), "\n").alias("seq"))
+    return names.select(F.lit(0).cast("long").alias("id"), "seq")
+
+
+def sw_long_pattern(spark: SparkSession, d: str) -> DataFrame:
+    """Where each supplier's name lies best in a pattern of many thousand characters, filled in stripes."""
+    seqs = from_table(table(spark, d, "supplier"), "s_suppkey", "s_name")
+    return ops.align_hits(seqs, patterns_from(_all_names(spark, d, True), "id", "seq"), 1, per_pair=True).select("seq_id", "score", "x_end", "y_end")
+
+
+def sw_long_traceback(spark: SparkSession, d: str) -> DataFrame:
+    """The best alignments of a pattern with a sequence, both of many thousand characters, walked back in linear space."""
+    return ops.align(from_table(_all_names(spark, d, False), "id", "seq"), patterns_from(_all_names(spark, d, True), "id", "seq"), K).select(*_ALIGNED)
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     """The turns of all conversations, as a stream of pieces."""
     stream = spark.readStream.schema(table(spark, d, "conversations").schema).parquet(f"{d}/conversations.parque[t]")
@@ -289,7 +353,7 @@ QUERIES = {
         seq_length, seq_slice, seq_encode, alphabet_counts, validate_alphabet, chunk_blocks, chunk_halo, split_equal_pad, pattern_stripes, pair_cells, char_match_cells,
         sw_cells, sw_score, sw_score_native, sw_boundary_right, sw_boundary_bottom, sw_topk_cells, sw_topk_with_ties, sw_best_per_pattern, sw_traceback, sw_traceback_up_first,
         sw_alignment_stats, report_text, sw_chunked_hits, sw_chunked_traceback, sw_documents, sw_documents_traceback, fasta_round_trip, checkpoint_islands, stream_align_conversations,
-        sw_matrix_score, sw_unknown_as_n, sql_align, stream_topk, stream_topk_global, stream_traceback, fasta_first_line, report_by_rank,
+        sw_matrix_score, sw_unknown_as_n, sql_align, sql_align_table, sql_hits_by_pattern, sw_long_pattern, sw_long_traceback, stream_topk, stream_topk_global, stream_traceback, flat_round_trip, json_query, fasta_first_line, report_by_rank,
     )
 }
 
@@ -328,18 +392,23 @@ _LEFT_FIRST = _AROUND.format(first="h = lft - 2 AND j > 1 THEN 3", second="2", o
 _UP_FIRST = _AROUND.format(first="h = up - 2 AND i > 1 THEN 2", second="3", only=_ONLY_HITS)
 
 
-def _top(k: int, rank: str = "row_number() OVER (PARTITION BY pattern_id ORDER BY h DESC, seq_id, j, i)") -> str:
+_RANK = "row_number() OVER (PARTITION BY pattern_id ORDER BY h DESC, seq_id, j, i)"
+_RANK_OF_PAIR = "row_number() OVER (PARTITION BY pattern_id, seq_id ORDER BY h DESC, j, i)"
+_NAMES = "SELECT CAST(0 AS BIGINT) {0}, string_agg(s_name, chr(10) ORDER BY s_name {2}) {1} FROM supplier"
+
+
+def _top(k: int, rank: str = _RANK) -> str:
     return f""", hit AS (SELECT * FROM (SELECT pattern_id, CAST({rank} AS INT) rank, seq_id, h score, CAST(i - 1 AS INT) x_end, CAST(j - 1 AS BIGINT) y_end FROM w WHERE i > 0 AND h > 0) WHERE rank <= {k})"""
 
 
-def _walked(ways: str, k: int, db: str) -> str:
-    return _matrix(db) + _top(k) + ways + """, walk AS (
+def _walked(ways: str, k: int, db: str, pat: str = _PAT, rank: str = _RANK) -> str:
+    return _matrix(db, pat=pat) + _top(k, rank) + ways + """, walk AS (
   SELECT pattern_id, rank, seq_id, score, x_end, y_end, x_end + 1 i, CAST(y_end + 1 AS INT) j, '' ap, '' as_, 0 n FROM hit
   UNION ALL
   SELECT k.pattern_id, k.rank, k.seq_id, k.score, k.x_end, k.y_end, k.i - CASE WHEN dir = 3 THEN 0 ELSE 1 END, k.j - CASE WHEN dir = 2 THEN 0 ELSE 1 END,
     CASE WHEN dir = 3 THEN '-' ELSE a END || ap, CASE WHEN dir = 2 THEN '-' ELSE c END || as_, n + 1
   FROM walk k JOIN way ON way.pattern_id = k.pattern_id AND way.seq_id = k.seq_id AND way.i = k.i AND way.j = k.j WHERE dir > 0),
-done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id, rank ORDER BY n DESC) last FROM walk) WHERE last = 1),
+done AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id, rank, seq_id ORDER BY n DESC) last FROM walk) WHERE last = 1),
 al AS (SELECT pattern_id, rank, seq_id, score, x_end, y_end, CAST(i AS INT) x_start, CAST(j AS BIGINT) y_start, ap aligned_p, as_ aligned_s FROM done) """
 
 
@@ -384,6 +453,11 @@ ORACLE_SQL = {
     "sw_unknown_as_n": _matrix(f"SELECT p_partkey seq_id, {_AS_N.format('p_name')} s FROM part", pat=f"SELECT CAST(r_regionkey AS BIGINT) pattern_id, {_AS_N.format('lower(r_name)')} p FROM region") + _FIRST,
     "sql_align": _matrix(_DB_PARTS, "CASE WHEN {c} = {p} THEN 2 ELSE -1 END", 1) + _FIRST.replace(" SELECT seq_id, pattern_id, score, x_end, y_end FROM", " SELECT seq_id, pattern_id, score, score AS top, x_end, y_end FROM", 1),
     "stream_topk": _matrix(_DB_CONVERSATIONS) + f" SELECT seq_id, pattern_id, rank, score, x_end, y_end FROM (SELECT seq_id, pattern_id, CAST(row_number() OVER (PARTITION BY seq_id, pattern_id ORDER BY h DESC, j, i) AS INT) rank, h score, CAST(i - 1 AS INT) x_end, CAST(j - 1 AS BIGINT) y_end FROM w WHERE h > 0) WHERE rank <= {K}",
+    "sql_align_table": _walked(_LEFT_FIRST, 1, _DB_PARTS, rank=_RANK_OF_PAIR) + " SELECT pattern_id, seq_id, score, x_end, y_end, x_start, y_start, aligned_p, aligned_s FROM al",
+    "sql_hits_by_pattern": _matrix(_DB_PARTS, "CASE WHEN {c} = {p} THEN 2 ELSE -1 END", 1) + _top(K, _RANK_OF_PAIR) + _HITS,
+    "sw_long_pattern": _matrix("SELECT s_suppkey seq_id, s_name s FROM supplier", pat=_NAMES.format("pattern_id", "p", "ASC")) + _FIRST.replace("seq_id, pattern_id, score", "seq_id, score", 1),
+    "flat_round_trip": "SELECT CAST(sum(length(s)) AS BIGINT) AS length, " + ", ".join(f"CAST(sum(length(s) - length(replace(s, '{c}', ''))) AS BIGINT) AS n_{c.lower()}" for c in "ACGTN") + f" FROM (SELECT concat_ws('-', source, lang) k, {_DNA} s FROM documents) GROUP BY k HAVING sum(length(s)) > 0",
+    "json_query": _matrix("SELECT p_partkey seq_id, replace(p_name, ' ', '') s FROM part", pat="SELECT CAST(r_regionkey AS BIGINT) pattern_id, replace(lower(r_name), ' ', '') p FROM region") + _top(K) + " SELECT pattern_id, rank, score FROM hit",
     "stream_topk_global": _matrix(_DB_CONVERSATIONS) + _top(K) + _HITS,
     "stream_traceback": _walked(_LEFT_FIRST, K, _DB_CONVERSATIONS) + " SELECT * FROM al",
     "fasta_first_line": f"SELECT n_name AS header, upper({_DNA.replace('text', "('nation' || n_name)")} || replace(n_name, ' ', '')) AS seq FROM nation",

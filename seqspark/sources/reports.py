@@ -1,4 +1,4 @@
-"""Writers: the three-line text report of alignments, and FASTA."""
+"""Writers: the three-line text report of alignments, FASTA, and flat text."""
 
 from __future__ import annotations
 
@@ -30,3 +30,8 @@ def write_fasta(seqs: DataFrame, path: str, header: str = "seq_id", width: int =
     lines = F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})", "$1\n")
     head = F.translate(F.coalesce(F.col(header).cast("string"), F.lit("")), "\r\n", "  ")
     seqs.select(F.concat(F.lit(">"), head, F.lit("\n"), F.rtrim(lines)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_flat(seqs: DataFrame, path: str) -> None:
+    """Each sequence as flat text in a folder of its own (seq_id=...), without a line end; null and empty ones have none. Ids must differ."""
+    seqs.where(F.length("seq") > 0).select("seq_id", F.col("seq").alias("value")).repartition("seq_id").write.partitionBy("seq_id").option("lineSep", "\n").mode("overwrite").text(path)

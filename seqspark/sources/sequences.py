@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import PIECE, register
+
 
 def _whole(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
     reader = spark.read
@@ -46,18 +48,15 @@ def read_flat(spark: SparkSession, path: str, glob: str | None = "*.txt") -> Dat
     return text.select(F.col("file").alias("seq_id"), F.lit(None).cast("string").alias("header"), F.regexp_replace("value", r"\s", "").alias("seq")).where("seq <> ''")
 
 
-def read_chunks(spark: SparkSession, path: str, core: int, halo: int, glob: str | None = "*.txt", sep: str = "\n") -> DataFrame:
-    """(seq_id, chunk_idx, start, skip, part) of flat files of any length, one sequence in each, read in ranges: no row holds a whole sequence.
+def _ranges(spark: SparkSession, path: str, size: int, glob: str | None) -> DataFrame:
+    """(seq_id, block, n, piece) of files cut by bytes."""
+    register(spark)
+    raw = spark.read.format("flat").option("glob", glob or "*").option("pieceBytes", max(4, size)).load(path)
+    return raw.select(F.col("file").alias("seq_id"), F.col("at").alias("block"), F.lit(0).cast("long").alias("n"), F.regexp_replace("value", r"\s", "").alias("piece"))
 
-    Records end at sep, which cuts files into ranges for tasks. A line end is no
-    part of a sequence; for a file without lines sep is one of its letters, the
-    more frequent the better, and stays. Cores of about `core` characters begin
-    at records, with up to `halo` characters before them. A record of more than
-    core - halo characters is refused; files are taken to be ASCII; white space
-    is dropped; empty files give no row.
-    """
-    if not 0 <= halo < core:
-        raise ValueError("the halo must be shorter than the core")
+
+def _records(spark: SparkSession, path: str, glob: str | None, sep: str) -> DataFrame:
+    """(seq_id, block, n, piece) of files whose records end at sep."""
     reader = spark.read.option("lineSep", sep)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -66,7 +65,24 @@ def read_chunks(spark: SparkSession, path: str, core: int, halo: int, glob: str
     ends = raw.groupBy("seq_id").agg(F.max(F.struct("block", "n")).alias("last"), (F.first("size") - F.sum(F.length("value")) - F.count("*")).alias("lack"))
     unended = (F.struct("block", "n") == F.col("last")) & (F.col("lack") < 0)  # the last record need not end with a separator
     text = F.concat(F.regexp_replace("value", r"\s", ""), F.when(unended, "").otherwise(kept))
-    pieces = raw.join(F.broadcast(ends), "seq_id").select("seq_id", "block", "n", text.alias("piece"))
+    return raw.join(F.broadcast(ends), "seq_id").select("seq_id", "block", "n", text.alias("piece"))
+
+
+def read_chunks(spark: SparkSession, path: str, core: int, halo: int, glob: str | None = "*.txt", sep: str | None = None) -> DataFrame:
+    """(seq_id, chunk_idx, start, skip, part) of flat files of any length, one sequence in each, read in ranges: no row holds a whole sequence.
+
+    Files are cut by bytes into pieces of at most core - halo characters (the
+    format `flat`), whether they have lines or not. Where only Spark's own
+    readers reach the files, sep says what ends a record: a line end, which is no
+    part of a sequence, or one of its letters, the more frequent the better,
+    which stays; a record of more than core - halo characters is then refused,
+    and files are taken to be ASCII. Cores of about `core` characters begin at
+    pieces, with up to `halo` characters before them. White space is dropped;
+    empty files give no row; file names must differ.
+    """
+    if not 0 <= halo < core:
+        raise ValueError("the halo must be shorter than the core")
+    pieces = _ranges(spark, path, min(PIECE, core - halo), glob) if sep is None else _records(spark, path, glob, sep)
     length = F.length("piece").cast("long")
     bases = pieces.groupBy("seq_id", "block").agg(F.sum(length).alias("chars"))
     before = W.partitionBy("seq_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)

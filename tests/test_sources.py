@@ -77,7 +77,7 @@ def test_flat_files_in_ranges(spark, tmp_path):
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     try:
-        for path, sep in ((tmp_path, "A"), (lined, "\n")):
+        for path, sep in ((tmp_path, "A"), (lined, "\n"), (tmp_path, None), (lined, None)):
             chunks = read_chunks(spark, str(path), 400, 100, sep=sep)
             whole = {}
             for r in chunks.orderBy("seq_id", "chunk_idx").collect():
@@ -87,6 +87,38 @@ def test_flat_files_in_ranges(spark, tmp_path):
             got = align_chunks(lambda core, halo, path=path, sep=sep: read_chunks(spark, str(path), core, halo, sep=sep), patterns, 5, core=400)
             assert sorted(map(tuple, got.select(*keep).collect())) == want
         with pytest.raises(Exception, match="characters"):
-            read_chunks(spark, str(tmp_path), 400, 100).collect()
+            read_chunks(spark, str(tmp_path), 400, 100, sep="\n").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_flat_format_cuts_by_bytes_and_follows_what_is_appended(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from seqspark.sources.ranges import register
+
+    register(spark)
+    texts = {"a.txt": "ACGT" * 2500, "b.txt": "aé日🙂" * 700, "c.txt": "x"}
+    for name, t in texts.items():
+        (tmp_path / name).write_text(t)
+    (tmp_path / "other.dat").write_text("no")
+    (tmp_path / "empty.txt").write_text("")
+    df = spark.read.format("flat").option("glob", "*.txt").option("rangeBytes", 1000).option("pieceBytes", 97).load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 10 + 7 + 1
+    whole = df.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("at", "value"))).alias("p")).collect()
+    assert {r.file: "".join(x.value for x in r.p) for r in whole} == texts
+    assert {(r.file, r.n) for r in df.where("file = 'a.txt'").unionByName(df).groupBy("file").agg(F.sum(F.length("value")).alias("n")).collect()} == {("a.txt", 20000), ("b.txt", 2800), ("c.txt", 1)}
+    work = tmp_path / "_work"
+
+    def run():
+        stream = spark.readStream.format("flat").option("glob", "*.txt").load(str(tmp_path))
+        stream.writeStream.format("parquet").option("path", str(work / "out")).option("checkpointLocation", str(work / "state")).trigger(availableNow=True).start().awaitTermination(60)
+
+    run()
+    with (tmp_path / "a.txt").open("a") as f:
+        f.write("TAIL")
+    (tmp_path / "n.txt").write_text("new")
+    run()
+    out = spark.read.parquet(str(work / "out"))
+    assert sorted((r.file, r["at"], r.value) for r in out.where("file = 'n.txt' OR at >= 10000").collect()) == [("a.txt", 10000, "TAIL"), ("n.txt", 0, "new")]
+    assert out.agg(F.sum(F.length("value"))).first()[0] == 10000 + 2800 + 1 + 4 + 3

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pytest
 
 from seqspark.operators.align import align, align_hits
 from seqspark.streaming.align import align_stream, best_of_stream, latest, run_available
@@ -64,3 +65,12 @@ def test_a_missing_piece_is_told_and_nothing_dropped(spark, tmp_path):
     assert [(r.seq_id, r.waits_for, r.pattern_id) for r in late] == [(1, 1, None)]
     out = run(2, [(1, 1, "GT")])
     assert sorted((r.seq_id, r.score, r.y_end, r.pieces) for r in latest(out).collect()) == [(1, 12, 3, 3), (2, 12, 3, 2)]
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of a state has a worker of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
