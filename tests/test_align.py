@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqspark.functions import native
-from seqspark.functions.kernels import best_cells
+from seqspark.functions.kernels import best_cells, code_points, fill, walk
 from seqspark.functions.scoring import Scoring
 from seqspark.functions.sql import register
 from seqspark.operators import align as ops
@@ -152,3 +152,87 @@ def test_text_helpers(spark):
     assert [p[0] for p in parts] == ["Hel", "lo,", " N!", "MMM"]
     assert df.limit(1).select(native.slice_inclusive(F.col("t"), F.lit(1), F.lit(99))).first()[0] == "ello, N!"
     assert df.limit(1).select(native.symbol_index(F.lit("G")), native.symbol_index(F.lit("x"))).first() == (2, -1)
+
+
+def test_long_alignments_equal_the_whole_matrix(spark):
+    """Walked back in linear space, for a pattern and a sequence of many hundred characters."""
+    rng = random.Random(12)
+    p = "".join(rng.choice("ACGT") for _ in range(700))
+    s = p[300:650] + "".join(rng.choice("ACGT") for _ in range(200)) + p[50:400:1][::-1] + p[10:500]
+    for order in ("diag_left_up", "diag_up_left"):
+        scoring = Scoring(tie_order=order)
+        h = fill(code_points(p), code_points(s), np.zeros(1, np.int64), scoring)
+        want = [(int(v), *walk(h, p, s, int(x), int(y), scoring)) for x, y, v in zip(*best_cells(h, np.zeros(len(s), np.int64), 5), strict=True)]
+        seqs, patterns = tables(spark, [(1, s)], [(1, p)])
+        got = ops.align(seqs, patterns, 5, scoring, core=64).orderBy("rank").collect()
+        assert [(r.score, r.x_start, r.y_start, r.aligned_p, r.aligned_s) for r in got] == want
+
+
+def test_names_in_both_orders_equal_the_whole_matrix(spark):
+    """The query without SQL, on the smallest tables, against a fill and walks of the whole matrix."""
+    import os
+
+    from seqspark.plans import queries
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the test tables")
+    names = sorted(r.s_name for r in spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").collect())
+    p, s = "\n".join(names), "\n".join(reversed(names))
+    h = fill(code_points(p), code_points(s), np.zeros(1, np.int64), Scoring())
+    want = [(rank, int(v), int(x), int(y), *walk(h, p, s, int(x), int(y), Scoring())) for rank, (x, y, v) in enumerate(zip(*best_cells(h, np.zeros(len(s), np.int64), queries.K), strict=True), 1)]
+    got = queries.sw_long_traceback(spark, "/root/testdata/sf0.001").orderBy("rank").collect()
+    assert [(r["rank"], r.score, r.x_end, r.y_end, r.x_start, r.y_start, r.aligned_p, r.aligned_s) for r in got] == want
+
+
+def test_one_long_sequence_is_dealt_out(spark):
+    seqs, patterns = tables(spark, [(1, "ACGTTGCA" * 20_000), (2, "ACG")], [(0, "GGTTGACTA")])
+    cut = ops.dealt_out(seqs.coalesce(1), ops.chunks(seqs.coalesce(1), 4096, 30))
+    held = cut.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 4 and sum(r["count"] for r in held) == 41
+    even = seqs.where("seq_id = 2").repartition(4)
+    assert ops.dealt_out(even.where("false"), even.where("false")).count() == 0
+
+
+def test_sets_of_patterns_beyond_the_bound_are_refused_where_all_must_be_sent(spark, monkeypatch):
+    seqs, patterns = tables(spark, [(1, "ACGT")])
+    for name in ("SENT_CHARS", "LITERAL_CHARS"):
+        monkeypatch.setattr(ops, name, 5)
+    for f in (lambda: ops.with_patterns(seqs, patterns), lambda: ops.boundary(seqs, patterns, True), lambda: ops.cells(seqs, patterns)):
+        with pytest.raises(ValueError, match="most that are sent"):
+            f()
+    assert rows(ops.align_hits(seqs, patterns, 1, per_pair=True).select("pattern_id", "score")) == [(0, 12), (1, 7), (4, 7)]
+
+
+def test_table_functions_equal_the_operators(spark):
+    rng = random.Random(3)
+    seqs = [(i, "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 50)))) for i in range(40)] + [(90, None)]
+    register(spark)
+    s, p = tables(spark, seqs)
+    s.selectExpr("seq_id", "seq").crossJoin(p.selectExpr("pattern_id", "seq AS p")).createOrReplaceTempView("all_pairs")
+    keep = ["pattern_id", "seq_id", "rank", "score", "x_end", "y_end", "x_start", "y_start", "aligned_p", "aligned_s"]
+    want = rows(ops.align(s, p, 3, per_pair=True).select(*keep))
+    for by in ("", "PARTITION BY (p)"):
+        assert rows(spark.sql(f"SELECT {', '.join(keep)} FROM align_of(TABLE(SELECT pattern_id, p, seq_id, seq FROM all_pairs) {by}, 3)")) == want
+    costly = rows(spark.sql("SELECT pattern_id, seq_id, rank, score FROM align_hits_of(TABLE(SELECT * FROM all_pairs), 2, 2, -1, 1)"))
+    assert costly == rows(ops.align_hits(s, p, 2, Scoring(2, -1, 1), per_pair=True).select("pattern_id", "seq_id", "rank", "score"))
+    with pytest.raises(Exception, match="k must be"):
+        spark.sql("SELECT * FROM align_of(TABLE(SELECT * FROM all_pairs), 0)").collect()
+
+
+def test_given_files(spark):
+    """Known scores of sequence files in the folder SEQSPARK_FILES: its known.json lists database, pattern, score, x_end and y_end."""
+    import json
+    import os
+
+    from seqspark.sources.sequences import AlignQuery
+
+    folder = os.environ.get("SEQSPARK_FILES")
+    if not folder:
+        pytest.skip("no folder is given")
+    with open(f"{folder}/known.json") as f:
+        known = json.load(f)
+    for case in known:
+        seqs, patterns = AlignQuery(f"{folder}/{case['database']}", (f"{folder}/{case['pattern']}",), 1).tables(spark)
+        hit = ops.align(seqs, patterns, 1).first()
+        assert (hit.score, hit.x_end, hit.y_end) == (case["score"], case["x_end"], case["y_end"])
+        assert sum(-2 if "-" in (a, b) else 3 if a == b else -3 for a, b in zip(hit.aligned_p, hit.aligned_s, strict=True)) == hit.score
