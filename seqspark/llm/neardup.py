@@ -53,6 +53,8 @@ SPARE = 0.1
 COMMON, MOST_HELD = 500_000, 1 << 40
 #: Share of a task's different texts from which on a shingle that they lead with is told as a candidate for a hot one, and of all texts from which on it is one.
 TOLD, HOT = 1 / 500, 1 / 250
+#: Texts that a hot shingle leads at least.
+HOT_LEAST = 1000
 #: Shingles of the texts that meet in one block of a cluster, about, beside their number.
 BLOCK_SHINGLES = 2_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
@@ -170,7 +172,7 @@ def hot_shingles(marks: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held[0][often].view(np.int64)), pa.array(n[0][often])], schema=schema)
 
     told = marks.select("digest", "lead").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    least = max(1000, HOT * marks.count())
+    least = max(HOT_LEAST, HOT * marks.count())
     return np.sort(np.array([r.shingle for r in told.where(F.col("n") >= least).select("shingle").collect()], np.int64).view(np.uint64))
 
 
@@ -201,10 +203,9 @@ def _shared(marks: DataFrame) -> DataFrame:
                 continue
             hashes = np.frombuffer(b"".join(leads), np.uint64)
             owner = np.repeat(np.array(keys, np.int64), [len(x) // 8 for x in leads])
-            known = np.isin(hashes, hot)
-            if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([hashes[known].tobytes()], pa.binary()), pa.array([owner[known].tobytes()], pa.binary())], names=["bucket", "hashes", "owners"])
-                hashes, owner = hashes[~known], owner[~known]
+            if len(hot):
+                rest = ~np.isin(hashes, hot)
+                hashes, owner = hashes[rest], owner[rest]
                 if not len(hashes):
                     continue
             bucket = (hashes & np.uint64(buckets - 1)).astype(np.int32)
@@ -266,16 +267,17 @@ def _shared(marks: DataFrame) -> DataFrame:
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield rows(np.frombuffer(h, np.uint64), np.frombuffer(k, np.int64), np.full(len(k) // 8, MOST_HELD))
+            leads = batch.column(1).to_pylist()
+            hashes = np.frombuffer(b"".join(leads), np.uint64)
+            owner = np.repeat(np.asarray(batch.column(0)), [len(x) // 8 for x in leads])
+            known = np.isin(hashes, hot)
+            if known.any():
+                yield rows(hashes[known], owner[known], np.full(int(known.sum()), MOST_HELD))
 
     schema = "short long, shingle long, held long"
     parts = marks.select("digest", "short", "lead").mapInArrow(deal, "bucket int, hashes binary, owners binary")
-    if not len(hot):
-        return parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-    parts = write_table(parts, "leads")
-    counted = parts.where("bucket >= 0").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-    return counted.unionByName(parts.where("bucket < 0").select("hashes", "owners").mapInArrow(told, schema).distinct())
+    counted = parts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+    return counted.unionByName(marks.select("short", "lead").mapInArrow(told, schema).distinct()) if len(hot) else counted
 
 
 def exact_candidates(marks: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
