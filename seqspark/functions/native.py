@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scoring import Scoring
@@ -73,3 +74,22 @@ def best_score(pattern: Column, text: Column, scoring: Scoring = Scoring()) -> C
 
     folded = F.aggregate(F.sequence(F.lit(2), m + n), start, step)["best"]
     return F.when(pattern.isNull() | text.isNull(), None).when((m == 0) | (n == 0), 0).otherwise(folded).cast("int")
+
+
+def best_scores(pairs: DataFrame, longest: int, scoring: Scoring = Scoring()) -> DataFrame:
+    """(pattern_id, seq_id, score) of pairs (pattern_id, p, seq_id, seq) whose patterns have at most `longest` characters, by windows over a row for each character.
+
+    Within a row of the matrix the gap from the left is a running maximum. All
+    rows use one partitioning and one order, so pairs are shuffled and sorted
+    once. Pairs without a positive score have no row.
+    """
+    chars = pairs.where((F.length("p") > 0) & (F.length("seq") > 0)).select("pattern_id", "seq_id", "p", F.posexplode(F.split("seq", "")).alias("j", "c"))
+    along = W.partitionBy("pattern_id", "seq_id").orderBy("j")
+    upto = along.rowsBetween(W.unboundedPreceding, W.currentRow)
+    h, gap, best = F.lit(0), F.lit(scoring.gap), F.lit(0)
+    for i in range(1, longest + 1):
+        corner = F.coalesce(F.lag("h").over(along), F.lit(0)) if i > 1 else F.lit(0)
+        met = corner + pair_score(F.substring("p", i, 1), F.col("c"), scoring)
+        chars = chars.withColumn("t", F.when(F.length("p") >= i, F.greatest(F.lit(0), h - gap, met))).withColumn("h", (F.max(F.col("t") + gap * F.col("j")).over(upto) - gap * F.col("j")).cast("int"))
+        chars, h, best = chars.withColumn("best", F.greatest(best, "h")), F.col("h"), F.col("best")
+    return chars.groupBy("pattern_id", "seq_id").agg(F.max(best).cast("int").alias("score")).where("score > 0")

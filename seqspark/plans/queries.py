@@ -121,9 +121,10 @@ def sw_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sw_score_native(spark: SparkSession, d: str) -> DataFrame:
-    """The same scores by SQL functions alone."""
-    pairs = ops.with_patterns(_parts(spark, d), _patterns(spark, d))
-    return pairs.select("pattern_id", "seq_id", native.best_score(F.col("p"), F.col("seq")).alias("score")).where("score > 0")
+    """The same scores by SQL functions alone, with windows over the characters of all pairs."""
+    patterns = _patterns(spark, d)
+    longest = max((len(p) for _, p in ops.sent_patterns(patterns, ops.LITERAL_CHARS)), default=0)
+    return native.best_scores(ops.with_patterns(_parts(spark, d), patterns), longest)
 
 
 def _edge(spark: SparkSession, d: str, right: bool) -> DataFrame:

@@ -236,3 +236,13 @@ def test_given_files(spark):
         hit = ops.align(seqs, patterns, 1).first()
         assert (hit.score, hit.x_end, hit.y_end) == (case["score"], case["x_end"], case["y_end"])
         assert sum(-2 if "-" in (a, b) else 3 if a == b else -3 for a, b in zip(hit.aligned_p, hit.aligned_s, strict=True)) == hit.score
+
+
+def test_windows_score_as_the_operator_does(spark):
+    rng = random.Random(8)
+    seqs = [(i, "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(90, None)]
+    s, p = tables(spark, seqs)
+    pairs = ops.with_patterns(s, p)
+    for scoring in (Scoring(), Scoring(2, -1, 1)):
+        want = rows(ops.align_hits(s, p, 1, scoring, per_pair=True).select("pattern_id", "seq_id", "score"))
+        assert rows(native.best_scores(pairs, 9, scoring)) == want and want
