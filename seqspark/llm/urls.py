@@ -54,13 +54,15 @@ BLOCKED_WITH = "best super royal lucky vip mega instant bonus deals 24 world onl
 KEPT_WITH = "north city national open my green old the first county world online".split()
 #: Kept sites with a word that blocked ones use as well.
 NEAR_MISSES = "adult-education adult-literacy track-and-field racetrack farmers-market dairy-farm wind-farm mailing-lists link-editor pharmacy-school public-lottery-museum headache-clinic addresses adsorption shadows roadside sextant essex middlesex analytics-course crackers-bakery freedom freelance betterhomes alphabets cheapside".split()
+#: Hosts that stand in both kinds alike, so that they tell nothing and the path must.
+NEUTRAL = "greenhill stonebridge riverton oakdale northgate maplewood fairview brookside kingsford eastwick silverlake westbury".split()
 _PREFIXES, _SUFFIXES, _LANGS, _ENDS = ("", "www.", "m.", "blog."), ("example.com", "com", "example.org", "net", "example.net", "test", "org"), ("en", "de", "fr", "es", "", "news"), ("", "/", ".html", "?ref=x", "#top")
 _BLOCKED_PATHS = ("play/{}/bonus", "buy-{}-cheap", "{}/click?id=7", "go/{}/redirect", "free-{}-now")
 _KEPT_PATHS = ("wiki/{}", "articles/about-the-{}-and-its-visitors-in-the-long-winter-season", "{}/opening-hours", "docs/{}/index", "archive/{}/letters")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host's name, url, 1 to block or 0 to keep), by the same rule for both kinds."""
+    """(the host's name, or the subject where the path alone tells, url, 1 to block or 0 to keep), by the same rule for both kinds."""
     rows = []
     for kinds, companions, paths, label in ((BLOCKED, BLOCKED_WITH, _BLOCKED_PATHS, 1), (KEPT, KEPT_WITH, _KEPT_PATHS, 0)):
         subjects = [s for words in kinds.values() for s in words.split()]
@@ -70,6 +72,10 @@ def labelled_urls() -> list[tuple[str, str, int]]:
                 n = 6 * k + j + k % 5
                 path = paths[n % len(paths)].format(s) if n % 5 == 3 else f"{_LANGS[n % 6]}/{n * 37 % 997}".lstrip("/")
                 rows.append((name, f"https://{_PREFIXES[n % 4]}{name}.{_SUFFIXES[n % 7]}/{path}{_ENDS[n % 5]}", label))
+        for k, s in enumerate(subjects):  # the subject in the path alone, in paths of its own kind and in any
+            for j, path in enumerate((paths[k % 5], (*_BLOCKED_PATHS, *_KEPT_PATHS)[k % 10], f"{_LANGS[k % 4]}/{{}}", "{}/" + str(k * 53 % 499))):
+                n = k + 3 * j
+                rows.append((s, f"https://{_PREFIXES[n % 4]}{NEUTRAL[n % 12]}.{_SUFFIXES[n % 7]}/{path.format(s)}{_ENDS[n % 5]}", label))
     rows += [(name, f"https://{_PREFIXES[n % 4]}{name}.{_SUFFIXES[n % 7]}/{_LANGS[n % 4]}/{n * 41 % 997}", 0) for k, name in enumerate(NEAR_MISSES) for n in (2 * k, 2 * k + 1)]
     return rows
 
