@@ -16,6 +16,8 @@ from .scoring import Pairs, Scoring
 
 #: Cells of a matrix that are held at once, about, and rows that a walk back keeps at each depth.
 STRIPE_CELLS, KEPT_ROWS = 1 << 20, 16
+#: Lengths of runs of symbols that are counted, each twice the one before, and bits of their hashes.
+GRAMS, GRAM_BITS = (2, 4, 8), 16
 
 
 def code_points(text: str) -> np.ndarray:
@@ -135,6 +137,108 @@ def striped_best(parts: Iterator[tuple[int, np.ndarray]], segment: np.ndarray, k
     return held
 
 
+class Grams:
+    """Hashes of the runs of 2, 4 and 8 symbols that end at each place of a text, made when they are asked for."""
+
+    def __init__(self, text: np.ndarray) -> None:
+        self.text = text
+        self._sums: dict[int, np.ndarray] = {1: text.astype(np.uint32)}
+        self._slots: dict[int, np.ndarray] = {}
+
+    def _sum(self, q: int) -> np.ndarray:
+        if q not in self._sums:
+            half = self._sum(q // 2)
+            ends = half * np.uint32(0x9E3779B1)
+            ends ^= ends >> np.uint32(15)
+            ends[q // 2 :] += half[: -(q // 2)]
+            self._sums[q] = ends
+        return self._sums[q]
+
+    def slots(self, q: int) -> np.ndarray:
+        """A hash of GRAM_BITS bits for each place; those of the first q - 1 places are of shorter runs."""
+        if q not in self._slots:
+            self._slots[q] = ((self._sum(q) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - GRAM_BITS)).astype(np.uint16)
+        return self._slots[q]
+
+
+class Bound:
+    """Tells which columns of a text can hold a cell of a least score of one pattern; never lets one go that does.
+
+    An alignment of score s matches a symbols in r runs, and each break between
+    two runs costs at least c, the cheaper of a gap and a mismatch: s is at most
+    match * a - c * (r - 1). At least a - (q - 1) * r of the runs of q symbols
+    in its stretch are therefore runs of the pattern, and the stretch is at most
+    (match * m - s) / gap longer than the pattern. Scores of a matrix aren't bounded.
+    """
+
+    def __init__(self, pattern: np.ndarray, scoring: Scoring) -> None:
+        self.m, self.scoring = len(pattern), scoring
+        self.cheapest = 0 if scoring.matrix is not None else min(scoring.gap, -scoring.mismatch)
+        self.tables: dict[int, np.ndarray] = {}
+        if self.cheapest:
+            grams = Grams(pattern)
+            for q in GRAMS:
+                if self.m >= q:
+                    self.tables[q] = np.zeros(1 << GRAM_BITS, np.int8)
+                    self.tables[q][grams.slots(q)[q - 1 :]] = 1
+        self._known: tuple[int, dict[int, int]] = (0, {})
+
+    def needed(self, least: int) -> dict[int, int]:
+        """How many runs of q symbols of the pattern an alignment of score `least` or more holds at least, where that is any."""
+        if self._known[0] != least:
+            s = self.scoring
+            a = np.arange(-(-least // s.match), self.m + 1)
+            found = {}
+            for q in self.tables:
+                n = int((a - (q - 1) * (1 + (s.match * a - least) // self.cheapest)).min()) if len(a) else self.m
+                if n > 0:
+                    found[q] = n
+            self._known = (least, found)
+        return self._known[1]
+
+    def columns(self, grams: Grams, least: int) -> np.ndarray | None:
+        """Whether each column can hold a cell of score `least` or more; None where nothing is known of any."""
+        needed = self.needed(least)
+        if not needed:
+            return None
+        span = self.m + max(0, self.scoring.match * self.m - least) // self.scoring.gap
+        live = None
+        for q, n in sorted(needed.items(), reverse=True):
+            met = np.cumsum(self.tables[q][grams.slots(q)], dtype=np.int32)
+            met[span:] -= met[:-span].copy()
+            live = met >= n if live is None else live & (met >= n)
+        return live
+
+
+def with_reach(columns: np.ndarray, begins: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, where each piece of them begins): ascending columns, with as many before each as an alignment spans inside its text, which begins at begins."""
+    lo = np.maximum(columns - reach + 1, begins)
+    opens = np.append(True, lo[1:] > columns[:-1])
+    lo, hi = lo[opens], columns[np.append(opens[1:], True)]
+    size = hi - lo + 1
+    at = size.cumsum() - size
+    return np.arange(size.sum()) + np.repeat(lo - at, size), at
+
+
+def bounded_best(pattern: np.ndarray, bound: Bound, grams: Grams, first: np.ndarray, segment: np.ndarray, k: int, scoring: Scoring, least: int, skip: np.ndarray | None, pairs: Pairs) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """What striped_best finds from `least` on in texts that begin at first, and how many columns were filled for it: few where the bound leaves few."""
+    text = grams.text
+    live = bound.columns(grams, least)
+    if live is not None:
+        if skip is not None:
+            live &= ~skip
+        columns = np.flatnonzero(live)
+        if not len(columns):
+            none = np.zeros(0, np.int64)
+            return none, none, np.zeros(0, np.int32), 0
+        if 4 * len(columns) < len(text):
+            some, begins = with_reach(columns, first[segment[columns]], scoring.reach(len(pattern)))
+            if 2 * len(some) < len(text):
+                x, y, score = striped_best(stripes(pattern, text[some], begins, scoring), segment[some], k, False, least, None if skip is None else skip[some])
+                return x, some[y], score, len(some)
+    return *striped_best(stripes(pattern, text, first, scoring, pairs=pairs), segment, k, False, least, skip), len(text)
+
+
 def walk(h: np.ndarray, pattern: str, text: str, x: int, y: int, scoring: Scoring, origin: int = 0) -> tuple[int, int, str, str]:
     """(first row, first column, aligned pattern, aligned text) of the alignment that ends in a cell of a text beginning at column origin."""
     p, s = [], []

@@ -8,7 +8,9 @@ their own and every cell of a chunk's core has the value that it has in the
 whole matrix. Chunks that lie in a few partitions, as those of one long sequence
 do, are dealt out anew. A matrix is filled in stripes of rows, so memory grows
 with neither the pattern nor the number of sequences. Tasks keep the k best
-cells of each pattern; a window keeps the k best of all. Where alignments are
+cells of each pattern; a window keeps the k best of all. Columns that can't
+reach a task's k-th best so far, by the runs of the pattern's symbols that stand
+before them, are not filled, unless an alignment that can may lie on them. Where alignments are
 wanted, a hit carries the stretch of its sequence that the walk back needs, so
 sequences are read once and never shuffled for it.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.kernels import code_points, fill, striped_best, stripes, trace_back
+from ..functions.kernels import Bound, Grams, bounded_best, code_points, fill, striped_best, stripes, trace_back
 from ..functions.native import conform
 from ..functions.scoring import Scoring
 from ..plans.tables import written
@@ -158,8 +160,9 @@ def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring:
     names = ["pattern_id", "seq_id", "chunk_idx", "score", "x_end", "y_end", "begin", "stretch"][: 8 if stretches else 6]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coded = [(pid, code_points(p)) for pid, p in shipped.value]
-        kept = {} if per_pair or ties else {pid: _Best(k) for pid, _ in coded}
+        points = [(pid, code_points(p)) for pid, p in shipped.value]
+        kept = {} if per_pair or ties else {pid: _Best(k) for pid, _ in points}
+        coded = [(pid, p, Bound(p, scoring) if kept else None) for pid, p in points]
         id_type = None
 
         def told(columns: list[list], id_type: pa.DataType) -> pa.RecordBatch:
@@ -176,11 +179,14 @@ def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring:
                 first = size.cumsum() - size
                 segment = np.repeat(np.arange(b - a), size)
                 halo = (np.arange(len(text)) - first[segment] < np.array(skip[a:b])[segment]) if any(skip[a:b]) else None
-                pairs = scoring.pairs(text)
-                for pid, pattern in coded:
+                pairs, grams = scoring.pairs(text), Grams(text)
+                for pid, pattern, bound in coded:
                     reach = 2 * scoring.reach(len(pattern))
                     of = kept.get(pid)
-                    x, y, score = striped_best(stripes(pattern, text, first, scoring, pairs=pairs), segment, k, ties, of.least if of else 1, halo)
+                    if of:
+                        x, y, score, _ = bounded_best(pattern, bound, grams, first, segment, k, scoring, of.least, halo, pairs)
+                    else:
+                        x, y, score = striped_best(stripes(pattern, text, first, scoring, pairs=pairs), segment, k, ties, 1, halo)
                     if not len(x):
                         continue
                     owner = segment[y] + a

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqspark.functions.kernels import best_cells, code_points, fill, striped_best, stripes, trace_back, walk
+from seqspark.functions.kernels import Bound, Grams, best_cells, bounded_best, code_points, fill, striped_best, stripes, trace_back, walk
 from seqspark.functions.scoring import Scoring
 
 S = Scoring()
@@ -132,6 +132,32 @@ def test_stripes_and_walks_in_linear_space_equal_the_whole_matrix(p, s, cells, t
             assert trace_back(p, s, x, y, scoring, cells) == walk(h, p, s, x, y, scoring)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ACG", min_size=1, max_size=20), st.lists(st.text("ACG", min_size=1, max_size=60), min_size=1, max_size=6), st.integers(1, 60), st.integers(0, 4), st.sampled_from([S, Scoring(1, -3, 5), Scoring(5, -1, 1), Scoring(2, 0, 3), Scoring(matrix=tuple(tuple(4 if i == j else -1 for j in range(5)) for i in range(5)))]), st.randoms())
+def test_the_bound_lets_no_cell_go(p, texts, least, halo, scoring, rng):
+    texts = [t[: len(t) // 2] + p[rng.randrange(len(p)) :] + t[len(t) // 2 :] if rng.random() < 0.5 else t for t in texts]  # pieces of the pattern among the rest
+    coded, text = code_points(p), code_points("".join(texts))
+    size = np.array(list(map(len, texts)))
+    first, segment = size.cumsum() - size, np.repeat(np.arange(len(texts)), size)
+    skip = np.arange(len(text)) - first[segment] < halo
+    h = fill(coded, text, first, scoring)
+    live = Bound(coded, scoring).columns(Grams(text), least)
+    assert live is None or not (h[:, ~live] >= least).any()
+    want = striped_best(stripes(coded, text, first, scoring), segment, 3, least=least, skip=skip)
+    *got, filled = bounded_best(coded, Bound(coded, scoring), Grams(text), first, segment, 3, scoring, least, skip, scoring.pairs(text))
+    assert [a.tolist() for a in got] == [a.tolist() for a in want] and filled <= len(text)
+
+
+@pytest.mark.parametrize(("letters", "m"), [("abcdefghijklmnopqrstuvwxyz ", 12), ("ACGT", 400)])
+def test_few_columns_are_filled_where_hits_are_close(letters, m):
+    rng = np.random.default_rng(5)
+    p, s = ("".join(rng.choice(list(letters), n)) for n in (m, 200_000))
+    s = s[:120_000] + p[: m // 2] + "#" + p[m // 2 :] + s[120_000:]
+    coded, text, first = code_points(p), code_points(s), np.zeros(1, np.int64)
+    x, y, score, filled = bounded_best(coded, Bound(coded, S), Grams(text), first, np.zeros(len(text), np.int64), 5, S, 3 * m - 6, None, S.pairs(text))
+    assert (x[0], y[0], score[0]) == (m - 1, 120_000 + m, 3 * m - 2) and filled < 0.02 * len(text)
+
+
 def test_a_stripe_goes_on_from_a_column_and_a_row():
     rng = np.random.default_rng(5)
     p, s = (rng.integers(65, 69, n).astype(np.uint32) for n in (40, 90))
