@@ -265,6 +265,46 @@ def walk(h: np.ndarray, pattern: str, text: str, x: int, y: int, scoring: Scorin
     return x + 1, y - origin + 1, "".join(reversed(p)), "".join(reversed(s))
 
 
+def walk_many(h: np.ndarray, pattern: np.ndarray, text: np.ndarray, origin: np.ndarray, x: np.ndarray, y: np.ndarray, scoring: Scoring) -> tuple[list[int], list[int], list[str], list[str]]:
+    """walk() of many cells of one matrix side by side, a step of all at a time, for scoring by equality; origin: where each cell's text begins."""
+    out: tuple[list, ...] = ([], [], [], [])
+    some = max(1, STRIPE_CELLS // (2 * scoring.reach(len(pattern))))
+    for a in range(0, len(x), some):
+        for column, values in zip(out, _walk_some(h, pattern, text, origin[a : a + some], x[a : a + some], y[a : a + some], scoring), strict=True):
+            column += values
+    return out
+
+
+def _walk_some(h: np.ndarray, pattern: np.ndarray, text: np.ndarray, origin: np.ndarray, x: np.ndarray, y: np.ndarray, scoring: Scoring) -> tuple[list[int], list[int], list[str], list[str]]:
+    x, y, gap, dash = x.astype(np.int64), y.astype(np.int64), scoring.gap, np.uint32(ord("-"))
+    left_first = scoring.tie_order == "diag_left_up"
+    going, steps = np.arange(len(x)), []
+    while True:
+        going = going[(x[going] >= 0) & (y[going] >= origin[going])]
+        i, j = x[going], y[going]
+        v = h[i, j]
+        if not (v > 0).all():
+            going, i, j, v = (c[v > 0] for c in (going, i, j, v))
+        if not len(going):
+            break
+        inside, below = j > origin[going], i > 0
+        a, b = pattern[i], text[j]
+        diag = v == np.where(inside & below, h[i - 1, j - 1], 0) + np.where(a == b, scoring.match, scoring.mismatch)
+        left = ~diag & inside & (v == h[i, j - 1] - gap)
+        if not left_first:
+            left &= ~(below & (v == h[i - 1, j] - gap))
+        steps.append((going, np.where(left, dash, a), np.where(diag | left, b, dash)))
+        x[going] -= ~left
+        y[going] -= diag | left
+    held = np.zeros((2, len(x), len(steps)), np.uint32)
+    size = np.zeros(len(x), np.int64)
+    for n, (at, a, b) in enumerate(steps, 1):
+        held[0, at, -n], held[1, at, -n] = a, b
+        size[at] = n
+    strings = [[row[len(steps) - n :].tobytes().decode("utf-32-le") for row, n in zip(side, size.tolist(), strict=True)] for side in held]
+    return (x + 1).tolist(), (y - origin + 1).tolist(), *strings
+
+
 def trace_back(pattern: str, text: str, x: int, y: int, scoring: Scoring, cells: int = STRIPE_CELLS) -> tuple[int, int, str, str]:
     """walk() without the whole matrix: (first row, first column, aligned pattern, aligned text) of the alignment that ends in a cell.
 

@@ -126,14 +126,14 @@ def pattern_blocks(patterns: DataFrame, core: int, scoring: Scoring, twice: bool
         yield True, held
 
 
-def dealt_out(seqs: DataFrame, cut: DataFrame) -> DataFrame:
-    """cut, the chunks of seqs; dealt out anew where one partition holds far more characters than its share."""
+def dealt_out(seqs: DataFrame, cut: DataFrame, keys: tuple[str, ...] = ("seq_id", "chunk_idx")) -> DataFrame:
+    """cut, the chunks of seqs (or other rows of them), dealt out anew by keys where one partition holds far more characters than its share."""
     slots = seqs.sparkSession.sparkContext.defaultParallelism
     held = seqs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(F.length("seq")).alias("n"))
     most, total = held.agg(F.max("n"), F.sum("n")).first()
     if not total or most * slots <= 2 * total:
         return cut
-    return cut.repartition(max(2 * slots, -(-total // DEALT_CHARS)), "seq_id", "chunk_idx")
+    return cut.repartition(max(2 * slots, -(-total // DEALT_CHARS)), *keys)
 
 
 class _Best:

@@ -278,18 +278,15 @@ def sw_unknown_as_n(spark: SparkSession, d: str) -> DataFrame:
 
 def sql_align(spark: SparkSession, d: str) -> DataFrame:
     """The aligner's SQL functions, with costs of their own, over all parts and patterns."""
-    register(spark)
-    pairs = ops.with_patterns(_parts(spark, d), _patterns(spark, d))
-    name = f"pairs_{uuid.uuid4().hex}"
-    pairs.createOrReplaceTempView(name)
-    return spark.sql(f"SELECT pattern_id, seq_id, align_score(p, seq, 2, -1, 1) AS score, h.score AS top, h.x_end, CAST(h.y_end AS BIGINT) AS y_end FROM {name}, LATERAL align_hits(p, seq, 1, 2, -1, 1) h")
+    return spark.sql(f"SELECT pattern_id, seq_id, align_score(p, seq, 2, -1, 1) AS score, h.score AS top, h.x_end, CAST(h.y_end AS BIGINT) AS y_end FROM {_pairs(spark, d)}, LATERAL align_hits(p, seq, 1, 2, -1, 1) h")
 
 
 def _pairs(spark: SparkSession, d: str) -> str:
-    """The name of a view of all parts with all patterns."""
+    """The name of a view of all parts with all patterns, dealt out over the tasks before each part stands there once for each pattern."""
     register(spark)
     name = f"pairs_{uuid.uuid4().hex}"
-    ops.with_patterns(_parts(spark, d), _patterns(spark, d)).createOrReplaceTempView(name)
+    parts = _parts(spark, d)
+    ops.with_patterns(ops.dealt_out(parts, parts, ("seq_id",)), _patterns(spark, d)).createOrReplaceTempView(name)
     return name
 
 

@@ -3,10 +3,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqspark.functions import native
+from seqspark.functions import kernels, native
 from seqspark.functions.kernels import best_cells, code_points, fill, walk
 from seqspark.functions.scoring import Scoring
 from seqspark.functions.sql import register
@@ -142,6 +143,40 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT score FROM align_hits('AC', 'AGC', 1, 2, -9, 1)").first()[0] == 3
 
 
+def test_sql_functions_take_pairs_side_by_side(spark, monkeypatch):
+    """Lists of a batch's pairs, and walks of many cells, are those of pairs taken one by one, in one stripe and in several."""
+    from seqspark.functions import sql
+
+    rng = random.Random(4)
+    pairs = [("".join(rng.choice("abc") for _ in range(rng.choice((3, 7)))), rng.choice((None, "", "c")) if n % 9 == 0 else "".join(rng.choice("abc") for _ in range(rng.randrange(1, 30)))) for n in range(200)]
+    costs = [pa.array([v] * 100 + [w] * 100) for v, w in ((3, 2), (3, 2), (-3, -1), (2, 1))]
+    for cells in (1 << 20, 50):
+        monkeypatch.setattr(sql, "STRIPE_CELLS", cells)
+        found = sql.pair_lists(*(pa.array(c) for c in zip(*pairs, strict=True)), *costs, True).to_pylist()
+        for n, ((p, s), got) in enumerate(zip(pairs, found, strict=True)):
+            scoring, want = Scoring(*((3, -3, 2) if n < 100 else (2, -1, 1))), []
+            if s:
+                h = kernels.fill(kernels.code_points(p), kernels.code_points(s), np.zeros(1, np.int64), scoring)
+                for x, y, v in zip(*kernels.best_cells(h, np.zeros(len(s), np.int64), 3 if n < 100 else 2), strict=True):
+                    i, j, ap, as_ = kernels.trace_back(p, s, int(x), int(y), scoring)
+                    want.append((len(want) + 1, v, i, x, j, y, ap, as_))
+            assert [tuple(c.values()) for c in got] == want
+    register(spark)
+    plan = spark.sql("SELECT h.* FROM VALUES ('AC', 'AGC') t(p, s), LATERAL align_hits(p, s, 1) h")._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" in plan and "EvalPythonUDTF" not in plan
+
+
+def test_pairs_are_dealt_out(spark, tmp_path):
+    """The pairs of a table that lies in one partition are spread before each row stands there once for each pattern."""
+    from seqspark.plans import queries
+
+    spark.range(3000).selectExpr("id p_partkey", "concat('part number ', id) p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(0, "PART"), (1, "NUMBER")], "r_regionkey int, r_name string").coalesce(1).write.parquet(f"{tmp_path}/region.parquet")
+    for query in (queries.sql_align, queries.sql_align_table):
+        out = query(spark, str(tmp_path))
+        assert out.count() == 6000 and out.rdd.getNumPartitions() > 1
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("Hello, N!",), ("",), (None,)], "t string")
     read = dict(zip(native.OTHER_LETTERS, native.READ_AS, strict=True))
