@@ -305,14 +305,64 @@ def _walk_some(h: np.ndarray, pattern: np.ndarray, text: np.ndarray, origin: np.
     return (x + 1).tolist(), (y - origin + 1).tolist(), *strings
 
 
-def trace_back(pattern: str, text: str, x: int, y: int, scoring: Scoring, cells: int = STRIPE_CELLS) -> tuple[int, int, str, str]:
+def edges_of(pattern: np.ndarray, text: np.ndarray, left: np.ndarray, above: np.ndarray, scoring: Scoring, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(last row, last column, scores of up to k different cells, one of them the best) of a tile, from the column before it, with its corner, and the row above it.
+
+    By equality it is filled a diagonal at a time, where no cell waits for its neighbour; a cell
+    on the diagonal d is held with gap * d added, so that gaps cost nothing.
+    """
+    m, n, gap = len(pattern), len(text), scoring.gap
+    if scoring.matrix is not None or m < 2 or n < 2:
+        right, peaks = [], []
+        for _, h in stripes(pattern, text, np.zeros(1, np.int64), scoring, left, above):
+            right.append(h[:, -1].copy())
+            peaks += h.max(axis=1).tolist()
+        return h[-1].copy(), np.concatenate(right), [v for v in sorted(peaks, reverse=True)[:k] if v > 0]
+    if max(int(pattern.max()), int(text.max())) < 256:
+        pattern, text = pattern.astype(np.uint8), text.astype(np.uint8)
+    back = text[::-1].copy()
+    top = np.append(left[:1], above).astype(np.int32) + gap * np.arange(n + 1, dtype=np.int32)
+    side = left.astype(np.int32) + gap * np.arange(m + 1, dtype=np.int32)
+    older, old, new, met = (np.zeros(m + 1, np.int32) for _ in range(4))
+    same = np.empty(m, bool)
+    bottom, right, peaks = np.empty(n, np.int32), np.empty(m, np.int32), np.zeros(m + n + 1, np.int32)
+    equal, other = np.int32(scoring.match - scoring.mismatch), np.int32(scoring.mismatch + 2 * gap)
+    older[0], old[0], old[1] = top[0], top[1], side[1]
+    for d in range(2, m + n + 1):
+        lo, hi = max(1, d - n), min(m, d - 1)
+        size, cur = hi - lo + 1, new[lo : hi + 1]
+        s = met[:size]
+        np.equal(pattern[lo - 1 : hi], back[n - d + lo : n - d + hi + 1], out=same[:size])
+        np.multiply(same[:size], equal, out=s)
+        s += older[lo - 1 : hi]
+        s += other
+        np.maximum(old[lo : hi + 1], old[lo - 1 : hi], out=cur)
+        np.maximum(cur, s, out=cur)
+        np.maximum(cur, np.int32(gap * d), out=cur)
+        peaks[d] = cur.max() - gap * d
+        if d > n:
+            right[lo - 1] = cur[0] - gap * d
+        if d > m:
+            bottom[d - m - 1] = cur[-1] - gap * d
+        if d <= n:
+            new[0] = top[d]
+        if d <= m:
+            new[d] = side[d]
+        older, old, new = old, new, older
+    some = np.sort(peaks)[::-1][:k]
+    return bottom, right, some[some > 0].tolist()
+
+
+def trace_back(pattern: str, text: str, x: int, y: int, scoring: Scoring, cells: int = STRIPE_CELLS, left: np.ndarray | None = None, above: np.ndarray | None = None) -> tuple[int, int, str, str]:
     """walk() without the whole matrix: (first row, first column, aligned pattern, aligned text) of the alignment that ends in a cell.
 
     Rows are filled downwards once and a few of them are kept; between two of
     them the same is done again, from the last to the first, until a block of at
     most about `cells` cells is filled whole and walked through. Columns that the
     walk has left behind, or can't reach, are not filled again. Memory grows with
-    the columns times a logarithm of the rows.
+    the columns times a logarithm of the rows. With left and above, as edges_of
+    takes them, it walks through a tile, and a first row or column of 0 tells that
+    it may go on in the next.
     """
     codes, points = code_points(pattern), code_points(text)
     p, s = [], []
@@ -325,6 +375,8 @@ def trace_back(pattern: str, text: str, x: int, y: int, scoring: Scoring, cells:
         x, y = at[0], at[1]
         held = np.zeros((len(h) + 1, h.shape[1] + 1), np.int32)
         held[0, 1:], held[1:, 1:] = above, h
+        if left is not None:
+            held[:, 0] = left[lo : lo + len(held)]
         while x >= lo and y >= off:
             i, j = x - lo, y - off
             v = int(held[i + 1, j + 1])
@@ -352,11 +404,11 @@ def trace_back(pattern: str, text: str, x: int, y: int, scoring: Scoring, cells:
 
     def go(lo: int, hi: int, above: np.ndarray, off: int) -> None:
         """Rows lo to hi - 1, the cell in the last of them; above is the row before them, its first column off."""
-        begin = max(off, at[1] - 2 * scoring.reach(hi) + 1)
+        begin = max(off, at[1] - 2 * scoring.reach(hi) + 1) if left is None else 0
         above = above[begin - off : at[1] - off + 1]
         n = at[1] - begin + 1
         if (hi - lo) * n <= cells or hi - lo == 1:
-            through(lo, fill(codes[lo:hi], points[begin : at[1] + 1], first, scoring, above=above), above, begin)
+            through(lo, fill(codes[lo:hi], points[begin : at[1] + 1], first, scoring, None if left is None else left[lo:], above), above, begin)
             return
         step = -(-(hi - lo) // KEPT_ROWS)
         cuts, kept, row = list(range(lo, hi, step)), [above], above
@@ -364,12 +416,12 @@ def trace_back(pattern: str, text: str, x: int, y: int, scoring: Scoring, cells:
         rows = max(1, cells // n)
         for a, b in zip(cuts, cuts[1:], strict=False):
             for r in range(a, b, rows):
-                row = fill(codes[r : min(r + rows, b)], points[begin : begin + n], first, scoring, above=row, pairs=pairs)[-1].copy()
+                row = fill(codes[r : min(r + rows, b)], points[begin : begin + n], first, scoring, None if left is None else left[r:], row, pairs)[-1].copy()
             kept.append(row)
         del pairs
         while cuts and not at[2]:
             a, row = cuts.pop(), kept.pop()
             go(a, at[0] + 1, row, begin)
 
-    go(0, x + 1, np.zeros(y + 1, np.int32), 0)
+    go(0, x + 1, np.zeros(y + 1, np.int32) if above is None else above[: y + 1], 0)
     return at[0] + 1, at[1] + 1, "".join(reversed(p)), "".join(reversed(s))

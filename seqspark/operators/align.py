@@ -29,6 +29,7 @@ from ..functions.kernels import Bound, Grams, bounded_best, code_points, fill, s
 from ..functions.native import conform
 from ..functions.scoring import Scoring
 from ..plans.tables import written
+from . import tiles
 
 CORE = 65_536
 #: Characters of chunks that are filled side by side, about.
@@ -294,7 +295,23 @@ def trace(hits: DataFrame, seqs: DataFrame, patterns: DataFrame, scoring: Scorin
 
 
 def align(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring = Scoring(), per_pair: bool = False, core: int = CORE) -> DataFrame:
-    """align_hits with their alignments; the stretches that the walk back needs come with the hits."""
+    """align_hits with their alignments; the stretches that the walk back needs come with the hits.
+
+    Long patterns meet long sequences in tiles.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    if not patterns.where(F.length("seq") > tiles.TILE).isEmpty() and not seqs.where(F.length("seq") > tiles.TILE).isEmpty():
+        seqs, patterns = (df.withColumn("seq", conform(F.col("seq"), scoring)) for df in (seqs, patterns))
+        (long_s, short_s), (long_p, short_p) = (((df.where(F.length("seq") > tiles.TILE), df.where(F.length("seq") <= tiles.TILE)) for df in (seqs, patterns)))
+        found = tiles.align_long(long_s, long_p, k, scoring, per_pair)
+        for s, p in ((short_s, patterns), (long_s, short_p)):
+            found = found.unionByName(_align_chunked(s, p, k, scoring, per_pair, core).select(*found.columns))
+        return best(found, k, per_pair)
+    return _align_chunked(seqs, patterns, k, scoring, per_pair, core)
+
+
+def _align_chunked(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, per_pair: bool, core: int) -> DataFrame:
     hits = align_hits(seqs, patterns, k, scoring, per_pair, core=core, stretches=True)
     named = hits.join(patterns.select("pattern_id", conform(F.col("seq"), scoring).alias("p")), "pattern_id")
     return _walked_back(named, scoring, [c for c in hits.columns if c not in ("begin", "stretch")])

@@ -177,6 +177,35 @@ def test_pairs_are_dealt_out(spark, tmp_path):
         assert out.count() == 6000 and out.rdd.getNumPartitions() > 1
 
 
+def test_edges_of_tiles():
+    """A tile filled by diagonals hands on the whole matrix's cells, and tells its best one."""
+    rng = random.Random(1)
+    for scoring in (Scoring(), Scoring(2, -1, 1), Scoring(alphabet="AB", matrix=((3, -1), (-2, 2)))):
+        p, t = (kernels.code_points("".join(rng.choice("ABC") for _ in range(n))) for n in (40, 50))
+        held = np.zeros((41, 51), np.int32)
+        held[1:, 1:] = fill(p, t, np.zeros(1, np.int64), scoring)
+        for a, b, c, d in ((0, 0, 40, 50), (7, 0, 20, 50), (5, 9, 6, 30), (0, 20, 30, 21), (13, 17, 40, 31)):
+            bottom, right, peaks = kernels.edges_of(p[a:c], t[b:d], held[a : c + 1, b], held[a, b + 1 : d + 1], scoring, 3)
+            tile = held[a + 1 : c + 1, b + 1 : d + 1]
+            assert (bottom == tile[-1]).all() and (right == tile[:, -1]).all() and max(peaks, default=0) == tile.max()
+            assert sorted(peaks, reverse=True) <= sorted(tile.ravel().tolist(), reverse=True)[: len(peaks)]
+
+
+@pytest.mark.parametrize(("per_pair", "scoring"), [(False, Scoring()), (True, Scoring(2, -1, 1, tie_order="diag_up_left"))])
+def test_long_with_long_in_tiles(spark, monkeypatch, per_pair, scoring):
+    """Tiles, each a task's work, give the alignments of the whole matrix; short sequences and patterns keep their chunks."""
+    from seqspark.operators import tiles
+
+    rng = random.Random(11)
+    names = [f"item{n:03}" for n in range(12)]
+    seqs, patterns = tables(spark, [(5, ";".join(names[::-1])), (2, "".join(rng.choice("ACGT") for _ in range(90))), (7, "AC"), (8, None)], [(1, ";".join(names)), (3, "ACGTACGGT" * 6), (4, "item"), (6, "")])
+    want = rows(ops.align(seqs, patterns, 3, scoring, per_pair).drop("chunk_idx").select("pattern_id", "seq_id", "rank", "score", "x_end", "y_end", "x_start", "y_start", "aligned_p", "aligned_s"))
+    monkeypatch.setattr(tiles, "TILE", 30)
+    monkeypatch.setattr(tiles, "MOST_TILES", 5)
+    got = ops.align(seqs, patterns, 3, scoring, per_pair)
+    assert rows(got.select("pattern_id", "seq_id", "rank", "score", "x_end", "y_end", "x_start", "y_start", "aligned_p", "aligned_s")) == want
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("Hello, N!",), ("",), (None,)], "t string")
     read = dict(zip(native.OTHER_LETTERS, native.READ_AS, strict=True))
