@@ -154,6 +154,10 @@ class Grams:
             self._sums[q] = ends
         return self._sums[q]
 
+    def hashes(self, q: int) -> np.ndarray:
+        """A hash of 32 bits of each run of q symbols, by the place where it begins."""
+        return self._sum(q)[q - 1 :]
+
     def slots(self, q: int) -> np.ndarray:
         """A hash of GRAM_BITS bits for each place; those of the first q - 1 places are of shorter runs."""
         if q not in self._slots:
@@ -161,6 +165,86 @@ class Grams:
         return self._slots[q]
 
 
+class Seeds:
+    """The places of a long pattern's runs of symbols: finds the best cells of short texts without filling all of its rows.
+
+    What Bound says of a pattern's runs holds for a text's, as both sides of an
+    alignment score alike: one of score s holds at least n of the text's runs of q
+    symbols. So it holds one of any that leave out fewer than n; the rarest are
+    taken, and rows as far from their places in the pattern as an alignment spans.
+    """
+
+    #: Places of the rarest run that tell a score to begin with.
+    FIRST = 8
+
+    def __init__(self, pattern: np.ndarray, scoring: Scoring) -> None:
+        self.pattern, self.scoring = pattern, scoring
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @staticmethod
+    def serve(pattern: np.ndarray, scoring: Scoring) -> bool:
+        return len(pattern) >= 1 << 14 and scoring.matrix is None and scoring.mismatch < 0
+
+    def _places(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the runs of q symbols, ascending, where each begins)."""
+        if q not in self.known:
+            hashes = Grams(self.pattern).hashes(q)
+            order = np.argsort(hashes, kind="stable").astype(np.int32)
+            self.known[q] = (hashes[order], order)
+        return self.known[q]
+
+    def _needed(self, least: int, n: int, q: int) -> int:
+        """How many of a text's runs of q symbols an alignment of score `least` or more holds at least."""
+        s = self.scoring
+        a = np.arange(-(-least // s.match), n + 1)
+        return int((a - (q - 1) * (1 + (s.match * a - least) // min(s.gap, -s.mismatch))).min())
+
+    def _near(self, text: np.ndarray, places: np.ndarray, q: int, k: int, skip: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The k best cells from `least` on in the rows around some places; None where there are too many."""
+        reach, places = self.scoring.reach(len(text)), np.sort(places).astype(np.int64)
+        lo, hi = np.maximum(places - reach, 0), np.minimum(places + q + reach, len(self.pattern))
+        opens = np.append(True, lo[1:] > hi[:-1])
+        lo, hi = lo[opens], hi[np.append(opens[1:], True)]
+        size = hi - lo
+        begins = size.cumsum() - size
+        if int(size.sum()) * len(text) > 4 * STRIPE_CELLS:
+            return None
+        rows = np.arange(size.sum()) + np.repeat(lo - begins, size)
+        h = fill(text, self.pattern[rows], begins, self.scoring)
+        h[:skip] = 0
+        x, y, v = best_cells(h.T, np.zeros(len(text), np.int64), k, False, least)
+        return rows[x], y, v
+
+    def best(self, text: np.ndarray, k: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(rows, columns, scores) of the k best cells of a text, columns from skip on; None where runs tell too little, and all rows must be filled."""
+        n, grams, least, begun = len(text), Grams(text), 0, None
+        for q in sorted(GRAMS, reverse=True):
+            if n < q:
+                continue
+            hashes, order = self._places(q)
+            met = grams.hashes(q)
+            lo, hi = np.searchsorted(hashes, met, "left"), np.searchsorted(hashes, met, "right")
+            often = hi - lo
+            sure = []
+            if begun is None and often.any():
+                rarest = int(np.argmin(np.where(often, often, len(self.pattern) + 1)))
+                sure = [rarest] if often[rarest] <= self.FIRST else []
+                begun = self._near(text, order[lo[rarest] : hi[rarest]][: self.FIRST], q, k, skip, 1)
+                if begun is None or len(begun[0]) < k:
+                    return None
+                least = int(begun[2][-1])
+            need = self._needed(least, n, q) if begun is not None else 0
+            if need < 1:
+                continue
+            some = np.argsort(often, kind="stable")[: len(met) - need + 1]
+            if 4 * int(often[some].sum()) * self.scoring.reach(n) > len(self.pattern):
+                continue
+            if some.tolist() == sure:
+                return begun
+            return self._near(text, np.concatenate([order[lo[g] : hi[g]] for g in some.tolist()]), q, k, skip, least)
+        return None
+
+
 class Bound:
     """Tells which columns of a text can hold a cell of a least score of one pattern; never lets one go that does.
 

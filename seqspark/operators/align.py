@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.kernels import Bound, Grams, bounded_best, code_points, fill, striped_best, stripes, trace_back
+from ..functions.kernels import Bound, Grams, Seeds, bounded_best, code_points, fill, striped_best, stripes, trace_back
 from ..functions.native import conform
 from ..functions.scoring import Scoring
 from ..plans.tables import written
@@ -151,6 +151,28 @@ class _Best:
             self.least = max(1, -self.rows[-1][0])
 
 
+def _seeded(seeds: Seeds, pattern: np.ndarray, texts: list[np.ndarray], skip: list[int], k: int, scoring: Scoring) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What striped_best finds in texts that lie end to end: by the pattern's runs where they tell enough, else with all rows filled."""
+    size = np.array(list(map(len, texts)))
+    first = size.cumsum() - size
+    found, rest = {}, []
+    for n, text in enumerate(texts):
+        cells = seeds.best(text, k, skip[n]) if 8 * len(text) <= len(pattern) else None
+        if cells is None:
+            rest.append(n)
+        else:
+            found[n] = (cells[0], cells[1] + first[n], cells[2])
+    if rest:
+        text, segment = np.concatenate([texts[n] for n in rest]), np.repeat(np.arange(len(rest)), size[rest])
+        begins = size[rest].cumsum() - size[rest]
+        inner = np.arange(len(text)) - begins[segment]
+        x, y, score = striped_best(stripes(pattern, text, begins, scoring), segment, k, False, 1, inner < np.array(skip)[rest][segment] if any(skip) else None)
+        for n, r in enumerate(rest):
+            of = segment[y] == n
+            found[r] = (x[of], inner[y[of]] + first[r], score[of])
+    return tuple(np.concatenate([found[n][c] for n in range(len(texts))]) for c in range(3))
+
+
 def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring: Scoring, per_pair: bool = False, ties: bool = False, stretches: bool = False) -> DataFrame:
     """(pattern_id, seq_id, chunk_idx, score, x_end, y_end): of each pattern the k best cells of a task's chunk cores, or with per_pair or ties of each core.
 
@@ -163,7 +185,7 @@ def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = [(pid, code_points(p)) for pid, p in shipped.value]
         kept = {} if per_pair or ties else {pid: _Best(k) for pid, _ in points}
-        coded = [(pid, p, Bound(p, scoring) if kept else None) for pid, p in points]
+        coded = [(pid, p, Bound(p, scoring) if kept else None, Seeds(p, scoring) if not kept and not ties and Seeds.serve(p, scoring) else None) for pid, p in points]
         id_type = None
 
         def told(columns: list[list], id_type: pa.DataType) -> pa.RecordBatch:
@@ -181,11 +203,13 @@ def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring:
                 segment = np.repeat(np.arange(b - a), size)
                 halo = (np.arange(len(text)) - first[segment] < np.array(skip[a:b])[segment]) if any(skip[a:b]) else None
                 pairs, grams = scoring.pairs(text), Grams(text)
-                for pid, pattern, bound in coded:
+                for pid, pattern, bound, seeds in coded:
                     reach = 2 * scoring.reach(len(pattern))
                     of = kept.get(pid)
                     if of:
                         x, y, score, _ = bounded_best(pattern, bound, grams, first, segment, k, scoring, of.least, halo, pairs)
+                    elif seeds:
+                        x, y, score = _seeded(seeds, pattern, texts[a:b], skip[a:b], k, scoring)
                     else:
                         x, y, score = striped_best(stripes(pattern, text, first, scoring, pairs=pairs), segment, k, ties, 1, halo)
                     if not len(x):

@@ -206,6 +206,17 @@ def test_long_with_long_in_tiles(spark, monkeypatch, per_pair, scoring):
     assert rows(got.select("pattern_id", "seq_id", "rank", "score", "x_end", "y_end", "x_start", "y_start", "aligned_p", "aligned_s")) == want
 
 
+def test_short_texts_in_a_long_pattern(spark, monkeypatch):
+    """Hits by pair of texts that runs find, and of those that they don't, cut into chunks, are those of all rows."""
+    rng = random.Random(3)
+    p = "".join(rng.choice("ACGTBDEF") for _ in range(20_000))
+    seqs, patterns = tables(spark, [(n, p[a : a + 40][:: 1 if n % 3 else -1]) for n, a in enumerate(range(0, 4000, 400))] + [(90, "ZZ"), (91, ""), (92, "AC"), (93, p[99:500])], [(1, p), (2, "ACG")])
+    keep = ["pattern_id", "seq_id", "rank", "score", "x_end", "y_end"]
+    got = rows(ops.align_hits(seqs, patterns, 2, per_pair=True).select(*keep))
+    monkeypatch.setattr(kernels.Seeds, "serve", staticmethod(lambda pattern, scoring: False))
+    assert got == rows(ops.align_hits(seqs, patterns, 2, per_pair=True).select(*keep))
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("Hello, N!",), ("",), (None,)], "t string")
     read = dict(zip(native.OTHER_LETTERS, native.READ_AS, strict=True))

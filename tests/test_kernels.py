@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from seqspark.functions.kernels import Bound, Grams, best_cells, bounded_best, code_points, fill, striped_best, stripes, trace_back, walk
+from seqspark.functions.kernels import Bound, Grams, Seeds, best_cells, bounded_best, code_points, fill, striped_best, stripes, trace_back, walk
 from seqspark.functions.scoring import Scoring
 
 S = Scoring()
@@ -192,3 +194,31 @@ def test_thirty_thousand_by_thirty_thousand_in_bounded_memory():
     out = subprocess.run([sys.executable, "-c", LONG], capture_output=True, text=True, check=True, timeout=300).stdout.split()
     assert int(out[0]) == int(out[1]) > 48_000 and out[2:4] == ["True", "True"]
     assert int(out[4]) < 500  # MB; the matrix itself would be 3.6 GB
+
+
+def test_seeds_find_all_best_cells():
+    """Short texts find the same cells in a long pattern by its runs as by all of its rows, and whole ones fill few of them."""
+    rng = random.Random(2)
+    told = 0
+    for n in range(200):
+        scoring, symbols = (S, Scoring(2, -1, 1), Scoring(5, -4, 3))[n % 3], "ABCDEFGHIJ"[: 4 if n % 2 else 10]
+        p = "".join(rng.choice(symbols) for _ in range(3000))
+        at = rng.randrange(2900)
+        t = list(p[at : at + rng.randrange(4, 40)])
+        for _ in range(n % 4):
+            t[rng.randrange(len(t))] = rng.choice(symbols)
+        k, skip = rng.choice((1, 1, 2, 5)), rng.choice((0, 0, 3))
+        codes, text = code_points(p), code_points("".join(t))
+        got = Seeds(codes, scoring).best(text, k, skip)
+        if got is not None:
+            told += 1
+            h = fill(codes, text, np.zeros(1, np.int64), scoring)
+            h[:, :skip] = 0
+            assert all((a == b).all() for a, b in zip(got, best_cells(h, np.zeros(len(text), np.int64), k), strict=True))
+    assert told > 50
+    names = "\n".join(f"Supplier#{n:09}" for n in range(2000))
+    seeds, filled = Seeds(code_points(names), S), []
+    near = seeds._near
+    seeds._near = lambda text, places, *rest: filled.append(len(places)) or near(text, places, *rest)
+    x, y, v = seeds.best(code_points("Supplier#000001234"), 1)
+    assert (x.tolist(), y.tolist(), v.tolist()) == ([1234 * 19 + 17], [17], [54]) and sum(filled) <= 2
