@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -194,11 +195,12 @@ def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring:
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            texts = [code_points(t) for t in batch.column(4).to_pylist()]
+            sizes = pc.utf8_length(batch.column(4)).to_pylist()
             ids, idx, start, skip = (batch.column(c).to_pylist() for c in range(4))
-            for a, b in _groups(list(map(len, texts)), COLUMNS):
-                text = np.concatenate(texts[a:b])
-                size = np.array([len(t) for t in texts[a:b]])
+            for a, b in _groups(sizes, COLUMNS):
+                texts = [code_points(t) for t in batch.column(4).slice(a, b - a).to_pylist()]  # of a group, not of all that has come in
+                text = np.concatenate(texts)
+                size = np.array(sizes[a:b])
                 first = size.cumsum() - size
                 segment = np.repeat(np.arange(b - a), size)
                 halo = (np.arange(len(text)) - first[segment] < np.array(skip[a:b])[segment]) if any(skip[a:b]) else None
@@ -209,7 +211,7 @@ def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring:
                     if of:
                         x, y, score, _ = bounded_best(pattern, bound, grams, first, segment, k, scoring, of.least, halo, pairs)
                     elif seeds:
-                        x, y, score = _seeded(seeds, pattern, texts[a:b], skip[a:b], k, scoring)
+                        x, y, score = _seeded(seeds, pattern, texts, skip[a:b], k, scoring)
                     else:
                         x, y, score = striped_best(stripes(pattern, text, first, scoring, pairs=pairs), segment, k, ties, 1, halo)
                     if not len(x):
@@ -217,9 +219,9 @@ def chunk_hits(cut: DataFrame, patterns: list[tuple[int, str]], k: int, scoring:
                     owner = segment[y] + a
                     inner = y - first[owner - a]
 
-                    def stretch(at: int, end: int, reach: int = reach) -> tuple[int, str]:
+                    def stretch(at: int, end: int, reach: int = reach, texts: list[np.ndarray] = texts, a: int = a) -> tuple[int, str]:
                         lo = max(end - reach + 1, 0)
-                        return start[at] + lo, texts[at][lo : end + 1].tobytes().decode("utf-32-le")
+                        return start[at] + lo, texts[at - a][lo : end + 1].tobytes().decode("utf-32-le")
 
                     found = list(zip(score.tolist(), x.tolist(), owner.tolist(), inner.tolist(), strict=True))
                     if of:
@@ -348,14 +350,13 @@ def boundary(seqs: DataFrame, patterns: DataFrame, right: bool, scoring: Scoring
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [code_points(t) for t in batch.column(1).to_pylist()]
-            sizes = list(map(len, texts))
+            sizes = pc.utf8_length(batch.column(1)).to_pylist()
             for pid, pattern in shipped.value:
                 for a, b in _groups(sizes, COLUMNS):
                     size = np.array(sizes[a:b])
                     ends = size.cumsum()
                     edges, bottom = [], np.zeros(0, np.int32)
-                    for _, h in stripes(pattern, np.concatenate(texts[a:b]), ends - size, scoring):
+                    for _, h in stripes(pattern, code_points("".join(batch.column(1).slice(a, b - a).to_pylist())), ends - size, scoring):
                         edges.append(h[:, ends - 1])
                         bottom = h[-1]
                     cells = np.concatenate(edges).T.ravel() if right else bottom
@@ -386,12 +387,11 @@ def cells(seqs: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring()) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [code_points(t) for t in batch.column(1).to_pylist()]
-            sizes = list(map(len, texts))
+            sizes = pc.utf8_length(batch.column(1)).to_pylist()
             for pid, pattern in shipped.value:
                 m = len(pattern)
                 for a, b in _groups(sizes, max(1, CELLS // m)):
-                    text, size = np.concatenate(texts[a:b]), np.array(sizes[a:b])
+                    text, size = code_points("".join(batch.column(1).slice(a, b - a).to_pylist())), np.array(sizes[a:b])
                     first = size.cumsum() - size
                     h = fill(pattern, text, first, scoring)
                     pad = np.zeros((m + 1, len(text) + 1), np.int32)

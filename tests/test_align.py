@@ -217,6 +217,25 @@ def test_short_texts_in_a_long_pattern(spark, monkeypatch):
     assert got == rows(ops.align_hits(seqs, patterns, 2, per_pair=True).select(*keep))
 
 
+def test_only_a_group_of_texts_is_decoded_at_once():
+    """A task holds a batch as it came and the code points of one group of its texts, whatever the batch's rows."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    shared = SimpleNamespace(broadcast=lambda value: SimpleNamespace(value=value))
+    cut = SimpleNamespace(dtypes=[("seq_id", "bigint")], sparkSession=SimpleNamespace(sparkContext=shared), mapInArrow=lambda run, schema: run)
+    run = ops.chunk_hits(cut, [(0, "needle")], 1, Scoring(), per_pair=True)
+    n = 4000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), *(pa.array([0] * n, t) for t in (pa.int32(), pa.int64(), pa.int32())), pa.array(["hay needle hay " * 160] * n)], names=["seq_id", "chunk_idx", "start", "skip", "part"])
+    tracemalloc.start()
+    try:
+        found = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == n and peak < 16 << 20  # all texts take 38 MB as code points
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("Hello, N!",), ("",), (None,)], "t string")
     read = dict(zip(native.OTHER_LETTERS, native.READ_AS, strict=True))
