@@ -335,13 +335,13 @@ def stream_align_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_topk_global(spark: SparkSession, d: str) -> DataFrame:
     """The k best cells of every pattern over all conversations, kept while their turns arrive."""
-    hits = align_stream(_pieces(spark, d), _patterns(spark, d), k=K)
+    hits = align_stream(_pieces(spark, d), _patterns(spark, d), k=K, overall=True)
     return latest(run_available(best_of_stream(hits, K), "stream_topk_global")).select(*_HIT)
 
 
 def stream_traceback(spark: SparkSession, d: str) -> DataFrame:
     """The same with their alignments, walked back while the turns that they reach are at hand."""
-    hits = align_stream(_pieces(spark, d), _patterns(spark, d), k=K, alignments=True)
+    hits = align_stream(_pieces(spark, d), _patterns(spark, d), k=K, alignments=True, overall=True)
     return latest(run_available(best_of_stream(hits, K), "stream_traceback")).select(*_ALIGNED)
 
 

@@ -42,12 +42,13 @@ PLAN_CHARS = 4_000_000
 class PieceCells(StatefulProcessor):
     """Fills a sequence's pieces in order and keeps the k best cells of every pattern."""
 
-    def __init__(self, patterns, scoring: Scoring, k: int, alignments: bool, wait_ms: int | None) -> None:
-        self.patterns, self.scoring, self.k, self.alignments, self.wait_ms = patterns, scoring, k, alignments, wait_ms
+    def __init__(self, patterns, scoring: Scoring, k: int, alignments: bool, wait_ms: int | None, overall: bool = False) -> None:
+        self.patterns, self.scoring, self.k, self.alignments, self.wait_ms, self.overall = patterns, scoring, k, alignments, wait_ms, overall
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.known = [(i, p, code_points(p)) for i, p in self.patterns]
+        self.told_best: list[list[tuple]] = [[] for _ in self.known]  # the k best cells of each pattern that this task has told
         self.span = 2 * self.scoring.reach(max((len(p) for _, p, _ in self.known), default=0))
         self.cursor = handle.getValueState("cursor", "next long, length long")
         self.early = handle.getMapState("early", "piece long", "text string")
@@ -84,12 +85,12 @@ class PieceCells(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if self.early.exists():
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
-        best = self.filled(ready, length)
+        best = self.filled(key[0], ready, length)
         self.cursor.update((at, length + sum(map(len, ready))))
         yield self.told(key[0], best, at)
 
-    def filled(self, ready: list[str], length: int) -> list[list[tuple]]:
-        """The k best cells of every pattern after these pieces, and the state with them."""
+    def filled(self, seq_id: int, ready: list[str], length: int) -> list[list[tuple]]:
+        """The k best cells of every pattern after these pieces, and the state with them; overall without those that k told ones of other sequences or this one surpass."""
         best: list[list[tuple]] = [[] for _ in self.known]
         for row in self.hits.get():
             best[int(row[0])].append((int(row[1]), int(row[2]), int(row[3]), *row[4:]))
@@ -109,12 +110,16 @@ class PieceCells(StatefulProcessor):
                     yield row, h
 
             least = best[n][-1][0] if len(best[n]) == self.k else 1
+            if len(self.told_best[n]) == self.k:
+                least = max(least, -self.told_best[n][-1][0])
             x, y, v = striped_best(parts(), segment, self.k, least=least)
             at += len(p) + 1
             edges += edge
             none = (None,) * 4
             found = sorted([*best[n], *((s, r, length + c, *none) for s, r, c in zip(v.tolist(), x.tolist(), y.tolist(), strict=True))], key=lambda c: (-c[0], c[2], c[1]))[: self.k]
             changed |= found != best[n]
+            if self.overall:
+                self.told_best[n] = sorted({*self.told_best[n], *((-c[0], seq_id, c[2], c[1]) for c in found)})[: self.k]
             best[n] = [self.walked(p, c, tail + new, length - len(tail)) if self.alignments and c[3] is None else c for c in found]
         self.columns.update((np.concatenate(edges).tobytes() if edges else b"",))
         if changed:
@@ -154,13 +159,14 @@ def _state_in_rocks(spark: SparkSession) -> None:
         spark.conf.set(PROVIDER, ROCKS)
 
 
-def align_stream(pieces: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring(), k: int = 1, alignments: bool = False, wait_ms: int | None = None) -> DataFrame:
+def align_stream(pieces: DataFrame, patterns: DataFrame, scoring: Scoring = Scoring(), k: int = 1, alignments: bool = False, wait_ms: int | None = None, overall: bool = False) -> DataFrame:
     """From a stream (seq_id, piece, text), after each batch the k best cells of every pattern in each sequence so far, and how many pieces they are from.
 
     Pieces are numbered from 0. Patterns are held by every task: a set of checked
     size. With alignments also where each begins and its two strings, as align()
     has them. waits_for is null but for sequences that have held early pieces for
-    wait_ms: of them a row names the piece they wait for.
+    wait_ms: of them a row names the piece they wait for. With overall, what goes
+    into best_of_stream with the same k: cells that k told ones surpass are left out.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -169,7 +175,7 @@ def align_stream(pieces: DataFrame, patterns: DataFrame, scoring: Scoring = Scor
     known = sent_patterns(patterns, PLAN_CHARS)
     schema = HIT + (", " + ALIGNED if alignments else "") + ", waits_for long"
     some = pieces.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("piece").cast("long").alias("piece"), "text").where("seq_id IS NOT NULL AND piece IS NOT NULL")
-    return some.groupBy("seq_id").transformWithStateInPandas(PieceCells(known, scoring, k, alignments, wait_ms), schema, "Append", "ProcessingTime" if wait_ms is not None else "None")
+    return some.groupBy("seq_id").transformWithStateInPandas(PieceCells(known, scoring, k, alignments, wait_ms, overall), schema, "Append", "ProcessingTime" if wait_ms is not None else "None")
 
 
 class BestHits(StatefulProcessor):

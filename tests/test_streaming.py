@@ -47,6 +47,27 @@ def test_best_over_all_sequences_with_alignments_after_restarts(spark, tmp_path)
     assert got == sorted(map(tuple, whole.select(*keep).collect())) and len(got) == 8
 
 
+def test_surpassed_cells_are_not_told(spark, tmp_path):
+    """What goes into the best of all leaves out cells that k told ones surpass, over restarts and ties, and loses none of the best."""
+    rng = random.Random(6)
+    seqs = {k: "".join(rng.choice("ACGT") for _ in range(60)) for k in range(40)}
+    seqs[38] = seqs[39] = seqs[3]
+    pieces = [(k, n, s[n * 20 : n * 20 + 20]) for k, s in seqs.items() for n in range(3)]
+    patterns = spark.createDataFrame([(0, "ACGTACGTTGCA"), (1, "TTGA")], "pattern_id long, seq string")
+    source = tmp_path / "in"
+    source.mkdir()
+    rng.shuffle(pieces)
+    for n in range(2):
+        pd.DataFrame(pieces[n::2], columns=["seq_id", "piece", "text"]).to_parquet(source / f"{n}.parquet")
+        stream = spark.readStream.schema("seq_id long, piece long, text string").parquet(str(source))
+        out = run_available(best_of_stream(align_stream(stream, patterns, k=4, alignments=True, overall=True), 4), "t", str(tmp_path / "work"))
+    keep = ["pattern_id", "rank", "seq_id", "score", "x_end", "y_end", "x_start", "y_start", "aligned_p", "aligned_s"]
+    whole = align(spark.createDataFrame(list(seqs.items()), "seq_id long, seq string"), patterns, 4)
+    assert sorted(map(tuple, latest(out).select(*keep).collect())) == sorted(map(tuple, whole.select(*keep).collect()))
+    told = run_available(align_stream(stream, patterns, k=4, alignments=True, overall=True), "all")
+    assert told.count() < 160  # all sequences' k best are 320
+
+
 def test_a_missing_piece_is_told_and_nothing_dropped(spark, tmp_path):
     import time
 
