@@ -4,8 +4,9 @@ A tile is filled from the last row of the tile above it and the last column of
 the tile to its left. Tiles of one diagonal don't depend on each other: each
 diagonal is a job over all pairs, grouped by tile, and what it hands on is
 written and read by the next. The rows that come in bring the tile's symbols, so
-no task holds more than a tile's sides. Each tile tells the best scores of its
-own diagonals; only tiles that reach the k-th of all are searched for cells. The
+no task holds more than a tile's sides, its symbols and the differences along some of its rows and
+columns. Each tile tells the scores of some of its best cells and what none of them surpasses;
+only tiles that can reach the k-th of all are searched for cells. The
 walk back goes a tile at a time, from the sides that were written, and all
 alignments go together.
 """
@@ -20,14 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.kernels import code_points, edges_of, striped_best, stripes, trace_back
+from ..functions.blocks import Tile
 from ..functions.scoring import Scoring
 from ..plans.tables import shared_dir, written
 
-#: The least side of a tile, and how many tiles a side of the longest matrix has at most.
+#: The least side of a tile, and how many tiles a side of the longest matrix has at most; up to the side WIDE it has FEW, as every diagonal is a job.
 TILE, MOST_TILES = 4096, 64
+FEW, WIDE = 24, 65_536
 KEYS = ("pattern_id", "seq_id", "r", "c")
-TOP, LEFT, PEAK = 0, 1, 2
+TOP, LEFT, PEAK, HIGH = 0, 1, 2, 3
 
 
 def _sides(table: pa.Table) -> tuple[str, str, np.ndarray, np.ndarray] | None:
@@ -57,7 +59,7 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
     seqs = written(seqs.where(F.length("seq") > 0).select("seq_id", "seq"), "long-seqs")
     patterns = written(patterns.where(F.length("seq") > 0).select(F.col("pattern_id").cast("long").alias("pattern_id"), "seq"), "long-patterns")
     n, m = (df.agg(F.max(F.length("seq"))).first()[0] or 0 for df in (seqs, patterns))
-    side = side or max(TILE, -(-max(n, m) // MOST_TILES))
+    side = side or max(TILE, -(-max(n, m) // MOST_TILES), min(-(-max(n, m) // FEW), WIDE))
     where = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
 
     zero, none, nothing = F.lit(0).alias, F.lit(None).cast("binary").alias("cells"), F.lit(None).cast("int").alias("score")
@@ -70,18 +72,18 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
         """What comes into the tiles of a diagonal: from the one before it, and at the matrix's own sides."""
         some = [f"{where}/begin/d={d}"] if d < max(-(-n // side), -(-m // side)) else []
         some += [f"{where}/edges/{d}"] if d else []
-        return spark.read.schema(rows).parquet(*some).where(F.col("kind") != PEAK)
+        return spark.read.schema(rows).parquet(*some).where(F.col("kind").isin(TOP, LEFT))
 
     def handed_on(table: pa.Table) -> pa.Table:
         sides = _sides(table)
         if sides is None:
             return table.slice(0, 0)
         p, t, left, above = sides
-        bottom, right, peaks = edges_of(code_points(p), code_points(t), left, above, scoring, k)
+        tile = Tile(p, t, left, above, scoring, k)
         ids = [table.column(x)[0] for x in KEYS]
         r, c = ids[2].as_py(), ids[3].as_py()
-        bottom = np.append(left[-1:], bottom).astype(np.int32)
-        told = [(r + 1, c, TOP, None, t, bottom.tobytes()), (r, c + 1, LEFT, None, p, right.tobytes()), *((r, c, PEAK, v, None, None) for v in peaks)]
+        bottom, right = np.append(left[-1:], tile.bottom).astype(np.int32), tile.right.astype(np.int32)
+        told = [(r + 1, c, TOP, None, t, bottom.tobytes()), (r, c + 1, LEFT, None, p, right.tobytes()), (r, c, HIGH, tile.high, None, None), *((r, c, PEAK, v, None, None) for v in tile.peaks)]
         columns = [pa.array([i.as_py()] * len(told), i.type) for i in ids[:2]] + [pa.array(x, y) for x, y in zip(zip(*told, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()), strict=True)]
         return pa.Table.from_arrays(columns, names=table.column_names)
 
@@ -91,11 +93,11 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
 
     of = ["pattern_id", "seq_id"] if per_pair else ["pattern_id"]
     if not last > 0:
-        peaks = spark.createDataFrame([], rows)
+        scores = spark.createDataFrame([], rows)
     else:
-        peaks = spark.read.schema(rows).parquet(*(f"{where}/edges/{d + 1}" for d in range(last))).where(F.col("kind") == PEAK)
-    kth = peaks.withColumn("n", F.row_number().over(W.partitionBy(*of).orderBy(F.desc("score")))).where(F.col("n") == k).select(*of, F.col("score").alias("least"))
-    reached = written(peaks.groupBy(*KEYS).agg(F.max("score").alias("score")).join(kth, of, "left").withColumn("least", F.coalesce("least", F.lit(1))).where("score >= least").select(*KEYS, "least"), "tiles")
+        scores = spark.read.schema(rows).parquet(*(f"{where}/edges/{d + 1}" for d in range(last)))
+    kth = scores.where(F.col("kind") == PEAK).withColumn("n", F.row_number().over(W.partitionBy(*of).orderBy(F.desc("score")))).where(F.col("n") == k).select(*of, F.col("score").alias("least"))
+    reached = written(scores.where(F.col("kind") == HIGH).select(*KEYS, "score").join(kth, of, "left").withColumn("least", F.coalesce("least", F.lit(1))).where("score >= least").select(*KEYS, "least"), "tiles")
 
     def of_tiles(tiles: DataFrame) -> DataFrame:
         """The sides of some tiles, from the diagonals where they lie."""
@@ -112,7 +114,7 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
         x, y, v = [np.zeros(0, np.int64)] * 3
         if found is not None:
             p, t, left, above = found
-            x, y, v = striped_best(stripes(code_points(p), code_points(t), np.zeros(1, np.int64), scoring, left, above), np.zeros(len(t), np.int64), k, least=tile.column("least")[0].as_py())
+            x, y, v = Tile(p, t, left, above, scoring, k, keep=True).best(tile.column("least")[0].as_py())
             x, y = x + tile.column("r")[0].as_py() * side, y + tile.column("c")[0].as_py() * side
         ids = [tile.column(i).take(pa.array([0] * len(v), pa.int64())) for i in KEYS[:2]]
         return pa.Table.from_arrays([*ids, pa.array(v, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["pattern_id", "seq_id", "score", "x_end", "y_end"])
@@ -128,11 +130,12 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
         found = _sides(sides)
         base = [cells.column(i)[0].as_py() * side for i in ("r", "c")]
         known: dict[tuple[int, int], tuple] = {}
+        tile, blocks = None, {}
         out = []
         for at in zip(cells.column("x").to_pylist(), cells.column("y").to_pylist(), strict=True):
             if at not in known:
-                p, t, left, above = found
-                i, j, ap, as_ = trace_back(p, t, at[0] - base[0], at[1] - base[1], scoring, left=left, above=above)
+                tile = tile or Tile(*found, scoring, k, keep=True)
+                i, j, ap, as_ = tile.walk(at[0] - base[0], at[1] - base[1], blocks)
                 x, y = base[0] + i - 1, base[1] + j - 1
                 known[at] = (x, y, ap, as_, (i == 0 or j == 0) and x >= 0 and y >= 0)
             out.append(known[at])
