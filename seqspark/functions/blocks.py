@@ -19,7 +19,7 @@ from .kernels import _first_k, code_points, edges_of, striped_best, stripes, tra
 from .scoring import Scoring
 
 #: Diagonals between two looks at the scores, the side of a block, and bytes of symbols that are compared at once.
-CHECK, BLOCK, ROOM = 256, 1024, 1 << 20
+CHECK, BLOCK, ROOM = 256, 1024, 1 << 21
 
 
 def _differ(side: np.ndarray, corner: int, gap: int, kind: type) -> np.ndarray:

@@ -17,6 +17,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,9 +45,10 @@ def _sides(table: pa.Table) -> tuple[str, str, np.ndarray, np.ndarray] | None:
     return p, t, np.concatenate((above[:1], left)), above[1:]
 
 
-def _by_tile(df: DataFrame):
-    """df by tile, over several partitions for each slot: rows are few and long to work on."""
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *KEYS).groupBy(*KEYS)
+def _by_tile(df: DataFrame, apart: bool = False):
+    """df by tile, over several partitions for each slot: rows are few and long to work on. apart: by ranges, so that as few tiles as can be share a task."""
+    n = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return (df.repartitionByRange if apart else df.repartition)(n, *KEYS).groupBy(*KEYS)
 
 
 def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, per_pair: bool = False, side: int | None = None) -> DataFrame:
@@ -89,7 +91,7 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
 
     last = -(-n // side) + -(-m // side) - 1
     for d in range(last):
-        _by_tile(come_in(d)).applyInArrow(handed_on, rows).write.parquet(f"{where}/edges/{d + 1}")
+        _by_tile(come_in(d), apart=True).applyInArrow(handed_on, rows).write.parquet(f"{where}/edges/{d + 1}")
 
     of = ["pattern_id", "seq_id"] if per_pair else ["pattern_id"]
     if not last > 0:
@@ -99,13 +101,13 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
     kth = scores.where(F.col("kind") == PEAK).withColumn("n", F.row_number().over(W.partitionBy(*of).orderBy(F.desc("score")))).where(F.col("n") == k).select(*of, F.col("score").alias("least"))
     reached = written(scores.where(F.col("kind") == HIGH).select(*KEYS, "score").join(kth, of, "left").withColumn("least", F.coalesce("least", F.lit(1))).where("score >= least").select(*KEYS, "least"), "tiles")
 
-    def of_tiles(tiles: DataFrame) -> DataFrame:
-        """The sides of some tiles, from the diagonals where they lie."""
+    def of_tiles(tiles: DataFrame) -> DataFrame | None:
+        """The sides of some tiles, from the diagonals where they lie; None where there are no tiles."""
         diagonals = sorted(x[0] for x in tiles.select(F.col("r") + F.col("c")).distinct().collect())
         out = None
         for d in diagonals:
             out = come_in(d) if out is None else out.unionByName(come_in(d))
-        return out if out is not None else spark.createDataFrame([], rows)
+        return out if out is None else out.join(F.broadcast(tiles.select(*KEYS).distinct()), list(KEYS), "left_semi")
 
     hit = f"pattern_id long, seq_id {kind}, score int, x_end long, y_end long"
 
@@ -119,7 +121,8 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
         ids = [tile.column(i).take(pa.array([0] * len(v), pa.int64())) for i in KEYS[:2]]
         return pa.Table.from_arrays([*ids, pa.array(v, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["pattern_id", "seq_id", "score", "x_end", "y_end"])
 
-    met = of_tiles(reached).join(F.broadcast(reached.select(*KEYS)), list(KEYS), "left_semi")
+    met = of_tiles(reached)
+    met = spark.createDataFrame([], rows) if met is None else met
     hits = written(best(_by_tile(met).cogroup(_by_tile(reached)).applyInArrow(cells, hit), k, per_pair), "long-hits")
 
     walk = f"pattern_id long, seq_id {kind}, rank int, x long, y long, ap string, as_ string"
@@ -131,10 +134,13 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
         base = [cells.column(i)[0].as_py() * side for i in ("r", "c")]
         known: dict[tuple[int, int], tuple] = {}
         tile, blocks = None, {}
+        m, n = (pc.max(cells.column(x)).as_py() - b + 1 for x, b in zip(("x", "y"), base, strict=True))
         out = []
         for at in zip(cells.column("x").to_pylist(), cells.column("y").to_pylist(), strict=True):
             if at not in known:
-                tile = tile or Tile(*found, scoring, k, keep=True)
+                if tile is None:  # as far as the walks begin
+                    p, t, left, above = found
+                    tile = Tile(p[:m], t[:n], left[: m + 1], above[:n], scoring, k, keep=True)
                 i, j, ap, as_ = tile.walk(at[0] - base[0], at[1] - base[1], blocks)
                 x, y = base[0] + i - 1, base[1] + j - 1
                 known[at] = (x, y, ap, as_, (i == 0 or j == 0) and x >= 0 and y >= 0)
@@ -147,9 +153,9 @@ def align_long(seqs: DataFrame, patterns: DataFrame, k: int, scoring: Scoring, p
     while True:
         live = spark.read.schema(walk + ", going boolean").parquet(f"{path}/step={step}").where("going")
         live = live.select("pattern_id", "seq_id", "rank", "x", "y", F.floor(F.col("x") / side).cast("int").alias("r"), F.floor(F.col("y") / side).cast("int").alias("c"))
-        if live.isEmpty():
+        met = of_tiles(live)
+        if met is None:
             break
-        met = of_tiles(live).join(F.broadcast(live.select(*KEYS).distinct()), list(KEYS), "left_semi")
         step += 1
         _by_tile(met).cogroup(_by_tile(live)).applyInArrow(walked, walk + ", going boolean").write.parquet(f"{path}/step={step}")
 
